@@ -156,3 +156,108 @@ def dup_stats(spark, sf_dir):
 def unique_contacts(spark, sf_dir):
     v = _valid(spark, sf_dir).select("line_number", "email", "first_name", "last_name", "phone_number")
     return dedup.unique_contacts(v, "email")
+
+
+# --- sessions, progress events, checkpoints ----------------------------------
+
+from ..operators import sessions as S  # noqa: E402
+
+AS_OF = "2002-01-01 00:00:00"  # evaluation time for elapsed-time figures
+SNAPSHOT_CUT = "2001-01-01 00:00:00"  # sessions started later are absent from the older snapshot
+
+
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
+@query("session_overview")
+def session_overview(spark, sf_dir):
+    return S.session_overview(fixtures.sessions(spark, sf_dir))
+
+
+@query("session_progress")
+def session_progress(spark, sf_dir):
+    return S.session_progress(fixtures.sessions(spark, sf_dir), _as_of())
+
+
+@query("resumable")
+def resumable(spark, sf_dir):
+    return S.resumable(fixtures.sessions(spark, sf_dir))
+
+
+@query("resumable_overview")
+def resumable_overview(spark, sf_dir):
+    return S.resumable_overview(fixtures.sessions(spark, sf_dir))
+
+
+@query("latest_resumable")
+def latest_resumable(spark, sf_dir):
+    return S.latest_resumable(fixtures.sessions(spark, sf_dir))
+
+
+@query("session_diff")
+def session_diff(spark, sf_dir):
+    s = fixtures.sessions(spark, sf_dir)
+    old = s.filter(F.col("start_time") < F.lit(SNAPSHOT_CUT).cast("timestamp_ntz"))
+    running = F.col("status") == "running"
+    new = s.filter(F.col("status") != "cancelled").select(
+        "session_id",
+        F.when(running, F.lit("completed")).otherwise(F.col("status")).alias("status"),
+        F.when(running, F.col("total")).otherwise(F.col("processed")).alias("processed"),
+    )
+    return S.session_diff(old, new)
+
+
+@query("sessions_export")
+def sessions_export(spark, sf_dir):
+    return S.sessions_export(fixtures.sessions(spark, sf_dir), _as_of())
+
+
+@query("run_totals")
+def run_totals(spark, sf_dir):
+    return report.run_totals(fixtures.sessions(spark, sf_dir))
+
+
+@query("progress_timeline")
+def progress_timeline(spark, sf_dir):
+    return S.progress_timeline(fixtures.progress_events(spark, sf_dir))
+
+
+@query("batch_time_mean")
+def batch_time_mean(spark, sf_dir):
+    return S.batch_time_mean(fixtures.progress_events(spark, sf_dir))
+
+
+@query("batch_time_ema")
+def batch_time_ema(spark, sf_dir):
+    return S.batch_time_ema(fixtures.progress_events(spark, sf_dir))
+
+
+@query("phase_intervals")
+def phase_intervals(spark, sf_dir):
+    return S.phase_intervals(fixtures.progress_events(spark, sf_dir))
+
+
+@query("session_event_stats")
+def session_event_stats(spark, sf_dir):
+    return S.session_event_stats(fixtures.progress_events(spark, sf_dir))
+
+
+@query("latest_checkpoint")
+def latest_checkpoint(spark, sf_dir):
+    return S.latest_checkpoint(fixtures.checkpoints(spark, sf_dir))
+
+
+@query("checkpoint_retention")
+def checkpoint_retention(spark, sf_dir):
+    return S.checkpoint_retention(fixtures.checkpoints(spark, sf_dir))
+
+
+@query("checkpoints_to_delete")
+def checkpoints_to_delete(spark, sf_dir):
+    return S.checkpoints_to_delete(fixtures.checkpoints(spark, sf_dir)).select("session_id", "checkpoint_id")
+
+
+@query("resumable_checkpoints")
+def resumable_checkpoints(spark, sf_dir):
+    return S.resumable_checkpoints(fixtures.checkpoints(spark, sf_dir))

@@ -303,3 +303,174 @@ ORACLE["unique_contacts"] = VALIDATED + _marked("email") + """
 SELECT mk.dup_key, v.line_number, v.email, v.first_name, v.last_name, v.phone_number
 FROM mk JOIN v ON mk.line_number = v.line_number WHERE mk.dup_number = 1
 """
+
+# --- sessions, progress events, checkpoints ----------------------------------
+
+AS_OF = "TIMESTAMP '2002-01-01 00:00:00'"
+
+
+def _ms(a: str, b: str) -> str:
+    """Milliseconds from ``a`` to ``b``, difference truncated (as Spark's timestamp_diff)."""
+    return f"CAST(trunc((epoch_us({b}) - epoch_us({a})) / 1000.0) AS BIGINT)"
+
+
+ORACLE["session_overview"] = cte("sessions") + """
+SELECT CAST(count(*) AS BIGINT) AS total_sessions,
+  CAST(count(*) FILTER (WHERE status = 'running') AS BIGINT) AS active_sessions,
+  CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS completed_sessions,
+  CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) AS failed_sessions,
+  (SELECT session_id FROM sessions ORDER BY start_time DESC, session_id DESC LIMIT 1) AS latest_session
+FROM sessions
+"""
+
+_RPS = f"CASE WHEN {_ms('start_time', AS_OF)} > 0 THEN CAST(processed AS DOUBLE) / ({_ms('start_time', AS_OF)} / CAST(1000 AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END"
+
+ORACLE["session_progress"] = cte("sessions") + f"""
+SELECT session_id, status, {rate('processed', 'total')} AS completion_pct, {rate('successful', 'total')} AS success_rate,
+  round({_RPS}, 6) AS records_per_second,
+  CASE WHEN {_ms('start_time', AS_OF)} > 0 AND processed > 0
+       THEN CAST(floor(CAST((total - processed) * {_ms('start_time', AS_OF)} AS DOUBLE) / processed) AS BIGINT) END AS eta_ms
+FROM sessions
+"""
+
+_RESUMABLE = "status IN ('paused', 'failed', 'interrupted') AND total IS NOT NULL AND processed < total"
+
+ORACLE["resumable"] = cte("sessions") + f"""
+SELECT session_id, status, total, processed, total - processed AS remaining FROM sessions WHERE {_RESUMABLE}
+"""
+
+ORACLE["resumable_overview"] = cte("sessions") + f"""
+SELECT CAST(count(*) AS BIGINT) AS resumable_sessions,
+  CAST(count(*) FILTER (WHERE status = 'paused') AS BIGINT) AS paused_sessions,
+  CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) AS failed_sessions,
+  CAST(count(*) FILTER (WHERE status = 'interrupted') AS BIGINT) AS interrupted_sessions
+FROM sessions WHERE {_RESUMABLE}
+"""
+
+ORACLE["latest_resumable"] = cte("sessions") + f"""
+SELECT session_id, status, total, processed, total - processed AS remaining, start_time
+FROM sessions WHERE {_RESUMABLE} ORDER BY start_time DESC, session_id DESC LIMIT 1
+"""
+
+ORACLE["session_diff"] = cte("sessions") + """,
+o AS (SELECT session_id, status AS old_status, processed AS old_processed FROM sessions
+      WHERE start_time < TIMESTAMP '2001-01-01 00:00:00'),
+n AS (SELECT session_id, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS new_status,
+             CASE WHEN status = 'running' THEN total ELSE processed END AS new_processed
+      FROM sessions WHERE status <> 'cancelled'),
+j AS (SELECT coalesce(o.session_id, n.session_id) AS session_id, o.session_id AS os, n.session_id AS ns,
+             old_status, new_status, old_processed, new_processed
+      FROM o FULL OUTER JOIN n ON o.session_id = n.session_id)
+SELECT session_id,
+  CASE WHEN os IS NULL THEN 'added' WHEN ns IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  old_status, new_status, old_processed, new_processed
+FROM j
+WHERE os IS NULL OR ns IS NULL OR old_status IS DISTINCT FROM new_status OR old_processed IS DISTINCT FROM new_processed
+"""
+
+_DUR = _ms("start_time", AS_OF)
+
+ORACLE["sessions_export"] = cte("sessions") + f""",
+d AS (SELECT *, CAST(floor({_DUR} / 1000) AS BIGINT) AS s FROM sessions),
+e AS (SELECT *, CAST(floor(s / 60) AS BIGINT) AS m FROM d),
+f AS (SELECT *, CAST(floor(m / 60) AS BIGINT) AS h FROM e)
+SELECT session_id AS "Session ID", status AS "Status", 'import' AS "Type", csv_file AS "CSV File",
+  CAST(coalesce(total, 0) AS BIGINT) AS "Total Records", CAST(coalesce(processed, 0) AS BIGINT) AS "Processed",
+  CAST(coalesce(successful, 0) AS BIGINT) AS "Successful", CAST(coalesce(failed, 0) AS BIGINT) AS "Failed",
+  {rate('coalesce(successful, 0)', 'coalesce(total, 0)')} AS "Success Rate", start_time AS "Started",
+  CASE WHEN h > 0 THEN CAST(h AS VARCHAR) || 'h ' || CAST(m % 60 AS VARCHAR) || 'm'
+       WHEN m > 0 THEN CAST(m AS VARCHAR) || 'm ' || CAST(s % 60 AS VARCHAR) || 's'
+       ELSE CAST(s AS VARCHAR) || 's' END AS "Duration"
+FROM f
+"""
+
+ORACLE["run_totals"] = cte("sessions") + """
+SELECT CAST(count(*) AS BIGINT) AS runs, CAST(coalesce(sum(total), 0) AS BIGINT) AS records,
+  CAST(coalesce(sum(processed), 0) AS BIGINT) AS processed, CAST(coalesce(sum(successful), 0) AS BIGINT) AS successful,
+  CAST(coalesce(sum(failed), 0) AS BIGINT) AS failed, max(start_time) AS last_run_at
+FROM sessions
+"""
+
+_W = "(PARTITION BY session_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _cnt(cond: str) -> str:
+    return f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) OVER {_W} AS BIGINT)"
+
+
+ORACLE["progress_timeline"] = cte("progress_events") + f"""
+SELECT seq, session_id, ts,
+  {_cnt("type = 'record_processed'")} AS processed,
+  {_cnt("type = 'record_processed' AND coalesce(success, false)")} AS successful,
+  {_cnt("type = 'record_processed' AND NOT coalesce(success, false)")} AS failed,
+  {_cnt("type = 'warning_occurred'")} AS warnings,
+  {_cnt("type = 'error_occurred'")} AS errors,
+  {_cnt("type = 'batch_complete'")} AS batches,
+  {_cnt("type = 'milestone_reached'")} AS milestones,
+  last_value(CASE WHEN type = 'phase_change' THEN phase END IGNORE NULLS) OVER {_W} AS current_phase
+FROM progress_events
+"""
+
+_BATCHES = "SELECT * FROM progress_events WHERE type = 'batch_complete' AND duration_ms > 0"
+
+ORACLE["batch_time_mean"] = cte("progress_events") + f"""
+SELECT seq, session_id, CAST(count(*) OVER {_W} AS BIGINT) AS batch_no,
+  round(sum(duration_ms) OVER {_W} / count(*) OVER {_W}, 6) AS mean_batch_ms
+FROM ({_BATCHES}) b
+"""
+
+ORACLE["batch_time_ema"] = cte("progress_events") + f""",
+b AS (SELECT session_id, duration_ms AS d, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS i,
+        count(*) OVER (PARTITION BY session_id) AS n FROM ({_BATCHES}) x)
+SELECT session_id, CAST(n AS BIGINT) AS batches,
+  round(sum(CASE WHEN i = 1 THEN pow(0.8, n - 1) ELSE (1.0 - 0.8) * pow(0.8, n - i) END * d), 6) AS ema_batch_ms
+FROM b GROUP BY session_id, n
+"""
+
+ORACLE["phase_intervals"] = cte("progress_events") + f""",
+p AS (SELECT session_id, seq, ts, phase,
+        lag(phase) OVER (PARTITION BY session_id ORDER BY ts, seq) AS previous_phase,
+        lead(ts) OVER (PARTITION BY session_id ORDER BY ts, seq) AS next_ts
+      FROM progress_events WHERE type = 'phase_change')
+SELECT session_id, seq, previous_phase, phase, ts AS entered_at, {_ms('ts', 'next_ts')} AS time_spent_ms FROM p
+"""
+
+ORACLE["session_event_stats"] = cte("progress_events") + f""",
+s AS (SELECT session_id,
+  CAST(count(*) FILTER (WHERE type = 'record_processed') AS BIGINT) AS processed,
+  CAST(count(*) FILTER (WHERE type = 'record_processed' AND coalesce(success, false)) AS BIGINT) AS successful,
+  CAST(count(*) FILTER (WHERE type = 'record_processed' AND NOT coalesce(success, false)) AS BIGINT) AS failed,
+  CAST(count(*) FILTER (WHERE type = 'warning_occurred') AS BIGINT) AS warnings,
+  CAST(count(*) FILTER (WHERE type = 'error_occurred') AS BIGINT) AS errors,
+  CAST(count(*) FILTER (WHERE type = 'milestone_reached') AS BIGINT) AS milestones
+  FROM progress_events GROUP BY session_id),
+lp AS (SELECT session_id, phase AS last_phase FROM (
+         SELECT session_id, phase, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC) AS rn
+         FROM progress_events WHERE type = 'phase_change') x WHERE rn = 1)
+SELECT s.*, lp.last_phase, {rate('successful', 'processed')} AS success_rate
+FROM s LEFT JOIN lp ON s.session_id = lp.session_id
+"""
+
+_LATEST_CK = """SELECT session_id, checkpoint_id, ts, status, total, processed FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, checkpoint_id DESC) AS rn FROM checkpoints) x
+WHERE rn = 1"""
+
+ORACLE["latest_checkpoint"] = cte("checkpoints") + _LATEST_CK
+
+ORACLE["checkpoint_retention"] = cte("checkpoints") + """
+SELECT session_id, checkpoint_id, ts, keep_rank FROM (
+  SELECT session_id, checkpoint_id, ts,
+    CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, checkpoint_id DESC) AS BIGINT) AS keep_rank
+  FROM checkpoints) x WHERE keep_rank <= 10
+"""
+
+ORACLE["checkpoints_to_delete"] = cte("checkpoints") + """
+SELECT session_id, checkpoint_id FROM (
+  SELECT session_id, checkpoint_id,
+    row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, checkpoint_id DESC) AS rn FROM checkpoints) x
+WHERE rn > 10
+"""
+
+ORACLE["resumable_checkpoints"] = cte("checkpoints") + f"""
+SELECT * FROM ({_LATEST_CK}) l WHERE status NOT IN ('completed', 'failed') AND processed < total
+"""

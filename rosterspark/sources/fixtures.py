@@ -78,11 +78,20 @@ SELECT o_orderkey AS seq, o_custkey AS contact_id,
 FROM orders
 """
 
+# One checkpoint per order: a customer is a session, its orders are saves.
+CHECKPOINTS_SQL = """
+SELECT o_custkey AS session_id, o_orderkey AS checkpoint_id, o_orderdate AS ts,
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'processing' ELSE 'paused' END AS status,
+  CAST(100 AS BIGINT) AS total, CAST(o_orderkey % 101 AS BIGINT) AS processed
+FROM orders
+"""
+
 FIXTURE_VIEWS = {
     "contacts": (CONTACTS_SQL, ["customer"]),
     "progress_events": (PROGRESS_EVENTS_SQL, ["events"]),
     "sessions": (SESSIONS_SQL, ["orders"]),
     "delivery_attempts": (DELIVERY_ATTEMPTS_SQL, ["orders"]),
+    "checkpoints": (CHECKPOINTS_SQL, ["orders"]),
 }
 
 
@@ -130,6 +139,10 @@ def delivery_attempts(spark, sf_dir):
     return fixture(spark, sf_dir, "delivery_attempts")
 
 
+def checkpoints(spark, sf_dir):
+    return fixture(spark, sf_dir, "checkpoints")
+
+
 def cte(*names: str) -> str:
     """``WITH`` clause that defines the named fixture views for an oracle query."""
     parts = [f"{n} AS ({FIXTURE_VIEWS[n][0].strip()})" for n in names]
