@@ -261,3 +261,115 @@ def checkpoints_to_delete(spark, sf_dir):
 @query("resumable_checkpoints")
 def resumable_checkpoints(spark, sf_dir):
     return S.resumable_checkpoints(fixtures.checkpoints(spark, sf_dir))
+
+
+# --- delivery -----------------------------------------------------------------
+
+from ..operators import delivery as D  # noqa: E402
+
+RATE_PER_S, BURST, DELAY_MS, BATCH = 1.0, 2, 1000, 5
+
+
+def _kept(spark, sf_dir):
+    """Import path: all rows, dup-marked by e-mail (Q2/Q3), duplicates dropped."""
+    m = dedup.mark_duplicates(_validated(spark, sf_dir), "email")
+    return m.filter(~F.col("is_duplicate"))
+
+
+@query("gate_rejects")
+def gate_rejects(spark, sf_dir):
+    _send, rejects = D.gate(_validated(spark, sf_dir))
+    return rejects
+
+
+@query("batch_plan")
+def batch_plan(spark, sf_dir):
+    planned = D.plan_batches(_kept(spark, sf_dir), BATCH)
+    paced = D.pacing(planned, RATE_PER_S, BURST, DELAY_MS)
+    return paced.select("line_number", X.contact_id().alias("contact_id"), "is_valid", "seq", "batch_no",
+                        "pos_in_batch", "planned_offset_ms")
+
+
+@query("duration_estimate")
+def duration_estimate(spark, sf_dir):
+    n = _kept(spark, sf_dir).filter("is_valid").agg(F.count(F.lit(1)).cast("bigint").alias("records"))
+    ms, text = D.estimate_duration(F.col("records"), BATCH, DELAY_MS)
+    return n.select("records", ms.alias("estimate_ms"), text.alias("estimate_text"))
+
+
+@query("attempt_triage")
+def attempt_triage(spark, sf_dir):
+    a = D.number_attempts(fixtures.delivery_attempts(spark, sf_dir))
+    return D.classify_outcome(a, "attempt_no").select(
+        "seq", "contact_id", "attempt_no", "success", "error_code", "retryable", "retry_delay_ms")
+
+
+@query("retry_plan")
+def retry_plan(spark, sf_dir):
+    return D.retry_plan(fixtures.delivery_attempts(spark, sf_dir))
+
+
+@query("final_outcomes")
+def final_outcomes(spark, sf_dir):
+    return D.final_outcomes(fixtures.delivery_attempts(spark, sf_dir))
+
+
+def _import_results(spark, sf_dir):
+    planned = D.plan_batches(_kept(spark, sf_dir), BATCH)
+    fo = D.final_outcomes(fixtures.delivery_attempts(spark, sf_dir)).select(
+        F.col("contact_id").alias("line_number"), F.col("success").alias("_ok"), F.col("error_code").alias("_err"))
+    j = planned.join(fo, "line_number", "left")
+    return j.select(
+        "line_number",
+        X.contact_id().alias("contact_id"),
+        "batch_no",
+        "seq",
+        (F.col("is_valid") & F.coalesce(F.col("_ok"), F.lit(False))).alias("success"),
+        F.when(~F.col("is_valid"), F.lit(K.ERROR_VALIDATION_FAILED)).otherwise(F.col("_err")).alias("error_code"),
+    )
+
+
+@query("import_results")
+def import_results(spark, sf_dir):
+    return _import_results(spark, sf_dir)
+
+
+@query("batch_stats")
+def batch_stats(spark, sf_dir):
+    return D.per_batch_stats(_import_results(spark, sf_dir))
+
+
+@query("batch_totals")
+def batch_totals(spark, sf_dir):
+    return D.combined_batch_stats(_import_results(spark, sf_dir))
+
+
+@query("delivery_run_stats")
+def delivery_run_stats(spark, sf_dir):
+    a = D.classify_outcome(fixtures.delivery_attempts(spark, sf_dir))
+    return D.delivery_run_stats(a)
+
+
+@query("session_counters")
+def session_counters(spark, sf_dir):
+    marked = dedup.mark_duplicates(_validated(spark, sf_dir), "email")
+    fo = D.final_outcomes(fixtures.delivery_attempts(spark, sf_dir))
+    return D.session_counters(D.outcome_of_contacts(marked, fo))
+
+
+@query("resume_remainder")
+def resume_remainder(spark, sf_dir):
+    sendable = _kept(spark, sf_dir).filter("is_valid").select(
+        "line_number", X.contact_id().alias("contact_id"))
+    done = D.final_outcomes(fixtures.delivery_attempts(spark, sf_dir)).filter("success").select(
+        F.col("contact_id").alias("line_number"))
+    return D.remainder_after(sendable, done, "line_number")
+
+
+@query("processed_marks")
+def processed_marks(spark, sf_dir):
+    v = _valid(spark, sf_dir).select("line_number", "email")
+    uniq = dedup.unique_contacts(v, "email").select(F.col("dup_key").alias("contact_id"), "line_number")
+    res = _import_results(spark, sf_dir).withColumn(
+        "message", F.when(F.col("success"), F.lit("Successfully subscribed")).otherwise(F.col("error_code")))
+    return D.with_processed_marks(uniq, res.select("contact_id", "seq", "success", "message"))

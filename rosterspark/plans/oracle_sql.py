@@ -474,3 +474,181 @@ WHERE rn > 10
 ORACLE["resumable_checkpoints"] = cte("checkpoints") + f"""
 SELECT * FROM ({_LATEST_CK}) l WHERE status NOT IN ('completed', 'failed') AND processed < total
 """
+
+# --- delivery -----------------------------------------------------------------
+
+_KEPT = VALIDATED + _marked("email", "v") + """,
+kept AS (SELECT v.*, mk.dup_key FROM v JOIN mk ON v.line_number = mk.line_number WHERE coalesce(mk.dup_number, 1) = 1),
+plan AS (SELECT kept.*, CAST(row_number() OVER (ORDER BY line_number) AS BIGINT) AS seq FROM kept)
+"""
+_CID = f"CASE WHEN NOT {miss('email')} THEN {js_trim('lower(email)')} END"
+
+ORACLE["gate_rejects"] = VALIDATED + f""",
+e AS (SELECT line_number, string_agg(message, ', ' ORDER BY r) AS m FROM fnd WHERE severity = 'error' GROUP BY line_number)
+SELECT v.line_number, {_CID.replace('email', 'v.email')} AS contact_id, false AS success,
+  'validation_failed' AS error_code, 'Subscriber validation failed: ' || coalesce(e.m, '') AS message
+FROM v LEFT JOIN e ON v.line_number = e.line_number WHERE NOT v.is_valid
+"""
+
+ORACLE["batch_plan"] = _KEPT + f"""
+SELECT line_number, {_CID} AS contact_id, is_valid, seq,
+  CAST(floor((seq - 1) / 5) + 1 AS BIGINT) AS batch_no, CAST((seq - 1) % 5 + 1 AS BIGINT) AS pos_in_batch,
+  CAST(ceil(greatest(greatest(CAST(0 AS DOUBLE), CAST(seq - 2 AS DOUBLE) / 1.0) * 1000,
+                     CAST((floor((seq - 1) / 5)) * 1000 AS DOUBLE))) AS BIGINT) AS planned_offset_ms
+FROM plan
+"""
+
+ORACLE["duration_estimate"] = _KEPT + """,
+n AS (SELECT CAST(count(*) AS BIGINT) AS records FROM kept WHERE is_valid),
+e AS (SELECT records, CAST(ceil(records / 5) * 1500 AS BIGINT) AS estimate_ms FROM n)
+SELECT records, estimate_ms,
+  CASE WHEN floor(estimate_ms / 60000) > 0
+       THEN CAST(CAST(floor(estimate_ms / 60000) AS BIGINT) AS VARCHAR) || 'm ' ||
+            CAST(CAST(floor((estimate_ms % 60000) / 1000) AS BIGINT) AS VARCHAR) || 's'
+       ELSE CAST(CAST(floor((estimate_ms % 60000) / 1000) AS BIGINT) AS VARCHAR) || 's' END AS estimate_text
+FROM e
+"""
+
+_TRIAGE = cte("delivery_attempts") + """,
+an AS (SELECT *, CAST(row_number() OVER (PARTITION BY contact_id ORDER BY attempted_at, seq) AS BIGINT) AS attempt_no
+       FROM delivery_attempts),
+tr AS (SELECT *,
+  CASE WHEN network_code = 'ETIMEDOUT' THEN 'TIMEOUT_ERROR' WHEN network_code IS NOT NULL THEN 'NETWORK_ERROR'
+       WHEN http_status IN (401, 403) THEN 'AUTH_ERROR' WHEN http_status = 429 THEN 'RATE_LIMIT_ERROR'
+       WHEN http_status IS NULL OR NOT (http_status BETWEEN 200 AND 299) THEN 'API_ERROR' END AS error_code
+  FROM an),
+tr2 AS (SELECT *, error_code IS NULL AS success,
+  CASE WHEN error_code IS NULL THEN false
+       WHEN error_code IN ('TIMEOUT_ERROR', 'NETWORK_ERROR', 'RATE_LIMIT_ERROR') THEN true
+       WHEN error_code = 'API_ERROR' THEN coalesce(http_status IN (500, 502, 503, 504), false) ELSE false END AS retryable,
+  CAST(CASE WHEN error_code IS NULL THEN NULL
+       WHEN error_code = 'RATE_LIMIT_ERROR' THEN coalesce(retry_after_s * 1000, 5000)
+       WHEN error_code = 'TIMEOUT_ERROR' THEN 3000 WHEN error_code = 'NETWORK_ERROR' THEN 2000
+       WHEN error_code = 'API_ERROR' AND http_status IN (500, 502, 503, 504) THEN 2000
+       WHEN error_code = 'API_ERROR' THEN 1000
+       ELSE least(1000 * pow(2, attempt_no), 10000) END AS BIGINT) AS retry_delay_ms
+  FROM tr)
+"""
+
+ORACLE["attempt_triage"] = _TRIAGE + """
+SELECT seq, contact_id, attempt_no, success, error_code, retryable, retry_delay_ms FROM tr2
+"""
+
+ORACLE["retry_plan"] = _TRIAGE + """
+SELECT seq, contact_id, attempt_no, error_code, (NOT success AND retryable AND attempt_no < 3) AS will_retry,
+  CASE WHEN NOT success AND retryable AND attempt_no < 3 THEN retry_delay_ms END AS retry_delay_ms,
+  CASE WHEN NOT success AND retryable AND attempt_no < 3 THEN attempted_at + to_milliseconds(retry_delay_ms) END
+    AS next_attempt_at
+FROM tr2
+"""
+
+_FINAL = """,
+fo AS (SELECT contact_id, seq, attempt_no, success, error_code, attempted_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY attempted_at DESC, seq DESC) AS rn FROM tr2) x
+  WHERE rn = 1)
+"""
+
+ORACLE["final_outcomes"] = _TRIAGE + _FINAL + "SELECT * FROM fo"
+
+_TRIAGE_TAIL = _TRIAGE.replace(cte("delivery_attempts"), "")
+
+_IMPORT = _KEPT.replace(cte("contacts"), cte("contacts", "delivery_attempts")) + _TRIAGE_TAIL + _FINAL + """,
+res AS (SELECT plan.*, CAST(floor((plan.seq - 1) / 5) + 1 AS BIGINT) AS batch_no,
+         (plan.is_valid AND coalesce(fo.success, false)) AS r_success,
+         CASE WHEN NOT plan.is_valid THEN 'validation_failed' ELSE fo.error_code END AS r_error
+       FROM plan LEFT JOIN fo ON plan.line_number = fo.contact_id)
+"""
+
+ORACLE["import_results"] = _IMPORT + f"""
+SELECT line_number, {_CID} AS contact_id, batch_no, seq, r_success AS success, r_error AS error_code FROM res
+"""
+
+ORACLE["batch_stats"] = _IMPORT + f""",
+b AS (SELECT batch_no, count(*) AS total, count(*) FILTER (WHERE r_success) AS successful,
+        count(*) FILTER (WHERE NOT r_success) AS failed,
+        count(*) FILTER (WHERE r_error = 'validation_failed') AS validation_failed,
+        count(*) FILTER (WHERE coalesce(r_error, '') <> 'validation_failed') AS processed
+      FROM res GROUP BY batch_no)
+SELECT batch_no, CAST(total AS BIGINT) AS total, CAST(successful AS BIGINT) AS successful,
+  CAST(failed AS BIGINT) AS failed, CAST(validation_failed AS BIGINT) AS validation_failed,
+  CAST(processed AS BIGINT) AS processed, {rate('successful', 'total')} AS success_rate
+FROM b
+"""
+
+ORACLE["batch_totals"] = _IMPORT + f""",
+t AS (SELECT count(DISTINCT batch_no) AS total_batches, count(*) AS total_requests,
+        count(*) FILTER (WHERE r_success) AS successful, count(*) FILTER (WHERE NOT r_success) AS failed FROM res)
+SELECT CAST(total_batches AS BIGINT) AS total_batches, CAST(total_requests AS BIGINT) AS total_requests,
+  CAST(successful AS BIGINT) AS successful, CAST(failed AS BIGINT) AS failed,
+  {rate('successful', 'total_requests')} AS success_rate
+FROM t
+"""
+
+ORACLE["delivery_run_stats"] = _TRIAGE + f""",
+s AS (SELECT count(*) AS t, count(*) FILTER (WHERE success) AS ok, count(*) FILTER (WHERE NOT success) AS bad,
+        max(attempted_at) AS last_operation_at FROM tr2)
+SELECT CAST(t AS BIGINT) AS total_operations, CAST(ok AS BIGINT) AS successful_operations,
+  CAST(bad AS BIGINT) AS failed_operations, last_operation_at, {rate('ok', 't')} AS success_rate FROM s
+"""
+
+_OUTCOMES = VALIDATED.replace(cte("contacts"), cte("contacts", "delivery_attempts")) + _marked("email", "v") + \
+    _TRIAGE_TAIL + _FINAL + """,
+oc AS (SELECT v.line_number,
+         CASE WHEN NOT v.is_valid AND EXISTS (SELECT 1 FROM fnd WHERE fnd.line_number = v.line_number
+                                               AND fnd.code IN ('MISSING_EMAIL', 'INVALID_EMAIL_FORMAT'))
+              THEN 'invalid_email'
+              WHEN NOT v.is_valid THEN 'validation_failed'
+              WHEN mk.dup_number > 1 THEN 'duplicate' END AS skip_reason,
+         fo.success AS ok, fo.error_code AS err
+       FROM v JOIN mk ON v.line_number = mk.line_number LEFT JOIN fo ON v.line_number = fo.contact_id),
+oc2 AS (SELECT *,
+  CASE WHEN skip_reason IN ('invalid_email', 'duplicate', 'missing_phone') THEN 'skipped'
+       WHEN skip_reason IS NOT NULL THEN 'failed' WHEN ok IS NULL THEN 'not_sent'
+       WHEN ok THEN 'successful' ELSE 'failed' END AS status,
+  CASE WHEN skip_reason = 'validation_failed' THEN 'validation_failed'
+       WHEN skip_reason IS NULL AND NOT coalesce(ok, true) THEN err END AS error_code
+  FROM oc)
+"""
+
+ORACLE["session_counters"] = _OUTCOMES + f""",
+s AS (SELECT count(*) AS total_records, count(*) FILTER (WHERE status = 'successful') AS successful_records,
+  count(*) FILTER (WHERE status = 'failed') AS failed_records, count(*) FILTER (WHERE status = 'skipped') AS skipped_records,
+  count(*) FILTER (WHERE skip_reason = 'duplicate') AS duplicates_found,
+  count(*) FILTER (WHERE skip_reason = 'invalid_email') AS invalid_emails,
+  count(*) FILTER (WHERE skip_reason = 'missing_phone') AS missing_phones,
+  count(*) FILTER (WHERE error_code = 'validation_failed') AS validation_errors,
+  count(*) FILTER (WHERE error_code = 'API_ERROR') AS api_errors,
+  count(*) FILTER (WHERE error_code = 'NETWORK_ERROR') AS network_errors,
+  count(*) FILTER (WHERE status = 'failed' AND error_code NOT IN ('validation_failed', 'API_ERROR', 'NETWORK_ERROR'))
+    AS other_errors
+  FROM oc2)
+SELECT CAST(total_records AS BIGINT) AS total_records, CAST(successful_records AS BIGINT) AS successful_records,
+  CAST(failed_records AS BIGINT) AS failed_records, CAST(skipped_records AS BIGINT) AS skipped_records,
+  CAST(duplicates_found AS BIGINT) AS duplicates_found, CAST(invalid_emails AS BIGINT) AS invalid_emails,
+  CAST(missing_phones AS BIGINT) AS missing_phones, CAST(validation_errors AS BIGINT) AS validation_errors,
+  CAST(api_errors AS BIGINT) AS api_errors, CAST(network_errors AS BIGINT) AS network_errors,
+  CAST(other_errors AS BIGINT) AS other_errors,
+  CAST(successful_records + failed_records + skipped_records AS BIGINT) AS processed_records,
+  {rate('successful_records', 'total_records')} AS success_rate
+FROM s
+"""
+
+ORACLE["resume_remainder"] = _KEPT.replace(cte("contacts"), cte("contacts", "delivery_attempts")) + \
+    _TRIAGE_TAIL + _FINAL + f"""
+SELECT line_number, {_CID} AS contact_id FROM kept
+WHERE is_valid AND line_number NOT IN (SELECT contact_id FROM fo WHERE success)
+"""
+
+ORACLE["processed_marks"] = _IMPORT + f""",
+uq AS (SELECT mk2.dup_key AS contact_id, mk2.line_number FROM (
+         SELECT line_number, {lower_trim('email')} AS dup_key,
+                row_number() OVER (PARTITION BY {lower_trim('email')} ORDER BY line_number) AS rn
+         FROM v WHERE is_valid) mk2 WHERE rn = 1),
+rr AS (SELECT {_CID} AS contact_id, seq, r_success AS success,
+         CASE WHEN r_success THEN 'Successfully subscribed' ELSE r_error END AS message FROM res),
+last AS (SELECT contact_id, success, message FROM (
+         SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY seq DESC) AS rn FROM rr) x WHERE rn = 1)
+SELECT uq.contact_id, uq.line_number, last.contact_id IS NOT NULL AS processed, last.success, last.message,
+  (last.contact_id IS NOT NULL AND coalesce(last.success, false)) AS was_successful
+FROM uq LEFT JOIN last ON uq.contact_id = last.contact_id
+"""
