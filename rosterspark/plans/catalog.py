@@ -373,3 +373,25 @@ def processed_marks(spark, sf_dir):
     res = _import_results(spark, sf_dir).withColumn(
         "message", F.when(F.col("success"), F.lit("Successfully subscribed")).otherwise(F.col("error_code")))
     return D.with_processed_marks(uniq, res.select("contact_id", "seq", "success", "message"))
+
+
+# --- triage -------------------------------------------------------------------
+
+from ..operators import triage as G  # noqa: E402
+
+
+@query("error_categories")
+def error_categories(spark, sf_dir):
+    _send, rejects = D.gate(_validated(spark, sf_dir))
+    gate_errors = rejects.select(F.lit("Error").alias("error_name"), F.col("message").alias("error_message"))
+    a = D.classify_outcome(fixtures.delivery_attempts(spark, sf_dir)).filter(~F.col("success"))
+    name, msg = G.error_name_message(F.col("error_code"), F.col("retry_after_s"))
+    api_errors = a.select(name.alias("error_name"), msg.alias("error_message"))
+    return G.categorize_errors(gate_errors.unionByName(api_errors))
+
+
+@query("quality_issues")
+def quality_issues(spark, sf_dir):
+    f = rules.explode_findings(_validated(spark, sf_dir))
+    issues = f.select(F.col("message").alias("issue"), G.finding_severity(F.col("severity")).alias("severity"))
+    return G.quality_issues(issues)

@@ -652,3 +652,28 @@ SELECT uq.contact_id, uq.line_number, last.contact_id IS NOT NULL AS processed,
   (last.contact_id IS NOT NULL AND coalesce(last.success, false)) AS was_successful
 FROM uq LEFT JOIN last ON uq.contact_id = last.contact_id
 """
+
+
+# --- triage -------------------------------------------------------------------
+
+ORACLE["error_categories"] = VALIDATED.replace(cte("contacts"), cte("contacts", "delivery_attempts")) + \
+    _TRIAGE_TAIL + """,
+ge AS (SELECT 'Error' AS error_name, 'Subscriber validation failed: ' || coalesce(string_agg(message, ', ' ORDER BY r), '')
+         AS error_message FROM v LEFT JOIN fnd ON v.line_number = fnd.line_number AND fnd.severity = 'error'
+       WHERE NOT v.is_valid GROUP BY v.line_number),
+ae AS (SELECT CASE WHEN error_code = 'AUTH_ERROR' THEN 'AuthenticationError' WHEN error_code = 'RATE_LIMIT_ERROR' THEN 'RateLimitError' WHEN error_code = 'API_ERROR' THEN 'ApiError' WHEN error_code = 'TIMEOUT_ERROR' THEN 'TimeoutError' WHEN error_code = 'NETWORK_ERROR' THEN 'NetworkError' WHEN error_code = 'GRAPHQL_ERROR' THEN 'GraphQLError' END AS error_name,
+         CASE WHEN error_code = 'AUTH_ERROR' THEN 'Authentication failed: HTTP request failed' WHEN error_code = 'RATE_LIMIT_ERROR' THEN CASE WHEN retry_after_s IS NOT NULL THEN 'Rate limit exceeded. Retry after ' || CAST(retry_after_s AS VARCHAR) || ' seconds' ELSE 'Rate limit exceeded' END WHEN error_code = 'API_ERROR' THEN 'HTTP request failed' WHEN error_code = 'TIMEOUT_ERROR' THEN 'Operation ''network_request'' timed out after 0ms' WHEN error_code = 'NETWORK_ERROR' THEN 'Network error: Connection refused' WHEN error_code = 'GRAPHQL_ERROR' THEN 'GraphQL error' END AS error_message FROM tr2 WHERE NOT success),
+al AS (SELECT * FROM ge UNION ALL SELECT * FROM ae),
+cat AS (SELECT CASE WHEN contains(coalesce(error_name, ''), 'Validation') OR contains(coalesce(error_message, ''), 'validation') THEN 'validation_error' WHEN contains(coalesce(error_name, ''), 'Network') OR contains(coalesce(error_message, ''), 'network') THEN 'network_error' WHEN contains(coalesce(error_name, ''), 'Auth') OR contains(coalesce(error_message, ''), 'authentication') THEN 'authentication_error' WHEN contains(coalesce(error_name, ''), 'Rate') OR contains(coalesce(error_message, ''), 'rate limit') THEN 'rate_limit_error' ELSE 'unknown_error' END AS category FROM al)
+SELECT category, CAST(count(*) AS BIGINT) AS errors,
+  CASE category WHEN 'validation_error' THEN 'Review input data format and validation rules' WHEN 'network_error' THEN 'Check network connectivity and retry with backoff' WHEN 'authentication_error' THEN 'Verify API credentials and token validity' WHEN 'rate_limit_error' THEN 'Reduce request rate and implement proper throttling' WHEN 'unknown_error' THEN 'Review error details and contact support if needed' ELSE 'Review error details and contact support if needed' END AS suggestion
+FROM cat GROUP BY category
+"""
+
+ORACLE["quality_issues"] = VALIDATED + """,
+iss AS (SELECT message AS issue, CASE WHEN severity = 'error' THEN 'high' ELSE 'medium' END AS severity FROM fnd),
+g AS (SELECT issue, severity, CAST(count(*) AS BIGINT) AS occurrences FROM iss GROUP BY issue, severity)
+SELECT issue, severity, occurrences, CASE severity WHEN 'low' THEN 'debug' WHEN 'medium' THEN 'warn' WHEN 'high' THEN 'error' WHEN 'critical' THEN 'error' ELSE 'warn' END AS level,
+  array_to_string(CASE WHEN contains(issue, 'email') THEN ['Validate email format before processing', 'Consider implementing fuzzy matching for typos'] ELSE [] END || CASE WHEN contains(issue, 'phone') THEN ['Standardize phone number format', 'Allow international number formats'] ELSE [] END || CASE WHEN contains(issue, 'duplicate') THEN ['Implement deduplication strategy', 'Consider merge rules for duplicate data'] ELSE [] END || CASE WHEN severity = 'critical' THEN ['Stop processing and review data source'] ELSE [] END, '; ') AS recommendations
+FROM g
+"""
