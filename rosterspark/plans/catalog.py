@@ -395,3 +395,32 @@ def quality_issues(spark, sf_dir):
     f = rules.explode_findings(_validated(spark, sf_dir))
     issues = f.select(F.col("message").alias("issue"), G.finding_severity(F.col("severity")).alias("severity"))
     return G.quality_issues(issues)
+
+
+# --- file sources -------------------------------------------------------------
+
+import uuid as _uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+
+
+@query("csv_contacts")
+def csv_contacts(spark, sf_dir):
+    """Contacts written as multi-file CSV by Spark, read back and numbered."""
+    c = fixtures.contacts(spark, sf_dir)
+    path = scratch_path(spark, f"contacts-csv-{_uuid.uuid4().hex[:12]}")
+    ordered = c.repartitionByRange(4, "line_number").sortWithinPartitions("line_number").drop("line_number")
+    FS.write_contacts(ordered, path)
+    contacts, _quarantine, _check = FS.read_contacts(spark, path)
+    return contacts
+
+
+@query("csv_quarantine")
+def csv_quarantine(spark, sf_dir):
+    c = fixtures.contacts(spark, sf_dir)
+    path = scratch_path(spark, f"contacts-csv-{_uuid.uuid4().hex[:12]}")
+    ordered = c.repartitionByRange(4, "line_number").sortWithinPartitions("line_number").drop("line_number")
+    FS.write_contacts(ordered, path)
+    _contacts, quarantine, _check = FS.read_contacts(spark, path)
+    return quarantine

@@ -677,3 +677,16 @@ SELECT issue, severity, occurrences, CASE severity WHEN 'low' THEN 'debug' WHEN
   array_to_string(CASE WHEN contains(issue, 'email') THEN ['Validate email format before processing', 'Consider implementing fuzzy matching for typos'] ELSE [] END || CASE WHEN contains(issue, 'phone') THEN ['Standardize phone number format', 'Allow international number formats'] ELSE [] END || CASE WHEN contains(issue, 'duplicate') THEN ['Implement deduplication strategy', 'Consider merge rules for duplicate data'] ELSE [] END || CASE WHEN severity = 'critical' THEN ['Stop processing and review data source'] ELSE [] END, '; ') AS recommendations
 FROM g
 """
+
+# --- file sources -------------------------------------------------------------
+
+_BLANK_ROW = " AND ".join(f"({c} IS NULL OR {js_trim(c)} = '')" for c in ("email", "first_name", "last_name", "phone_number"))
+
+ORACLE["csv_contacts"] = cte("contacts") + f"""
+SELECT CAST(line_number + 1 AS BIGINT) AS line_number, email, first_name, last_name, phone_number
+FROM contacts WHERE NOT ({_BLANK_ROW})
+"""
+
+ORACLE["csv_quarantine"] = cte("contacts") + f"""
+SELECT CAST(line_number + 1 AS BIGINT) AS line_number, 'Empty row' AS error FROM contacts WHERE {_BLANK_ROW}
+"""
