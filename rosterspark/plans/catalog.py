@@ -424,3 +424,23 @@ def csv_quarantine(spark, sf_dir):
     FS.write_contacts(ordered, path)
     _contacts, quarantine, _check = FS.read_contacts(spark, path)
     return quarantine
+
+
+# --- near duplicates ----------------------------------------------------------
+
+from ..operators import fuzzy as Z  # noqa: E402
+
+
+def _near(threshold):
+    def run(spark, sf_dir):
+        v = _valid(spark, sf_dir).select("line_number", "email")
+        uniq = dedup.unique_contacts(v, "email").select("line_number", "email")
+        r = Z.find_potential_duplicates(uniq, uniq, threshold)
+        return r.select(F.col("probe_id").alias("probe_line"), F.col("match_id").alias("match_line"),
+                        "similarity", "reason", "rank")
+
+    return run
+
+
+QUERIES["potential_duplicates"] = _near(0.9)
+QUERIES["potential_duplicates_08"] = _near(0.8)

@@ -690,3 +690,21 @@ FROM contacts WHERE NOT ({_BLANK_ROW})
 ORACLE["csv_quarantine"] = cte("contacts") + f"""
 SELECT CAST(line_number + 1 AS BIGINT) AS line_number, 'Empty row' AS error FROM contacts WHERE {_BLANK_ROW}
 """
+
+# --- near duplicates (brute force on the oracle side) ---------------------------
+
+
+def _near_sql(t: float) -> str:
+    return VALIDATED + _marked("email") + f""",
+u AS (SELECT v.line_number, lower(v.email) AS e FROM v JOIN mk ON v.line_number = mk.line_number WHERE mk.dup_number = 1),
+p AS (SELECT a.line_number AS probe_line, b.line_number AS match_line,
+        CAST(greatest(length(a.e), length(b.e)) - levenshtein(a.e, b.e) AS DOUBLE) / greatest(length(a.e), length(b.e)) AS sim
+      FROM u a, u b WHERE a.line_number <> b.line_number)
+SELECT probe_line, match_line, round(sim, 6) AS similarity, 'email_similarity' AS reason,
+  CAST(row_number() OVER (PARTITION BY probe_line ORDER BY sim DESC, match_line) AS BIGINT) AS rank
+FROM p WHERE sim >= {t} AND sim < 1.0
+"""
+
+
+ORACLE["potential_duplicates"] = _near_sql(0.9)
+ORACLE["potential_duplicates_08"] = _near_sql(0.8)
