@@ -444,3 +444,54 @@ def _near(threshold):
 
 QUERIES["potential_duplicates"] = _near(0.9)
 QUERIES["potential_duplicates_08"] = _near(0.8)
+
+
+# --- streaming (run to completion with availableNow, compared with the batch oracle) ----
+
+from ..streaming import jobs as R  # noqa: E402
+
+
+def _ordered_parts(df, path, parts=4):
+    df.repartitionByRange(parts, "line_number").sortWithinPartitions("line_number").write.mode("append").parquet(path)
+
+
+@query("stream_validate")
+def stream_validate(spark, sf_dir):
+    """Validation findings of a contact file stream (one file per micro-batch)."""
+    c = fixtures.contacts(spark, sf_dir)
+    base = scratch_path(spark, f"stream-validate-{_uuid.uuid4().hex[:12]}")
+    _ordered_parts(c, f"{base}/in")
+    stream = R.file_stream(spark, f"{base}/in", c.schema, "parquet", max_files_per_trigger=1)
+    R.run_available_now(rules.explode_findings(R.stream_validate(stream)), f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_dedup")
+def stream_dedup(spark, sf_dir):
+    """R2: e-mail duplicates of valid contacts arriving in two runs of one checkpointed query."""
+    valid = _valid(spark, sf_dir).select("line_number", "email", "first_name", "last_name", "phone_number")
+    base = scratch_path(spark, f"stream-dedup-{_uuid.uuid4().hex[:12]}")
+    bounds = valid.agg(F.min("line_number").alias("lo"), F.max("line_number").alias("hi")).first()
+    mid = (bounds["lo"] + bounds["hi"]) // 2 if bounds["lo"] is not None else 0
+    for part in (valid.filter(F.col("line_number") <= mid), valid.filter(F.col("line_number") > mid)):
+        _ordered_parts(part, f"{base}/in", 2)
+        # one micro-batch per run: the file source orders files by modification time, not name
+        stream = R.file_stream(spark, f"{base}/in", valid.schema, "parquet")
+        R.run_available_now(R.stream_dedup(stream, "email"), f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_progress")
+def stream_progress(spark, sf_dir):
+    """Per-session counters of a progress-event stream (complete mode, last result kept)."""
+    ev = fixtures.progress_events(spark, sf_dir)
+    base = scratch_path(spark, f"stream-progress-{_uuid.uuid4().hex[:12]}")
+    ev.repartitionByRange(4, "seq").write.parquet(f"{base}/in")
+    stream = R.file_stream(spark, f"{base}/in", ev.schema, "parquet", max_files_per_trigger=2)
+
+    def keep(df, batch_id):
+        df.write.mode("overwrite").parquet(f"{base}/out/v={batch_id}")
+
+    q = R.run_available_now(R.stream_progress(stream), None, f"{base}/ckpt", "complete", foreach_batch=keep)
+    last = max(p["batchId"] for p in q.recentProgress)
+    return spark.read.parquet(f"{base}/out/v={last}")

@@ -708,3 +708,9 @@ FROM p WHERE sim >= {t} AND sim < 1.0
 
 ORACLE["potential_duplicates"] = _near_sql(0.9)
 ORACLE["potential_duplicates_08"] = _near_sql(0.8)
+
+# --- streaming: same answers as the batch queries -------------------------------
+
+ORACLE["stream_validate"] = ORACLE["validation_findings"]
+ORACLE["stream_dedup"] = ORACLE["dup_email"]
+ORACLE["stream_progress"] = ORACLE["session_event_stats"]
