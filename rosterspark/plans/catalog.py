@@ -495,3 +495,29 @@ def stream_progress(spark, sf_dir):
     q = R.run_available_now(R.stream_progress(stream), None, f"{base}/ckpt", "complete", foreach_batch=keep)
     last = max(p["batchId"] for p in q.recentProgress)
     return spark.read.parquet(f"{base}/out/v={last}")
+
+
+# --- end-to-end jobs ------------------------------------------------------------
+
+from . import jobs as J  # noqa: E402
+
+
+@query("import_dry_run")
+def import_dry_run(spark, sf_dir):
+    """X8 dry run: the plan an import would send (same rows as ``batch_plan``)."""
+    run = J.import_contacts(fixtures.contacts(spark, sf_dir), "dry-run", dry_run=True)
+    return run.planned.select("line_number", "contact_id", "is_valid", "seq", "batch_no", "pos_in_batch",
+                              "planned_offset_ms")
+
+
+def _no_wait(_seconds):
+    return None
+
+
+@query("delivery_stub")
+def delivery_stub(spark, sf_dir):
+    """X3/X6/X7 with the deterministic stub sender (no endpoint, so no pacing waits)."""
+    ledger = scratch_path(spark, f"ledger-{_uuid.uuid4().hex[:12]}")
+    run = J.import_contacts(fixtures.contacts(spark, sf_dir), "stub-run", sender=J.stub_sender, ledger_path=ledger,
+                            rate_per_s=1e6, burst=1000, delay_ms=0, concurrency=4, sleep=_no_wait)
+    return run.results.select("session_id", "contact_id", "batch_no", "seq", "success", "error_code", "attempts")

@@ -714,3 +714,5 @@ ORACLE["potential_duplicates_08"] = _near_sql(0.8)
 ORACLE["stream_validate"] = ORACLE["validation_findings"]
 ORACLE["stream_dedup"] = ORACLE["dup_email"]
 ORACLE["stream_progress"] = ORACLE["session_event_stats"]
+
+ORACLE["import_dry_run"] = ORACLE["batch_plan"]
