@@ -396,6 +396,9 @@ def deliver(
     Results are written once and read back, never recomputed.
     """
     spark = to_send.sparkSession
+    from ..session import ship_package
+
+    ship_package(spark)
     remainder = resume_remainder(to_send, spark, ledger_path, session_id)
     if "payload" not in remainder.columns:
         remainder = remainder.withColumn("payload", delivery_payload())

@@ -212,6 +212,10 @@ def validate(df: DataFrame, rules=None, registry: RuleRegistry | None = None, st
     """
     registry = registry or RuleRegistry(required_fields=required_fields)
     selected = registry.select(rules)
+    if any(getattr(r, "is_python", False) for r in selected):
+        from ..session import ship_package
+
+        ship_package(df.sparkSession)
     type_rules = _type_rules(df)
     if type_rules:
         # a type error replaces the format checks of that field
@@ -324,6 +328,8 @@ def python_rule(name: str, fn: Callable, columns, severity=ERROR, fld="validatio
         return _run(*[F.col(c) for c in cols])
 
     class _PyRule(Rule):
+        is_python = True
+
         def finding(self_inner) -> Column:
             r = _res()
             return (

@@ -77,3 +77,31 @@ def materialize(df, name: str):
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rosterspark`` importable in Python workers (once per SparkContext).
+
+    Operators that run Python on executors (pandas UDF rules, delivery,
+    stateful streaming) call this; it zips the package and ``addPyFile``s it,
+    the usual way code reaches executors on a cluster.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="rosterspark-pkg-"), "rosterspark.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("rosterspark", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

@@ -66,6 +66,9 @@ def stream_dedup(contacts: DataFrame, strategy="email", order_col: str = "line_n
     the number of distinct keys; a duplicate arriving after its key's state
     was removed counts as new.
     """
+    from ..session import ship_package
+
+    ship_package(contacts.sparkSession)
     keyed = DD.with_dup_key(contacts, strategy)
     blank = DD._blank(F.col("dup_key"))
     cols = list(dict.fromkeys(list(keep_cols) + [order_col]))
@@ -131,13 +134,16 @@ def stream_contacts(spark: SparkSession, directory: str, schema: T.StructType, s
         options.setdefault("header", True)
     stream = file_stream(spark, directory, schema, fmt, max_files_per_trigger=batch_size, **options)
 
+    counts = []
+
     def each(df, batch_id):
-        if not df.isEmpty():
-            sink(df, batch_id + 1)
+        n = df.count()  # one small action per micro-batch; the totals reported at the end
+        if n:
+            counts.append(n)
+            sink(df, len(counts))
 
-    q = run_available_now(stream, None, checkpoint, foreach_batch=each)
-    rows = sum(p.get("numInputRows", 0) for p in (x for x in q.recentProgress))
-    batches = sum(1 for p in q.recentProgress if p.get("numInputRows", 0) > 0)
+    run_available_now(stream, None, checkpoint, foreach_batch=each)
+    batches, rows = len(counts), sum(counts)
     return batches, rows
 
 

@@ -7,6 +7,9 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+TESTS = os.path.dirname(os.path.abspath(__file__))
+# Python workers must import functions defined in test modules
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, TESTS, os.environ.get("PYTHONPATH", "")])
 warnings.filterwarnings("ignore", category=FutureWarning)
 
 SF001 = "/root/testdata/sf0.001"
