@@ -9,11 +9,15 @@ unchanged in ``r`` at a shift ``d`` with ``|d| + |(m - n) - d| <= tau``.  Both
 sides are exploded into ``(n, m, segment, text)`` keys and equi-joined; every
 candidate is then checked with the exact, bounded ``levenshtein(a, b, tau)``.
 
-Skew: a popular domain makes some segment keys very common.  Keys with more
-than ``hot_rows`` index entries (at most ``max_hot_keys`` of them, so the
-broadcast list is bounded) are salted: their index rows are spread over
-``salt`` buckets and the matching probe rows are replicated to each bucket.
-Nothing is dropped; the hot keys are reported by ``segment_key_report``.
+Skew: a popular domain makes some segment keys very common, and joining on
+such a key alone would pair every same-length address of that domain.  Keys
+with more than ``hot_rows`` index entries (at most ``max_hot_keys`` of them, so
+the broadcast list is bounded) get another level: the shared segment is cut
+out of both strings and the remainders are joined with the same segment
+scheme, keyed by the first-level key as well (exact, see ``_candidates``),
+repeated for a few levels.  Keys still hot at the last level are salted: their index rows are spread over
+``salt`` buckets and the matching probe rows replicated to each bucket.
+Nothing is dropped; ``segment_key_report`` lists the hot keys.
 """
 
 from __future__ import annotations
@@ -70,10 +74,12 @@ def _index_rows(strings: DataFrame, t: float) -> DataFrame:
     d = d.withColumn("m", F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / F.lit(t) + F.lit(EPS)).cast("int"))))
     d = d.withColumn("tau", _tau(F.col("m"), t))
     short = d.filter(F.col("n") < F.col("tau") + 1).select(
-        "s", "n", "m", F.lit(-1).alias("seg_no"), F.lit("").alias("seg"))
+        "s", "n", "m", "tau", F.lit(-1).alias("seg_no"), F.lit("").alias("seg"), F.lit(0).alias("cut"),
+        F.lit(0).alias("cut_len"))
     long_ = d.filter(F.col("n") >= F.col("tau") + 1).withColumn("seg_no", F.explode(F.sequence(F.lit(0), F.col("tau"))))
     start, length = _segments(F.col("n"), F.col("tau"))
-    long_ = long_.select("s", "n", "m", "seg_no", F.substring("s", start + 1, length).alias("seg"))
+    long_ = long_.select("s", "n", "m", "tau", "seg_no", F.substring("s", start + 1, length).alias("seg"),
+                         start.alias("cut"), length.alias("cut_len"))
     return long_.unionByName(short)
 
 
@@ -85,7 +91,8 @@ def _probe_rows(strings: DataFrame, t: float) -> DataFrame:
     # keep only n whose own bound admits m (the index side used the same rule)
     d = d.filter(F.col("m") <= F.floor(F.col("n") / F.lit(t) + F.lit(EPS)))
     short = d.filter(F.col("n") < F.col("tau") + 1).select(
-        "r", "n", "m", F.lit(-1).alias("seg_no"), F.lit("").alias("seg"))
+        "r", "n", "m", "tau", F.lit(-1).alias("seg_no"), F.lit("").alias("seg"), F.lit(0).alias("cut"),
+        F.lit(0).alias("cut_len"))
     long_ = d.filter(F.col("n") >= F.col("tau") + 1).withColumn("seg_no", F.explode(F.sequence(F.lit(0), F.col("tau"))))
     start, length = _segments(F.col("n"), F.col("tau"))
     delta = F.col("m") - F.col("n")
@@ -95,7 +102,8 @@ def _probe_rows(strings: DataFrame, t: float) -> DataFrame:
         "d", F.explode(F.sequence(lo, hi)))
     pos = F.col("_start") + F.col("d")
     long_ = long_.filter((pos >= 0) & (pos + F.col("_len") <= F.col("m"))).select(
-        "r", "n", "m", "seg_no", F.substring("r", pos + 1, F.col("_len")).alias("seg"))
+        "r", "n", "m", "tau", "seg_no", F.substring("r", pos + 1, F.col("_len")).alias("seg"),
+        pos.alias("cut"), F.col("_len").alias("cut_len"))
     return long_.unionByName(short)
 
 
@@ -107,41 +115,152 @@ def segment_key_report(index: DataFrame, hot_rows: int) -> DataFrame:
     return index.groupBy(*KEY).agg(F.count(F.lit(1)).alias("entries")).filter(F.col("entries") > hot_rows)
 
 
+def _cut(col: str, start: str, length: str) -> Column:
+    """The string with ``length`` characters at 0-based ``start`` removed."""
+    c = F.col(col)
+    return F.concat(F.substring(c, 1, F.col(start)), F.substring(c, F.col(start) + F.col(length) + 1, 1 << 30))
+
+
+SEP = "\u0001"
+
+
+def _next_index(rows: DataFrame) -> DataFrame:
+    """Re-segment the remainder ``rest`` of index strings; the key grows by the new segment."""
+    d = rows.select("s", "tau", "k", "rest").withColumn("n2", F.length("rest"))
+    short = d.filter(F.col("n2") < F.col("tau") + 1).select(
+        "s", "tau", F.concat_ws(SEP, "k", F.lit("-")).alias("k"), F.lit("").alias("rest"))
+    d = d.filter(F.col("n2") >= F.col("tau") + 1).withColumn("seg_no", F.explode(F.sequence(F.lit(0), F.col("tau"))))
+    st, ln = _segments(F.col("n2"), F.col("tau"))
+    d = d.withColumn("_st", st).withColumn("_ln", ln)
+    d = d.select("s", "tau", F.concat_ws(SEP, "k", F.col("seg_no").cast("string"),
+                                         F.substring("rest", F.col("_st") + 1, F.col("_ln"))).alias("k"),
+                 _cut("rest", "_st", "_ln").alias("rest"))
+    return d.unionByName(short)
+
+
+def _next_probe(rows: DataFrame) -> DataFrame:
+    """Probe side of ``_next_index``: substrings of the remainder at the admissible shifts."""
+    d = rows.select("r", "tau", "delta", "k", "rest").withColumn("m2", F.length("rest")).withColumn(
+        "n2", F.col("m2") - F.col("delta"))
+    short = d.filter(F.col("n2") < F.col("tau") + 1).select(
+        "r", "tau", "delta", F.concat_ws(SEP, "k", F.lit("-")).alias("k"), F.lit("").alias("rest"))
+    d = d.filter(F.col("n2") >= F.col("tau") + 1).withColumn("seg_no", F.explode(F.sequence(F.lit(0), F.col("tau"))))
+    st, ln = _segments(F.col("n2"), F.col("tau"))
+    lo = F.ceil((F.col("delta") - F.col("tau")) / F.lit(2.0)).cast("int")
+    hi = F.floor((F.col("delta") + F.col("tau")) / F.lit(2.0)).cast("int")
+    d = d.withColumn("_st", st).withColumn("_ln", ln).withColumn("_d", F.explode(F.sequence(lo, hi)))
+    d = d.withColumn("_p", F.col("_st") + F.col("_d"))
+    d = d.filter((F.col("_p") >= 0) & (F.col("_p") + F.col("_ln") <= F.col("m2")))
+    d = d.select("r", "tau", "delta", F.concat_ws(SEP, "k", F.col("seg_no").cast("string"),
+                                                  F.substring("rest", F.col("_p") + 1, F.col("_ln"))).alias("k"),
+                 _cut("rest", "_p", "_ln").alias("rest"))
+    return d.unionByName(short)
+
+
+def _hot_keys(idx: DataFrame, hot_rows: int, max_hot_keys: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` index rows, at most ``max_hot_keys`` of them (broadcast-safe)."""
+    return (
+        idx.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > hot_rows)
+        .orderBy(F.desc("_c"), "k").limit(max_hot_keys).select("k", F.lit(True).alias("_hot"))
+    )
+
+
+def _salted_join(idx: DataFrame, prb: DataFrame, hot_rows: int, max_hot_keys: int, salt: int) -> DataFrame:
+    """Equi-join on ``k``; keys with many index rows are spread over ``salt`` buckets."""
+    hot = F.broadcast(_hot_keys(idx, hot_rows, max_hot_keys))
+    i = idx.join(hot, "k", "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("s"), F.lit(salt))).otherwise(F.lit(0)).cast("int"))
+    p = prb.join(hot, "k", "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))))
+    return i.select("k", "_salt", "s").join(p.select("k", "_salt", "r"), ["k", "_salt"], "inner").select(
+        F.col("s").alias("a"), F.col("r").alias("b"))
+
+
 def _candidates(index_strings: DataFrame, probe_strings: DataFrame, t: float, strict: bool,
-                hot_rows: int, max_hot_keys: int, salt: int) -> DataFrame:
+                hot_rows: int, max_hot_keys: int, salt: int, max_levels: int = 4) -> DataFrame:
+    """Candidate pairs (a from index side, b from probe side) with ``len(a) <= len(b)``.
+
+    Level 1 keys are ``(n, m, segment no, segment)``.  A key held by more than
+    ``hot_rows`` index strings is refined: the matched segment is cut out of
+    both strings and the remainders are segmented again (``lev`` of the
+    remainders is still ``<= tau``), the key growing by the new segment.  After
+    ``max_levels`` levels whatever is still hot is joined salted.  Exact.
+    """
     idx = _index_rows(index_strings, t)
     prb = _probe_rows(probe_strings, t)
     if strict:  # pairs with len(index) == len(probe) are produced by the other call
         prb = prb.filter(F.col("n") < F.col("m"))
-    hot = (
-        idx.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_c"))
-        .filter(F.col("_c") > hot_rows)
-        .orderBy(F.desc("_c"))
-        .limit(max_hot_keys)
-        .select(*KEY, F.lit(True).alias("_hot"))
-    )
-    # the hot list is bounded by ``max_hot_keys``
-    idx = idx.join(F.broadcast(hot), KEY, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("s"), F.lit(salt))).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot")
-    prb = prb.join(F.broadcast(hot), KEY, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    pairs = idx.join(prb, KEY + ["_salt"], "inner").select(F.col("s").alias("a"), F.col("r").alias("b"))
-    return pairs.distinct()
-
-
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, col: str = "s",
-                  hot_rows: int = 10000, max_hot_keys: int = 1024, salt: int = 16) -> DataFrame:
-    """All distinct string pairs ``(a from left, b from right)`` with ``threshold <= sim < 1``."""
+    key = F.concat_ws(SEP, "n", "m", "seg_no", "seg")
+    idx = idx.select("s", "tau", key.alias("k"), _cut("s", "cut", "cut_len").alias("rest"))
+    prb = prb.select("r", "tau", (F.col("m") - F.col("n")).alias("delta"), key.alias("k"),
+                     _cut("r", "cut", "cut_len").alias("rest"))
+    from ..session import materialize
+
+    spark = index_strings.sparkSession
+    found = []
+    for level in range(max_levels):
+        # the hot list is small by construction (at most ``max_hot_keys`` keys): collect it once
+        # per level and broadcast it as a local relation
+        hot_keys = [r.k for r in _hot_keys(idx, hot_rows, max_hot_keys).collect()]
+        if not hot_keys:  # nothing left to refine: one plain equi-join
+            found.append(idx.select("k", "s").join(prb.select("k", "r"), "k", "inner").select(
+                F.col("s").alias("a"), F.col("r").alias("b")))
+            break
+        if level == max_levels - 1:
+            found.append(_salted_join(idx, prb, hot_rows, max_hot_keys, salt))
+            break
+        hot = F.broadcast(spark.createDataFrame([(k,) for k in hot_keys], "k string").withColumn("_hot", F.lit(True)))
+        it = idx.join(hot, "k", "left")
+        pt = prb.join(hot, "k", "left")
+        cold_i = it.filter(F.col("_hot").isNull()).select("k", "s")
+        cold_p = pt.filter(F.col("_hot").isNull()).select("k", "r")
+        found.append(cold_i.join(cold_p, "k", "inner").select(F.col("s").alias("a"), F.col("r").alias("b")))
+        # only the hot subset moves on; both sides are written once, as one table
+        ni = _next_index(it.filter(F.col("_hot"))).select(
+            F.lit("i").alias("side"), F.col("s").alias("str"), "tau", F.lit(None).cast("int").alias("delta"), "k", "rest")
+        np_ = _next_probe(pt.filter(F.col("_hot"))).select(
+            F.lit("p").alias("side"), F.col("r").alias("str"), "tau", "delta", "k", "rest")
+        nxt = materialize(ni.unionByName(np_), f"similarity-level{level + 1}")
+        idx = nxt.filter(F.col("side") == "i").select(F.col("str").alias("s"), "tau", "k", "rest")
+        prb = nxt.filter(F.col("side") == "p").select(F.col("str").alias("r"), "tau", "delta", "k", "rest")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.8, col: str = "s",
+                  hot_rows: int = 32, max_hot_keys: int = 65536, salt: int = 16,
+                  materialize_inputs: bool = True) -> DataFrame:
+    """All distinct string pairs ``(a from left, b from right)`` with ``threshold <= sim < 1``.
+
+    ``right=None`` (or the same frame) is a self-join: the candidates of one
+    orientation are generated once and mirrored, since similarity is symmetric.
+    The distinct strings are written once below the checkpoint folder so the
+    two sides of every join read a small file instead of re-running the
+    upstream plan.
+    """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
-    L = left.select(F.col(col).alias("s")).filter(F.col("s").isNotNull() & (F.col("s") != "")).distinct()
-    R = right.select(F.col(col).alias("s")).filter(F.col("s").isNotNull() & (F.col("s") != "")).distinct()
+    same = right is None or right is left
+
+    def strings(df):
+        out = df.select(F.col(col).alias("s")).filter(F.col("s").isNotNull() & (F.col("s") != "")).distinct()
+        if materialize_inputs:
+            from ..session import materialize
+
+            out = materialize(out, "similarity-strings")
+        return out
+
+    L = strings(left)
+    R = L if same else strings(right)
     # len(a) <= len(b): index a, probe b; len(b) < len(a): index b, probe a
     c1 = _candidates(L, R, threshold, False, hot_rows, max_hot_keys, salt)
-    c2 = _candidates(R, L, threshold, True, hot_rows, max_hot_keys, salt).select(
-        F.col("b").alias("a"), F.col("a").alias("b"))
+    if same:
+        c2 = c1.filter(F.length("a") < F.length("b")).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    else:
+        c2 = _candidates(R, L, threshold, True, hot_rows, max_hot_keys, salt).select(
+            F.col("b").alias("a"), F.col("a").alias("b"))
     cand = c1.unionByName(c2)
     Lmax = F.greatest(F.length("a"), F.length("b"))
     # bounded edit distance: -1 once it exceeds tau (the threshold may be a column in SQL form)
@@ -151,15 +270,20 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, col
     return scored.filter((F.col("similarity") >= F.lit(threshold)) & (F.col("similarity") < F.lit(1.0))).drop("_lev")
 
 
-def find_potential_duplicates(probes: DataFrame, seen: DataFrame, threshold: float = 0.8,
+def find_potential_duplicates(probes: DataFrame, seen: DataFrame | None = None, threshold: float = 0.8,
                               id_col: str = "line_number", email_col: str = "email", **kw) -> DataFrame:
     """For each probe, the seen contacts with ``threshold <= sim < 1`` on lower-cased e-mails.
 
     Output: ``probe_id, match_id, similarity, reason, rank`` (best first, ties by match id).
     """
-    p = probes.select(F.col(id_col).alias("probe_id"), F.lower(F.col(email_col)).alias("s"))
-    s = seen.select(F.col(id_col).alias("match_id"), F.lower(F.col(email_col)).alias("s"))
-    pairs = similar_pairs(p, s, threshold, **kw)
+    from ..session import materialize
+
+    same = seen is None or seen is probes
+    p = materialize(probes.select(F.col(id_col).alias("probe_id"), F.lower(F.col(email_col)).alias("s")),
+                    "similarity-probes")
+    s = p.withColumnRenamed("probe_id", "match_id") if same else materialize(
+        seen.select(F.col(id_col).alias("match_id"), F.lower(F.col(email_col)).alias("s")), "similarity-seen")
+    pairs = similar_pairs(p, None if same else s, threshold, materialize_inputs=False, **kw)
     out = (
         pairs.join(p.withColumnRenamed("s", "a"), "a")
         .join(s.withColumnRenamed("s", "b"), "b")

@@ -435,7 +435,7 @@ def _near(threshold):
     def run(spark, sf_dir):
         v = _valid(spark, sf_dir).select("line_number", "email")
         uniq = dedup.unique_contacts(v, "email").select("line_number", "email")
-        r = Z.find_potential_duplicates(uniq, uniq, threshold)
+        r = Z.find_potential_duplicates(uniq, None, threshold)
         return r.select(F.col("probe_id").alias("probe_line"), F.col("match_id").alias("match_line"),
                         "similarity", "reason", "rank")
 

@@ -71,12 +71,16 @@ def materialize(df, name: str):
     the plan) and turns a computed frame into a plain scan with column pruning
     and filter pushdown.  Each call writes a new folder.
     """
+    return df.sparkSession.read.parquet(write_scratch(df, name))
+
+
+def write_scratch(df, name: str) -> str:
+    """Write ``df`` as parquet to a new folder below the shared checkpoint folder; return the path."""
     import uuid
 
-    spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path
 
 
 _SHIPPED: set = set()

@@ -116,13 +116,21 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialized: bool = Tr
     register_tables(spark, sf_dir, sources)
     df = spark.sql(sql)
     if materialized:
-        from ..session import materialize
-
-        df = materialize(df, f"fixture-{name}")
+        # derived once per application and input folder, then re-read
+        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+        path = _WRITTEN.get(key)
+        if path is None:
+            from ..session import write_scratch
+
+            path = _WRITTEN[key] = write_scratch(df, f"fixture-{name}")
+        df = spark.read.parquet(path)
     df.createOrReplaceTempView(name)
     return df
 
 
+_WRITTEN: dict = {}
+
+
 def contacts(spark, sf_dir):
     return fixture(spark, sf_dir, "contacts")
 

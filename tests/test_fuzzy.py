@@ -18,11 +18,18 @@ def emails(spark):
 
 @pytest.mark.parametrize("t", [0.7, 0.8, 0.9])
 def test_segment_join_equals_brute_force(spark, emails, t):
-    got = fuzzy.similar_pairs(emails, emails, t).select("a", "b", F.round("similarity", 9).alias("x"))
+    got = fuzzy.similar_pairs(emails, None, t).select("a", "b", F.round("similarity", 9).alias("x"))
     ref = fuzzy.brute_force_pairs(emails, emails, t).select("a", "b", F.round("similarity", 9).alias("x"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in ref.collect())
 
 
+def test_two_sided_equals_self_join(spark, emails):
+    other = emails.select("s")  # a different frame object: the two-sided path
+    a = fuzzy.similar_pairs(emails, None, 0.8)
+    b = fuzzy.similar_pairs(emails, other, 0.8)
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
 def test_salted_hot_keys_same_result(spark, emails):
     a = fuzzy.similar_pairs(emails, emails, 0.8)
     b = fuzzy.similar_pairs(emails, emails, 0.8, hot_rows=1, max_hot_keys=100000, salt=5)
