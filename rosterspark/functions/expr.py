@@ -152,3 +152,26 @@ def redact_columns(df, sensitive=None, email_cols=("email",), phone_cols=("phone
             c = F.when(~is_missing(F.col(f"`{name}`")), F.lit(K.REDACTED)).otherwise(F.col(f"`{name}`"))
         out.append(c.alias(name))
     return df.select(*out)
+
+
+def safe_view(df):
+    """The only contact view reports may show: masked e-mail and phone, names, full name, flags."""
+    cols = [c for c in ("line_number",) if c in df.columns]
+    out = [
+        *cols,
+        mask_email("email").alias("email"),
+        F.coalesce(F.col("first_name"), F.lit("")).alias("first_name"),
+        F.coalesce(F.col("last_name"), F.lit("")).alias("last_name"),
+        mask_phone("phone_number").alias("phone_number"),
+        full_name().alias("full_name"),
+        has_valid_email().alias("has_valid_email"),
+        has_phone().alias("has_phone_number"),
+    ]
+    if "is_valid" in df.columns:
+        out.append(F.col("is_valid"))
+    if "findings" in df.columns:
+        out.append(F.array_join(F.transform(F.filter("findings", lambda f: f["severity"] == "error"),
+                                            lambda f: f["message"]), "; ").alias("errors"))
+        out.append(F.array_join(F.transform(F.filter("findings", lambda f: f["severity"] == "warning"),
+                                            lambda f: f["message"]), "; ").alias("warnings"))
+    return df.select(*out)

@@ -521,3 +521,31 @@ def delivery_stub(spark, sf_dir):
     run = J.import_contacts(fixtures.contacts(spark, sf_dir), "stub-run", sender=J.stub_sender, ledger_path=ledger,
                             rate_per_s=1e6, burst=1000, delay_ms=0, concurrency=4, sleep=_no_wait)
     return run.results.select("session_id", "contact_id", "batch_no", "seq", "success", "error_code", "attempts")
+
+
+# --- views and listings ------------------------------------------------------------
+
+
+@query("safe_view")
+def safe_view(spark, sf_dir):
+    """Masked contact view with flags and finding messages."""
+    return X.safe_view(_validated(spark, sf_dir))
+
+
+@query("with_warnings")
+def with_warnings(spark, sf_dir):
+    """Rows with any warning, valid or not."""
+    return rules.with_warnings(_validated(spark, sf_dir)).select("line_number", "is_valid", "warning_count")
+
+
+@query("duplicate_contacts")
+def duplicate_contacts(spark, sf_dir):
+    """Every non-first holder with its original's masked e-mail and names."""
+    m = dedup.mark_duplicates(_valid(spark, sf_dir), "email")
+    dups = dedup.duplicate_contacts(m)
+    originals = m.filter(F.col("dup_number") == 1).select(
+        F.col("line_number").alias("original_line"), X.mask_email("email").alias("original_email"),
+        F.col("first_name").alias("original_first_name"), F.col("last_name").alias("original_last_name"))
+    return dups.join(originals, "original_line").select(
+        "line_number", X.mask_email("email").alias("email"), "dup_number", "original_line", "original_email",
+        "original_first_name", "original_last_name")

@@ -716,3 +716,43 @@ ORACLE["stream_dedup"] = ORACLE["dup_email"]
 ORACLE["stream_progress"] = ORACLE["session_event_stats"]
 
 ORACLE["import_dry_run"] = ORACLE["batch_plan"]
+
+# --- views and listings ------------------------------------------------------------
+
+
+def _mask_email_sql(x: str) -> str:
+    return (f"CASE WHEN {miss(x)} THEN '' WHEN coalesce(split_part({x}, '@', 1), '') <> '' AND "
+            f"coalesce(split_part({x}, '@', 2), '') <> '' THEN substr(split_part({x}, '@', 1), 1, 2) || '***@' || "
+            f"split_part({x}, '@', 2) ELSE {x} END")
+
+
+ORACLE["safe_view"] = VALIDATED + f""",
+msg AS (SELECT line_number,
+          string_agg(message, '; ' ORDER BY r) FILTER (WHERE severity = 'error') AS errors,
+          string_agg(message, '; ' ORDER BY r) FILTER (WHERE severity = 'warning') AS warnings
+        FROM fnd GROUP BY line_number)
+SELECT v.line_number, {_mask_email_sql('v.email')} AS email,
+  coalesce(v.first_name, '') AS first_name, coalesce(v.last_name, '') AS last_name,
+  CASE WHEN {miss('v.phone_number')} THEN ''
+       WHEN length(regexp_replace(v.phone_number, '[^0-9]', '', 'g')) < 4 THEN v.phone_number
+       ELSE '+***' || right(regexp_replace(v.phone_number, '[^0-9]', '', 'g'), 4) END AS phone_number,
+  CASE WHEN {js_trim("coalesce(v.first_name, '') || ' ' || coalesce(v.last_name, '')")} <> ''
+       THEN {js_trim("coalesce(v.first_name, '') || ' ' || coalesce(v.last_name, '')")}
+       ELSE split_part(v.email, '@', 1) END AS full_name,
+  (NOT {miss('v.email')} AND {email_ok('v.email')}) AS has_valid_email,
+  {has_phone('v.phone_number')} AS has_phone_number, v.is_valid,
+  coalesce(msg.errors, '') AS errors, coalesce(msg.warnings, '') AS warnings
+FROM v LEFT JOIN msg ON v.line_number = msg.line_number
+"""
+
+ORACLE["with_warnings"] = VALIDATED + """
+SELECT line_number, is_valid, CAST(warning_count AS BIGINT) AS warning_count FROM v WHERE warning_count > 0
+"""
+
+ORACLE["duplicate_contacts"] = VALIDATED + _marked("email") + f"""
+SELECT mk.line_number, {_mask_email_sql('d.email')} AS email, mk.dup_number, mk.first_line AS original_line,
+  {_mask_email_sql('o.email')} AS original_email, o.first_name AS original_first_name,
+  o.last_name AS original_last_name
+FROM mk JOIN v d ON mk.line_number = d.line_number JOIN v o ON mk.first_line = o.line_number
+WHERE mk.dup_number > 1
+"""
