@@ -415,10 +415,12 @@ def deliver(
 
 
 def read_ledger(spark, ledger_path: str) -> DataFrame:
-    try:
-        return spark.read.schema(RESULT_SCHEMA).parquet(ledger_path)
-    except Exception:  # noqa: BLE001 - no ledger yet
+    """The append-only ledger (empty before the first run)."""
+    from ..session import path_exists
+
+    if not path_exists(spark, ledger_path):
         return spark.createDataFrame([], RESULT_SCHEMA)
+    return spark.read.schema(RESULT_SCHEMA).parquet(ledger_path)
 
 
 def resume_remainder(contacts: DataFrame, spark, ledger_path: str, session_id: str) -> DataFrame:

@@ -109,3 +109,10 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.join("rosterspark", os.path.relpath(full, pkg_dir)))
     sc.addPyFile(out)
     _SHIPPED.add(key)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on the (possibly remote) file system."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

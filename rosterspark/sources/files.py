@@ -108,13 +108,15 @@ def read_header(spark: SparkSession, path: str, encoding: str = "utf8") -> list:
 # --- S1/S2/S4/S5 reading ----------------------------------------------------------
 
 
-def with_line_number(raw: DataFrame, name: str = "line_number") -> DataFrame:
+def with_line_number(raw: DataFrame, name: str = "line_number", skip_header: bool = False) -> DataFrame:
     """Dense 1-based ordinal in (file path, block start, row-in-split) order.
 
     Pass 1 counts rows per input split (one row per split); a window over that
     small table gives each split its offset; pass 2 adds the row's index inside
     its split (``monotonically_increasing_id`` is consecutive within a task).
     Both passes read the same splits in the same order, so ids agree.
+    ``skip_header`` drops the first record of every file (first row of the
+    split starting at byte 0) and leaves it out of the numbering.
     """
     d = raw.select(
         "*",
@@ -122,13 +124,16 @@ def with_line_number(raw: DataFrame, name: str = "line_number") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_mono"),
     )
-    splits = d.groupBy("_file", "_block").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    head = (F.col("_block") == 0).cast("long") if skip_header else F.lit(0).cast("long")
+    splits = d.groupBy("_file", "_block").agg(
+        F.min("_mono").alias("_first"), (F.count(F.lit(1)) - F.first(head)).alias("_n"))
     # one row per input split: a single-task window here is bounded by the split count
     w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = d.join(offsets, ["_file", "_block"], "inner").withColumn(
-        name, (F.col("_off") + F.col("_mono") - F.col("_first") + 1).cast("bigint")
-    )
+    out = d.join(offsets, ["_file", "_block"], "inner")
+    if skip_header:
+        out = out.filter(~((F.col("_block") == 0) & (F.col("_mono") == F.col("_first"))))
+    out = out.withColumn(name, (F.col("_off") + F.col("_mono") - F.col("_first") + 1 - head).cast("bigint"))
     return out.drop("_file", "_block", "_mono", "_first", "_off")
 
 
@@ -165,8 +170,7 @@ def read_contacts(
     positional = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
     raw = (
         spark.read.schema(positional)
-        .option("header", True)
-        .option("enforceSchema", True)
+        .option("header", False)  # each file's header record is dropped by the numbering pass
         .option("escape", '"')
         .option("multiLine", multiline)
         .option("encoding", spark_charset(encoding))
@@ -176,7 +180,7 @@ def read_contacts(
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    numbered = with_line_number(raw)
+    numbered = with_line_number(raw, skip_header=True)
     if max_rows:
         numbered = numbered.filter(F.col("line_number") <= F.lit(int(max_rows)))
     value_cols = [f"_c{i}" for i in range(len(header))]
