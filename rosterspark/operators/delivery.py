@@ -54,7 +54,7 @@ def sequence(df: DataFrame, order_col: str = "line_number", name: str = "seq", c
     """
     d = df.withColumn("_all", F.lit(0))
     chunk = F.floor(F.col(order_col) / F.lit(chunk_rows))
-    return running(d, "_all", [order_col], chunk, sums={name: F.lit(1).cast("bigint")}).drop("_all")
+    return running(d, "_all", [order_col], chunk, sums={name: F.lit(1).cast("bigint")}, hot_rows=None).drop("_all")
 
 
 def plan_batches(df: DataFrame, size: int = K.DEFAULT_BATCH_SIZE, order_col: str = "line_number",

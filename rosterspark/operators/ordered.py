@@ -8,6 +8,11 @@ over ``(key, chunk)``; a small per-chunk table (one row per chunk) carries
 totals, the last non-null values and the boundary rows across chunks, and is
 joined back on ``(key, chunk)`` (same hash partitioning as the local window, so
 the big side is not shuffled again).  Results equal the single-window scan.
+
+Only hot keys pay for this: a partial count per key picks the keys with at
+least ``hot_rows`` rows (at most ``max_hot_keys`` of them, a bounded broadcast
+list); all other keys use one plain partitioned window, whose largest task is
+then bounded by ``hot_rows`` rows.
 """
 
 from __future__ import annotations
@@ -15,12 +20,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 1 << 20  # keys with at least this many rows take the chunked path
+MAX_HOT_KEYS = 1024  # bound of the broadcast hot-key list
+
 
 def time_chunk(ts: str, unit: str = "hour") -> Column:
     """A chunk id that grows with ``ts`` (time zone independent for TIMESTAMP_NTZ)."""
     return F.date_trunc(unit, F.col(ts))
 
 
+def _split_hot(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int):
+    """``(cold, hot)`` rows: keys with at least ``hot_rows`` rows (at most ``max_hot_keys``) are hot."""
+    hot = (
+        df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
+        .orderBy(F.desc("_n")).limit(max_hot_keys).select(key, F.lit(True).alias("_hot"))
+    )
+    # bounded by ``max_hot_keys``: safe to broadcast
+    tagged = df.join(F.broadcast(hot), key, "left")
+    return tagged.filter(F.col("_hot").isNull()).drop("_hot"), tagged.filter(F.col("_hot")).drop("_hot")
+
+
 def running(
     df: DataFrame,
     key: str,
@@ -28,8 +47,36 @@ def running(
     chunk: Column,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    hot_rows: int | None = HOT_ROWS,
+    max_hot_keys: int = MAX_HOT_KEYS,
+) -> DataFrame:
+    """Add inclusive running ``sums`` and last non-null ``lasts`` per key in ``order``.
+
+    Keys with fewer than ``hot_rows`` rows use one partitioned window; hot keys
+    (a bounded list) are scanned in chunks.  ``hot_rows=None`` chunks every key.
+    """
+    if hot_rows is None:
+        return _running_chunked(df, key, order, chunk, sums, lasts)
+    sums, lasts = dict(sums or {}), dict(lasts or {})
+    cold, hot = _split_hot(df, key, hot_rows, max_hot_keys)
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = cold
+    for n, c in sums.items():
+        plain = plain.withColumn(n, F.coalesce(F.sum(c).over(w), F.lit(0)))
+    for n, c in lasts.items():
+        plain = plain.withColumn(n, F.last(c, ignorenulls=True).over(w))
+    return plain.unionByName(_running_chunked(hot, key, order, chunk, sums, lasts))
+
+
+def _running_chunked(
+    df: DataFrame,
+    key: str,
+    order: list[str],
+    chunk: Column,
+    sums: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add inclusive running ``sums`` and last non-null ``lasts`` per key in ``order``."""
+    """Chunked form of ``running`` (every key split by ``chunk``)."""
     sums, lasts = dict(sums or {}), dict(lasts or {})
     d = df.withColumn("_chunk", chunk)
     for n, c in sums.items():
@@ -69,8 +116,24 @@ def running(
     return out.drop(*drop)
 
 
-def neighbors(df: DataFrame, key: str, order: list[str], chunk: Column, cols: list[str]) -> DataFrame:
-    """Add ``prev_<c>`` / ``next_<c>`` (values of the previous / next row of the key)."""
+def neighbors(df: DataFrame, key: str, order: list[str], chunk: Column, cols: list[str],
+              hot_rows: int | None = HOT_ROWS, max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """Add ``prev_<c>`` / ``next_<c>`` (values of the previous / next row of the key).
+
+    Cold keys use ``lag``/``lead`` over one partitioned window, hot keys the chunked form.
+    """
+    if hot_rows is None:
+        return _neighbors_chunked(df, key, order, chunk, cols)
+    cold, hot = _split_hot(df, key, hot_rows, max_hot_keys)
+    w = Window.partitionBy(key).orderBy(*order)
+    plain = cold
+    for c in cols:
+        plain = plain.withColumn(f"prev_{c}", F.lag(c).over(w)).withColumn(f"next_{c}", F.lead(c).over(w))
+    return plain.unionByName(_neighbors_chunked(hot, key, order, chunk, cols))
+
+
+def _neighbors_chunked(df: DataFrame, key: str, order: list[str], chunk: Column, cols: list[str]) -> DataFrame:
+    """Chunked form of ``neighbors``."""
     d = df.withColumn("_chunk", chunk).withColumn("_row", F.struct(*[F.col(c) for c in cols]))
     wl = Window.partitionBy(key, "_chunk").orderBy(*order)
     local = d.withColumn("_lag", F.lag("_row").over(wl)).withColumn("_lead", F.lead("_row").over(wl))
@@ -93,6 +156,7 @@ def neighbors(df: DataFrame, key: str, order: list[str], chunk: Column, cols: li
     return out.drop("_chunk", "_row", "_lag", "_lead", "_prev_last", "_next_first")
 
 
-def ordinal(df: DataFrame, key: str, order: list[str], chunk: Column, name: str = "ordinal") -> DataFrame:
+def ordinal(df: DataFrame, key: str, order: list[str], chunk: Column, name: str = "ordinal",
+            hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """1-based position of each row within its key (a running count)."""
-    return running(df, key, order, chunk, sums={name: F.lit(1).cast("bigint")})
+    return running(df, key, order, chunk, sums={name: F.lit(1).cast("bigint")}, hot_rows=hot_rows)

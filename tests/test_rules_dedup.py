@@ -105,20 +105,24 @@ def test_unique_plus_duplicates_is_total(validated):
     assert dedup.unique_contacts(validated, "email").count() == m.filter(F.col("dup_number") == 1).count()
 
 
-def test_chunked_running_equals_plain_window(spark):
+@pytest.mark.parametrize("hot_rows", [None, 60, 1 << 20])
+def test_chunked_running_equals_plain_window(spark, hot_rows):
     ev = fixtures.progress_events(spark, SF01)
     rp = (F.col("type") == "record_processed").cast("long")
     got = ordered.running(ev, "session_id", ["ts", "seq"], F.date_trunc("minute", "ts"),
-                          sums={"n": rp}, lasts={"ph": F.when(F.col("type") == "phase_change", F.col("phase"))})
+                          sums={"n": rp}, lasts={"ph": F.when(F.col("type") == "phase_change", F.col("phase"))},
+                          hot_rows=hot_rows)
     w = Window.partitionBy("session_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     ref = ev.select("seq", F.sum(rp).over(w).alias("n"),
                     F.last(F.when(F.col("type") == "phase_change", F.col("phase")), True).over(w).alias("ph"))
     assert sorted(tuple(r) for r in got.select("seq", "n", "ph").collect()) == sorted(tuple(r) for r in ref.collect())
 
 
-def test_chunked_neighbors_equals_lag_lead(spark):
+@pytest.mark.parametrize("hot_rows", [None, 12, 1 << 20])
+def test_chunked_neighbors_equals_lag_lead(spark, hot_rows):
     ev = fixtures.progress_events(spark, SF01).filter("type = 'phase_change'")
-    got = ordered.neighbors(ev, "session_id", ["ts", "seq"], F.date_trunc("minute", "ts"), ["phase", "seq"])
+    got = ordered.neighbors(ev, "session_id", ["ts", "seq"], F.date_trunc("minute", "ts"), ["phase", "seq"],
+                            hot_rows=hot_rows)
     w = Window.partitionBy("session_id").orderBy("ts", "seq")
     ref = ev.select("seq", F.lag("phase").over(w).alias("p"), F.lead("seq").over(w).alias("n"))
     a = sorted(tuple(r) for r in got.select("seq", "prev_phase", "next_seq").collect())
