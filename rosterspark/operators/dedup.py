@@ -114,28 +114,24 @@ def mark_duplicates(
         )
         return finish(cold).unionByName(blanks)
 
-    hot = (
-        key_counts(keyed, order_col)
-        .filter(F.col("n") >= hot_rows)
-        .orderBy(F.desc("n"), "dup_key")
-        .limit(max_hot_keys)
-        .select("dup_key", F.lit(True).alias("_hot"))
-    )
-    # the hot list has at most ``max_hot_keys`` rows: safe to broadcast
-    tagged = present.join(F.broadcast(hot), "dup_key", "left")
+    from .ordered import hot_key_list, split_by_keys
 
+    present_keys = present.select("dup_key", order_col)
+    hot_keys = hot_key_list(present_keys, "dup_key", hot_rows, max_hot_keys)
+    if not hot_keys:
+        cold = present.withColumn("dup_number", F.row_number().over(w).cast("bigint")).withColumn(
+            "_first", F.first(order_col).over(w))
+        return finish(cold).unionByName(blanks)
+    # the hot list has at most ``max_hot_keys`` entries: broadcast as a local relation
+    cold_rows, hot_rows_df = split_by_keys(present, "dup_key", hot_keys)
     cold = (
-        tagged.filter(F.col("_hot").isNull())
-        .drop("_hot")
-        .withColumn("dup_number", F.row_number().over(w).cast("bigint"))
+        cold_rows.withColumn("dup_number", F.row_number().over(w).cast("bigint"))
         .withColumn("_first", F.first(order_col).over(w))
     )
 
     # hot keys: number inside ranges of ``hot_rows`` positions, then add the
     # count of the key's rows in all earlier ranges
-    hot_part = tagged.filter(F.col("_hot")).drop("_hot").withColumn(
-        "_bucket", F.floor(F.col(order_col) / F.lit(hot_rows)).cast("bigint")
-    )
+    hot_part = hot_rows_df.withColumn("_bucket", F.floor(F.col(order_col) / F.lit(hot_rows)).cast("bigint"))
     wb = Window.partitionBy("dup_key", "_bucket").orderBy(order_col)
     local = hot_part.withColumn("_local", F.row_number().over(wb))
     per_bucket = hot_part.groupBy("dup_key", "_bucket").agg(

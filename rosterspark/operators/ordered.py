@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 1 << 20  # keys with at least this many rows take the chunked path
 MAX_HOT_KEYS = 1024  # bound of the broadcast hot-key list
@@ -29,17 +30,35 @@ def time_chunk(ts: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(ts))
 
 
-def _split_hot(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int):
-    """``(cold, hot)`` rows: keys with at least ``hot_rows`` rows (at most ``max_hot_keys``) are hot."""
-    hot = (
+def hot_key_list(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int) -> list:
+    """Keys with at least ``hot_rows`` rows, at most ``max_hot_keys`` of them (partial count, then top-k).
+
+    The result is a bounded list on the driver; callers leave the hot branch out
+    of the plan when it is empty and broadcast it as a local relation otherwise.
+    """
+    rows = (
         df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n")).limit(max_hot_keys).select(key, F.lit(True).alias("_hot"))
+        .orderBy(F.desc("_n")).limit(max_hot_keys).select(key).collect()
     )
-    # bounded by ``max_hot_keys``: safe to broadcast
+    return [r[0] for r in rows]
+
+
+def split_by_keys(df: DataFrame, key: str, keys: list):
+    """``(rows whose key is not in keys, rows whose key is)`` via a broadcast of the (bounded) key list."""
+    spark = df.sparkSession
+    hot = spark.createDataFrame([(k,) for k in keys], T.StructType([df.schema[key]])).withColumn("_hot", F.lit(True))
     tagged = df.join(F.broadcast(hot), key, "left")
     return tagged.filter(F.col("_hot").isNull()).drop("_hot"), tagged.filter(F.col("_hot")).drop("_hot")
 
 
+def _split_hot(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int):
+    """``(cold, hot)``; ``hot`` is None when no key reaches ``hot_rows``."""
+    keys = hot_key_list(df, key, hot_rows, max_hot_keys)
+    if not keys:
+        return df, None
+    return split_by_keys(df, key, keys)
+
+
 def running(
     df: DataFrame,
     key: str,
@@ -65,6 +84,8 @@ def running(
         plain = plain.withColumn(n, F.coalesce(F.sum(c).over(w), F.lit(0)))
     for n, c in lasts.items():
         plain = plain.withColumn(n, F.last(c, ignorenulls=True).over(w))
+    if hot is None:
+        return plain
     return plain.unionByName(_running_chunked(hot, key, order, chunk, sums, lasts))
 
 
@@ -129,6 +150,8 @@ def neighbors(df: DataFrame, key: str, order: list[str], chunk: Column, cols: li
     plain = cold
     for c in cols:
         plain = plain.withColumn(f"prev_{c}", F.lag(c).over(w)).withColumn(f"next_{c}", F.lead(c).over(w))
+    if hot is None:
+        return plain
     return plain.unionByName(_neighbors_chunked(hot, key, order, chunk, cols))
 
 
