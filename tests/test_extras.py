@@ -77,3 +77,53 @@ def test_observation_and_listener(spark):
     lst = ProgressListener(on_progress=[lambda p: 1 / 0, seen.append])
     lst._call(lst.on_progress, {"batch_id": 0})
     assert seen == [{"batch_id": 0}] and len(lst.errors) == 1  # a failing observer is isolated
+
+
+def test_dedup_report_and_run_rows(spark):
+    from rosterspark.operators import report
+
+    df = spark.createDataFrame([(1, "a@x.com", "Ann", "A", ""), (2, "A@x.com", "Ann", "A", ""),
+                                (3, "b@x.com", "Bo", "B", "")], SCHEMA)
+    stats, groups = dedup.dedup_report(dedup.mark_duplicates(df))
+    s = stats.first()
+    assert (s.total_records, s.unique_records, s.duplicate_records, s.duplicate_groups) == (3, 2, 1, 1)
+    g = groups.first()
+    assert g.total_count == 2 and g.original_email == "a***@x.com" and g.original_line == 1
+    run = report.summary_as_run(report.validation_summary(rules.validate(df)), "r1", "2024-01-01 00:00:00")
+    totals = report.run_totals(run.unionByName(run)).first()
+    assert totals.runs == 2 and totals.records == 6 and totals.successful == 6  # a duplicate is still valid
+
+
+def test_autosave_and_stream_delivery(spark, tmpdir_path):
+    import time as _t
+
+    from rosterspark.operators import delivery as D
+    from rosterspark.plans import jobs as J
+    from rosterspark.streaming import jobs as R
+
+    src = os.path.join(tmpdir_path, "src")
+    state = spark.createDataFrame([("s1", 1, dt.datetime(2024, 1, 1), "processing", 10, 3)],
+                                  "session_id string, checkpoint_id long, ts timestamp, status string, total long, processed long")
+    state.write.parquet(src)
+    stream = R.file_stream(spark, src, state.schema, "parquet")
+    q = R.autosave_checkpoints(stream, os.path.join(tmpdir_path, "ck"), os.path.join(tmpdir_path, "q"), "1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert FS.read_checkpoints(spark, os.path.join(tmpdir_path, "ck"), "s1").count() == 1
+
+    contacts = spark.createDataFrame([(i, f"u{i}@x.com", "A", "B", "") for i in range(1, 9)], SCHEMA)
+    csrc = os.path.join(tmpdir_path, "contacts")
+    contacts.write.parquet(csrc)
+    ledger = os.path.join(tmpdir_path, "ledger")
+
+    def deliver_batch(df, batch_id):
+        planned = D.plan_batches(rules.validate(df), 5).withColumn("contact_id", F.lower("email"))
+        D.deliver(planned.filter("is_valid"), J.stub_sender, ledger, "stream-1", rate_per_s=1e6, burst=100,
+                  sleep=lambda _s: None)
+
+    for _ in range(2):  # a rerun of the stream from scratch must not send anything twice
+        s2 = R.file_stream(spark, csrc, contacts.schema, "parquet")
+        R.run_available_now(s2, None, os.path.join(tmpdir_path, f"q2-{_t.time()}"),
+                            foreach_batch=R.stream_deliver(deliver_batch))
+    led = D.read_ledger(spark, ledger).filter("success")
+    assert led.count() == led.select("contact_id").distinct().count()
