@@ -14,14 +14,18 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "rosterspark") -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "rosterspark",
+                  extra_conf: dict | None = None) -> SparkSession:
     """A local session configured the way the cluster jobs expect.
 
     AQE is on (coalescing and skew-join splitting), the UI is off, time is UTC,
     and a checkpoint directory is set only when none is configured.
     """
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.default.parallelism", str(shuffle_partitions))
