@@ -95,7 +95,6 @@ def _typo_any() -> Column:
 
 def default_rules(required_fields=("email",)) -> "OrderedDict[str, Rule]":
     """The built-in rules in evaluation order: e-mail, phone, required, name, completeness."""
-    e, p = F.col("email"), F.col("phone_number")
     rules = [
         # e-mail strategy: an if-chain, at most one finding
         Rule("MISSING_EMAIL", "email", ERROR, K.FIELD_EMAIL, "MISSING_EMAIL",
@@ -145,7 +144,6 @@ def default_rules(required_fields=("email",)) -> "OrderedDict[str, Rule]":
         Rule("MISSING_NAME", "completeness", WARNING, K.FIELD_NAME, "MISSING_NAME",
              lambda: is_missing(F.col("first_name")) & is_missing(F.col("last_name")), _lit(K.MSG_MISSING_NAME)),
     ]
-    del e, p
     return OrderedDict((r.name, r) for r in rules)
 
 
