@@ -124,27 +124,38 @@ def stream_progress(events: DataFrame) -> DataFrame:
 
 
 def stream_contacts(spark: SparkSession, directory: str, schema: T.StructType, sink: Callable,
-                    checkpoint: str, batch_size: int | None = None, fmt: str = "csv", **options):
+                    checkpoint: str, batch_size: int | None = None, fmt: str = "csv",
+                    chunk_rows: int | None = None, order_col: str | None = None, **options):
     """Deliver a directory of contact files in micro-batches numbered from 1.
 
-    ``sink(batch_df, batch_no)`` is called per non-empty micro-batch;
-    returns ``(batches, rows)`` from the query progress.
+    ``batch_size`` bounds the files per micro-batch.  With ``chunk_rows`` and an
+    ``order_col`` every row also gets ``chunk_no``: consecutive slices of
+    ``chunk_rows`` rows in order, numbered from 1 and continued across
+    micro-batches (the last slice may be shorter).  ``sink(batch_df, batch_no)``
+    is called once per non-empty micro-batch; returns ``(batches, rows)``.
     """
+    from ..operators.delivery import plan_batches
+
     if fmt == "csv":
         options.setdefault("header", True)
     stream = file_stream(spark, directory, schema, fmt, max_files_per_trigger=batch_size, **options)
-
     counts = []
 
     def each(df, batch_id):
         n = df.count()  # one small action per micro-batch; the totals reported at the end
-        if n:
-            counts.append(n)
-            sink(df, len(counts))
+        if not n:
+            return
+        before = sum(counts)
+        counts.append(n)
+        if chunk_rows and order_col:
+            planned = plan_batches(df, 1, order_col)  # dense 1-based position inside the micro-batch
+            df = planned.withColumn(
+                "chunk_no", (F.floor((F.lit(before) + F.col("seq") - 1) / F.lit(chunk_rows)) + 1).cast("bigint")
+            ).drop("seq", "batch_no", "pos_in_batch")
+        sink(df, len(counts))
 
     run_available_now(stream, None, checkpoint, foreach_batch=each)
-    batches, rows = len(counts), sum(counts)
-    return batches, rows
+    return len(counts), sum(counts)
 
 
 # --- R4 / R5 / R6 --------------------------------------------------------------

@@ -140,3 +140,19 @@ def test_error_triage_columns(spark):
                                "error_name string, error_message string")
     got = {r.category: r.errors for r in G.categorize_errors(df).collect()}
     assert got == {"network_error": 1, "validation_error": 1, "rate_limit_error": 1, "unknown_error": 1}
+
+
+def test_stream_contacts_row_chunks(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "chunks_in")
+    rows = [(i, f"u{i}@x.com") for i in range(1, 251)]
+    for part, lo in enumerate((0, 120)):
+        spark.createDataFrame(rows[lo:lo + 120] if part == 0 else rows[120:], "line_number long, email string") \
+            .write.mode("append").parquet(d)
+    got = []
+    from pyspark.sql.types import StructType
+    R.stream_contacts(spark, d, StructType.fromDDL("line_number long, email string"),
+                      lambda df, no: got.extend((r.line_number, r.chunk_no) for r in df.collect()),
+                      os.path.join(tmpdir_path, "ck2"), fmt="parquet", chunk_rows=100, order_col="line_number")
+    chunk_of = dict(got)
+    assert len(chunk_of) == 250 and max(chunk_of.values()) == 3
+    assert sorted(v for v in chunk_of.values()).count(1) == 100 and list(chunk_of.values()).count(3) == 50
