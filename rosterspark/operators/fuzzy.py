@@ -194,9 +194,10 @@ def _candidates(index_strings: DataFrame, probe_strings: DataFrame, t: float, st
     idx = idx.select("s", "tau", key.alias("k"), _cut("s", "cut", "cut_len").alias("rest"))
     prb = prb.select("r", "tau", (F.col("m") - F.col("n")).alias("delta"), key.alias("k"),
                      _cut("r", "cut", "cut_len").alias("rest"))
-    from ..session import materialize
+    from ..session import ensure_checkpoint_dir
 
     spark = index_strings.sparkSession
+    ensure_checkpoint_dir(spark)
     found = []
     for level in range(max_levels):
         # the hot list is small by construction (at most ``max_hot_keys`` keys): collect it once
@@ -215,12 +216,12 @@ def _candidates(index_strings: DataFrame, probe_strings: DataFrame, t: float, st
         cold_i = it.filter(F.col("_hot").isNull()).select("k", "s")
         cold_p = pt.filter(F.col("_hot").isNull()).select("k", "r")
         found.append(cold_i.join(cold_p, "k", "inner").select(F.col("s").alias("a"), F.col("r").alias("b")))
-        # only the hot subset moves on; both sides are written once, as one table
+        # only the hot subset moves on; both sides are checkpointed once, as one table
         ni = _next_index(it.filter(F.col("_hot"))).select(
             F.lit("i").alias("side"), F.col("s").alias("str"), "tau", F.lit(None).cast("int").alias("delta"), "k", "rest")
         np_ = _next_probe(pt.filter(F.col("_hot"))).select(
             F.lit("p").alias("side"), F.col("r").alias("str"), "tau", "delta", "k", "rest")
-        nxt = materialize(ni.unionByName(np_), f"similarity-level{level + 1}")
+        nxt = ni.unionByName(np_).checkpoint(eager=True)  # reliable checkpoint below spark.checkpoint.dir
         idx = nxt.filter(F.col("side") == "i").select(F.col("str").alias("s"), "tau", "k", "rest")
         prb = nxt.filter(F.col("side") == "p").select(F.col("str").alias("r"), "tau", "delta", "k", "rest")
     out = found[0]
