@@ -549,3 +549,19 @@ def duplicate_contacts(spark, sf_dir):
     return dups.join(originals, "original_line").select(
         "line_number", X.mask_email("email").alias("email"), "dup_number", "original_line", "original_email",
         "original_first_name", "original_last_name")
+
+
+@query("merged_findings")
+def merged_findings(spark, sf_dir):
+    """Two partial validations of the same rows merged (join on line number) = the full findings."""
+    c = fixtures.contacts(spark, sf_dir)
+    a = rules.validate(c, rules=["email", "phone"])
+    b = rules.validate(c, rules=["required", "name", "completeness"])
+    return rules.explode_findings(rules.merge_findings(a, b))
+
+
+@query("dedup_report_groups")
+def dedup_report_groups(spark, sf_dir):
+    """Duplicate groups with the original's masked e-mail and names."""
+    _stats, groups = dedup.dedup_report(dedup.mark_duplicates(_valid(spark, sf_dir), "email"))
+    return groups.select("dup_key", "total_count", "original_line", "original_email", "first_name", "last_name")

@@ -756,3 +756,13 @@ SELECT mk.line_number, {_mask_email_sql('d.email')} AS email, mk.dup_number, mk.
 FROM mk JOIN v d ON mk.line_number = d.line_number JOIN v o ON mk.first_line = o.line_number
 WHERE mk.dup_number > 1
 """
+
+ORACLE["merged_findings"] = ORACLE["validation_findings"]
+
+ORACLE["dedup_report_groups"] = VALIDATED + _marked("email") + f""",
+g AS (SELECT dup_key, CAST(count(*) AS BIGINT) AS total_count, min(line_number) AS original_line
+      FROM mk WHERE dup_number IS NOT NULL GROUP BY dup_key HAVING count(*) > 1)
+SELECT g.dup_key, g.total_count, g.original_line, {_mask_email_sql('v.email')} AS original_email,
+  v.first_name, v.last_name
+FROM g JOIN v ON g.original_line = v.line_number
+"""
