@@ -113,17 +113,18 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialized: bool = Tr
     inside each rule expression.
     """
     sql, sources = FIXTURE_VIEWS[name]
-    register_tables(spark, sf_dir, sources)
-    df = spark.sql(sql)
-    if materialized:
-        # derived once per application and input folder, then re-read
-        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
-        path = _WRITTEN.get(key)
-        if path is None:
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    path = _WRITTEN.get(key) if materialized else None
+    if path is not None:
+        df = spark.read.parquet(path)  # derived once per application and input folder, then re-read
+    else:
+        register_tables(spark, sf_dir, sources)
+        df = spark.sql(sql)
+        if materialized:
             from ..session import write_scratch
 
             path = _WRITTEN[key] = write_scratch(df, f"fixture-{name}")
-        df = spark.read.parquet(path)
+            df = spark.read.parquet(path)
     df.createOrReplaceTempView(name)
     return df
 
