@@ -298,12 +298,3 @@ def find_potential_duplicates(probes: DataFrame, seen: DataFrame | None = None,
         F.lit(K.SIMILARITY_REASON).alias("reason"),
         F.row_number().over(w).cast("bigint").alias("rank"),
     )
-
-
-def brute_force_pairs(left: DataFrame, right: DataFrame, threshold: float, col: str = "s") -> DataFrame:
-    """Reference implementation for tests on small inputs only (a cross join)."""
-    L = left.select(F.col(col).alias("a")).distinct()
-    R = right.select(F.col(col).alias("b")).distinct()
-    sim = similarity("a", "b")
-    return L.crossJoin(R).withColumn("similarity", sim).filter(
-        (F.col("similarity") >= threshold) & (F.col("similarity") < 1.0))

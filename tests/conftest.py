@@ -39,3 +39,15 @@ def spark():
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="rosterspark-test-")
+
+
+def brute_force_pairs(left, right, threshold, col="s"):
+    """Reference for the near-duplicate join on small test inputs: an explicit cross join."""
+    from pyspark.sql import functions as F
+
+    from rosterspark.operators.fuzzy import similarity
+
+    L = left.select(F.col(col).alias("a")).distinct()
+    R = right.select(F.col(col).alias("b")).distinct()
+    return L.crossJoin(R).withColumn("similarity", similarity("a", "b")).filter(
+        (F.col("similarity") >= threshold) & (F.col("similarity") < 1.0))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rosterspark.operators import dedup, fuzzy, rules
 from rosterspark.sources import fixtures
 
-from conftest import SF001, SF01
+from conftest import SF001, SF01, brute_force_pairs
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def emails(spark):
 @pytest.mark.parametrize("t", [0.7, 0.8, 0.9])
 def test_segment_join_equals_brute_force(spark, emails, t):
     got = fuzzy.similar_pairs(emails, None, t).select("a", "b", F.round("similarity", 9).alias("x"))
-    ref = fuzzy.brute_force_pairs(emails, emails, t).select("a", "b", F.round("similarity", 9).alias("x"))
+    ref = brute_force_pairs(emails, emails, t).select("a", "b", F.round("similarity", 9).alias("x"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in ref.collect())
 
 
@@ -41,7 +41,7 @@ def test_short_strings_and_low_threshold(spark):
     df = spark.createDataFrame([(w,) for w in words], "s string")
     for t in (0.3, 0.5, 0.6):
         got = fuzzy.similar_pairs(df, df, t)
-        ref = fuzzy.brute_force_pairs(df, df, t)
+        ref = brute_force_pairs(df, df, t)
         assert sorted((r.a, r.b) for r in got.collect()) == sorted((r.a, r.b) for r in ref.collect()), t
 
 

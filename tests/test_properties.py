@@ -5,6 +5,8 @@ from hypothesis import strategies as st
 
 from rosterspark.operators import dedup, fuzzy
 
+from conftest import brute_force_pairs
+
 WORDS = st.lists(st.text(alphabet="ab@.c", min_size=1, max_size=9), min_size=2, max_size=40, unique=True)
 
 
@@ -13,7 +15,7 @@ WORDS = st.lists(st.text(alphabet="ab@.c", min_size=1, max_size=9), min_size=2,
 def test_fuzzy_levels_equal_brute_force(spark, words, t):
     df = spark.createDataFrame([(w,) for w in words], "s string")
     got = fuzzy.similar_pairs(df, None, t, materialize_inputs=False, hot_rows=2, max_hot_keys=1000, salt=3)
-    ref = fuzzy.brute_force_pairs(df, df, t)
+    ref = brute_force_pairs(df, df, t)
     assert sorted((r.a, r.b) for r in got.collect()) == sorted((r.a, r.b) for r in ref.collect())
 
 
