@@ -127,3 +127,27 @@ def test_autosave_and_stream_delivery(spark, tmpdir_path):
                             foreach_batch=R.stream_deliver(deliver_batch))
     led = D.read_ledger(spark, ledger).filter("success")
     assert led.count() == led.select("contact_id").distinct().count()
+
+
+def test_validate_report_job(spark):
+    from rosterspark.plans.jobs import validate_report
+    from rosterspark.sources import fixtures
+
+    from conftest import SF01
+
+    rep = validate_report(fixtures.contacts(spark, SF01))
+    s = rep.summary.first()
+    assert (s.total_records, s.valid_records, s.duplicates_found) == (1500, 917, 232)
+    top = rep.by_domain.orderBy("rank").first()
+    assert (top.domain, top.total, top.valid) == ("gmail.com", 225, 174)
+    assert rep.duplicates.count() == 232 and rep.duplicates.filter(F.col("email").contains("***@")).count() == 232
+
+
+def test_read_contacts_keeps_original(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "orig")
+    os.makedirs(d)
+    with open(os.path.join(d, "c.csv"), "w") as fh:
+        fh.write("Email,fname,extra\nA@x.com,Ann,1\n")
+    contacts, _q, _c = FS.read_contacts(spark, d, keep_original=True)
+    r = contacts.first()
+    assert r.email == "A@x.com" and r.first_name == "Ann" and r.original == {"Email": "A@x.com", "fname": "Ann", "extra": "1"}
