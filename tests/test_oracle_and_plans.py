@@ -76,3 +76,16 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_dedup_window_is_partitioned(spark):
     text = QUERIES["dup_email"](spark, SF01)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in text
+
+
+@pytest.mark.parametrize("name", ["progress_timeline", "phase_intervals", "session_progress", "sessions_export",
+                                  "retry_plan", "session_diff"])
+def test_time_queries_do_not_depend_on_session_time_zone(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        got = QUERIES[name](spark, SF01).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    want = duck.execute(ORACLE[name]).fetchdf()
+    assert rows_of(got) == rows_of(want)
