@@ -139,8 +139,8 @@ def classify_outcome(attempts: DataFrame, attempt_col: str | None = None) -> Dat
 
 
 def number_attempts(attempts: DataFrame, key: str = "contact_id", ts: str = "attempted_at") -> DataFrame:
-    """Attempt number per contact in time order (chunked by day, so a hot key stays parallel)."""
-    return ordinal(attempts, key, [ts, "seq"], F.date_trunc("day", F.col(ts)), "attempt_no")
+    """Attempt number per contact in time order (a contact with very many attempts is chunked)."""
+    return ordinal(attempts, key, [ts, "seq"], None, "attempt_no")
 
 
 def retry_plan(attempts: DataFrame, max_attempts: int = K.DEFAULT_MAX_ATTEMPTS) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 HOT_ROWS = 1 << 20  # keys with at least this many rows take the chunked path
 MAX_HOT_KEYS = 1024  # bound of the broadcast hot-key list
+CHUNK_ROWS = 1 << 18  # target rows per chunk of a hot key (automatic chunks)
 
 
 def time_chunk(ts: str, unit: str = "hour") -> Column:
@@ -51,6 +52,29 @@ def split_by_keys(df: DataFrame, key: str, keys: list):
     return tagged.filter(F.col("_hot").isNull()).drop("_hot"), tagged.filter(F.col("_hot")).drop("_hot")
 
 
+def auto_chunk(hot: DataFrame, key: str, order_col: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``_chunk`` to the rows of hot keys: equal-width ranges of ``order_col`` sized per key.
+
+    Width = (key's span of ``order_col``) * ``chunk_rows`` / (key's row count), from a
+    table with one row per hot key (bounded by the hot list, so it is broadcast).
+    Monotone in ``order_col``, so ties stay in one chunk.  Works for timestamps and numbers.
+    """
+    dtype = hot.schema[order_col].dataType
+    is_time = isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+    def pos(c, base):
+        return F.timestamp_diff("MICROSECOND", base, c) if is_time else (c - base)
+
+    stats = hot.groupBy(key).agg(F.min(order_col).alias("_o0"), F.max(order_col).alias("_o1"),
+                                 F.count(F.lit(1)).alias("_on"))
+    stats = stats.select(key, "_o0", F.greatest(
+        F.lit(1.0), pos(F.col("_o1"), F.col("_o0")).cast("double") * F.lit(float(chunk_rows)) / F.col("_on")
+    ).alias("_ow"))
+    out = hot.join(F.broadcast(stats), key, "inner")
+    return out.withColumn("_chunk", F.floor(pos(F.col(order_col), F.col("_o0")).cast("double") / F.col("_ow"))
+                          .cast("bigint")).drop("_o0", "_ow")
+
+
 def _split_hot(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int):
     """``(cold, hot)``; ``hot`` is None when no key reaches ``hot_rows``."""
     keys = hot_key_list(df, key, hot_rows, max_hot_keys)
@@ -68,11 +92,14 @@ def running(
     lasts: dict[str, Column] | None = None,
     hot_rows: int | None = HOT_ROWS,
     max_hot_keys: int = MAX_HOT_KEYS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add inclusive running ``sums`` and last non-null ``lasts`` per key in ``order``.
 
     Keys with fewer than ``hot_rows`` rows use one partitioned window; hot keys
-    (a bounded list) are scanned in chunks.  ``hot_rows=None`` chunks every key.
+    (a bounded list) are scanned in chunks: ``chunk`` if given, else automatic
+    chunks of about ``chunk_rows`` rows (``auto_chunk``).  ``hot_rows=None``
+    chunks every key and needs an explicit ``chunk``.
     """
     if hot_rows is None:
         return _running_chunked(df, key, order, chunk, sums, lasts)
@@ -86,6 +113,9 @@ def running(
         plain = plain.withColumn(n, F.last(c, ignorenulls=True).over(w))
     if hot is None:
         return plain
+    if chunk is None:
+        hot = auto_chunk(hot, key, order[0], chunk_rows)
+        chunk = F.col("_chunk")
     return plain.unionByName(_running_chunked(hot, key, order, chunk, sums, lasts))
 
 
@@ -99,7 +129,7 @@ def _running_chunked(
 ) -> DataFrame:
     """Chunked form of ``running`` (every key split by ``chunk``)."""
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    d = df.withColumn("_chunk", chunk)
+    d = df if chunk is None else df.withColumn("_chunk", chunk)
     for n, c in sums.items():
         d = d.withColumn(f"_v_{n}", c)
     for n, c in lasts.items():
@@ -137,8 +167,9 @@ def _running_chunked(
     return out.drop(*drop)
 
 
-def neighbors(df: DataFrame, key: str, order: list[str], chunk: Column, cols: list[str],
-              hot_rows: int | None = HOT_ROWS, max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+def neighbors(df: DataFrame, key: str, order: list[str], chunk: Column | None, cols: list[str],
+              hot_rows: int | None = HOT_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
+              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``prev_<c>`` / ``next_<c>`` (values of the previous / next row of the key).
 
     Cold keys use ``lag``/``lead`` over one partitioned window, hot keys the chunked form.
@@ -152,12 +183,16 @@ def neighbors(df: DataFrame, key: str, order: list[str], chunk: Column, cols: li
         plain = plain.withColumn(f"prev_{c}", F.lag(c).over(w)).withColumn(f"next_{c}", F.lead(c).over(w))
     if hot is None:
         return plain
+    if chunk is None:
+        hot = auto_chunk(hot, key, order[0], chunk_rows)
+        chunk = F.col("_chunk")
     return plain.unionByName(_neighbors_chunked(hot, key, order, chunk, cols))
 
 
 def _neighbors_chunked(df: DataFrame, key: str, order: list[str], chunk: Column, cols: list[str]) -> DataFrame:
     """Chunked form of ``neighbors``."""
-    d = df.withColumn("_chunk", chunk).withColumn("_row", F.struct(*[F.col(c) for c in cols]))
+    d = df.withColumn("_chunk", chunk) if chunk is not None else df
+    d = d.withColumn("_row", F.struct(*[F.col(c) for c in cols]))
     wl = Window.partitionBy(key, "_chunk").orderBy(*order)
     local = d.withColumn("_lag", F.lag("_row").over(wl)).withColumn("_lead", F.lead("_row").over(wl))
     order_struct = F.struct(*[F.col(o) for o in order])
@@ -179,7 +214,8 @@ def _neighbors_chunked(df: DataFrame, key: str, order: list[str], chunk: Column,
     return out.drop("_chunk", "_row", "_lag", "_lead", "_prev_last", "_next_first")
 
 
-def ordinal(df: DataFrame, key: str, order: list[str], chunk: Column, name: str = "ordinal",
-            hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def ordinal(df: DataFrame, key: str, order: list[str], chunk: Column | None = None, name: str = "ordinal",
+            hot_rows: int | None = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """1-based position of each row within its key (a running count)."""
-    return running(df, key, order, chunk, sums={name: F.lit(1).cast("bigint")}, hot_rows=hot_rows)
+    return running(df, key, order, chunk, sums={name: F.lit(1).cast("bigint")}, hot_rows=hot_rows,
+                   chunk_rows=chunk_rows)

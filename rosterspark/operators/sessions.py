@@ -32,6 +32,11 @@ STATISTICS_UPDATE = "statistics_update"
 EMA_KEEP = 0.8  # weight of the old average in the moving average of batch time
 
 
+def _chunk(unit: str | None):
+    """Chunks for hot sessions: a fixed time unit if given, else automatic (about CHUNK_ROWS rows)."""
+    return time_chunk("ts", unit) if unit else None
+
+
 def _is(t: str) -> Column:
     return F.col("type") == F.lit(t)
 
@@ -164,7 +169,7 @@ def sessions_export(sessions: DataFrame, as_of: Column | None = None) -> DataFra
 # --- progress events ----------------------------------------------------------
 
 
-def progress_timeline(events: DataFrame, chunk_unit: str = "hour") -> DataFrame:
+def progress_timeline(events: DataFrame, chunk_unit: str | None = None) -> DataFrame:
     """Running counters and current phase after each event of a session."""
     rp = _is(RECORD_PROCESSED)
     sums = {
@@ -177,7 +182,7 @@ def progress_timeline(events: DataFrame, chunk_unit: str = "hour") -> DataFrame:
         "milestones": _n(_is(MILESTONE_REACHED)),
     }
     lasts = {"current_phase": F.when(_is(PHASE_CHANGE), F.col("phase"))}
-    out = running(events, "session_id", EVENT_ORDER, time_chunk("ts", chunk_unit), sums, lasts)
+    out = running(events, "session_id", EVENT_ORDER, _chunk(chunk_unit), sums, lasts)
     return out.select("seq", "session_id", "ts", *sums.keys(), "current_phase")
 
 
@@ -185,11 +190,11 @@ def _batch_times(events: DataFrame) -> DataFrame:
     return events.filter(_is(BATCH_COMPLETE) & (F.col("duration_ms") > 0))
 
 
-def batch_time_mean(events: DataFrame, chunk_unit: str = "hour") -> DataFrame:
+def batch_time_mean(events: DataFrame, chunk_unit: str | None = None) -> DataFrame:
     """Running mean of batch durations (non-zero ones) after each completed batch."""
     b = _batch_times(events)
     out = running(
-        b, "session_id", EVENT_ORDER, time_chunk("ts", chunk_unit),
+        b, "session_id", EVENT_ORDER, _chunk(chunk_unit),
         sums={"batch_no": F.lit(1).cast("bigint"), "_sum_ms": F.col("duration_ms")},
     )
     return out.select(
@@ -197,7 +202,7 @@ def batch_time_mean(events: DataFrame, chunk_unit: str = "hour") -> DataFrame:
     )
 
 
-def batch_time_ema(events: DataFrame, chunk_unit: str = "hour") -> DataFrame:
+def batch_time_ema(events: DataFrame, chunk_unit: str | None = None) -> DataFrame:
     """Moving average of batch time per session (first value, then 0.8*old + 0.2*new).
 
     Closed form ``sum(w_i * d_i)`` with ``w_1 = 0.8^(n-1)`` and
@@ -205,7 +210,7 @@ def batch_time_ema(events: DataFrame, chunk_unit: str = "hour") -> DataFrame:
     chunked running count) and the session's count ``n``; the sum is a
     partial aggregation.  No session is ever collected into one array.
     """
-    b = ordinal(_batch_times(events), "session_id", EVENT_ORDER, time_chunk("ts", chunk_unit), "i")
+    b = ordinal(_batch_times(events), "session_id", EVENT_ORDER, _chunk(chunk_unit), "i")
     n = b.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
     j = b.join(n, "session_id")
     keep = F.lit(EMA_KEEP)
@@ -218,10 +223,10 @@ def batch_time_ema(events: DataFrame, chunk_unit: str = "hour") -> DataFrame:
     )
 
 
-def phase_intervals(events: DataFrame, chunk_unit: str = "hour") -> DataFrame:
+def phase_intervals(events: DataFrame, chunk_unit: str | None = None) -> DataFrame:
     """Per phase change: previous phase, phase, entered at, time spent (ms) until the next."""
     pc = events.filter(_is(PHASE_CHANGE)).select("session_id", "seq", "ts", "phase")
-    out = neighbors(pc, "session_id", EVENT_ORDER, time_chunk("ts", chunk_unit), ["phase", "ts"])
+    out = neighbors(pc, "session_id", EVENT_ORDER, _chunk(chunk_unit), ["phase", "ts"])
     return out.select(
         "session_id",
         "seq",

@@ -127,3 +127,19 @@ def test_chunked_neighbors_equals_lag_lead(spark, hot_rows):
     ref = ev.select("seq", F.lag("phase").over(w).alias("p"), F.lead("seq").over(w).alias("n"))
     a = sorted(tuple(r) for r in got.select("seq", "prev_phase", "next_seq").collect())
     assert a == sorted(tuple(r) for r in ref.collect())
+
+
+@pytest.mark.parametrize("order", [["ts", "seq"], ["seq"]])
+def test_automatic_chunks_equal_plain_window(spark, order):
+    ev = fixtures.progress_events(spark, SF01)
+    rp = (F.col("type") == "record_processed").cast("long")
+    lasts = {"ph": F.when(F.col("type") == "phase_change", F.col("phase"))}
+    got = ordered.running(ev, "session_id", order, None, sums={"n": rp}, lasts=lasts, hot_rows=50, chunk_rows=7)
+    w = Window.partitionBy("session_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ref = ev.select("seq", F.sum(rp).over(w).alias("n"), F.last(lasts["ph"], True).over(w).alias("ph"))
+    assert sorted(tuple(r) for r in got.select("seq", "n", "ph").collect()) == sorted(tuple(r) for r in ref.collect())
+    nb = ordered.neighbors(ev, "session_id", order, None, ["seq"], hot_rows=50, chunk_rows=5)
+    w2 = Window.partitionBy("session_id").orderBy(*order)
+    ref2 = ev.select("seq", F.lag("seq").over(w2).alias("p"), F.lead("seq").over(w2).alias("n"))
+    assert sorted(tuple(r) for r in nb.select("seq", "prev_seq", "next_seq").collect()) == \
+        sorted(tuple(r) for r in ref2.collect())
