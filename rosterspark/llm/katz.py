@@ -279,7 +279,7 @@ def _documents(d, tokens, words, starts, table: pa.Table) -> pa.Table:
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` scored by the model learnt from the training rows of ``docs`` (module docstring); columns ``RESULT``."""
-    n = bucket_count(docs.sparkSession)
+    n = (bucket_count(docs.sparkSession) + 1) // 2  # every chunk sends a row to every bucket: fewer, larger ones
     rows = doc_rows(docs)
     found = per_bucket(rows.mapInArrow(partial(_vocabulary_blocks, n), BLOCK), partial(_vocabulary, n),
                        "words long, tokens long, ends long, nr array<long>, block binary").collect()  # one row per bucket
