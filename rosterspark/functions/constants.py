@@ -83,7 +83,7 @@ MSG_MISSING_NAME = "No name information provided"
 # --- fixed values: codes ----------------------------------------------------
 SOURCE_CSV = "csv_import"
 REDACTED = "[REDACTED]"
-SENSITIVE_COLUMNS = ["password", "token", "secret", "key", "auth"]
+SENSITIVE_COLUMNS = ["password", "token", "secret", "key", "auth", "apiKey"]
 
 # --- fixed values: dedup strategy names -------------------------------------
 STRATEGY_NAMES = {

@@ -256,6 +256,22 @@ def new_against_seen(df: DataFrame, seen_keys: DataFrame, strategy="email") -> D
     return keyed.join(seen_keys.select("dup_key").distinct(), "dup_key", "left_anti")
 
 
-def remember_keys(marked: DataFrame, path: str, mode: str = "append") -> None:
-    """Persist the first holder of each key so a later run can continue."""
-    marked.filter(F.col("dup_number") == 1).select("dup_key", "line_number").write.mode(mode).parquet(path)
+def mark_across_runs(df: DataFrame, seen_keys: DataFrame, strategy="email") -> DataFrame:
+    """``mark_duplicates`` on top of earlier runs (``seen_keys`` from ``remember_keys``).
+
+    The first holder of a key that m rows had before is number m + 1, and
+    ``original_line`` points at the earliest run's first holder.
+    """
+    seen = seen_keys.groupBy("dup_key").agg(F.sum("n").alias("_n"), F.min_by("line_number", "run").alias("_line"))
+    marked = mark_duplicates(df, strategy).join(seen, "dup_key", "left")
+    known = F.col("_n").isNotNull()
+    return (marked.withColumn("dup_number", F.when(known, F.col("dup_number") + F.col("_n")).otherwise(F.col("dup_number")))
+            .withColumn("is_duplicate", F.col("is_duplicate") | known)
+            .withColumn("original_line", F.when(known, F.col("_line")).otherwise(F.col("original_line")))
+            .drop("_n", "_line"))
+
+
+def remember_keys(marked: DataFrame, path: str, mode: str = "append", run: int = 0) -> None:
+    """Persist each key's first line and number of rows, so that a later run can continue."""
+    first = marked.filter("dup_key is not null").groupBy("dup_key").agg(F.min("line_number").alias("line_number"), F.count(F.lit(1)).alias("n"))
+    first.withColumn("run", F.lit(run)).write.mode(mode).parquet(path)

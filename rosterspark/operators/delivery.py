@@ -393,7 +393,8 @@ def deliver(
     ledger already records as successful for ``session_id`` are skipped (J4).
     Rows are spread over ``concurrency`` partitions by batch (a batch stays in
     one partition, in order); the global rate is split evenly across them.
-    Results are written once and read back, never recomputed.
+    Results are written once and read back, never recomputed: the latest row
+    of each contact of the session.
     """
     spark = to_send.sparkSession
     from ..session import ship_package
@@ -407,11 +408,20 @@ def deliver(
         F.from_json(F.col("payload"), "map<string,string>").alias("payload"),
     )
     parts = max(1, int(concurrency))
+    parts = min(parts, max(1, int(burst)))  # every sender may start with one request: no more of them than the burst
     fn = _send_partition(sender, session_id, max_attempts, rate_per_s / parts, max(1, burst // parts), fail_fast,
                          sleep, delay_ms)
     results = rows.repartition(parts, "batch_no").sortWithinPartitions("seq").mapInPandas(fn, RESULT_SCHEMA)
     results.write.mode("append").parquet(ledger_path)
-    return read_ledger(spark, ledger_path).filter(F.col("session_id") == session_id)
+    return latest_results(read_ledger(spark, ledger_path).filter(F.col("session_id") == session_id))
+
+
+def latest_results(ledger: DataFrame) -> DataFrame:
+    """The last row of each contact (a success over a failure of the same time); contacts without an id keep all rows."""
+    rank = F.struct("sent_at", "success", "attempts", "seq")
+    cols = ledger.columns
+    last = ledger.filter("contact_id is not null").groupBy("session_id", "contact_id").agg(F.max_by(F.struct(*cols), rank).alias("_r"))
+    return last.select("_r.*").select(*cols).unionByName(ledger.filter("contact_id is null"))
 
 
 def read_ledger(spark, ledger_path: str) -> DataFrame:

@@ -269,15 +269,23 @@ def has_errors_for_field(findings: Column | str, fld: str) -> Column:
     return F.exists(findings, lambda f: (f["field"] == fld) & (f["severity"] == ERROR))
 
 
+def _count_of(severity: str) -> Column:
+    return F.size(F.filter("findings", lambda f: f["severity"] == severity))
+
+
 def merge_findings(a: DataFrame, b: DataFrame, key: str = "line_number") -> DataFrame:
     """Concatenate two validations of the same rows; valid only if both are."""
     b2 = b.select(key, F.col("findings").alias("_f2"), F.col("is_valid").alias("_v2"))
-    return (
+    out = (
         a.join(b2, key, "inner")
         .withColumn("findings", F.concat("findings", "_f2"))
         .withColumn("is_valid", F.col("is_valid") & F.col("_v2"))
         .drop("_f2", "_v2")
     )
+    for name, severity in (("error_count", ERROR), ("warning_count", WARNING)):
+        if name in out.columns:
+            out = out.withColumn(name, _count_of(severity).cast(dict(a.dtypes)[name]))
+    return out
 
 
 def split_valid(validated: DataFrame):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.expr import contact_id
+from ..functions.expr import contact_id, has_valid_email
 from ..operators import dedup, delivery, report, rules
 from ..session import materialize
 
@@ -110,7 +110,7 @@ def import_contacts(
         c = c.filter(F.col("line_number") <= F.lit(int(max_records)))
     if skip_validation:
         v = c.withColumn("findings", rules.findings_column([])).withColumn("error_count", F.lit(0)).withColumn(
-            "warning_count", F.lit(0)).withColumn("is_valid", F.lit(True))
+            "warning_count", F.lit(0)).withColumn("is_valid", has_valid_email())
     else:
         v = rules.validate(c)
     m = v if skip_dedup else dedup.mark_duplicates(v, "email")

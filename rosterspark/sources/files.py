@@ -151,7 +151,7 @@ def read_contacts(
     required=("email",),
     max_rows: int | None = None,
     encoding: str = "utf8",
-    multiline: bool = False,
+    multiline: bool = True,
     mode: str = "exact",
     keep_original: bool = False,
 ):
@@ -159,7 +159,8 @@ def read_contacts(
 
     Raises ``ValueError`` when a required header is missing.  ``max_rows``
     (S2) keeps the first n data rows, empty rows included, as a filter on the
-    dense line number.  ``multiLine`` is opt-in: it makes files unsplittable.
+    dense line number.  Quoted line breaks are read as
+    such by default; ``multiline=False`` lets large files be split where there are none.
     Note: Spark's reader drops completely blank lines, so line numbers count
     non-blank data lines.
     """
@@ -222,7 +223,7 @@ def write_contacts(df: DataFrame, path: str, columns=None, append: bool = False)
     (
         df.select(*[F.col(f"`{c}`").cast("string") for c in cols])
         .write.mode("append" if append else "overwrite")
-        .option("header", not append)
+        .option("header", True)  # the reader drops the first record of every file
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
