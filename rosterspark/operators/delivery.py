@@ -162,21 +162,25 @@ def retry_plan(attempts: DataFrame, max_attempts: int = K.DEFAULT_MAX_ATTEMPTS)
 
 
 def final_outcomes(attempts: DataFrame) -> DataFrame:
-    """The last attempt of each contact (partial ``max_by``), with its triage."""
-    c = classify_outcome(number_attempts(attempts), "attempt_no")
-    cols = ["seq", "attempt_no", "success", "error_code", "attempted_at"]
-    last = c.groupBy("contact_id").agg(
-        F.max_by(F.struct(*cols), F.struct("attempted_at", "seq")).alias("_l"),
+    """The last attempt of each contact with its triage; its number is the contact's number of attempts.
+
+    One partial aggregate (``max_by`` and ``count``), then triage of one row per contact.
+    """
+    rest = [c for c in attempts.columns if c != "contact_id"]
+    last = attempts.groupBy("contact_id").agg(
+        F.max_by(F.struct(*rest), F.struct("attempted_at", "seq")).alias("_l"),
+        F.count(F.lit(1)).alias("attempt_no"),
     )
-    return last.select("contact_id", *[F.col(f"_l.{x}").alias(x) for x in cols])
+    last = last.select("contact_id", "attempt_no", *[F.col(f"_l.{c}").alias(c) for c in rest if c != "attempt_no"])
+    return classify_outcome(last, "attempt_no").select(
+        "contact_id", "seq", "attempt_no", "success", "error_code", "attempted_at")
 
 
 # --- A8 / A9 / A10 / A14 statistics -----------------------------------------
 
 
-def batch_stats(results: DataFrame) -> DataFrame:
-    """A8 per batch and A9 grand total in one ``rollup(batch_no)`` (total row: ``batch_no`` NULL)."""
-    r = results.rollup("batch_no").agg(
+def _batch_counts(results: DataFrame) -> DataFrame:
+    return results.groupBy("batch_no").agg(
         F.count(F.lit(1)).cast("bigint").alias("total"),
         F.count_if("success").cast("bigint").alias("successful"),
         F.count_if(~F.col("success")).cast("bigint").alias("failed"),
@@ -184,26 +188,24 @@ def batch_stats(results: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(F.col("error_code"), F.lit("")) != K.ERROR_VALIDATION_FAILED).cast("bigint").alias(
             "processed"
         ),
-        F.countDistinct("batch_no").cast("bigint").alias("batches"),
-        F.grouping("batch_no").alias("_g"),
     )
-    return r.withColumn("success_rate", rate_pct("successful", "total"))
 
 
 def per_batch_stats(results: DataFrame) -> DataFrame:
-    return batch_stats(results).filter(F.col("_g") == 0).drop("_g", "batches")
+    """Counts and success rate of each batch."""
+    return _batch_counts(results).withColumn("success_rate", rate_pct("successful", "total"))
 
 
 def combined_batch_stats(results: DataFrame) -> DataFrame:
-    """Batches, requests, successful, failed, success rate."""
-    t = batch_stats(results).filter(F.col("_g") == 1)
-    return t.select(
-        F.col("batches").alias("total_batches"),
-        F.col("total").alias("total_requests"),
-        "successful",
-        "failed",
-        "success_rate",
+    """Batches, requests, successful, failed, success rate: sums over the batches (zeros without any)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    t = _batch_counts(results).agg(
+        F.count("batch_no").cast("bigint").alias("total_batches"),
+        total("total").alias("total_requests"),
+        total("successful").alias("successful"),
+        total("failed").alias("failed"),
     )
+    return t.withColumn("success_rate", rate_pct("successful", "total_requests"))
 
 
 def delivery_run_stats(results: DataFrame, ts: str = "attempted_at") -> DataFrame:

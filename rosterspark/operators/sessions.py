@@ -86,13 +86,14 @@ def session_progress(sessions: DataFrame, as_of: Column | None = None) -> DataFr
     )
 
 
+def _can_resume() -> Column:
+    return (F.col("status").isin(*K.RESUMABLE_STATUSES) & F.col("total").isNotNull()
+            & (F.col("processed") < F.col("total")))
+
+
 def resumable(sessions: DataFrame) -> DataFrame:
     """T5: paused/failed/interrupted sessions with a summary and work left."""
-    return sessions.filter(
-        F.col("status").isin(*K.RESUMABLE_STATUSES)
-        & F.col("total").isNotNull()
-        & (F.col("processed") < F.col("total"))
-    ).select("session_id", "status", "total", "processed", (F.col("total") - F.col("processed")).alias("remaining"))
+    return sessions.filter(_can_resume()).select("session_id", "status", "total", "processed", (F.col("total") - F.col("processed")).alias("remaining"))
 
 
 def resumable_overview(sessions: DataFrame) -> DataFrame:
@@ -106,8 +107,8 @@ def resumable_overview(sessions: DataFrame) -> DataFrame:
 
 def latest_resumable(sessions: DataFrame) -> DataFrame:
     """The newest resumable session (top-1 is the feature)."""
-    return resumable(sessions.select("session_id", "status", "total", "processed", "start_time")).join(
-        sessions.select("session_id", "start_time"), "session_id"
+    return sessions.filter(_can_resume()).select(
+        "session_id", "status", "total", "processed", (F.col("total") - F.col("processed")).alias("remaining"), "start_time",
     ).orderBy(F.desc("start_time"), F.desc("session_id")).limit(1)
 
 
