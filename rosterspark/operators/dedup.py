@@ -1,9 +1,9 @@
 """Exact deduplication.
 
 ``mark_duplicates`` numbers the holders of each key in input order.  Rows with
-a blank key never enter the shuffle.  Hot keys (the ones holding at least
-``hot_rows`` rows, at most ``max_hot_keys`` of them, so the broadcast list has
-a fixed bound) are split by ranges of the order column: each range is numbered
+a blank key never enter the shuffle.  Hot keys (all that hold at least
+``hot_rows`` rows; up to ``max_hot_keys`` are a broadcast list, more a joined
+table) are split by ranges of the order column: each range is numbered
 locally and the per-range counts are prefix-summed and joined back, so no key,
 however large, is sorted by a single task.  Every other key goes through one
 plain ``row_number`` window.  Results are exact in both paths.
@@ -114,15 +114,14 @@ def mark_duplicates(
         )
         return finish(cold).unionByName(blanks)
 
-    from .ordered import hot_key_list, split_by_keys
+    from .ordered import hot_key_table, split_by_keys
 
     present_keys = present.select("dup_key", order_col)
-    hot_keys = hot_key_list(present_keys, "dup_key", hot_rows, max_hot_keys)
-    if not hot_keys:
+    hot_keys = hot_key_table(present_keys, "dup_key", hot_rows, max_hot_keys)
+    if hot_keys is None:
         cold = present.withColumn("dup_number", F.row_number().over(w).cast("bigint")).withColumn(
             "_first", F.first(order_col).over(w))
         return finish(cold).unionByName(blanks)
-    # the hot list has at most ``max_hot_keys`` entries: broadcast as a local relation
     cold_rows, hot_rows_df = split_by_keys(present, "dup_key", hot_keys)
     cold = (
         cold_rows.withColumn("dup_number", F.row_number().over(w).cast("bigint"))
@@ -232,16 +231,14 @@ def dedup_report(marked: DataFrame, strategy="email"):
     from ..functions.expr import mask_email
 
     stats = dedup_stats(marked.drop("dup_key", "dup_number", "is_duplicate", "original_line"), strategy)
-    originals = marked.filter(F.col("dup_number") == 1).select(
-        "dup_key", F.col("line_number").alias("original_line"), mask_email("email").alias("original_email"),
-        "first_name", "last_name",
-    )
+    first = F.struct(F.col("line_number").alias("original_line"), mask_email("email").alias("original_email"),
+                     "first_name", "last_name")
     groups = (
         marked.filter(F.col("dup_number").isNotNull())
         .groupBy("dup_key")
-        .agg(F.count(F.lit(1)).alias("total_count"))
-        .filter(F.col("total_count") > 1)
-        .join(originals, "dup_key")
+        .agg(F.count(F.lit(1)).alias("total_count"), F.max(F.when(F.col("dup_number") == 1, first)).alias("_first"))
+        .filter((F.col("total_count") > 1) & F.col("_first").isNotNull())
+        .select("dup_key", "total_count", "_first.*")
     )
     return stats, groups
 
@@ -256,22 +253,22 @@ def new_against_seen(df: DataFrame, seen_keys: DataFrame, strategy="email") -> D
     return keyed.join(seen_keys.select("dup_key").distinct(), "dup_key", "left_anti")
 
 
-def mark_across_runs(df: DataFrame, seen_keys: DataFrame, strategy="email") -> DataFrame:
+def mark_across_runs(df: DataFrame, seen_keys: DataFrame, strategy="email", order_col: str = "line_number") -> DataFrame:
     """``mark_duplicates`` on top of earlier runs (``seen_keys`` from ``remember_keys``).
 
     The first holder of a key that m rows had before is number m + 1, and
     ``original_line`` points at the earliest run's first holder.
     """
     seen = seen_keys.groupBy("dup_key").agg(F.sum("n").alias("_n"), F.min_by("line_number", "run").alias("_line"))
-    marked = mark_duplicates(df, strategy).join(seen, "dup_key", "left")
-    known = F.col("_n").isNotNull()
+    marked = mark_duplicates(df, strategy, order_col).join(seen, "dup_key", "left")
+    known = F.col("_n").isNotNull() & ~_blank(F.col("dup_key"))
     return (marked.withColumn("dup_number", F.when(known, F.col("dup_number") + F.col("_n")).otherwise(F.col("dup_number")))
             .withColumn("is_duplicate", F.col("is_duplicate") | known)
             .withColumn("original_line", F.when(known, F.col("_line")).otherwise(F.col("original_line")))
             .drop("_n", "_line"))
 
 
-def remember_keys(marked: DataFrame, path: str, mode: str = "append", run: int = 0) -> None:
+def remember_keys(marked: DataFrame, path: str, mode: str = "append", run: int = 0, order_col: str = "line_number") -> None:
     """Persist each key's first line and number of rows, so that a later run can continue."""
-    first = marked.filter("dup_key is not null").groupBy("dup_key").agg(F.min("line_number").alias("line_number"), F.count(F.lit(1)).alias("n"))
+    first = marked.filter(~_blank(F.col("dup_key"))).groupBy("dup_key").agg(F.min(order_col).alias("line_number"), F.count(F.lit(1)).alias("n"))
     first.withColumn("run", F.lit(run)).write.mode(mode).parquet(path)

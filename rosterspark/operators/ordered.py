@@ -9,10 +9,10 @@ totals, the last non-null values and the boundary rows across chunks, and is
 joined back on ``(key, chunk)`` (same hash partitioning as the local window, so
 the big side is not shuffled again).  Results equal the single-window scan.
 
-Only hot keys pay for this: a partial count per key picks the keys with at
-least ``hot_rows`` rows (at most ``max_hot_keys`` of them, a bounded broadcast
-list); all other keys use one plain partitioned window, whose largest task is
-then bounded by ``hot_rows`` rows.
+Only hot keys pay for this: a partial count per key picks all keys with at
+least ``hot_rows`` rows; every other key uses one plain partitioned window, whose
+largest task is then bounded by ``hot_rows`` rows.  Up to ``max_hot_keys`` hot
+keys are a broadcast list, more of them a written table that is joined.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 HOT_ROWS = 1 << 20  # keys with at least this many rows take the chunked path
-MAX_HOT_KEYS = 1024  # bound of the broadcast hot-key list
+MAX_HOT_KEYS = 1024  # longest hot-key list that is broadcast; more keys are joined as a table
 CHUNK_ROWS = 1 << 18  # target rows per chunk of a hot key (automatic chunks)
 
 
@@ -31,24 +33,26 @@ def time_chunk(ts: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(ts))
 
 
-def hot_key_list(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int) -> list:
-    """Keys with at least ``hot_rows`` rows, at most ``max_hot_keys`` of them (partial count, then top-k).
+def hot_key_table(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int) -> DataFrame | None:
+    """``(key, _hot)`` of all keys with at least ``hot_rows`` rows; None if there are none, so callers can leave the
+    hot branch out of the plan.
 
-    The result is a bounded list on the driver; callers leave the hot branch out
-    of the plan when it is empty and broadcast it as a local relation otherwise.
+    Up to ``max_hot_keys`` keys pass through the driver as a broadcast list.  More
+    of them are written out and left to the optimizer's choice of join.
     """
-    rows = (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n")).limit(max_hot_keys).select(key).collect()
-    )
-    return [r[0] for r in rows]
-
-
-def split_by_keys(df: DataFrame, key: str, keys: list):
-    """``(rows whose key is not in keys, rows whose key is)`` via a broadcast of the (bounded) key list."""
-    spark = df.sparkSession
-    hot = spark.createDataFrame([(k,) for k in keys], T.StructType([df.schema[key]])).withColumn("_hot", F.lit(True))
-    tagged = df.join(F.broadcast(hot), key, "left")
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(key)
+    few = hot.limit(max_hot_keys + 1).collect()
+    if not few:
+        return None
+    if len(few) > max_hot_keys:
+        return materialize(hot, "hot-keys").withColumn("_hot", F.lit(True))
+    local = df.sparkSession.createDataFrame([(r[0],) for r in few], T.StructType([df.schema[key]]))
+    return F.broadcast(local.withColumn("_hot", F.lit(True)))
+
+
+def split_by_keys(df: DataFrame, key: str, hot: DataFrame):
+    """``(rows whose key is not in hot, rows whose key is)`` for a table of ``hot_key_table``."""
+    tagged = df.join(hot, key, "left")
     return tagged.filter(F.col("_hot").isNull()).drop("_hot"), tagged.filter(F.col("_hot")).drop("_hot")
 
 
@@ -56,7 +60,7 @@ def auto_chunk(hot: DataFrame, key: str, order_col: str, chunk_rows: int = CHUNK
     """Add ``_chunk`` to the rows of hot keys: equal-width ranges of ``order_col`` sized per key.
 
     Width = (key's span of ``order_col``) * ``chunk_rows`` / (key's row count), from a
-    table with one row per hot key (bounded by the hot list, so it is broadcast).
+    table with one row per hot key.
     Monotone in ``order_col``, so ties stay in one chunk.  Works for timestamps and numbers.
     """
     dtype = hot.schema[order_col].dataType
@@ -70,17 +74,17 @@ def auto_chunk(hot: DataFrame, key: str, order_col: str, chunk_rows: int = CHUNK
     stats = stats.select(key, "_o0", F.greatest(
         F.lit(1.0), pos(F.col("_o1"), F.col("_o0")).cast("double") * F.lit(float(chunk_rows)) / F.col("_on")
     ).alias("_ow"))
-    out = hot.join(F.broadcast(stats), key, "inner")
+    out = hot.join(stats, key, "inner")
     return out.withColumn("_chunk", F.floor(pos(F.col(order_col), F.col("_o0")).cast("double") / F.col("_ow"))
                           .cast("bigint")).drop("_o0", "_ow")
 
 
 def _split_hot(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int):
     """``(cold, hot)``; ``hot`` is None when no key reaches ``hot_rows``."""
-    keys = hot_key_list(df, key, hot_rows, max_hot_keys)
-    if not keys:
+    hot = hot_key_table(df, key, hot_rows, max_hot_keys)
+    if hot is None:
         return df, None
-    return split_by_keys(df, key, keys)
+    return split_by_keys(df, key, hot)
 
 
 def running(
@@ -97,7 +101,7 @@ def running(
     """Add inclusive running ``sums`` and last non-null ``lasts`` per key in ``order``.
 
     Keys with fewer than ``hot_rows`` rows use one partitioned window; hot keys
-    (a bounded list) are scanned in chunks: ``chunk`` if given, else automatic
+    are scanned in chunks: ``chunk`` if given, else automatic
     chunks of about ``chunk_rows`` rows (``auto_chunk``).  ``hot_rows=None``
     chunks every key and needs an explicit ``chunk``.
     """

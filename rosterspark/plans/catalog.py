@@ -410,7 +410,7 @@ def csv_contacts(spark, sf_dir):
     """Contacts written as multi-file CSV by Spark, read back and numbered."""
     c = fixtures.contacts(spark, sf_dir)
     path = scratch_path(spark, f"contacts-csv-{_uuid.uuid4().hex[:12]}")
-    ordered = c.repartitionByRange(4, "line_number").sortWithinPartitions("line_number").drop("line_number")
+    ordered = c.repartitionByRange("line_number").sortWithinPartitions("line_number").drop("line_number")
     FS.write_contacts(ordered, path)
     contacts, _quarantine, _check = FS.read_contacts(spark, path)
     return contacts
@@ -420,7 +420,7 @@ def csv_contacts(spark, sf_dir):
 def csv_quarantine(spark, sf_dir):
     c = fixtures.contacts(spark, sf_dir)
     path = scratch_path(spark, f"contacts-csv-{_uuid.uuid4().hex[:12]}")
-    ordered = c.repartitionByRange(4, "line_number").sortWithinPartitions("line_number").drop("line_number")
+    ordered = c.repartitionByRange("line_number").sortWithinPartitions("line_number").drop("line_number")
     FS.write_contacts(ordered, path)
     _contacts, quarantine, _check = FS.read_contacts(spark, path)
     return quarantine
@@ -451,8 +451,8 @@ QUERIES["potential_duplicates_08"] = _near(0.8)
 from ..streaming import jobs as R  # noqa: E402
 
 
-def _ordered_parts(df, path, parts=4):
-    df.repartitionByRange(parts, "line_number").sortWithinPartitions("line_number").write.mode("append").parquet(path)
+def _ordered_parts(df, path):
+    df.repartitionByRange("line_number").sortWithinPartitions("line_number").write.mode("append").parquet(path)
 
 
 @query("stream_validate")
@@ -474,11 +474,11 @@ def stream_dedup(spark, sf_dir):
     bounds = valid.agg(F.min("line_number").alias("lo"), F.max("line_number").alias("hi")).first()
     mid = (bounds["lo"] + bounds["hi"]) // 2 if bounds["lo"] is not None else 0
     for part in (valid.filter(F.col("line_number") <= mid), valid.filter(F.col("line_number") > mid)):
-        _ordered_parts(part, f"{base}/in", 2)
+        _ordered_parts(part, f"{base}/in")
         # one micro-batch per run: the file source orders files by modification time, not name
         stream = R.file_stream(spark, f"{base}/in", valid.schema, "parquet")
-        R.run_available_now(R.stream_dedup(stream, "email"), f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out")
+        R.run_available_now(stream, None, f"{base}/ckpt", foreach_batch=R.stream_dedup(base, "email"))
+    return spark.read.parquet(f"{base}/out").drop("batch")
 
 
 @query("stream_progress")
@@ -486,7 +486,7 @@ def stream_progress(spark, sf_dir):
     """Per-session counters of a progress-event stream (complete mode, last result kept)."""
     ev = fixtures.progress_events(spark, sf_dir)
     base = scratch_path(spark, f"stream-progress-{_uuid.uuid4().hex[:12]}")
-    ev.repartitionByRange(4, "seq").write.parquet(f"{base}/in")
+    ev.repartitionByRange("seq").write.parquet(f"{base}/in")
     stream = R.file_stream(spark, f"{base}/in", ev.schema, "parquet", max_files_per_trigger=2)
 
     def keep(df, batch_id):

@@ -1,8 +1,8 @@
 """Structured Streaming versions of the contact jobs.
 
 The same Column functions serve batch and stream: ``validate`` is stateless,
-progress counters are a streaming aggregation, and dedup keeps per-key state
-``(count, first line)`` with ``applyInPandasWithState``.  Query recovery is
+progress counters are a streaming aggregation, and dedup numbers every
+micro-batch with the batch operator on top of a table of keys seen before.  Query recovery is
 the ``checkpointLocation``; delivery in ``foreachBatch`` is idempotent through
 the ledger.  Arrival order replaces line order across micro-batches.
 """
@@ -14,11 +14,11 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import dedup as DD
 from ..operators import rules
 from ..operators import sessions as S
+from ..session import path_exists
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -54,59 +54,31 @@ def stream_validate(contacts: DataFrame, **kw) -> DataFrame:
 
 # --- R2 ----------------------------------------------------------------------
 
-DEDUP_STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("first_line", T.LongType())])
 
+def stream_dedup(path: str, strategy="email", order_col: str = "line_number", keep_cols=("line_number",)) -> Callable:
+    """R2: ``foreachBatch`` function that numbers holders of each key across micro-batches.
 
-def stream_dedup(contacts: DataFrame, strategy="email", order_col: str = "line_number",
-                 keep_cols=("line_number",)) -> DataFrame:
-    """R2: number holders of each key across micro-batches (state: count, first line).
-
-    Within a micro-batch rows of a key are taken in ``order_col`` order.
-    Blank keys skip the state (they are never duplicates).  State grows with
-    the number of distinct keys; a duplicate arriving after its key's state
-    was removed counts as new.
+    Each micro-batch goes through the batch operator (``mark_across_runs``), so
+    its rows are numbered in ``order_col`` order whatever their number, and a hot
+    key is split over tasks.  ``path/out`` gets the rows (``keep_cols``,
+    dup_key, dup_number, is_duplicate, original_line), ``path/keys`` one row per
+    key and micro-batch: count and first line.  Both are written below
+    ``batch=<id>`` and earlier batches only are read, so a retried batch writes
+    the same rows again.  Blank keys are never duplicates and leave no state.
     """
-    from ..session import ship_package
-
-    ship_package(contacts.sparkSession)
-    keyed = DD.with_dup_key(contacts, strategy)
-    blank = DD._blank(F.col("dup_key"))
-    cols = list(dict.fromkeys(list(keep_cols) + [order_col]))
-    out_schema = T.StructType(
-        [contacts.schema[c] for c in cols]
-        + [T.StructField("dup_key", T.StringType()), T.StructField("dup_number", T.LongType()),
-           T.StructField("is_duplicate", T.BooleanType()), T.StructField("original_line", T.LongType())]
-    )
+    cols = list(dict.fromkeys([*keep_cols, order_col]))
 
-    def number(key, pdfs, state):
-        import pandas as pd
-
-        count, first = (state.get if state.exists else (0, None))
-        parts = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(order_col)
-            n = len(pdf)
-            if n == 0:
-                continue
-            if first is None:
-                first = int(pdf[order_col].iloc[0])
-            nums = pd.Series(range(count + 1, count + n + 1), index=pdf.index, dtype="int64")
-            count += n
-            pdf = pdf.assign(dup_number=nums, is_duplicate=nums > 1)
-            pdf["original_line"] = pd.Series([first if x > 1 else None for x in nums], index=pdf.index,
-                                             dtype="Int64")
-            parts.append(pdf[[f.name for f in out_schema.fields]])
-        state.update((count, first))
-        if parts:
-            yield pd.concat(parts)
-
-    stateful = keyed.filter(~blank).select(*cols, "dup_key").groupBy("dup_key").applyInPandasWithState(
-        number, out_schema, DEDUP_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-    stateless = keyed.filter(blank).select(
-        *cols, "dup_key", F.lit(None).cast("bigint").alias("dup_number"), F.lit(False).alias("is_duplicate"),
-        F.lit(None).cast("bigint").alias("original_line"))
-    return stateful.unionByName(stateless)
+    def each(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        seen = spark.createDataFrame([], "dup_key string, line_number bigint, n bigint, run int")
+        if path_exists(spark, f"{path}/keys"):
+            seen = spark.read.schema(seen.schema).option("recursiveFileLookup", True).parquet(f"{path}/keys").filter(F.col("run") < batch_id)
+        out = f"{path}/out/batch={batch_id}"
+        marked = DD.mark_across_runs(batch, seen, strategy, order_col)
+        marked.select(*cols, "dup_key", "dup_number", "is_duplicate", "original_line").write.mode("overwrite").parquet(out)
+        DD.remember_keys(spark.read.parquet(out), f"{path}/keys/batch={batch_id}", "overwrite", batch_id, order_col)
+
+    return each
 
 
 # --- R3 ----------------------------------------------------------------------
@@ -166,20 +138,18 @@ def watch_sessions(spark: SparkSession, snapshot_path: str) -> Callable:
 
     Input rows: ``session_id, seq, ts, status, processed``.  Snapshot version
     ``v=<batch>`` lives below ``snapshot_path``; each batch reads the previous
-    version, so nothing is read and overwritten at once.  Changes are appended
-    to ``snapshot_path/changes``.
+    version, so nothing is read and overwritten at once.  Changes are
+    written to ``snapshot_path/changes/batch=<id>``; a retried batch replaces its own.
     """
 
     def each(batch: DataFrame, batch_id: int):
         latest = S.latest_checkpoint(batch.withColumnRenamed("seq", "checkpoint_id")).select(
             "session_id", "status", "processed")
-        try:
-            prev = spark.read.parquet(f"{snapshot_path}/v={batch_id - 1}")
-        except Exception:  # noqa: BLE001 - first batch: empty snapshot
-            prev = latest.limit(0)
+        before = f"{snapshot_path}/v={batch_id - 1}"
+        prev = spark.read.parquet(before) if path_exists(spark, before) else latest.limit(0)  # first batch: empty snapshot
         current = latest.unionByName(prev.join(latest.select("session_id"), "session_id", "left_anti"))
-        S.session_diff(prev, current).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(
-            f"{snapshot_path}/changes")
+        S.session_diff(prev, current).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+            f"{snapshot_path}/changes/batch={batch_id}")
         current.write.mode("overwrite").parquet(f"{snapshot_path}/v={batch_id}")
 
     return each
