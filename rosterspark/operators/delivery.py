@@ -299,14 +299,18 @@ def _send_partition(sender: Callable, session_id: str, max_attempts: int, rate_p
                     fail_fast: bool, sleep: Callable[[float], None], delay_ms: int):
     """Executor-side loop: paced, retried calls of ``sender`` for the rows of one partition.
 
-    ``sender(payload: dict, idempotency_key: str) -> dict`` returns
+    ``sender(payload: dict, idempotency_key: str) -> dict`` (a third parameter,
+    if it takes one, is the number of the attempt, from 1) returns
     ``{"status": int, "network_code": str|None, "retry_after_s": int|None,
     "graphql_codes": list|None, "data": ...}``; exceptions count as network errors.
     """
     import datetime as _dt
+    import inspect
 
     import pandas as pd
 
+    counted = len(inspect.signature(sender).parameters) > 2
+
     def classify(res):
         st, net = res.get("status"), res.get("network_code")
         gql = res.get("graphql_codes") or []
@@ -352,7 +356,8 @@ def _send_partition(sender: Callable, session_id: str, max_attempts: int, rate_p
                     attempts += 1
                     key = f"{session_id}:{rec['contact_id']}"
                     try:
-                        res = sender(dict(rec["payload"]) if isinstance(rec["payload"], dict) else rec["payload"], key)
+                        payload = dict(rec["payload"]) if isinstance(rec["payload"], dict) else rec["payload"]
+                        res = sender(payload, key, attempts) if counted else sender(payload, key)
                     except Exception as exc:  # noqa: BLE001 - a failed call is a network error
                         res = {"status": None, "network_code": type(exc).__name__}
                     code, retry, delay = classify(res)

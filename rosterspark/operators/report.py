@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import email_domain, has_phone, rate_pct
+from ..functions.expr import email_domain, has_phone, mask_email, rate_pct
 from .dedup import _blank, dup_key
 from .rules import ERROR, WARNING, explode_findings
 
@@ -156,6 +156,12 @@ def findings_preview(validated: DataFrame, n_errors: int = 10, n_warnings: int =
     return first_err.unionByName(first_warn)
 
 
+def duplicates_preview(marked: DataFrame, n: int = 5) -> DataFrame:
+    """T4: the first ``n`` duplicates in input order, e-mail masked (top-n is the feature)."""
+    return marked.filter("is_duplicate").select(
+        "line_number", mask_email("email").alias("email"), "dup_number", "original_line").orderBy("line_number").limit(n)
+
+
 def run_totals(runs: DataFrame) -> DataFrame:
     """Totals over a ``runs`` table (one row per validate or import run)."""
     return runs.agg(

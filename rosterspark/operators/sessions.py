@@ -254,6 +254,20 @@ def session_event_stats(events: DataFrame) -> DataFrame:
     return s.withColumn("success_rate", rate_pct("successful", "processed"))
 
 
+def recent_issues(events: DataFrame, n_errors: int = 5, n_warnings: int = 3) -> DataFrame:
+    """T4: the last ``n_errors`` errors and ``n_warnings`` warnings of each session, newest first.
+
+    ``row_number() <= n`` becomes a group limit before the shuffle, so a session
+    with many events sends a few rows per task.
+    """
+    def last(kind, n):
+        w = Window.partitionBy("session_id").orderBy(*[F.desc(c) for c in EVENT_ORDER])
+        return (events.filter(_is(kind)).select("session_id", "seq", "ts", "type")
+                .withColumn("newest", F.row_number().over(w).cast("bigint")).filter(F.col("newest") <= n))
+
+    return last(ERROR_OCCURRED, n_errors).unionByName(last(WARNING_OCCURRED, n_warnings))
+
+
 # --- checkpoints --------------------------------------------------------------
 
 

@@ -405,25 +405,142 @@ from ..session import scratch_path  # noqa: E402
 from ..sources import files as FS  # noqa: E402
 
 
+def _csv_folder(spark):
+    return scratch_path(spark, f"contacts-csv-{_uuid.uuid4().hex[:12]}")
+
+
+def _contacts_csv(spark, sf_dir, change=lambda c: c):
+    """The folder of the contacts, written as multi-file CSV in input order."""
+    path = _csv_folder(spark)
+    c = change(fixtures.contacts(spark, sf_dir))
+    FS.write_contacts(c.repartitionByRange("line_number").sortWithinPartitions("line_number").drop("line_number"), path)
+    return path
+
+
 @query("csv_contacts")
 def csv_contacts(spark, sf_dir):
     """Contacts written as multi-file CSV by Spark, read back and numbered."""
-    c = fixtures.contacts(spark, sf_dir)
-    path = scratch_path(spark, f"contacts-csv-{_uuid.uuid4().hex[:12]}")
-    ordered = c.repartitionByRange("line_number").sortWithinPartitions("line_number").drop("line_number")
-    FS.write_contacts(ordered, path)
-    contacts, _quarantine, _check = FS.read_contacts(spark, path)
-    return contacts
+    return FS.read_contacts(spark, _contacts_csv(spark, sf_dir))[0]
 
 
 @query("csv_quarantine")
 def csv_quarantine(spark, sf_dir):
+    return FS.read_contacts(spark, _contacts_csv(spark, sf_dir))[1]
+
+
+@query("csv_read_stats")
+def csv_read_stats(spark, sf_dir):
+    """Row counts of a CSV read."""
+    path = _contacts_csv(spark, sf_dir)
+    contacts, empty, _check = FS.read_contacts(spark, path)
+    return FS.read_stats(contacts, empty).withColumn("data_rows", F.lit(FS.count_rows(spark, path)).cast("bigint"))
+
+
+@query("csv_max_rows")
+def csv_max_rows(spark, sf_dir):
+    """The first 100 data rows (the limit is the feature)."""
+    return FS.read_contacts(spark, _contacts_csv(spark, sf_dir), max_rows=100)[0]
+
+
+@query("csv_quoted_newline")
+def csv_quoted_newline(spark, sf_dir):
+    """Line breaks, quotes and commas inside cells survive the round trip."""
+    broken = F.concat(F.lit('An\n"x", '), F.col("first_name"))
+    path = _contacts_csv(spark, sf_dir, lambda c: c.withColumn("first_name", broken))
+    return FS.read_contacts(spark, path)[0]
+
+
+def _halves(spark, sf_dir):
+    c = fixtures.contacts(spark, sf_dir)
+    odd = F.col("line_number") % 2 == 1
+    return c.filter(odd).drop("line_number"), c.filter(~odd).drop("line_number")
+
+
+@query("csv_append_roundtrip")
+def csv_append_roundtrip(spark, sf_dir):
+    """Rows of two appended writes; no record is taken for a header."""
+    path = _csv_folder(spark)
+    for part in _halves(spark, sf_dir):
+        FS.write_contacts(part, path, append=True)
+    return FS.read_contacts(spark, path)[0].drop("line_number")
+
+
+@query("csv_mixed_headers")
+def csv_mixed_headers(spark, sf_dir):
+    """Files with other column orders and names in one folder, each read by its own header."""
+    path = _csv_folder(spark)
+    first, second = _halves(spark, sf_dir)
+    FS.write_contacts(first, path, append=True)
+    other = second.select(F.col("phone_number").alias("Phone"), F.lit("x").alias("note"), F.col("last_name").alias("lname"),
+                          F.col("first_name").alias("firstName"), F.col("email").alias("EMAIL"))
+    FS.write_contacts(other, path, append=True)
+    return FS.read_contacts(spark, path, multiline=False)[0].drop("line_number")
+
+
+@query("header_check")
+def header_check(spark, sf_dir):
+    """S3: errors and warnings of the header of a written file (``mobile`` is an alias, ``vip`` unknown, no company)."""
+    path = _csv_folder(spark)
     c = fixtures.contacts(spark, sf_dir)
-    path = scratch_path(spark, f"contacts-csv-{_uuid.uuid4().hex[:12]}")
-    ordered = c.repartitionByRange("line_number").sortWithinPartitions("line_number").drop("line_number")
-    FS.write_contacts(ordered, path)
-    _contacts, quarantine, _check = FS.read_contacts(spark, path)
-    return quarantine
+    FS.write_contacts(c.select("email", F.col("phone_number").alias("mobile"), F.col("last_name").alias("vip")), path)
+    return FS.header_check_frame(spark, FS.check_headers(FS.read_header(spark, path), ("email", "company")))
+
+
+@query("export_findings_csv")
+def export_findings_csv(spark, sf_dir):
+    """Lines of the exported csv report."""
+    path = scratch_path(spark, f"report-{_uuid.uuid4().hex[:12]}")
+    FS.export_validation_report(_validated(spark, sf_dir), path, "csv")
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("export_findings_text")
+def export_findings_text(spark, sf_dir):
+    """Lines of the exported text report."""
+    path = scratch_path(spark, f"report-{_uuid.uuid4().hex[:12]}")
+    FS.export_validation_report(_validated(spark, sf_dir), path, "text")
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("export_delivery_csv")
+def export_delivery_csv(spark, sf_dir):
+    """Lines of the exported csv of delivery results."""
+    path = scratch_path(spark, f"report-{_uuid.uuid4().hex[:12]}")
+    FS.export_delivery_report(_import_results(spark, sf_dir).withColumn("message", F.col("error_code")), path, "csv")
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("checkpoints_after_cleanup")
+def checkpoints_after_cleanup(spark, sf_dir):
+    """Saves appended in two runs, all but the newest ten of a session deleted."""
+    base = scratch_path(spark, f"checkpoints-{_uuid.uuid4().hex[:12]}")
+    ck = fixtures.checkpoints(spark, sf_dir)
+    for part in (0, 1):
+        FS.append_checkpoint(ck.filter(F.col("checkpoint_id") % 2 == part), f"{base}/all")
+    saved = FS.read_checkpoints(spark, f"{base}/all")
+    return FS.delete_checkpoints(spark, f"{base}/all", S.checkpoints_to_delete(saved), f"{base}/kept")
+
+
+@query("recent_issues")
+def recent_issues(spark, sf_dir):
+    return S.recent_issues(fixtures.progress_events(spark, sf_dir))
+
+
+@query("duplicates_preview")
+def duplicates_preview(spark, sf_dir):
+    return report.duplicates_preview(dedup.mark_duplicates(_valid(spark, sf_dir), "email"))
+
+
+@query("dedup_across_runs")
+def dedup_across_runs(spark, sf_dir):
+    """The later half of the valid contacts, numbered on top of what an earlier run remembered."""
+    valid = _valid(spark, sf_dir)
+    seen = scratch_path(spark, f"seen-{_uuid.uuid4().hex[:12]}")
+    last = valid.agg(F.max("line_number")).first()[0] or 0
+    early = F.col("line_number") <= last // 2
+    dedup.remember_keys(dedup.mark_duplicates(valid.filter(early), "email"), seen)
+    marked = dedup.mark_across_runs(valid.filter(~early), spark.read.parquet(seen), "email")
+    return marked.select("line_number", "dup_key", "dup_number", "is_duplicate", "original_line")
 
 
 # --- near duplicates ----------------------------------------------------------
@@ -510,6 +627,29 @@ def import_dry_run(spark, sf_dir):
                               "planned_offset_ms")
 
 
+@query("import_skip_validation")
+def import_skip_validation(spark, sf_dir):
+    """X8 without rules: the gate still wants a usable e-mail."""
+    run = J.import_contacts(fixtures.contacts(spark, sf_dir), "unchecked", dry_run=True, skip_validation=True)
+    return run.planned.select("line_number", "contact_id", "is_valid", "seq", "batch_no")
+
+
+@query("import_summary")
+def import_summary(spark, sf_dir):
+    """Totals over gate rejects and planned sends of a dry run."""
+    return J.import_contacts(fixtures.contacts(spark, sf_dir), "dry-totals", dry_run=True).summary
+
+
+@query("import_resume_summary")
+def import_resume_summary(spark, sf_dir):
+    """Totals of an import run twice on one ledger; the second run sends only what failed, rows count once."""
+    ledger = scratch_path(spark, f"ledger-{_uuid.uuid4().hex[:12]}")
+    for _ in range(2):
+        run = J.import_contacts(fixtures.contacts(spark, sf_dir), "resumed", sender=J.stub_sender, ledger_path=ledger,
+                                rate_per_s=1e6, burst=1000, delay_ms=0, concurrency=4, sleep=_no_wait)
+    return run.summary
+
+
 def _no_wait(_seconds):
     return None
 

@@ -139,25 +139,18 @@ def import_contacts(
     return ImportRun(session_id, planned, rejects, results, summary, estimate)
 
 
-def stub_sender(payload, key):
+def stub_sender(payload, key, attempt):
     """A deterministic sender for tests and the registered stub query (no network).
 
-    Outcome by a hash of the e-mail: mostly 200; some 503 (retried, then 200
-    on the next call of the same key within the task), some 401 and 404.
+    Outcome by the md5 of the e-mail: mostly 200; some 503 on the first attempt
+    and 200 on the next, some 401 and 404.
     """
-    import zlib
+    import hashlib
 
     email = (payload or {}).get("email") or ""
-    h = zlib.crc32(email.encode("utf8")) % 20
+    h = int(hashlib.md5(email.encode("utf8")).hexdigest()[:6], 16) % 20
     if h == 0:
         return {"status": 401}
     if h == 1:
         return {"status": 404}
-    if h == 2:
-        seen = _STUB_CALLS.setdefault(key, 0)
-        _STUB_CALLS[key] = seen + 1
-        return {"status": 503} if seen == 0 else {"status": 200}
-    return {"status": 200}
-
-
-_STUB_CALLS: dict = {}
+    return {"status": 503 if h == 2 and attempt == 1 else 200}

@@ -691,6 +691,74 @@ ORACLE["csv_quarantine"] = cte("contacts") + f"""
 SELECT CAST(line_number + 1 AS BIGINT) AS line_number, 'Empty row' AS error FROM contacts WHERE {_BLANK_ROW}
 """
 
+ORACLE["csv_max_rows"] = f"SELECT * FROM ({ORACLE['csv_contacts']}) c WHERE line_number <= 100"
+
+ORACLE["csv_read_stats"] = cte("contacts") + f"""
+SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) FILTER (WHERE NOT ({_BLANK_ROW})) AS BIGINT) AS valid_rows,
+  CAST(count(*) FILTER (WHERE {_BLANK_ROW}) AS BIGINT) AS invalid_rows, CAST(count(*) AS BIGINT) AS data_rows FROM contacts
+"""
+
+ORACLE["csv_quoted_newline"] = cte("contacts") + f"""
+SELECT CAST(line_number + 1 AS BIGINT) AS line_number, email, 'An' || chr(10) || '"x", ' || first_name AS first_name,
+  last_name, phone_number
+FROM contacts WHERE NOT ({_BLANK_ROW} AND first_name IS NULL)
+"""
+
+ORACLE["csv_append_roundtrip"] = cte("contacts") + f"""
+SELECT email, first_name, last_name, phone_number FROM contacts WHERE NOT ({_BLANK_ROW})
+"""
+
+# the files of even lines hold a note, so none of their rows is empty
+ORACLE["csv_mixed_headers"] = cte("contacts") + f"""
+SELECT email, first_name, last_name, phone_number FROM contacts WHERE line_number % 2 = 0 OR NOT ({_BLANK_ROW})
+"""
+
+ORACLE["header_check"] = """
+SELECT 'error' AS kind, 'Required header ''company'' not found. Expected one of: company' AS message
+UNION ALL SELECT 'warning', 'Unexpected header ''vip'' will be ignored'
+"""
+
+_QUOTED = "'\"' || replace(coalesce({0}, ''), '\"', '\"\"') || '\"'"
+
+ORACLE["export_findings_csv"] = VALIDATED + f"""
+SELECT 'Type,Row,Field,Value,Message' AS line
+UNION ALL
+SELECT CASE WHEN severity = 'error' THEN 'Error' ELSE 'Warning' END || ',' || line_number || ',' || coalesce(field, '') || ',' ||
+  {_QUOTED.format('value')} || ',' || {_QUOTED.format('message')} FROM fnd
+"""
+
+ORACLE["export_findings_text"] = VALIDATED + """
+SELECT 'VALIDATION REPORT' AS line
+UNION ALL
+SELECT row_number() OVER (PARTITION BY severity ORDER BY line_number, finding_no) || '. Row ' || line_number || ': ' || message
+FROM fnd
+"""
+
+ORACLE["export_delivery_csv"] = _IMPORT + f"""
+SELECT 'Type,Row,Email,Status,Message' AS line
+UNION ALL
+SELECT CASE WHEN r_success THEN 'Success' ELSE 'Error' END || ',' || line_number || ',' || {_QUOTED.format(_CID)} || ',' ||
+  CASE WHEN r_success THEN 'Imported' ELSE 'Failed' END || ',' || {_QUOTED.format('r_error')} FROM res
+"""
+
+ORACLE["checkpoints_after_cleanup"] = cte("checkpoints") + """
+SELECT session_id, checkpoint_id, ts, status, total, processed FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, checkpoint_id DESC) AS rn FROM checkpoints) x
+WHERE rn <= 10
+"""
+
+ORACLE["recent_issues"] = cte("progress_events") + """
+SELECT session_id, seq, ts, type, CAST(rn AS BIGINT) AS newest FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id, type ORDER BY ts DESC, seq DESC) AS rn FROM progress_events
+  WHERE type IN ('error_occurred', 'warning_occurred')) x
+WHERE rn <= CASE type WHEN 'error_occurred' THEN 5 ELSE 3 END
+"""
+
+ORACLE["dedup_across_runs"] = f"""
+SELECT d.* FROM ({ORACLE['dup_email']}) d
+WHERE line_number > (SELECT floor(max(line_number) / 2) FROM ({ORACLE['dup_email']}) m)
+"""
+
 # --- near duplicates (brute force on the oracle side) ---------------------------
 
 
@@ -717,6 +785,38 @@ ORACLE["stream_progress"] = ORACLE["session_event_stats"]
 
 ORACLE["import_dry_run"] = ORACLE["batch_plan"]
 
+ORACLE["import_skip_validation"] = _KEPT + f"""
+SELECT line_number, {_CID} AS contact_id, (NOT {miss('email')} AND {email_ok()}) AS is_valid, seq,
+  CAST(floor((seq - 1) / 5) + 1 AS BIGINT) AS batch_no
+FROM plan
+"""
+
+# the stub's outcome: 20 classes by the first six hexadecimal digits of the md5 of the e-mail
+_HEX = " + ".join(f"(instr('0123456789abcdef', substr(md5({_CID}), {i + 1}, 1)) - 1) * {16 ** (5 - i)}" for i in range(6))
+_STUB = _KEPT + f""",
+st AS (SELECT {_CID} AS contact_id, is_valid, CAST(floor((seq - 1) / 5) + 1 AS BIGINT) AS batch_no, seq,
+         ({_HEX}) % 20 AS h FROM plan)
+"""
+
+ORACLE["delivery_stub"] = _STUB + """
+SELECT 'stub-run' AS session_id, contact_id, batch_no, seq, h >= 2 AS success,
+  CASE h WHEN 0 THEN 'AUTH_ERROR' WHEN 1 THEN 'API_ERROR' END AS error_code,
+  CAST(CASE WHEN h = 2 THEN 2 ELSE 1 END AS INT) AS attempts
+FROM st WHERE is_valid
+"""
+
+
+def _totals_sql(rows: str, ok: str) -> str:
+    return rows + f""",
+t AS (SELECT count(DISTINCT batch_no) AS b, count(*) AS n, count(*) FILTER (WHERE {ok}) AS g FROM st)
+SELECT CAST(b AS BIGINT) AS total_batches, CAST(n AS BIGINT) AS total_requests, CAST(g AS BIGINT) AS successful,
+  CAST(n - g AS BIGINT) AS failed, {rate('g', 'n')} AS success_rate FROM t
+"""
+
+
+ORACLE["import_summary"] = _totals_sql(_STUB, "is_valid")
+ORACLE["import_resume_summary"] = _totals_sql(_STUB, "is_valid AND h >= 2")
+
 # --- views and listings ------------------------------------------------------------
 
 
@@ -757,6 +857,11 @@ FROM mk JOIN v d ON mk.line_number = d.line_number JOIN v o ON mk.first_line = o
 WHERE mk.dup_number > 1
 """
 
+ORACLE["duplicates_preview"] = VALIDATED + _marked("email") + f"""
+SELECT mk.line_number, {_mask_email_sql('v.email')} AS email, mk.dup_number, mk.first_line AS original_line
+FROM mk JOIN v ON mk.line_number = v.line_number WHERE mk.dup_number > 1 ORDER BY mk.line_number LIMIT 5
+"""
+
 ORACLE["merged_findings"] = ORACLE["validation_findings"]
 
 ORACLE["dedup_report_groups"] = VALIDATED + _marked("email") + f""",

@@ -1,7 +1,7 @@
 """File sources and sinks.
 
-CSV contacts are read with an explicit all-string positional schema (the
-header line is read once on the driver and applied by position, so case
+CSV contacts are read with an explicit all-string positional schema; each
+file's own header says which position holds which column (by position, so case
 variants such as ``email``/``EMAIL`` stay distinct).  Line numbers are dense
 and 1-based in file order, computed in two passes without a global window:
 per input split (file, block) row counts are prefix-summed in a table with one
@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
-from ..functions.expr import js_trim, mask_email, mask_phone, rate_pct
-from .contacts import normalize_columns
+from ..functions.expr import js_trim, mask_email, mask_phone
+from ..session import materialize
+from .contacts import CONTACT_COLUMNS, alias_plan
 
 EMPTY_ROW = "Empty row"
 NULL_MARKER = "\u0001"
+FURTHER_COLUMNS = 32  # columns that a file may have beyond those of the first one
+MAX_HEADERS = 1000  # different headers in one input
+CHECKPOINT_BUCKETS = 64
 
 
 # --- S3 header check --------------------------------------------------------------
@@ -108,32 +112,35 @@ def read_header(spark: SparkSession, path: str, encoding: str = "utf8") -> list:
 # --- S1/S2/S4/S5 reading ----------------------------------------------------------
 
 
-def with_line_number(raw: DataFrame, name: str = "line_number", skip_header: bool = False) -> DataFrame:
+def _placed(raw: DataFrame, columns) -> DataFrame:
+    """``columns`` with the input split of each row (file, block start) and an id that runs on within the split."""
+    return raw.select(
+        *columns,
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_mono"),
+    )
+
+
+def _offsets(splits: DataFrame) -> DataFrame:
+    """``splits`` (one row per input split: _file, _block, _first, _n) with ``_off``, the rows of the splits before."""
+    # one row per input split: a single-task window here is bounded by the split count
+    w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+
+
+def with_line_number(raw: DataFrame, name: str = "line_number") -> DataFrame:
     """Dense 1-based ordinal in (file path, block start, row-in-split) order.
 
     Pass 1 counts rows per input split (one row per split); a window over that
     small table gives each split its offset; pass 2 adds the row's index inside
     its split (``monotonically_increasing_id`` is consecutive within a task).
     Both passes read the same splits in the same order, so ids agree.
-    ``skip_header`` drops the first record of every file (first row of the
-    split starting at byte 0) and leaves it out of the numbering.
     """
-    d = raw.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mono"),
-    )
-    head = (F.col("_block") == 0).cast("long") if skip_header else F.lit(0).cast("long")
-    splits = d.groupBy("_file", "_block").agg(
-        F.min("_mono").alias("_first"), (F.count(F.lit(1)) - F.first(head)).alias("_n"))
-    # one row per input split: a single-task window here is bounded by the split count
-    w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = d.join(offsets, ["_file", "_block"], "inner")
-    if skip_header:
-        out = out.filter(~((F.col("_block") == 0) & (F.col("_mono") == F.col("_first"))))
-    out = out.withColumn(name, (F.col("_off") + F.col("_mono") - F.col("_first") + 1 - head).cast("bigint"))
+    d = _placed(raw, ["*"])
+    splits = d.groupBy("_file", "_block").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    out = d.join(_offsets(splits), ["_file", "_block"], "inner")
+    out = out.withColumn(name, (F.col("_off") + F.col("_mono") - F.col("_first") + 1).cast("bigint"))
     return out.drop("_file", "_block", "_mono", "_first", "_off")
 
 
@@ -145,6 +152,41 @@ def split_empty_rows(df: DataFrame, value_cols) -> tuple:
     return rows, quarantine
 
 
+def _header_of(cells) -> list:
+    """The column names in the first record of a file (BOM removed, unused cells at the end left out)."""
+    cells = list(cells)
+    while cells and cells[-1] is None:
+        cells.pop()
+    header = ["" if c is None else c for c in cells]
+    if header:
+        header[0] = header[0].lstrip("\ufeff")
+    return header
+
+
+def _layouts(spark: SparkSession, splits: DataFrame, required, mode: str, width: int) -> tuple:
+    """``(layouts, check)``: for each distinct header the places of the contact columns; the first file's check.
+
+    Distinct headers are few whatever the number of files (``MAX_HEADERS``, else an error).
+    """
+    heads = (splits.filter("_block = 0").groupBy("_sig").agg(F.min("_file").alias("file"), F.min_by("_head", "_file").alias("head"))
+             .orderBy("file").limit(MAX_HEADERS + 1).collect())
+    if len(heads) > MAX_HEADERS:
+        raise ValueError(f"More than {MAX_HEADERS} different CSV headers")
+    rows, first = [], None
+    for r in heads:
+        header = _header_of(r["head"])
+        if len(header) >= width:
+            raise ValueError(f"Too many CSV columns in {r['file']}")
+        check = check_headers(header, required)
+        if not check.is_valid:
+            raise ValueError(f"Invalid CSV headers: {', '.join(check.errors)} ({r['file']})")
+        first = first or check
+        plan = alias_plan(header, mode)
+        rows.append((r["_sig"], header, *(header.index(plan[c]) if c in plan else None for c in CONTACT_COLUMNS)))
+    schema = "_sig string, _names array<string>, " + ", ".join(f"_{c} int" for c in CONTACT_COLUMNS)
+    return spark.createDataFrame(rows, schema), first
+
+
 def read_contacts(
     spark: SparkSession,
     path: str,
@@ -157,21 +199,20 @@ def read_contacts(
 ):
     """Read headed CSV contacts.  Returns ``(contacts, quarantine, check)``.
 
-    Raises ``ValueError`` when a required header is missing.  ``max_rows``
-    (S2) keeps the first n data rows, empty rows included, as a filter on the
-    dense line number.  Quoted line breaks are read as
-    such by default; ``multiline=False`` lets large files be split where there are none.
-    Note: Spark's reader drops completely blank lines, so line numbers count
-    non-blank data lines.
+    Every file is read by its own header, so files may order or name their
+    columns differently; ``check`` is that of the first file in path order.
+    Raises ``ValueError`` when a required header is missing in any file.
+    ``max_rows`` (S2) keeps the first n data rows, empty rows included, as a
+    filter on the dense line number (None or 0: all).  Quoted line breaks are
+    read as such by default; ``multiline=False`` lets large files be split
+    where there are none.  Note: Spark's reader drops completely blank lines,
+    so line numbers count non-blank data lines.
     """
-    header = read_header(spark, path, encoding)
-    check = check_headers(header, required)
-    if not check.is_valid:
-        raise ValueError(f"Invalid CSV headers: {', '.join(check.errors)}")
-    positional = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
+    width = len(read_header(spark, path, encoding)) + FURTHER_COLUMNS
+    positional = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
     raw = (
         spark.read.schema(positional)
-        .option("header", False)  # each file's header record is dropped by the numbering pass
+        .option("header", False)  # each file's header record is taken by the numbering pass
         .option("escape", '"')
         .option("multiLine", multiline)
         .option("encoding", spark_charset(encoding))
@@ -181,18 +222,32 @@ def read_contacts(
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    numbered = with_line_number(raw, skip_header=True)
+    cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
+    d = _placed(raw, [cells.alias("_cells")])
+    head = F.min_by(F.when(F.col("_block") == 0, F.col("_cells")), F.col("_mono"))
+    splits = d.groupBy("_file", "_block").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_all"), head.alias("_head"))
+    marked = F.transform("_head", lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-")))
+    splits = splits.select("_file", "_block", "_first", (F.col("_all") - (F.col("_block") == 0).cast("long")).alias("_n"), "_head",
+                           F.md5(F.array_join(marked, "\n").cast("binary")).alias("_sig"))
+    splits = materialize(splits, "csv-splits")  # one row per input split
+    layouts, check = _layouts(spark, splits, required, mode, width)
+    files = splits.filter("_block = 0").select("_file", "_sig").join(layouts, "_sig").drop("_sig")
+    offsets = _offsets(splits.drop("_head", "_sig")).join(files, "_file")
+    is_head = F.col("_block") == 0
+    numbered = (
+        d.join(offsets, ["_file", "_block"], "inner")
+        .filter(~(is_head & (F.col("_mono") == F.col("_first"))))
+        .withColumn("line_number", (F.col("_off") + F.col("_mono") - F.col("_first") + 1 - is_head.cast("long")).cast("bigint"))
+    )
     if max_rows:
         numbered = numbered.filter(F.col("line_number") <= F.lit(int(max_rows)))
-    value_cols = [f"_c{i}" for i in range(len(header))]
-    rows, quarantine = split_empty_rows(numbered, value_cols)
+    blank = F.forall("_cells", lambda x: x.isNull() | (js_trim(x) == F.lit("")))
+    quarantine = numbered.filter(blank).select("line_number", F.lit(EMPTY_ROW).alias("error"))
+    kept = numbered.filter(~blank)
+    out = [F.col("line_number")]
     if keep_original:
-        pairs = []
-        for i, h in enumerate(header):
-            pairs += [F.lit(h), F.col(f"_c{i}")]
-        rows = rows.withColumn("original", F.create_map(*pairs))
-    named = rows.toDF(*(header + [c for c in rows.columns if c not in value_cols]))
-    contacts = normalize_columns(named, mode=mode, keep=("line_number",) + (("original",) if keep_original else ()))
+        out.append(F.map_from_arrays("_names", F.slice("_cells", F.lit(1), F.size("_names"))).alias("original"))
+    contacts = kept.select(*out, *[F.get("_cells", F.col(f"_{c}")).alias(c) for c in CONTACT_COLUMNS])
     return contacts, quarantine, check
 
 
@@ -308,8 +363,10 @@ def export_validation_report(validated: DataFrame, path: str, fmt: str = "csv",
         if summary is not None:
             summary.write.mode("overwrite").json(path + "_summary")
     else:
-        idx = F.row_number().over(Window.partitionBy("severity").orderBy("line_number", "finding_no"))
-        body = f.withColumn("_i", idx).select(
+        from ..operators.ordered import ordinal
+
+        numbered = ordinal(f, "severity", ["line_number", "finding_no"], F.floor(F.col("line_number") / F.lit(1 << 18)), "_i")
+        body = numbered.select(
             key.alias("_k"),
             F.concat(F.col("_i").cast("string"), F.lit(". Row "), F.col("line_number").cast("string"), F.lit(": "),
                      F.col("message")).alias("line"),
@@ -396,23 +453,25 @@ def write_session_file(path: str, session: dict) -> None:
         json.dump(session, fh)
 
 
-def append_checkpoint(state: DataFrame, path: str) -> None:
-    """One immutable row per save, partitioned by session."""
-    state.write.mode("append").partitionBy("session_id").parquet(path)
+def _bucket(session_id):
+    return F.pmod(F.xxhash64(session_id.cast("string")), F.lit(CHECKPOINT_BUCKETS)).cast("int")
+
+
+def append_checkpoint(state: DataFrame, path: str, mode: str = "append") -> None:
+    """One immutable row per save, in a bounded number of buckets by session."""
+    state.withColumn("bucket", _bucket(F.col("session_id"))).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def read_checkpoints(spark: SparkSession, path: str, session_id=None) -> DataFrame:
+    """The saves, or those of one session (only its bucket is read)."""
     df = spark.read.parquet(path)
-    return df.filter(F.col("session_id") == session_id) if session_id is not None else df
+    if session_id is not None:
+        df = df.filter((F.col("bucket") == _bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
+    return df.drop("bucket")
 
 
 def delete_checkpoints(spark: SparkSession, path: str, doomed: DataFrame, new_path: str) -> DataFrame:
     """S15 delete: rewrite without the doomed keys (anti join) to ``new_path``; returns the new table."""
-    cur = spark.read.parquet(path)
-    cur.join(doomed.select("session_id", "checkpoint_id"), ["session_id", "checkpoint_id"], "left_anti") \
-        .write.mode("overwrite").partitionBy("session_id").parquet(new_path)
-    return spark.read.parquet(new_path)
-
-
-def session_success_rate(df: DataFrame) -> DataFrame:
-    return df.withColumn("success_rate", rate_pct(F.coalesce("successful", F.lit(0)), F.coalesce("total", F.lit(0))))
+    left = read_checkpoints(spark, path).join(doomed.select("session_id", "checkpoint_id"), ["session_id", "checkpoint_id"], "left_anti")
+    append_checkpoint(left, new_path, "overwrite")
+    return read_checkpoints(spark, new_path)

@@ -19,6 +19,7 @@ from ..operators import dedup as DD
 from ..operators import rules
 from ..operators import sessions as S
 from ..session import path_exists
+from ..sources.files import append_checkpoint
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -160,7 +161,7 @@ def autosave_checkpoints(state_stream: DataFrame, path: str, checkpoint: str, ev
     return (
         state_stream.writeStream.option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(processingTime=every)
-        .foreachBatch(lambda df, _id: df.write.mode("append").partitionBy("session_id").parquet(path))
+        .foreachBatch(lambda df, _id: append_checkpoint(df, path))
         .start()
     )
 
