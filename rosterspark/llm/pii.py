@@ -16,7 +16,9 @@ mentions of one agree, and each mention keeps its own case and separators.
 Collision checks: a surrogate must differ from every other surrogate of its
 type and from every entity found.  Of entities with the same surrogate the
 least keeps it, the others take the next attempt, until none is left; late
-attempts widen the form (more letters or digits), so this ends.
+attempts at names, e-mail addresses and phone numbers widen the form (more
+letters or digits), so this ends even where a short form is used up.  The other
+kinds have at least 2^32 forms and keep theirs.
 
 ``replace`` returns the rows of ``docs``, all columns, with the text replaced
 (and n_chars, where there is one).  ``entities`` lists what was found.
@@ -132,7 +134,7 @@ def _surrogate(key: str) -> Column:
                      _shape(F.substring(domain, F.lit(1), F.length(domain) - F.length(last)), part(3)), last)
     octet = lambda k: (F.conv(F.substring(part(4), 4 * k + 1, 4), 16, 10).cast("int") % 256).cast("string")
     code = F.substring_index(e, "|", 1)
-    phone = F.concat(code, F.lit("|"), take(F.length(e) - F.length(code) - 1))
+    phone = F.concat(code, F.lit("|"), take(F.length(e) - F.length(code) - 1 + F.greatest(attempt - 8, F.lit(0))))
     body = take(F.length(e) - 1)
     check = ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.when(_luhn_sum(e) % 10 == 0, F.concat(body, check)).otherwise(take(F.length(e)))
@@ -173,6 +175,7 @@ def _as_written(kind: Column, mention: Column, surrogate: Column) -> Column:
     place = lambda i: F.length(_digits(F.substring(mention, F.lit(1), i + 1)))
     number = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(
         c.rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+    number = F.concat(number, F.substring(digits, F.length(_digits(mention)) + 1, F.lit(128)))  # a widened phone number
     word = (F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(surrogate))
             .when(F.substring(mention, 1, 1) != F.lower(F.substring(mention, 1, 1)), F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
             .otherwise(surrogate))

@@ -11,7 +11,7 @@ Round 2  names the windows at those anchors only, groups them by (anchor,
          window name) and returns the covered windows of each document as runs.
 
 Both rounds send a name at most once per chunk; copies inside a chunk are
-settled in the XX
+settled in the chunk.
 """
 
 from __future__ import annotations

@@ -205,6 +205,14 @@ def test_surrogates_stay_distinct_in_a_small_space(spark):
     assert len({r.surrogate for r in got}) == 26 and not {r.surrogate for r in got} & {r.entity for r in got}
 
 
+def test_phone_surrogates_widen_where_a_form_is_used_up(spark):
+    phones = spark.createDataFrame([("phone", f"1|{n:02d}", None) for n in range(100)], "kind string, entity string, gender string")
+    got = pii.surrogates(phones).collect()
+    assert len({r.surrogate for r in got}) == 100 and not {r.surrogate for r in got} & {r.entity for r in got}
+    written = phones.limit(1).select(pii._as_written(F.lit("phone"), F.lit("+1 (2) 3"), F.lit("1|456")).alias("w"))
+    assert written.first().w == "+1 (4) 56"
+
+
 def test_quality_rule_counts(spark, rows):
     text = dict(rows)
     for r in QUERIES["op8_quality_rules"](spark, SF).collect():
