@@ -149,43 +149,50 @@ def _pair_bucket(n, hot, hot_count, tokens, nr, table: pa.Table) -> pa.Table:
         else:
             parts.append(p)
     if parts:
+        # positions are 32-bit numbers within a bucket, and what is used up is let go: a task holds some 40 bytes a token
         words, at = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
         lefts, left_at = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True)
+        at, left_at = at.astype(np.int32), left_at.astype(np.int32)
+        narrow = np.int32 if sum(len(p[7]) for p in parts) < 2**31 else np.int64
         word, left, doc, train, base, w0, l0 = [], [], [], [], 0, 0, 0
         bases = []
         for p in parts:
             word.append(np.repeat(at[w0:w0 + len(p[2])], p[3].astype(np.int64)))
-            left.append(left_at[l0:l0 + len(p[4])][p[5].astype(np.int64)])
-            d = p[6].astype(np.int64)
-            train.append(p[7].astype(bool)[d])
-            doc.append(d + base)
+            left.append(left_at[l0:l0 + len(p[4])][p[5]])
+            train.append(p[7].astype(bool)[p[6]])
+            doc.append(p[6].astype(narrow) + narrow(base))
             bases.append(base)
             w0, l0, base = w0 + len(p[2]), l0 + len(p[4]), base + len(p[7])
+            p[2:] = []  # all of it is in the arrays now
         bases.append(base)
+        del at, left_at
         word, left, doc, train = (np.concatenate(x) for x in (word, left, doc, train))
         count = np.bincount(word[train], minlength=len(words))
         if len(hot):
             i = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
             count = np.where(hot[i] == words, hot_count[i], count)
-        code = word * len(lefts) + left
-        order = np.argsort(code)
-        s = code[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
+        code = word.astype(np.int64) * len(lefts) + left
+        order = np.argsort(code).astype(np.int32)
+        code = code[order]
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        del code
         first = np.flatnonzero(new)
-        seen = np.add.reduceat(train[order].astype(np.int64), first)
-        pair = np.empty(len(code), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        r = seen[pair]
+        seen = np.add.reduceat(train[order].astype(np.int32), first).astype(np.int64)
+        pair = np.empty(len(order), np.int32)
+        pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        r = seen.astype(np.int32)[pair]
         uni = Unigrams(tokens, nr)
         p_word = uni.of(count)
         # sums of each document
         base_sum = np.bincount(doc, weights=np.log10(count + 0.1)[word], minlength=base)
         known = np.bincount(doc, weights=(count > 0)[word], minlength=base).astype(np.int64)
         with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.where(r > DEPTH, np.log10(r - KEEP), np.where(r > 0, 0.0, np.log10(p_word)[word]))
-            as_context = np.where((count > 0) & (words != END), -np.log10(count), 0.0)[word]
-        score = np.bincount(doc, weights=own + as_context, minlength=base)
+            own = np.where(seen > DEPTH, np.log10(seen - KEEP), np.where(seen > 0, 0.0, np.log10(p_word)[word[order[first]]]))
+            as_context = np.where((count > 0) & (words != END), -np.log10(count), 0.0)
+        score = np.bincount(doc, weights=own[pair], minlength=base)
+        score += np.bincount(doc, weights=as_context[word], minlength=base)
+        del pair
         low = [np.bincount(doc[r == k], minlength=base) for k in range(1, DEPTH + 1)]
         for p, a, b in zip(parts, bases[:-1], bases[1:]):
             out.append((1, int(p[0][0]), 0, pack(base_sum[a:b], score[a:b], small(known[a:b]), *(small(x[a:b]) for x in low))))
