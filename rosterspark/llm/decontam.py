@@ -1,7 +1,7 @@
 """Benchmark decontamination (operator 6) by spaced-seed hashing.
 
-Words are lower-cased (A-Z) and stripped of ASCII punctuation at both ends.  A
-mask says which of 11 consecutive words are hashed and which are ignored, so a
+Words are split at ASCII white space, case-folded over Unicode (so 'STRASSE' is
+'straße') and stripped of ASCII punctuation at both ends.  A mask says which of 11 consecutive words are hashed and which are ignored, so a
 hit survives substitutions at ignored places; three masks together hit wherever
 8 of 11 words fit one of them.  The hashes of the benchmark meet those of the
 documents, and every hit is verified along its diagonal (document position less
@@ -47,7 +47,8 @@ CHUNK = 3_000_000
 
 
 def clean_words(body: bytes) -> list[bytes]:
-    return [w for w in (x.strip(PUNCTUATION) for x in body.lower().split()) if w]
+    folded = body.lower() if body.isascii() else body.decode(errors="surrogateescape").casefold().encode(errors="surrogateescape")
+    return [w for w in (x.strip(PUNCTUATION) for x in folded.split()) if w]
 
 
 def _hashes(bodies):

@@ -185,6 +185,19 @@ def test_decontamination_tolerates_substitutions(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5] and kept.columns == d.columns
 
 
+def test_decontamination_folds_case_over_unicode(spark):
+    items = {1: "año niño él están señal más allá café acción índice último árbol lápiz canción razón corazón fácil difícil",
+             2: "été où élève forêt hôtel garçon déjà âge château être même très après problème crème règle père mère",
+             3: "Straße größer Füße Äpfel Öl über müssen können schön Grüße heiß weiß Fuß Maß süß groß Tür für"}
+    other = " ".join(f"w{k}" for k in range(30))
+    docs = {10 * i + k: f"{other} {t} {other}" for i, item in items.items() for k, t in enumerate((item, item.upper(), item.title(), item.lower()))} | {99: other}
+    want = {(d, i) for d, t in docs.items() for i, item in items.items() if item.upper() in t.upper()}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.id, r.item_id) for r in decontam.overlaps(d, b).collect()} == want and len(want) == 12
+    assert [r.doc_id for r in decontam.clean(d, b).collect()] == [99]
+
+
 def test_pii_surrogates(spark):
     rows = [(1, "Mail Anna.Be@x.example.com or ANNA.BE@X.EXAMPLE.COM; call +1 (017) 555-7713 or +1 017 555 7713."),
             (3, "Mrs. Smith met Mr. John Smith; Smith and John. Card 4111 1111 1111 1111, 4111111111111111 ip 10.0.0.1. v2.0"),
