@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import brute
 import pytest
@@ -198,6 +199,44 @@ def test_decontamination_folds_case_over_unicode(spark):
     assert [r.doc_id for r in decontam.clean(d, b).collect()] == [99]
 
 
+def test_decontamination_seeds_every_overlap_of_short_items(spark):
+    items, docs, want = {}, [], set()
+    for n in range(3, 17):
+        items[n] = [f"i{n}w{k}" for k in range(n)]
+        least = min(13, -(-4 * n // 5))
+        changes = list(combinations(range(n), n - least))
+        for at in changes + random.Random(n).sample(list(combinations(range(n), n - least + 1)), min(n, 9)):
+            doc = len(docs)
+            docs.append((doc, " ".join([f"a{k}" for k in range(doc % 3)] + ["zz" if k in at else w for k, w in enumerate(items[n])] + [f"b{k}" for k in range(doc % 4)])))
+            if n >= 5 and n - len(at) >= least:
+                want.add((doc, n))
+    items[17] = [f"l{k}" for k in range(17)]  # runs of 6, 3 and 6 equal words
+    docs.append((len(docs), " ".join("zz" if k in (6, 10) else w for k, w in enumerate(items[17]))))
+    want.add((len(docs) - 1, 17))
+    docs.append((len(docs), " ".join(items[10][2:])))  # the passage cut at the text's ends
+    want.add((len(docs) - 1, 10))
+    docs.append((len(docs), " ".join(items[5][:4])))
+    want.add((len(docs) - 1, 5))
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()
+    assert {(r.id, r.item_id) for r in got} == want and len(got) == len(want) > 1300
+
+
+def test_every_accepted_stretch_fits_a_mask():
+    masks = [int(m, 2) for m in decontam.MASKS]
+    todo, missed = [(0, 0, 0)], []  # words (bits), how many, score
+    while todo:
+        bits, n, score = todo.pop()
+        equal = [c == "1" for c in f"{bits:0{n}b}"] if n else []
+        if sum(equal) >= decontam.MIN_EQUAL and decontam.best_stretch(decontam.np.array(equal)) == (0, n):
+            missed.append(bits)
+        for bit in (1, 0) if n < 28 else ():
+            more = bits << 1 | bit
+            if score + (1 if bit else -4) >= 0 and not (n >= 10 and any(more & m == m for m in masks)):
+                todo.append((more, n + 1, score + (1 if bit else -4)))
+    assert not missed
+
+
 def test_pii_surrogates(spark):
     rows = [(1, "Mail Anna.Be@x.example.com or ANNA.BE@X.EXAMPLE.COM; call +1 (017) 555-7713 or +1 017 555 7713."),
             (3, "Mrs. Smith met Mr. John Smith; Smith and John. Card 4111 1111 1111 1111, 4111111111111111 ip 10.0.0.1. v2.0"),
