@@ -2,8 +2,11 @@
 
 Detection: e-mail addresses, phone numbers, IPv4 addresses, card-like numbers
 of 13 to 19 digits, social security numbers, secrets (long hexadecimal strings
-and the usual key prefixes) and personal names after a title.  A name found
-after a title is also replaced where it stands alone in the same text.
+and the usual key prefixes, of any length) and personal names after a title: any
+run of capitalised words, hyphenated ones and initials.  A word of a name found
+after a title (each part of a hyphenated one, and initials with their dots) is
+also replaced where it stands alone in the same text; a single letter without a
+dot stays, as it may be a word.
 
 Every distinct entity gets one surrogate, derived from a keyed SHA-256 of
 (type, entity, attempt): letters stay letters of the same script, digits
@@ -16,8 +19,8 @@ mentions of one agree, and each mention keeps its own case and separators.
 Collision checks: a surrogate must differ from every other surrogate of its
 type and from every entity found.  Of entities with the same surrogate the
 least keeps it, the others take the next attempt, until none is left; late
-attempts at names, e-mail addresses and phone numbers widen the form (more
-letters or digits), so this ends even where a short form is used up.  The other
+attempts at names, initials, e-mail addresses and phone numbers widen the form
+(more letters or digits), so this ends even where a short form is used up.  The other
 kinds have at least 2^32 forms and keep theirs.
 
 ``replace`` returns the rows of ``docs``, all columns, with the text replaced
@@ -39,7 +42,7 @@ KEY = "rosterspark"
 
 # Patterns (Java syntax), titles by gender, name syllables by script.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}"
-SECRET = r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,64}|xox[abprs]-[A-Za-z0-9-]{10,64}|[0-9a-fA-F]{32,128})(?![\p{L}\p{N}])"
+SECRET = r"(?<![\p{L}\p{N}])(?:sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-fA-F]{32,}+)(?![\p{L}\p{N}]))"
 IP = r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.[0-9])"
 SSN = r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
 CARD = r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])"
@@ -47,7 +50,11 @@ PHONE = (r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{
          r"|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![\p{L}\p{N}])")
 PATTERN = "|".join((EMAIL, SECRET, IP, SSN, PHONE, CARD))
 MALE, FEMALE, NEUTRAL = ("Mr", "Herr", "Monsieur", "Señor", "Sr"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"), ("Dr", "Prof")
-TITLE = rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? (?:\p{{Lu}}[\p{{L}}]+ )?\p{{Lu}}\p{{L}}+"
+MORE = r"(?:['’]\p{Lu}\p{L}+)*"  # the rest of a name such as O'Brien
+INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*"
+UNIT = rf"(?:{INITIALS}-?|\p{{Lu}}(?:\p{{L}}|['’]\p{{Lu}}\p{{L}})\p{{L}}*{MORE}(?:-\p{{L}}+{MORE})*|\p{{Lu}}(?= \p{{Lu}}))"
+TITLE = rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {UNIT}(?: ?{UNIT})*+"
+NAME = r"\p{L}+" + MORE
 QUICK = r"[0-9@]|(?<!\p{L})(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? \p{Lu}|[0-9a-fA-F]{32}|sk-|xox|AKIA|gh[pousr]_"
 SYLLABLES = {
     "latin": "ba ce di fo gu ha je ki lo mu na pe ri so tu va",
@@ -64,13 +71,15 @@ def _text() -> Column:
 def _names(text: Column) -> Column:
     """Words of the names after titles in a text, without the titles."""
     found = F.regexp_extract_all(text, F.lit(TITLE), F.lit(0))
-    return F.array_distinct(F.flatten(F.transform(found, lambda x: F.slice(F.split(x, " "), 2, 9))))
+    words = F.transform(found, lambda x: F.regexp_extract_all(F.regexp_replace(x, "^[^ ]+ ", ""), F.lit(rf"{INITIALS}|{NAME}"), F.lit(0)))
+    return F.filter(F.array_distinct(F.flatten(words)), lambda x: F.length(x) > 1)
 
 
 def _pattern(names: Column) -> Column:
     """The pattern of a text: the fixed one, and its own names."""
     return F.when(F.size(names) == 0, F.lit(PATTERN)).otherwise(
-        F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})")))
+        F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(F.transform(names, lambda x: F.concat(
+            F.lit(r"\Q"), x, F.when(x.endswith("."), F.lit(r"\E(?!-?\p{Lu}\.)")).otherwise(F.lit(r"\E(?!\p{L})")))), "|"), F.lit(")")))
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -87,7 +96,8 @@ def found(docs: DataFrame) -> DataFrame:
 def _kind(m: Column) -> Column:
     has = lambda p: m.rlike("^(?:" + p + ")$")
     return (F.when(m.contains("@"), "email").when(m.rlike("^[0-9a-fA-F]{32,}$"), "hex").when(has(IP), "ip").when(has(SSN), "ssn")
-            .when(has(PHONE), "phone").when(has(CARD), "card").when(m.rlike(r"^\p{L}+$"), "name").otherwise("key"))
+            .when(has(PHONE), "phone").when(has(CARD), "card").when(m.rlike(rf"^{NAME}$"), "name")
+            .when(m.rlike(rf"^{INITIALS}$"), "initials").otherwise("key"))
 
 
 def _digits(m: Column) -> Column:
@@ -102,7 +112,11 @@ def _normal(kind: Column, m: Column) -> Column:
 
 
 def _shape(text: Column, h: Column) -> Column:
-    """Text with every letter and digit replaced by one of its kind, chosen by the characters of the hash h."""
+    """Text with every letter and digit replaced by one of its kind, chosen by the characters of the hash h (worked out once)."""
+    return F.element_at(F.transform(F.array(h), lambda once: _shaped(text, once)), 1)
+
+
+def _shaped(text: Column, h: Column) -> Column:
     draw = lambda i: F.ascii(F.substring(h, i % 128 + 1, F.lit(1))) * 7 + F.ascii(F.substring(h, (i * 3 + 5) % 128 + 1, F.lit(1)))
     pick = lambda letters, i: F.substring(F.lit(letters), (F.pmod(draw(i), F.lit(len(letters))) + 1).cast("int"), F.lit(1))
     return F.array_join(F.transform(F.split(text, ""), lambda c, i: (
@@ -139,7 +153,9 @@ def _surrogate(key: str) -> Column:
     check = ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.when(_luhn_sum(e) % 10 == 0, F.concat(body, check)).otherwise(take(F.length(e)))
     prefix = F.regexp_extract(e, r"^(AKIA|gh[pousr]_|sk-|xox[abprs]-)", 1)
-    secret = F.concat(prefix, _shape(F.substring(e, F.length(prefix) + 1, F.lit(128)), h))
+    secret = F.concat(prefix, _shape(F.substring(e, F.length(prefix) + 1, F.length(e)), h))
+    hexadecimal = F.substring(F.repeat(h, F.ceil(F.length(e) / 128).cast("int")), F.lit(1), F.length(e))
+    initials = F.concat(F.substring(F.translate(part(2), "0123456789", "ghijklmnop"), F.lit(1), F.least(attempt, F.lit(64))), _shape(e, h))
 
     def name(script):
         sounds = F.split(F.lit(SYLLABLES[script]), " ")
@@ -150,8 +166,9 @@ def _surrogate(key: str) -> Column:
         return F.concat(sound(1), sound(2), sound(3), sound(4), more, F.when(F.col("gender") == "m", m).when(F.col("gender") == "f", f).otherwise(n))
     names = F.when(e.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(e.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
     return (F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *(octet(k) for k in range(4))))
-            .when(kind == "hex", F.substring(h, F.lit(1), F.length(e))).when(kind == "phone", phone)
-            .when(kind == "card", card).when(kind == "ssn", take(F.lit(9))).when(kind == "name", names).otherwise(secret))
+            .when(kind == "hex", hexadecimal).when(kind == "phone", phone)
+            .when(kind == "card", card).when(kind == "ssn", take(F.lit(9))).when(kind == "name", names)
+            .when(kind == "initials", initials).otherwise(secret))
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -179,14 +196,14 @@ def _as_written(kind: Column, mention: Column, surrogate: Column) -> Column:
     word = (F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(surrogate))
             .when(F.substring(mention, 1, 1) != F.lower(F.substring(mention, 1, 1)), F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
             .otherwise(surrogate))
-    return F.when(kind.isin("phone", "card", "ssn"), number).when(kind.isin("email", "hex", "name"), word).otherwise(surrogate)
+    return F.when(kind.isin("phone", "card", "ssn"), number).when(kind.isin("email", "hex", "name", "initials"), word).otherwise(surrogate)
 
 
 def _mentions(hits: DataFrame) -> DataFrame:
     """Distinct mentions of each text, typed: _pii_id, _pii_key, mention, kind, entity, gender."""
     m = hits.select("_pii_id", "_pii_key", "titled", F.explode(F.array_distinct("mentions")).alias("mention"))
     gender = lambda titles: F.exists(F.col("titled"), lambda x: (F.array_contains(F.array(*map(F.lit, titles)), F.regexp_extract(x, r"^\p{L}+", 0)))
-                                     & (F.size(F.split(x, " ")) > 2) & (F.get(F.split(x, " "), 1) == F.col("mention")))
+                                     & (F.size(F.split(x, " ")) > 2) & F.array_contains(F.split(F.get(F.split(x, " "), 1), "-"), F.col("mention")))
     m = m.withColumn("kind", _kind(F.col("mention"))).withColumn("entity", _normal(F.col("kind"), F.col("mention")))
     named = F.col("kind") == "name"
     return m.withColumn("gender", F.when(named & gender(MALE), "m").when(named & gender(FEMALE), "f")).drop("titled")

@@ -251,6 +251,41 @@ def test_pii_surrogates(spark):
     assert len({c.replace(" ", "") for c in cards}) == 1 and got[4] == rows[2][1]
 
 
+def test_pii_secrets_of_any_length(spark):
+    rng = random.Random(5)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    word = "abcdefghijkLMNOPQRSTUVWXYZ0123456789"
+    keys = [draw("0123456789abcdef", n) for n in (32, 128, 129, 200, 513, 5000)]
+    keys += [p + "-".join(draw(word, n) for n in part) for p in ("sk-", "xoxb-") for part in ((24,), (64,), (65,), (30, 30, 30), (40, 200), (5000,))]
+    keys += ["sk-" + "_".join(draw(word, 40) for _ in range(4))]
+    texts = [(k, f"key {x}, twice: {x}.") for k, x in enumerate(keys)]
+    for r in pii.replace(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        old, new = keys[r.doc_id], re.fullmatch(r"key (\S+), twice: (\S+)\.", r.text).groups()
+        assert new[0] == new[1] and len(new[0]) == len(old)
+        parts = re.split("[-_]", old)
+        assert not set(parts) - {"sk", "xoxb"} & set(re.split("[-_]", new[0])), r.doc_id
+
+
+def test_pii_names_of_any_form(spark):
+    rows = {1: ("Dr. Anna Maria Schmidt called. Schmidt left.", ["Anna", "Maria", "Schmidt"]), 2: ("Mr Jean-Luc Picard and Luc", ["Jean", "Luc", "Picard"]),
+            3: ("Mr J. Smith met Prof. J.R.R. Tolkien, Mr J.-P. Sartre", ["J.", "Smith", "J.R.R.", "Tolkien", "J.-P.", "Sartre"]),
+            4: ("Mr J Smith, Frau Müller-Lüdenscheidt", ["Smith", "Müller", "Lüdenscheidt"]), 5: ("Ms O'Brien's car; O'Brien", ["O'Brien"]),
+            6: ("Prof. " + " ".join(f"{c}{d}ame" for c in "ABCDEFGHIJ" for d in "abc") + " spoke", [f"{c}{d}ame" for c in "ABCDEFGHIJ" for d in "abc"]),
+            7: ("Mrs M.Curie. The end, J, m. x", ["M.", "Curie"]), 8: ("Dr " + "Abc Def " * 3000 + "Ghi", ["Abc", "Def", "Ghi"])}
+    d = spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id long, text string")
+    named = defaultdict(set)
+    for r in pii.entities(d).collect():
+        named[r.doc_id].add(r.mention)
+    got = {r.doc_id: r.text for r in pii.replace(d).collect()}
+    for k, (text, names) in rows.items():
+        assert named[k] == set(names), k
+        left = re.findall(r"[\w.'-]+", got[k])
+        assert not any(n in w.split("-") or n == w for n in names for w in left), got[k][:200]
+        assert len(got[k].split()) == len(text.split())
+    assert got[4].startswith("Mr J ") and got[5].count("'s car; ") == 1 and got[7].endswith(" The end, J, m. x") and re.match(r"Mr \w+-\w+ \w+ and \w+$", got[2])
+    assert re.match(r"Mr [A-Z]+\. \w+ met Prof\. [A-Z]+\.[A-Z]\.[A-Z]\. \w+, Mr [A-Z]+\.-[A-Z]\. \w+$", got[3])
+
+
 def test_surrogates_stay_distinct_in_a_small_space(spark):
     names = spark.createDataFrame([("email", f"{c}@a.bc", None) for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, entity string, gender string")
     got = pii.surrogates(names).collect()
