@@ -9,7 +9,17 @@ into ``BUCKETS`` cells, likewise the last three characters of every word (they
 show junk marks on words never seen before).  Two multinomials over the cells,
 of the trusted target and of the whole corpus, both counted over all their
 documents, give each cell log(p_target / p_raw); a document's ratio is the mean
-over its n-grams.  It is kept if that is at least ``THRESHOLD``.  The trusted
+over its n-grams.  It is kept if that is at least ``THRESHOLD``.
+
+Junk that says common words over and over has common n-grams only, once pairs
+share cells with words.  Pairs therefore also have ``PAIR_BUCKETS`` cells of
+their own, and the pairs that a document says twice or more are judged there:
+their ratios log((good + 1) / (expected + 1)), expected being the raw count
+times the target's share of all pairs, are added up and divided by the
+document's words.  The column llr is the lesser of the two.  Copies of one clean
+text raise the raw count of its pairs too, but repeat few of them inside.
+
+The trusted
 target are the documents labelled quality 1 and not toxic; without any, all
 documents that pass the counted rules.
 
@@ -31,6 +41,7 @@ from rosterspark.llm.decontam import without
 from rosterspark.session import materialize
 
 BUCKETS = 8192
+PAIR_BUCKETS = 1 << 18  # a multiple of BUCKETS
 THRESHOLD = -0.4
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -68,11 +79,20 @@ def _repeats(words: Column) -> Column:
 
 
 def cells(words: Column) -> Column:
-    """The cells of a document's n-grams: words, pairs, word ends."""
+    """The cells of a document's words and word ends."""
     cell = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
-    return F.concat(F.transform(words, lambda w: cell(F.lit(1), w)),
-                    F.transform(words, lambda w, i: cell(F.lit(2), w, F.get(words, i + 1))),
-                    F.transform(words, lambda w: cell(F.lit(3), F.right(w, F.lit(3)))))
+    return F.concat(F.transform(words, lambda w: cell(F.lit(1), w)), F.transform(words, lambda w: cell(F.lit(3), F.right(w, F.lit(3)))))
+
+
+def pairs(words: Column) -> Column:
+    """The own cells of a document's pairs; modulo ``BUCKETS``, the cells that they share with words and word ends."""
+    return F.transform(words, lambda w, i: F.pmod(F.xxhash64(F.lit(2), w, F.get(words, i + 1)), F.lit(PAIR_BUCKETS)).cast("int"))
+
+
+def _again(cells: Column) -> Column:
+    """Those that occur twice or more, each time they occur."""
+    return F.when(F.size(F.array_distinct(cells)) == F.size(cells), F.array().cast("array<int>")).otherwise(
+        bind(F.sort_array(cells), lambda c: F.filter(c, lambda x, i: (F.get(c, i - 1) == x) | (F.get(c, i + 1) == x))))
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -87,36 +107,48 @@ def counts(docs: DataFrame) -> DataFrame:
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """log(p_target / p_raw) of each cell (add-one smoothing): one aggregation to at most BUCKETS rows."""
+def log_ratios(docs: DataFrame, labels: DataFrame) -> tuple[list[float], list[float]]:
+    """log(p_target / p_raw) of each shared cell (add-one smoothing), and the ratio of each pair's own cell.
+
+    One aggregation to at most BUCKETS + PAIR_BUCKETS rows; pairs reach their shared cell from their own.
+    """
     trusted = (labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("trusted_id"))
                .filter("trusted_id is not null").distinct())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("t"))
     rows = rows.join(trusted, rows["id"] == F.col("trusted_id"), "left").select(
         F.col("trusted_id").isNotNull().alias("good"), words_of(F.col("t")).alias("words"))
-    grams = rows.select("good", F.explode(cells(F.col("words"))).alias("cell"))
-    got = grams.groupBy("cell").agg(F.count("*").alias("raw"), F.count(F.when(F.col("good"), 1)).alias("good")).collect()  # BUCKETS rows at most
+    own = F.transform(pairs(F.col("words")), lambda x: x + BUCKETS)
+    grams = rows.select("good", F.explode(F.concat(cells(F.col("words")), own)).alias("cell"))
+    got = grams.groupBy("cell").agg(F.count("*").alias("raw"), F.count(F.when(F.col("good"), 1)).alias("good")).collect()
     raw, good = [1.0] * BUCKETS, [1.0] * BUCKETS
-    for r in got:
-        raw[r["cell"]] += r["raw"]
-        good[r["cell"]] += r["good"]
+    pair_raw, pair_good = [0] * PAIR_BUCKETS, [0] * PAIR_BUCKETS
+    for cell, r, g in got:
+        if cell >= BUCKETS:
+            pair_raw[cell - BUCKETS], pair_good[cell - BUCKETS] = r, g
+            cell = (cell - BUCKETS) % BUCKETS
+        raw[cell] += r
+        good[cell] += g
     if sum(good) == BUCKETS:
-        return [0.0] * BUCKETS
-    a, b = sum(raw), sum(good)
-    return [math.log(g / b) - math.log(r / a) for g, r in zip(good, raw)]
+        return [0.0] * BUCKETS, [0.0] * PAIR_BUCKETS
+    a, b, share = sum(raw), sum(good), sum(pair_good) / sum(pair_raw)
+    return ([math.log(g / b) - math.log(r / a) for g, r in zip(good, raw)],
+            [round(math.log((g + 1) / (r * share + 1)), 6) for g, r in zip(pair_good, pair_raw)])
 
 
 def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept for every row."""
-    ratios = log_ratios(docs, labels)
-    table = F.split(F.lit(" ".join(repr(x) for x in ratios)), " ").cast("array<double>")  # a constant of BUCKETS numbers
+    constant = lambda numbers: F.split(F.lit(" ".join(map(repr, numbers))), " ").cast("array<double>")
+    shared, own = map(constant, log_ratios(docs, labels))
     words = F.col("words")
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.get(table, x))
+    total = lambda table, c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.get(table, x))
+    ratio = bind(pairs(words), lambda p: F.least(
+        (total(shared, cells(words)) + total(shared, F.transform(p, lambda x: x % BUCKETS))) / (3 * F.size(words)),
+        total(own, _again(p)) / F.size(words)))
     n_words = F.size(words).cast("long")
     d = counts(docs).select("doc_id", "key", n_words.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
                             _repeats(words).alias("n_repeat_words"),
-                            F.when(F.size(words) == 0, F.lit(0.0)).otherwise(total(cells(words)) / (3 * F.size(words))).alias("llr"))
+                            F.when(F.size(words) == 0, F.lit(0.0)).otherwise(ratio).alias("llr"))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 

@@ -315,6 +315,18 @@ def test_quality_rule_counts(spark, rows):
         assert r.base_failed == (len(w) < 20 or 100 * len(twice) > 30 * len(w)) and not (r.kept and r.base_failed)
 
 
+def test_quality_rules_drop_common_words_said_over_and_over(spark):
+    sf = "/root/testdata/sf0.1"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    label = {r.doc_id: (r.quality, r.toxic or 0) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [r for r in QUERIES["op8_quality_rules"](spark, sf).collect() if not r.base_failed]
+    said = {r.doc_id: re.findall("[^\x20\x09-\x0D]+", text[r.doc_id]) for r in got}
+    junk = {i for i, w in said.items() if len(w) >= 5 * len(set(w))}
+    assert len(junk) >= 10 and sum(r.kept for r in got if r.doc_id in junk) <= len(junk) // 4
+    assert sum(r.kept for r in got if label.get(r.doc_id, (1, 0))[0] == 0) <= 4
+    assert all(r.kept for r in got if label.get(r.doc_id) == (1, 0))
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
