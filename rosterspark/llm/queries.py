@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rosterspark.llm.bpe import digests, encode
 from rosterspark.llm.common import documents, public_id
 from rosterspark.llm.decontam import overlaps
 from rosterspark.llm.jaccard import components
@@ -59,7 +60,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(documents(spark, sf_dir))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode(documents(spark, sf_dir)))
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_recompression_dedup, op3_katz_scoring, op4_lpt_sharding,
                                  op5_suffix_dedup, op6_spaced_seed_decontamination, op7_pii_surrogates, op8_quality_rules,
-                                 op9_compression_classifier, op10_jaccard_join)}
+                                 op9_compression_classifier, op10_jaccard_join, op13_byte_bpe)}
 ORACLE: dict[str, str] = {}
