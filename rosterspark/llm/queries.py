@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rosterspark.llm.bpe import digests, encode
 from rosterspark.llm.common import documents, public_id
+from rosterspark.llm.conversation_repair import audited, damaged
 from rosterspark.llm.decontam import overlaps
 from rosterspark.llm.jaccard import components
 from rosterspark.llm.katz import score_documents
@@ -65,13 +66,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), copies="copies")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(documents(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_recompression_dedup, op3_katz_scoring, op4_lpt_sharding,
                                  op5_suffix_dedup, op6_spaced_seed_decontamination, op7_pii_surrogates, op8_quality_rules,
-                                 op9_compression_classifier, op10_jaccard_join, op11_prefix_trie, op13_byte_bpe)}
+                                 op9_compression_classifier, op10_jaccard_join, op11_prefix_trie,
+                                 op12_conversation_repair, op13_byte_bpe)}
 
 #: crc32 of a string column {0}, bit by bit.
 CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::UBIGINT)),
