@@ -36,15 +36,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterspark.llm.common import expand, list_array, pair, starts_of
 from rosterspark.session import ship_package
 
-WINDOW = 1 << 19  # code points that are scanned at once
+WINDOW = 1 << 18  # code points that are scanned at once
 SLOTS = 1 << 20  # of the cache; half of them may be taken by slices whose ids are kept
 CACHE_BYTES = 15  # longest slice that is kept
+AT_ONCE = 1 << 13  # slices that are merged at once
 NO_PAIR = 1 << 40  # rank of a pair that does not merge
 BLOCK = 64  # code points whose functions one step of the scan over blocks stands for
 
@@ -271,14 +273,14 @@ class Vocabulary:
         """Adds the ids of short slices to the pool, merging all of them at once; their places."""
         first = len(self.edges) - 1
         whole = np.fromiter((self.ranks.get(body[x:x + n], -1) for x, n in zip(begins.tolist(), lens.tolist())), np.int64, len(lens))
-        ids, counts = merge_many(body, begins, lens, self)
-        keep = np.arange(ids.shape[1]) < counts[:, None]
-        known = whole >= 0
-        ids[known, 0] = whole[known]
-        keep[known] = np.arange(ids.shape[1]) < 1
-        counts = np.where(known, 1, counts)
-        self.pool.frombytes(ids[keep].tobytes())
-        self.edges.frombytes((np.cumsum(counts) + self.edges[-1]).tobytes())
+        for k in range(0, len(lens), AT_ONCE):
+            part = slice(k, k + AT_ONCE)
+            ids, counts = merge_many(body, begins[part], lens[part], self)
+            keep, known = np.arange(ids.shape[1]) < counts[:, None], whole[part] >= 0
+            ids[known, 0] = whole[part][known]
+            keep[known] = np.arange(ids.shape[1]) < 1
+            self.pool.frombytes(ids[keep].tobytes())
+            self.edges.frombytes((np.cumsum(np.where(known, 1, counts)) + self.edges[-1]).tobytes())
         return np.arange(first, first + len(lens))
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -422,12 +424,12 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, ids array<int>, offsets array<long>")
 
 
-def _parts(batch: pa.RecordBatch, limit: int = 4 << 20):
+def _parts(batch: pa.RecordBatch, limit: int = 1 << 20):
     """Runs of rows with about ``limit`` bytes of text (a longer text is a run by itself)."""
     column = batch.column(1)
-    sizes = np.array([len(x) if x is not None else 0 for x in column.to_pylist()], np.int64)
+    sizes = pc.binary_length(column).to_pylist()
     begin, total = 0, 0
-    for k, n in enumerate(sizes.tolist()):
+    for k, n in enumerate(sizes):
         if k > begin and total + n > limit:
             yield batch.slice(begin, k - begin)
             begin, total = k, 0
