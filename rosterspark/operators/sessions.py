@@ -29,6 +29,7 @@ WARNING_OCCURRED = "warning_occurred"
 MILESTONE_REACHED = "milestone_reached"
 SESSION_COMPLETE = "session_complete"
 STATISTICS_UPDATE = "statistics_update"
+ACTIVE = "active"  # status of a session until it completes or fails
 EMA_KEEP = 0.8  # weight of the old average in the moving average of batch time
 
 
@@ -171,7 +172,7 @@ def sessions_export(sessions: DataFrame, as_of: Column | None = None) -> DataFra
 
 
 def progress_timeline(events: DataFrame, chunk_unit: str | None = None) -> DataFrame:
-    """Running counters and current phase after each event of a session."""
+    """Running counters, current phase and (for events with ``batch_number``) current batch and status after each event."""
     rp = _is(RECORD_PROCESSED)
     sums = {
         "processed": _n(rp),
@@ -183,8 +184,40 @@ def progress_timeline(events: DataFrame, chunk_unit: str | None = None) -> DataF
         "milestones": _n(_is(MILESTONE_REACHED)),
     }
     lasts = {"current_phase": F.when(_is(PHASE_CHANGE), F.col("phase"))}
+    if "batch_number" in events.columns:
+        lasts["current_batch"] = F.when(_is(BATCH_START), F.col("batch_number"))
+        lasts["status"] = _ended_as()
     out = running(events, "session_id", EVENT_ORDER, _chunk(chunk_unit), sums, lasts)
-    return out.select("seq", "session_id", "ts", *sums.keys(), "current_phase")
+    if "status" in lasts:
+        out = out.withColumn("status", F.coalesce("status", F.lit(ACTIVE)))
+    return out.select("seq", "session_id", "ts", *sums.keys(), *lasts.keys())
+
+
+def _ended_as() -> Column:
+    """Status that a session's end gives it; null for other events."""
+    return F.when(_is(SESSION_COMPLETE), F.when(F.coalesce(F.col("success"), F.lit(False)), F.lit("completed")).otherwise(F.lit("failed")))
+
+
+def tracker_stats(events: DataFrame) -> DataFrame:
+    """A15 with status, current batch, errors, batches and duration: a session's state after all of its events.
+
+    Partial aggregates only (no window): what a later event replaces is the value at the greatest (ts, seq).
+    """
+    rp, order = _is(RECORD_PROCESSED), F.struct(*EVENT_ORDER)
+    ok = rp & F.coalesce(F.col("success"), F.lit(False))
+
+    def at_last(cond, value):
+        return F.max_by(value, F.when(cond, order))
+
+    counts = {"events": F.lit(True), "processed": rp, "successful": ok, "failed": rp & ~F.coalesce(F.col("success"), F.lit(False)),
+              "warnings": _is(WARNING_OCCURRED), "errors": _is(ERROR_OCCURRED), "milestones": _is(MILESTONE_REACHED), "batches": _is(BATCH_COMPLETE)}
+    s = events.groupBy("session_id").agg(
+        *[F.count_if(c).cast("bigint").alias(n) for n, c in counts.items()],
+        at_last(_is(PHASE_CHANGE), F.col("phase")).alias("phase"),
+        at_last(_is(BATCH_START), F.col("batch_number")).alias("current_batch"),
+        F.coalesce(at_last(_is(SESSION_COMPLETE), _ended_as()), F.lit(ACTIVE)).alias("status"),
+        elapsed_ms(F.min("ts"), F.max("ts")).alias("duration_ms"))
+    return s.withColumn("success_rate", rate_pct("successful", "processed"))
 
 
 def _batch_times(events: DataFrame) -> DataFrame:

@@ -566,6 +566,7 @@ QUERIES["potential_duplicates_08"] = _near(0.8)
 # --- streaming (run to completion with availableNow, compared with the batch oracle) ----
 
 from ..streaming import jobs as R  # noqa: E402
+from ..streaming import state as RS  # noqa: E402
 
 
 def _ordered_parts(df, path):
@@ -594,8 +595,8 @@ def stream_dedup(spark, sf_dir):
         _ordered_parts(part, f"{base}/in")
         # one micro-batch per run: the file source orders files by modification time, not name
         stream = R.file_stream(spark, f"{base}/in", valid.schema, "parquet")
-        R.run_available_now(stream, None, f"{base}/ckpt", foreach_batch=R.stream_dedup(base, "email"))
-    return spark.read.parquet(f"{base}/out").drop("batch")
+        R.run_available_now(RS.dedup_stream(stream, "email"), f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
 
 
 @query("stream_progress")
@@ -614,6 +615,34 @@ def stream_progress(spark, sf_dir):
     return spark.read.parquet(f"{base}/out/v={last}")
 
 
+@query("stream_tracker")
+def stream_tracker(spark, sf_dir):
+    """The state of each session folded from a stream of tracker events (update mode), saved per micro-batch and merged.
+
+    Files are dealt by a hash, so events reach a session's state out of order.
+    """
+    ev = fixtures.tracker_events(spark, sf_dir)
+    base = scratch_path(spark, f"stream-tracker-{_uuid.uuid4().hex[:12]}")
+    ev.repartition(4, F.xxhash64("seq")).write.parquet(f"{base}/in")
+    stream = R.file_stream(spark, f"{base}/in", ev.schema, "parquet", max_files_per_trigger=2)
+    save = R.autosave(f"{base}/saves", (S.ACTIVE, "completed", "failed"))
+    R.run_available_now(RS.progress_stream(stream), None, f"{base}/ckpt", "update", foreach_batch=save)
+    R.compact_saves(spark, f"{base}/saves", 0)
+    return R.read_saves(spark, f"{base}/saves").drop("ts", "saved_in")
+
+
+@query("tracker_stats")
+def tracker_stats(spark, sf_dir):
+    """Totals, status, phase, current batch and duration of each session from its events."""
+    return S.tracker_stats(fixtures.tracker_events(spark, sf_dir))
+
+
+@query("tracker_timeline")
+def tracker_timeline(spark, sf_dir):
+    """Counters, phase, current batch and status after each event."""
+    return S.progress_timeline(fixtures.tracker_events(spark, sf_dir))
+
+
 # --- end-to-end jobs ------------------------------------------------------------
 
 from . import jobs as J  # noqa: E402

@@ -411,6 +411,13 @@ SELECT seq, session_id, ts,
 FROM progress_events
 """
 
+ORACLE["tracker_timeline"] = ORACLE["progress_timeline"].replace(cte("progress_events"), cte("tracker_events")).replace(
+    "AS current_phase\n", f"""AS current_phase,
+  last_value(CASE WHEN type = 'batch_start' THEN batch_number END IGNORE NULLS) OVER {_W} AS current_batch,
+  coalesce(last_value(CASE WHEN type = 'session_complete' THEN CASE WHEN coalesce(success, false) THEN 'completed' ELSE 'failed' END END
+           IGNORE NULLS) OVER {_W}, 'active') AS status
+""").replace("FROM progress_events", "FROM tracker_events")
+
 _BATCHES = "SELECT * FROM progress_events WHERE type = 'batch_complete' AND duration_ms > 0"
 
 ORACLE["batch_time_mean"] = cte("progress_events") + f"""
@@ -783,6 +790,36 @@ ORACLE["stream_validate"] = ORACLE["validation_findings"]
 ORACLE["stream_dedup"] = ORACLE["dup_email"]
 ORACLE["stream_progress"] = ORACLE["session_event_stats"]
 
+
+def _last_of(type_: str, value: str) -> str:
+    return f"arg_max({value}, (ts, seq)) FILTER (WHERE type = '{type_}')"
+
+
+_TRACKED = f"""SELECT *, {rate('successful', 'processed')} AS success_rate FROM (SELECT session_id, count(*) AS events,
+  count(*) FILTER (WHERE type = 'record_processed') AS processed,
+  count(*) FILTER (WHERE type = 'record_processed' AND coalesce(success, false)) AS successful,
+  count(*) FILTER (WHERE type = 'record_processed' AND NOT coalesce(success, false)) AS failed,
+  count(*) FILTER (WHERE type = 'warning_occurred') AS warnings,
+  count(*) FILTER (WHERE type = 'error_occurred') AS errors,
+  count(*) FILTER (WHERE type = 'milestone_reached') AS milestones,
+  count(*) FILTER (WHERE type = 'batch_complete') AS batches,
+  {_last_of('phase_change', 'phase')} AS phase,
+  {_last_of('batch_start', 'batch_number')} AS current_batch,
+  coalesce({_last_of('session_complete', "CASE WHEN coalesce(success, false) THEN 'completed' ELSE 'failed' END")}, 'active') AS status,
+  {_ms('min(ts)', 'max(ts)')} AS duration_ms
+  FROM tracker_events GROUP BY session_id) s"""
+
+ORACLE["tracker_stats"] = cte("tracker_events") + _TRACKED
+
+ORACLE["stream_tracker"] = cte("tracker_events") + f""",
+b AS (SELECT session_id, duration_ms AS d, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS i,
+        count(*) OVER (PARTITION BY session_id) AS n FROM tracker_events WHERE type = 'batch_complete' AND duration_ms > 0),
+e AS (SELECT session_id, round(sum(CASE WHEN i = 1 THEN pow(0.8, n - 1) ELSE (1.0 - 0.8) * pow(0.8, n - i) END * d), 6) AS ema_batch_ms
+      FROM b GROUP BY session_id),
+t AS ({_TRACKED})
+SELECT t.*, e.ema_batch_ms FROM t LEFT JOIN e ON e.session_id = t.session_id
+"""
+
 ORACLE["import_dry_run"] = ORACLE["batch_plan"]
 
 ORACLE["import_skip_validation"] = _KEPT + f"""

@@ -57,6 +57,20 @@ SELECT event_id AS seq, user_id AS session_id, ts,
 FROM events
 """
 
+# All event types of a progress tracker, with batch numbers and ends of sessions.
+TRACKER_EVENTS_SQL = """
+SELECT event_id AS seq, user_id AS session_id, ts,
+ CASE event_type WHEN 'signup' THEN CASE event_id % 3 WHEN 0 THEN 'phase_change' WHEN 1 THEN 'batch_start' ELSE 'milestone_reached' END
+      WHEN 'view' THEN 'batch_complete'
+      WHEN 'click' THEN CASE WHEN event_id % 7 = 0 THEN 'error_occurred' WHEN event_id % 41 = 0 THEN 'session_complete' ELSE 'warning_occurred' END
+      ELSE 'record_processed' END AS type,
+ CASE event_type WHEN 'purchase' THEN TRUE WHEN 'error' THEN FALSE WHEN 'click' THEN event_id % 2 = 0 END AS success,
+ CASE WHEN event_type = 'view' THEN value END AS duration_ms,
+ CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'phase_' || CAST(event_id % 4 AS STRING) END AS phase,
+ CASE WHEN event_type = 'signup' AND event_id % 3 = 1 THEN CAST(event_id % 100 AS BIGINT) END AS batch_number
+FROM events
+"""
+
 SESSIONS_SQL = """
 SELECT session_id, status, total, processed,
        processed - CAST(floor(processed / 5) AS BIGINT) AS successful,
@@ -89,6 +103,7 @@ FROM orders
 FIXTURE_VIEWS = {
     "contacts": (CONTACTS_SQL, ["customer"]),
     "progress_events": (PROGRESS_EVENTS_SQL, ["events"]),
+    "tracker_events": (TRACKER_EVENTS_SQL, ["events"]),
     "sessions": (SESSIONS_SQL, ["orders"]),
     "delivery_attempts": (DELIVERY_ATTEMPTS_SQL, ["orders"]),
     "checkpoints": (CHECKPOINTS_SQL, ["orders"]),
@@ -140,6 +155,10 @@ def progress_events(spark, sf_dir):
     return fixture(spark, sf_dir, "progress_events")
 
 
+def tracker_events(spark, sf_dir):
+    return fixture(spark, sf_dir, "tracker_events")
+
+
 def sessions(spark, sf_dir):
     return fixture(spark, sf_dir, "sessions")
 

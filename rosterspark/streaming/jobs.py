@@ -1,9 +1,8 @@
 """Structured Streaming versions of the contact jobs.
 
 The same Column functions serve batch and stream: ``validate`` is stateless,
-progress counters are a streaming aggregation, and dedup numbers every
-micro-batch with the batch operator on top of a table of keys seen before.  Query recovery is
-the ``checkpointLocation``; delivery in ``foreachBatch`` is idempotent through
+progress counters are a streaming aggregation; what needs a key's earlier rows
+is in ``state`` (dedup, progress fold).  Query recovery is the ``checkpointLocation``; delivery in ``foreachBatch`` is idempotent through
 the ledger.  Arrival order replaces line order across micro-batches.
 """
 
@@ -15,11 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import dedup as DD
 from ..operators import rules
 from ..operators import sessions as S
 from ..session import path_exists
-from ..sources.files import append_checkpoint
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -53,82 +50,66 @@ def stream_validate(contacts: DataFrame, **kw) -> DataFrame:
     return rules.validate(contacts, **kw)
 
 
-# --- R2 ----------------------------------------------------------------------
-
-
-def stream_dedup(path: str, strategy="email", order_col: str = "line_number", keep_cols=("line_number",)) -> Callable:
-    """R2: ``foreachBatch`` function that numbers holders of each key across micro-batches.
-
-    Each micro-batch goes through the batch operator (``mark_across_runs``), so
-    its rows are numbered in ``order_col`` order whatever their number, and a hot
-    key is split over tasks.  ``path/out`` gets the rows (``keep_cols``,
-    dup_key, dup_number, is_duplicate, original_line), ``path/keys`` one row per
-    key and micro-batch: count and first line.  Both are written below
-    ``batch=<id>`` and earlier batches only are read, so a retried batch writes
-    the same rows again.  Blank keys are never duplicates and leave no state.
-    """
-    cols = list(dict.fromkeys([*keep_cols, order_col]))
-
-    def each(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        seen = spark.createDataFrame([], "dup_key string, line_number bigint, n bigint, run int")
-        if path_exists(spark, f"{path}/keys"):
-            seen = spark.read.schema(seen.schema).option("recursiveFileLookup", True).parquet(f"{path}/keys").filter(F.col("run") < batch_id)
-        out = f"{path}/out/batch={batch_id}"
-        marked = DD.mark_across_runs(batch, seen, strategy, order_col)
-        marked.select(*cols, "dup_key", "dup_number", "is_duplicate", "original_line").write.mode("overwrite").parquet(out)
-        DD.remember_keys(spark.read.parquet(out), f"{path}/keys/batch={batch_id}", "overwrite", batch_id, order_col)
-
-    return each
-
-
 # --- R3 ----------------------------------------------------------------------
 
 
 def stream_progress(events: DataFrame) -> DataFrame:
-    """Per-session counters as a streaming aggregation (update/complete mode).
+    """Per-session counters as a streaming aggregation (update/complete mode); ``state.progress_stream`` folds the rest.
 
-    The trigger interval replaces the reference's notification throttle.
+    The trigger interval replaces a throttle of notifications.
     """
     return S.session_event_stats(events)
 
 
+NUMBERS = "batches long, rows long"
+
+
 # --- S7 ----------------------------------------------------------------------
 
 
 def stream_contacts(spark: SparkSession, directory: str, schema: T.StructType, sink: Callable,
                     checkpoint: str, batch_size: int | None = None, fmt: str = "csv",
-                    chunk_rows: int | None = None, order_col: str | None = None, **options):
+                    chunk_rows: int | None = None, order_col: str | None = None, numbers_path: str | None = None, **options):
     """Deliver a directory of contact files in micro-batches numbered from 1.
 
     ``batch_size`` bounds the files per micro-batch.  With ``chunk_rows`` and an
     ``order_col`` every row also gets ``chunk_no``: consecutive slices of
     ``chunk_rows`` rows in order, numbered from 1 and continued across
     micro-batches (the last slice may be shorter).  ``sink(batch_df, batch_no)``
-    is called once per non-empty micro-batch; returns ``(batches, rows)``.
+    is called for every non-empty micro-batch; returns ``(batches, rows)`` of
+    the stream since its checkpoint began.  The totals after each micro-batch
+    lie in ``numbers_path`` below its id, so numbers go on after a restart and
+    a retried micro-batch gets the numbers it had.
     """
     from ..operators.delivery import plan_batches
 
     if fmt == "csv":
         options.setdefault("header", True)
     stream = file_stream(spark, directory, schema, fmt, max_files_per_trigger=batch_size, **options)
-    counts = []
+    totals = numbers_path or f"{checkpoint.rstrip('/')}-numbers"
+
+    def before(batch_id):
+        """(micro-batches with rows, rows) of all micro-batches before this one, from the row that the last one left."""
+        if batch_id < 0:
+            return 0, 0
+        return tuple(spark.read.schema(NUMBERS).parquet(f"{totals}/batch={batch_id}").first())
 
     def each(df, batch_id):
-        n = df.count()  # one small action per micro-batch; the totals reported at the end
-        if not n:
-            return
-        before = sum(counts)
-        counts.append(n)
-        if chunk_rows and order_col:
-            planned = plan_batches(df, 1, order_col)  # dense 1-based position inside the micro-batch
-            df = planned.withColumn(
-                "chunk_no", (F.floor((F.lit(before) + F.col("seq") - 1) / F.lit(chunk_rows)) + 1).cast("bigint")
-            ).drop("seq", "batch_no", "pos_in_batch")
-        sink(df, len(counts))
+        batches, rows = before(batch_id - 1)
+        n = df.count()  # one small action per micro-batch
+        if n:
+            if chunk_rows and order_col:
+                planned = plan_batches(df, 1, order_col)  # dense 1-based position inside the micro-batch
+                df = planned.withColumn(
+                    "chunk_no", (F.floor((F.lit(rows) + F.col("seq") - 1) / F.lit(chunk_rows)) + 1).cast("bigint")
+                ).drop("seq", "batch_no", "pos_in_batch")
+            sink(df, batches + 1)
+        spark.createDataFrame([(batches + bool(n), rows + n)], NUMBERS).coalesce(1).write.mode("overwrite").parquet(f"{totals}/batch={batch_id}")
 
     run_available_now(stream, None, checkpoint, foreach_batch=each)
-    return len(counts), sum(counts)
+    done = spark.read.schema(f"{NUMBERS}, batch long").parquet(totals) if path_exists(spark, totals) else None
+    last = done.agg(F.max("batches"), F.max("rows")).first() if done is not None else (0, 0)
+    return tuple(last)
 
 
 # --- R4 / R5 / R6 --------------------------------------------------------------
@@ -156,14 +137,59 @@ def watch_sessions(spark: SparkSession, snapshot_path: str) -> Callable:
     return each
 
 
-def autosave_checkpoints(state_stream: DataFrame, path: str, checkpoint: str, every: str = "30 seconds"):
-    """Append one checkpoint row per session and trigger (default every 30 s)."""
-    return (
-        state_stream.writeStream.option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(processingTime=every)
-        .foreachBatch(lambda df, _id: append_checkpoint(df, path))
-        .start()
-    )
+def autosave(path: str, active: tuple[str, ...] = (S.ACTIVE,)) -> Callable:
+    """``foreachBatch`` function that saves the latest row of every active session in the micro-batch.
+
+    Input rows: ``session_id, ts, status`` and what else is to be kept, as
+    ``progress_stream`` returns them (a ``ts`` is added where there is none).
+    The saves of a micro-batch lie in ``path/batch=<id>``, so a retried one
+    replaces its own; ``compact_saves`` merges them.
+    """
+    def each(batch: DataFrame, batch_id: int):
+        rows = batch if "ts" in batch.columns else batch.withColumn("ts", F.lit(None).cast("timestamp"))
+        cols = [c for c in rows.columns if c != "session_id"]
+        latest = rows.groupBy("session_id").agg(F.max_by(F.struct(*cols), F.struct("ts", *[c for c in cols if c != "ts"])).alias("r"))
+        saved = latest.select("session_id", *[F.col(f"r.{c}").alias(c) for c in cols]).filter(F.col("status").isin(*active))
+        saved.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return each
+
+
+def read_saves(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The latest save of each session: merged ones and those since, with the micro-batch of the save."""
+    fs, root = _folder(spark, path)
+    folders = [f.getPath().getName() for f in fs.listStatus(root)]
+    merged = max((int(f[6:]) for f in folders if f.startswith("merged") and path_exists(spark, f"{path}/{f}/_SUCCESS")), default=None)
+    ids = sorted(int(f[6:]) for f in folders if f.startswith("batch=") and path_exists(spark, f"{path}/{f}/_SUCCESS"))
+    ids = [i for i in ids if (merged is None or i > merged) and (upto is None or i <= upto)]
+    parts = [spark.read.parquet(f"{path}/merged{merged}")] if merged is not None else []
+    if ids:
+        parts.append(spark.read.option("basePath", path).parquet(*[f"{path}/batch={i}" for i in ids]).withColumnRenamed("batch", "saved_in")
+                     .withColumn("saved_in", F.col("saved_in").cast("long")))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    cols = [c for c in every.columns if c != "session_id"]
+    latest = every.groupBy("session_id").agg(F.max_by(F.struct(*cols), "saved_in").alias("r"))
+    return latest.select("session_id", *[F.col(f"r.{c}").alias(c) for c in cols])
+
+
+def compact_saves(spark: SparkSession, path: str, upto: int) -> None:
+    """Merge all saves up to a micro-batch into one table of the latest per session, then drop what it replaces.
+
+    The merged table is complete before anything goes; readers take the newest
+    complete one and the micro-batches after it, so a compaction that fails or
+    runs twice changes no answer.
+    """
+    read_saves(spark, path, upto).write.mode("overwrite").parquet(f"{path}/merged{upto}")
+    fs, root = _folder(spark, path)
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) <= upto or name.startswith("merged") and int(name[6:]) < upto:
+            fs.delete(f.getPath(), True)
+
+
+def _folder(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
 
 
 def stream_deliver(deliver_fn: Callable) -> Callable:

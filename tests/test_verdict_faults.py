@@ -6,7 +6,6 @@ from rosterspark.operators import dedup, delivery, ordered, rules
 from rosterspark.plans.catalog import QUERIES
 from rosterspark.plans.jobs import import_contacts
 from rosterspark.sources import files as FS
-from rosterspark.streaming import jobs as R
 
 CONTACT = "line_number long, email string, first_name string, last_name string, phone_number string"
 
@@ -62,29 +61,6 @@ def test_blank_keys_stay_no_duplicates_across_runs(spark, tmpdir_path):
     assert [(r.dup_number, r.is_duplicate, r.original_line) for r in got.orderBy("line_number").collect()] == [(None, False, None), (None, False, None), (2, True, 3)]
 
 
-def test_streamed_key_larger_than_an_arrow_batch_is_numbered_in_order(spark, tmpdir_path):
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        for lo, hi in ((1, 21), (21, 31)):
-            df = spark.createDataFrame([(k, "a@x.com") for k in reversed(range(lo, hi))] + [(lo + 100, "")], "line_number long, email string")
-            df.write.mode("append").parquet(f"{tmpdir_path}/in")
-            stream = R.file_stream(spark, f"{tmpdir_path}/in", df.schema)
-            R.run_available_now(stream, None, f"{tmpdir_path}/ckpt", foreach_batch=R.stream_dedup(tmpdir_path))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    got = {r.line_number: (r.dup_number, r.is_duplicate, r.original_line) for r in spark.read.parquet(f"{tmpdir_path}/out").collect()}
-    assert got == {k: (k, k > 1, 1 if k > 1 else None) for k in range(1, 31)} | {101: (None, False, None), 121: (None, False, None)}
-
-
-def test_retried_micro_batch_gives_the_same_rows(spark, tmpdir_path):
-    each = R.stream_dedup(tmpdir_path)
-    for batch_id, lines in ((0, (1, 2)), (1, (3, 4)), (1, (3, 4))):
-        each(spark.createDataFrame([(k, "a@x.com") for k in lines], "line_number long, email string"), batch_id)
-    got = sorted((r.line_number, r.dup_number) for r in spark.read.parquet(f"{tmpdir_path}/out").collect())
-    assert got == [(1, 1), (2, 2), (3, 3), (4, 4)]
-
-
 def test_totals_of_no_results_are_zero(spark):
     t = delivery.combined_batch_stats(spark.createDataFrame([], delivery.RESULT_SCHEMA)).first()
     assert (t.total_batches, t.total_requests, t.successful, t.failed, t.success_rate) == (0, 0, 0, 0, 0)
