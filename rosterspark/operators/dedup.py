@@ -1,12 +1,10 @@
 """Exact deduplication.
 
-``mark_duplicates`` numbers the holders of each key in input order.  Rows with
-a blank key never enter the shuffle.  Hot keys (all that hold at least
-``hot_rows`` rows; up to ``max_hot_keys`` are a broadcast list, more a joined
-table) are split by ranges of the order column: each range is numbered
-locally and the per-range counts are prefix-summed and joined back, so no key,
-however large, is sorted by a single task.  Every other key goes through one
-plain ``row_number`` window.  Results are exact in both paths.
+``mark_duplicates`` numbers the holders of each key in input order with the
+scans of ``ordered``: a key with very many holders is cut into ranges of the
+order column that are numbered locally and moved on by the counts before, so no
+key, however large, is sorted by a single task.  Rows with a blank key never
+enter the shuffle.
 """
 
 from __future__ import annotations
@@ -18,9 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.expr import is_missing, js_trim, rate_pct
-
-HOT_ROWS = 1 << 20
-MAX_HOT_KEYS = 1024
+from .ordered import RANGE_ROWS, running
 
 
 def _lower_trim(c: str) -> Column:
@@ -71,85 +67,24 @@ def key_counts(keyed: DataFrame, order_col: str = "line_number") -> DataFrame:
     )
 
 
-def mark_duplicates(
-    df: DataFrame,
-    strategy="email",
-    order_col: str = "line_number",
-    hot_rows: int = HOT_ROWS,
-    max_hot_keys: int = MAX_HOT_KEYS,
-    skew_guard: bool = True,
-) -> DataFrame:
+def mark_duplicates(df: DataFrame, strategy="email", order_col: str = "line_number", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``dup_key, dup_number, is_duplicate, original_line``.
 
     ``dup_number`` is the 1-based ordinal of the row among the holders of its
     key in ``order_col`` order (first duplicate = 2); ``original_line`` is the
     first holder's position, set on duplicates only.  Blank keys are never
     duplicates (``dup_number`` NULL).  ``order_col`` must be unique per row.
+    Keys with many holders are numbered in ranges of about ``range_rows`` rows.
     """
     keyed = with_dup_key(df, strategy)
     blank = _blank(F.col("dup_key"))
-    out_cols = df.columns + ["dup_key", "dup_number", "is_duplicate", "original_line"]
-
-    blanks = (
-        keyed.filter(blank)
-        .withColumn("dup_number", F.lit(None).cast("bigint"))
-        .withColumn("is_duplicate", F.lit(False))
-        .withColumn("original_line", F.lit(None).cast("bigint"))
-        .select(*out_cols)
-    )
-    present = keyed.filter(~blank)
-
-    w = Window.partitionBy("dup_key").orderBy(order_col)
-
-    def finish(frame):
-        return (
-            frame.withColumn("is_duplicate", F.col("dup_number") > 1)
-            .withColumn("original_line", F.when(F.col("dup_number") > 1, F.col("_first")).cast("bigint"))
-            .select(*out_cols)
-        )
-
-    if not skew_guard:
-        cold = present.withColumn("dup_number", F.row_number().over(w).cast("bigint")).withColumn(
-            "_first", F.first(order_col).over(w)
-        )
-        return finish(cold).unionByName(blanks)
-
-    from .ordered import hot_key_table, split_by_keys
-
-    present_keys = present.select("dup_key", order_col)
-    hot_keys = hot_key_table(present_keys, "dup_key", hot_rows, max_hot_keys)
-    if hot_keys is None:
-        cold = present.withColumn("dup_number", F.row_number().over(w).cast("bigint")).withColumn(
-            "_first", F.first(order_col).over(w))
-        return finish(cold).unionByName(blanks)
-    cold_rows, hot_rows_df = split_by_keys(present, "dup_key", hot_keys)
-    cold = (
-        cold_rows.withColumn("dup_number", F.row_number().over(w).cast("bigint"))
-        .withColumn("_first", F.first(order_col).over(w))
-    )
-
-    # hot keys: number inside ranges of ``hot_rows`` positions, then add the
-    # count of the key's rows in all earlier ranges
-    hot_part = hot_rows_df.withColumn("_bucket", F.floor(F.col(order_col) / F.lit(hot_rows)).cast("bigint"))
-    wb = Window.partitionBy("dup_key", "_bucket").orderBy(order_col)
-    local = hot_part.withColumn("_local", F.row_number().over(wb))
-    per_bucket = hot_part.groupBy("dup_key", "_bucket").agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min(order_col).alias("_bmin")
-    )
-    wk = Window.partitionBy("dup_key").orderBy("_bucket")
-    offsets = per_bucket.select(
-        "dup_key",
-        "_bucket",
-        F.coalesce(
-            F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
-        F.min("_bmin").over(Window.partitionBy("dup_key")).alias("_first"),
-    )
-    hot_marked = (
-        local.join(offsets, ["dup_key", "_bucket"], "inner")
-        .withColumn("dup_number", (F.col("_offset") + F.col("_local")).cast("bigint"))
-    )
-    return finish(cold).unionByName(finish(hot_marked)).unionByName(blanks)
+    none = F.lit(None).cast("bigint")
+    blanks = keyed.filter(blank).withColumns({"dup_number": none, "_first": none})
+    numbered = running(keyed.filter(~blank), "dup_key", [order_col], sums={"dup_number": F.lit(1).cast("bigint")},
+                       mins={"_first": F.col(order_col)}, range_rows=range_rows)
+    again = F.coalesce(F.col("dup_number") > 1, F.lit(False))
+    return numbered.unionByName(blanks).withColumns({
+        "is_duplicate": again, "original_line": F.when(again, F.col("_first")).cast("bigint")}).drop("_first")
 
 
 def split_duplicates(marked: DataFrame):
@@ -243,16 +178,6 @@ def dedup_report(marked: DataFrame, strategy="email"):
     return stats, groups
 
 
-def new_against_seen(df: DataFrame, seen_keys: DataFrame, strategy="email") -> DataFrame:
-    """D12 (batch): rows whose key was not seen in earlier runs (``seen_keys`` has ``dup_key``).
-
-    Together with ``mark_duplicates`` on the new rows this continues the
-    numbering across runs; ``reset`` is simply starting from an empty table.
-    """
-    keyed = with_dup_key(df, strategy)
-    return keyed.join(seen_keys.select("dup_key").distinct(), "dup_key", "left_anti")
-
-
 def mark_across_runs(df: DataFrame, seen_keys: DataFrame, strategy="email", order_col: str = "line_number") -> DataFrame:
     """``mark_duplicates`` on top of earlier runs (``seen_keys`` from ``remember_keys``).
 

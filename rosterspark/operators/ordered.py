@@ -1,31 +1,34 @@
-"""Ordered per-key scans that stay parallel when one key is huge.
+"""Ordered per-key scans that stay parallel when one key is huge, in one lazy plan.
 
 A plain ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to
 one task; a session holding a third of all events would then be scanned by a
-single core.  The helpers here split each key into *chunks* of the ordering
-(for event streams: time buckets).  Each chunk is scanned locally with a window
-over ``(key, chunk)``; a small per-chunk table (one row per chunk) carries
-totals, the last non-null values and the boundary rows across chunks, and is
-joined back on ``(key, chunk)`` (same hash partitioning as the local window, so
-the big side is not shuffled again).  Results equal the single-window scan.
-
-Only hot keys pay for this: a partial count per key picks all keys with at
-least ``hot_rows`` rows; every other key uses one plain partitioned window, whose
-largest task is then bounded by ``hot_rows`` rows.  Up to ``max_hot_keys`` hot
-keys are a broadcast list, more of them a written table that is joined.
+single core.  The helpers here cut large keys into *ranges* of the ordering.
+Each range is scanned locally with a window over ``(key, range)``; a small
+table with one row per range carries totals, the last non-null values and the
+boundary rows over to later ranges.  Results equal the single-window scan.
+
+Where to cut is part of the plan, so building it starts no job.  A row is a
+sample if a hash of its key and order columns says so (one of ``range_rows``);
+the samples of a key, sorted, are quantiles of its ordering and serve as the
+edges between ranges.  Being chosen by value, they are the same whenever the
+plan or a lost part of it runs again, and they lie densely where rows do: a
+burst is cut as finely as a quiet time, and equal times by the order columns
+after them.  Keys without a sample stay whole.
+
+What is broadcast is bounded by construction: edges of the ``MAX_KEYS`` keys
+with the most samples, ``MAX_RANGES - 1`` each, and one row for each of their
+ranges.  Any other key has less than one ``MAX_KEYS``-th of the samples.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import materialize
-
-HOT_ROWS = 1 << 20  # keys with at least this many rows take the chunked path
-MAX_HOT_KEYS = 1024  # longest hot-key list that is broadcast; more keys are joined as a table
-CHUNK_ROWS = 1 << 18  # target rows per chunk of a hot key (automatic chunks)
+RANGE_ROWS = 1 << 18  # one row of so many is a sample: target rows per range of a large key
+MAX_KEYS = 1024  # keys that are cut
+BLOCK = 16  # a row's range is looked up among blocks of edges, then inside one
+MAX_RANGES = BLOCK * BLOCK
 
 
 def time_chunk(ts: str, unit: str = "hour") -> Column:
@@ -33,193 +36,114 @@ def time_chunk(ts: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(ts))
 
 
-def hot_key_table(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int) -> DataFrame | None:
-    """``(key, _hot)`` of all keys with at least ``hot_rows`` rows; None if there are none, so callers can leave the
-    hot branch out of the plan.
-
-    Up to ``max_hot_keys`` keys pass through the driver as a broadcast list.  More
-    of them are written out and left to the optimizer's choice of join.
-    """
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(key)
-    few = hot.limit(max_hot_keys + 1).collect()
-    if not few:
-        return None
-    if len(few) > max_hot_keys:
-        return materialize(hot, "hot-keys").withColumn("_hot", F.lit(True))
-    local = df.sparkSession.createDataFrame([(r[0],) for r in few], T.StructType([df.schema[key]]))
-    return F.broadcast(local.withColumn("_hot", F.lit(True)))
+def _place(order: list[str]) -> Column:
+    return F.struct(*[F.col(o) for o in order])
 
 
-def split_by_keys(df: DataFrame, key: str, hot: DataFrame):
-    """``(rows whose key is not in hot, rows whose key is)`` for a table of ``hot_key_table``."""
-    tagged = df.join(hot, key, "left")
-    return tagged.filter(F.col("_hot").isNull()).drop("_hot"), tagged.filter(F.col("_hot")).drop("_hot")
+def range_edges(df: DataFrame, key: str, order: list[str], range_rows: int, max_keys: int = MAX_KEYS) -> DataFrame:
+    """``(_key, _edges, _blocks)``: sorted edges of the keys that are cut, and the last edge of each block of them."""
+    samples = df.select(F.col(key).alias("_key"), _place(order).alias("_at")).filter(
+        F.pmod(F.xxhash64("_key", "_at"), F.lit(range_rows)) == 0)
+    most = MAX_RANGES - 1
+    n = F.size("_all")
+    thinned = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most))),
+                          lambda i: F.element_at("_all", F.when(n <= most, i).otherwise(F.floor(i * n / (most + 1)).cast("int"))))
+    top = (samples.groupBy("_key").agg(F.sort_array(F.collect_list("_at")).alias("_all"))
+           .orderBy(n.desc(), F.col("_key")).limit(max_keys))
+    return top.select("_key", thinned.alias("_edges")).withColumn(
+        "_blocks", F.filter("_edges", lambda _, i: i % BLOCK == BLOCK - 1))
 
 
-def auto_chunk(hot: DataFrame, key: str, order_col: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``_chunk`` to the rows of hot keys: equal-width ranges of ``order_col`` sized per key.
+def _ranged(df: DataFrame, key: str, order: list[str], edges: DataFrame, how: str) -> DataFrame:
+    """Rows with ``_chunk`` (edges up to the row; 0 for keys that stay whole) and ``_cut``."""
+    place = _place(order)
+    out = df.join(F.broadcast(edges), F.col(key).eqNullSafe(F.col("_key")), how)
+    before = F.size(F.filter("_blocks", lambda e: e <= place)) * BLOCK
+    inside = F.size(F.filter(F.slice("_edges", before + 1, BLOCK), lambda e: e <= place))
+    cut = F.col("_edges").isNotNull()
+    return out.withColumn("_chunk", F.when(cut, before + inside).otherwise(0)).withColumn("_cut", cut).drop("_key", "_edges", "_blocks")
 
-    Width = (key's span of ``order_col``) * ``chunk_rows`` / (key's row count), from a
-    table with one row per hot key.
-    Monotone in ``order_col``, so ties stay in one chunk.  Works for timestamps and numbers.
-    """
-    dtype = hot.schema[order_col].dataType
-    is_time = isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
-    def pos(c, base):
-        return F.timestamp_diff("MICROSECOND", base, c) if is_time else (c - base)
+def _split(df: DataFrame, key: str, order: list[str], chunk: Column | None, range_rows: int, max_keys: int):
+    """(all rows with ``_chunk``, rows of the keys that need a carry, with ``_chunk``)."""
+    if chunk is not None:
+        d = df.withColumn("_chunk", chunk).withColumn("_cut", F.lit(True))
+        return d, d
+    edges = range_edges(df, key, order, range_rows, max_keys)
+    return _ranged(df, key, order, edges, "left"), _ranged(df, key, order, edges, "inner")
 
-    stats = hot.groupBy(key).agg(F.min(order_col).alias("_o0"), F.max(order_col).alias("_o1"),
-                                 F.count(F.lit(1)).alias("_on"))
-    stats = stats.select(key, "_o0", F.greatest(
-        F.lit(1.0), pos(F.col("_o1"), F.col("_o0")).cast("double") * F.lit(float(chunk_rows)) / F.col("_on")
-    ).alias("_ow"))
-    out = hot.join(stats, key, "inner")
-    return out.withColumn("_chunk", F.floor(pos(F.col(order_col), F.col("_o0")).cast("double") / F.col("_ow"))
-                          .cast("bigint")).drop("_o0", "_ow")
 
-
-def _split_hot(df: DataFrame, key: str, hot_rows: int, max_hot_keys: int):
-    """``(cold, hot)``; ``hot`` is None when no key reaches ``hot_rows``."""
-    hot = hot_key_table(df, key, hot_rows, max_hot_keys)
-    if hot is None:
-        return df, None
-    return split_by_keys(df, key, hot)
+def _carried(local: DataFrame, carry: DataFrame, key: str, small: bool) -> DataFrame:
+    """Left join of the carry table; ``small`` says that its size is bounded by the edges."""
+    c = carry.withColumnsRenamed({key: "_ckey", "_chunk": "_cchunk"})
+    on = F.col(key).eqNullSafe(F.col("_ckey")) & F.col("_chunk").eqNullSafe(F.col("_cchunk"))
+    return local.join(F.broadcast(c) if small else c, on & F.col("_cut"), "left").drop("_ckey", "_cchunk", "_cut")
 
 
 def running(
     df: DataFrame,
     key: str,
     order: list[str],
-    chunk: Column,
+    chunk: Column | None = None,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
-    hot_rows: int | None = HOT_ROWS,
-    max_hot_keys: int = MAX_HOT_KEYS,
-    chunk_rows: int = CHUNK_ROWS,
+    mins: dict[str, Column] | None = None,
+    range_rows: int = RANGE_ROWS,
+    max_keys: int = MAX_KEYS,
 ) -> DataFrame:
-    """Add inclusive running ``sums`` and last non-null ``lasts`` per key in ``order``.
+    """Add inclusive running ``sums``, last non-null ``lasts`` and running ``mins`` per key in ``order``.
 
-    Keys with fewer than ``hot_rows`` rows use one partitioned window; hot keys
-    are scanned in chunks: ``chunk`` if given, else automatic
-    chunks of about ``chunk_rows`` rows (``auto_chunk``).  ``hot_rows=None``
-    chunks every key and needs an explicit ``chunk``.
+    With ``chunk`` (a value that grows with the order, equal for ties) every key
+    is cut there; without, large keys are cut at edges of about ``range_rows`` rows.
     """
-    if hot_rows is None:
-        return _running_chunked(df, key, order, chunk, sums, lasts)
-    sums, lasts = dict(sums or {}), dict(lasts or {})
-    cold, hot = _split_hot(df, key, hot_rows, max_hot_keys)
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    plain = cold
-    for n, c in sums.items():
-        plain = plain.withColumn(n, F.coalesce(F.sum(c).over(w), F.lit(0)))
-    for n, c in lasts.items():
-        plain = plain.withColumn(n, F.last(c, ignorenulls=True).over(w))
-    if hot is None:
-        return plain
-    if chunk is None:
-        hot = auto_chunk(hot, key, order[0], chunk_rows)
-        chunk = F.col("_chunk")
-    return plain.unionByName(_running_chunked(hot, key, order, chunk, sums, lasts))
-
-
-def _running_chunked(
-    df: DataFrame,
-    key: str,
-    order: list[str],
-    chunk: Column,
-    sums: dict[str, Column] | None = None,
-    lasts: dict[str, Column] | None = None,
-) -> DataFrame:
-    """Chunked form of ``running`` (every key split by ``chunk``)."""
-    sums, lasts = dict(sums or {}), dict(lasts or {})
-    d = df if chunk is None else df.withColumn("_chunk", chunk)
-    for n, c in sums.items():
-        d = d.withColumn(f"_v_{n}", c)
-    for n, c in lasts.items():
-        d = d.withColumn(f"_l_{n}", c)
+    sums, lasts, mins = dict(sums or {}), dict(lasts or {}), dict(mins or {})
+    all_rows, cut_rows = _split(df, key, order, chunk, range_rows, max_keys)
+
+    def with_values(d):
+        return d.withColumns({**{f"_v_{n}": c for n, c in sums.items()}, **{f"_l_{n}": c for n, c in lasts.items()},
+                              **{f"_m_{n}": c for n, c in mins.items()}})
 
     wl = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = d
-    for n in sums:
-        local = local.withColumn(f"_r_{n}", F.sum(f"_v_{n}").over(wl))
-    for n in lasts:
-        local = local.withColumn(f"_p_{n}", F.last(f"_l_{n}", ignorenulls=True).over(wl))
-
-    order_struct = F.struct(*[F.col(o) for o in order])
-    aggs = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
-    aggs += [
-        F.max_by(F.col(f"_l_{n}"), F.when(F.col(f"_l_{n}").isNotNull(), order_struct)).alias(f"_e_{n}")
-        for n in lasts
-    ]
-    if not aggs:
-        return df
-    per_chunk = d.groupBy(key, "_chunk").agg(*aggs)
+    local = with_values(all_rows).withColumns({
+        **{f"_v_{n}": F.sum(f"_v_{n}").over(wl) for n in sums}, **{f"_l_{n}": F.last(f"_l_{n}", ignorenulls=True).over(wl) for n in lasts},
+        **{f"_m_{n}": F.min(f"_m_{n}").over(wl) for n in mins}})
+    per_range = with_values(cut_rows).groupBy(key, "_chunk").agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        *[F.max_by(F.col(f"_l_{n}"), F.when(F.col(f"_l_{n}").isNotNull(), _place(order))).alias(f"_e_{n}") for n in lasts],
+        *[F.min(f"_m_{n}").alias(f"_s_{n}") for n in mins])
     wc = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_chunk.select(
-        key,
-        "_chunk",
-        *[F.coalesce(F.sum(f"_t_{n}").over(wc), F.lit(0)).alias(f"_o_{n}") for n in sums],
-        *[F.last(f"_e_{n}", ignorenulls=True).over(wc).alias(f"_c_{n}") for n in lasts],
-    )
-    out = local.join(carry, [key, "_chunk"], "inner")
-    for n in sums:
-        out = out.withColumn(n, F.coalesce(F.col(f"_r_{n}"), F.lit(0)) + F.col(f"_o_{n}"))
-    for n in lasts:
-        out = out.withColumn(n, F.coalesce(F.col(f"_p_{n}"), F.col(f"_c_{n}")))
-    drop = ["_chunk"] + [f"_{p}_{n}" for n in sums for p in "vrto"] + [f"_{p}_{n}" for n in lasts for p in "lpec"]
-    return out.drop(*drop)
+    carry = per_range.select(
+        key, "_chunk",
+        *[F.sum(f"_t_{n}").over(wc).alias(f"_o_{n}") for n in sums],
+        *[F.last(f"_e_{n}", ignorenulls=True).over(wc).alias(f"_o_{n}") for n in lasts],
+        *[F.min(f"_s_{n}").over(wc).alias(f"_o_{n}") for n in mins])
+    out = _carried(local, carry, key, chunk is None)
+    out = out.withColumns({
+        **{n: F.coalesce(F.col(f"_v_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums},
+        **{n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_o_{n}")) for n in lasts},
+        **{n: F.least(F.col(f"_m_{n}"), F.col(f"_o_{n}")) for n in mins}})
+    return out.drop("_chunk", *[f"_{p}_{n}" for n in sums for p in "vo"], *[f"_{p}_{n}" for n in lasts for p in "lo"],
+                    *[f"_{p}_{n}" for n in mins for p in "mo"])
 
 
 def neighbors(df: DataFrame, key: str, order: list[str], chunk: Column | None, cols: list[str],
-              hot_rows: int | None = HOT_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
-              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``prev_<c>`` / ``next_<c>`` (values of the previous / next row of the key).
-
-    Cold keys use ``lag``/``lead`` over one partitioned window, hot keys the chunked form.
-    """
-    if hot_rows is None:
-        return _neighbors_chunked(df, key, order, chunk, cols)
-    cold, hot = _split_hot(df, key, hot_rows, max_hot_keys)
-    w = Window.partitionBy(key).orderBy(*order)
-    plain = cold
-    for c in cols:
-        plain = plain.withColumn(f"prev_{c}", F.lag(c).over(w)).withColumn(f"next_{c}", F.lead(c).over(w))
-    if hot is None:
-        return plain
-    if chunk is None:
-        hot = auto_chunk(hot, key, order[0], chunk_rows)
-        chunk = F.col("_chunk")
-    return plain.unionByName(_neighbors_chunked(hot, key, order, chunk, cols))
-
-
-def _neighbors_chunked(df: DataFrame, key: str, order: list[str], chunk: Column, cols: list[str]) -> DataFrame:
-    """Chunked form of ``neighbors``."""
-    d = df.withColumn("_chunk", chunk) if chunk is not None else df
-    d = d.withColumn("_row", F.struct(*[F.col(c) for c in cols]))
+              range_rows: int = RANGE_ROWS, max_keys: int = MAX_KEYS) -> DataFrame:
+    """Add ``prev_<c>`` / ``next_<c>`` (values of the previous / next row of the key); cut as in ``running``."""
+    all_rows, cut_rows = _split(df, key, order, chunk, range_rows, max_keys)
+    row = F.struct(*[F.col(c) for c in cols])
     wl = Window.partitionBy(key, "_chunk").orderBy(*order)
-    local = d.withColumn("_lag", F.lag("_row").over(wl)).withColumn("_lead", F.lead("_row").over(wl))
-    order_struct = F.struct(*[F.col(o) for o in order])
-    per_chunk = d.groupBy(key, "_chunk").agg(
-        F.min_by("_row", order_struct).alias("_first"), F.max_by("_row", order_struct).alias("_last")
-    )
+    local = all_rows.withColumn("_row", row).withColumns({"_lag": F.lag("_row").over(wl), "_lead": F.lead("_row").over(wl)})
+    per_range = cut_rows.groupBy(key, "_chunk").agg(
+        F.min_by(row, _place(order)).alias("_first"), F.max_by(row, _place(order)).alias("_last"))
     wc = Window.partitionBy(key).orderBy("_chunk")
-    carry = per_chunk.select(
-        key,
-        "_chunk",
-        F.lag("_last").over(wc).alias("_prev_last"),
-        F.lead("_first").over(wc).alias("_next_first"),
-    )
-    out = local.join(carry, [key, "_chunk"], "inner")
-    prev = F.coalesce(F.col("_lag"), F.col("_prev_last"))
-    nxt = F.coalesce(F.col("_lead"), F.col("_next_first"))
-    for c in cols:
-        out = out.withColumn(f"prev_{c}", prev[c]).withColumn(f"next_{c}", nxt[c])
-    return out.drop("_chunk", "_row", "_lag", "_lead", "_prev_last", "_next_first")
+    carry = per_range.select(key, "_chunk", F.lag("_last").over(wc).alias("_before"), F.lead("_first").over(wc).alias("_after"))
+    out = _carried(local, carry, key, chunk is None)
+    prev, nxt = F.coalesce(F.col("_lag"), F.col("_before")), F.coalesce(F.col("_lead"), F.col("_after"))
+    out = out.withColumns({**{f"prev_{c}": prev[c] for c in cols}, **{f"next_{c}": nxt[c] for c in cols}})
+    return out.drop("_chunk", "_row", "_lag", "_lead", "_before", "_after")
 
 
 def ordinal(df: DataFrame, key: str, order: list[str], chunk: Column | None = None, name: str = "ordinal",
-            hot_rows: int | None = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            range_rows: int = RANGE_ROWS) -> DataFrame:
     """1-based position of each row within its key (a running count)."""
-    return running(df, key, order, chunk, sums={name: F.lit(1).cast("bigint")}, hot_rows=hot_rows,
-                   chunk_rows=chunk_rows)
+    return running(df, key, order, chunk, sums={name: F.lit(1).cast("bigint")}, range_rows=range_rows)

@@ -34,7 +34,7 @@ EMA_KEEP = 0.8  # weight of the old average in the moving average of batch time
 
 
 def _chunk(unit: str | None):
-    """Chunks for hot sessions: a fixed time unit if given, else automatic (about CHUNK_ROWS rows)."""
+    """Where sessions are cut: at a fixed time unit if given, else large ones at sampled edges (``ordered``)."""
     return time_chunk("ts", unit) if unit else None
 
 

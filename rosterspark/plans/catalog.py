@@ -477,13 +477,37 @@ def csv_mixed_headers(spark, sf_dir):
     return FS.read_contacts(spark, path, multiline=False)[0].drop("line_number")
 
 
+@query("csv_wide_files")
+def csv_wide_files(spark, sf_dir):
+    """A narrow file next to files of 41 columns with line breaks, each read by its own header."""
+    path = _csv_folder(spark)
+    first, second = _halves(spark, sf_dir)
+    FS.write_contacts(first.select("email"), path, append=True)
+    wide = second.select(*[F.lit(f"x{i}").alias(f"extra_{i}") for i in range(37)], "phone_number", "last_name",
+                         F.concat(F.col("first_name"), F.lit('\n"2", b')).alias("first_name"), "email")
+    FS.write_contacts(wide, path, append=True)
+    return FS.read_contacts(spark, path)[0].drop("line_number")
+
+
+@query("csv_count_newlines")
+def csv_count_newlines(spark, sf_dir):
+    """Rows counted where cells hold line breaks."""
+    path = _contacts_csv(spark, sf_dir, lambda c: c.withColumn("last_name", F.concat(F.lit("a\n\nb "), F.col("last_name"))))
+    contacts, empty, _check = FS.read_contacts(spark, path)
+    return FS.read_stats(contacts, empty).withColumn("data_rows", F.lit(FS.count_rows(spark, path)).cast("bigint"))
+
+
 @query("header_check")
 def header_check(spark, sf_dir):
-    """S3: errors and warnings of the header of a written file (``mobile`` is an alias, ``vip`` unknown, no company)."""
+    """S3: how many files have each error and warning; a file for each e-mail domain, whose header names the domain."""
     path = _csv_folder(spark)
-    c = fixtures.contacts(spark, sf_dir)
-    FS.write_contacts(c.select("email", F.col("phone_number").alias("mobile"), F.col("last_name").alias("vip")), path)
-    return FS.header_check_frame(spark, FS.check_headers(FS.read_header(spark, path), ("email", "company")))
+    c = fixtures.contacts(spark, sf_dir).select("line_number", "email", F.split_part("email", F.lit("@"), F.lit(2)).alias("d"))
+    c = c.filter(F.col("d").rlike("^[A-Za-z0-9.]+$"))
+    heads = c.select("d").distinct().select(F.lit(0).cast("bigint").alias("n"), "d", F.concat(F.lit("mobile,Email,"), F.col("d")).alias("line"))
+    lines = heads.unionByName(c.select(F.col("line_number").alias("n"), "d", F.concat(F.lit("1,"), F.col("email"), F.lit(",x")).alias("line")))
+    lines = lines.withColumn("g", F.md5("d")).repartition("g").sortWithinPartitions("g", "n")
+    lines.select("g", "line").write.partitionBy("g").text(path)
+    return FS.header_checks(spark, f"{path}/g=*", ("email", "company")).groupBy("kind", "message").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("export_findings_csv")

@@ -720,9 +720,22 @@ ORACLE["csv_mixed_headers"] = cte("contacts") + f"""
 SELECT email, first_name, last_name, phone_number FROM contacts WHERE line_number % 2 = 0 OR NOT ({_BLANK_ROW})
 """
 
-ORACLE["header_check"] = """
-SELECT 'error' AS kind, 'Required header ''company'' not found. Expected one of: company' AS message
-UNION ALL SELECT 'warning', 'Unexpected header ''vip'' will be ignored'
+ORACLE["csv_wide_files"] = cte("contacts") + f"""
+SELECT email, CAST(NULL AS VARCHAR) AS first_name, CAST(NULL AS VARCHAR) AS last_name, CAST(NULL AS VARCHAR) AS phone_number
+FROM contacts WHERE line_number % 2 = 1 AND email IS NOT NULL AND {js_trim('email')} <> ''
+UNION ALL
+SELECT email, first_name || chr(10) || '"2", b', last_name, phone_number FROM contacts WHERE line_number % 2 = 0
+"""
+
+ORACLE["csv_count_newlines"] = cte("contacts") + f"""
+SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) FILTER (WHERE NOT ({_BLANK_ROW} AND last_name IS NULL)) AS BIGINT) AS valid_rows,
+  CAST(count(*) FILTER (WHERE {_BLANK_ROW} AND last_name IS NULL) AS BIGINT) AS invalid_rows, CAST(count(*) AS BIGINT) AS data_rows FROM contacts
+"""
+
+ORACLE["header_check"] = cte("contacts") + """,
+d AS (SELECT DISTINCT split_part(email, '@', 2) AS d FROM contacts WHERE regexp_matches(split_part(email, '@', 2), '^[A-Za-z0-9.]+$'))
+SELECT 'error' AS kind, 'Required header ''company'' not found. Expected one of: company' AS message, count(*) AS files FROM d
+UNION ALL SELECT 'warning', 'Unexpected header ''' || lower(d) || ''' will be ignored', count(*) FROM d GROUP BY 2
 """
 
 _QUOTED = "'\"' || replace(coalesce({0}, ''), '\"', '\"\"') || '\"'"

@@ -1,11 +1,16 @@
 """File sources and sinks.
 
-CSV contacts are read with an explicit all-string positional schema; each
-file's own header says which position holds which column (by position, so case
+CSV contacts are read as lines, so a file is split over many tasks even where
+cells hold line breaks.  A line maps the state before it (outside or inside a
+quoted cell) to the state after it; such functions compose, so each split works
+out its own and a table with one row per split gives the state at which each
+begins.  Files without an open quote skip that: each line is a record.  Cells
+are cut from the record's text, so files may have any number of columns, and
+each file's own header says which place holds which column (by place, so case
 variants such as ``email``/``EMAIL`` stay distinct).  Line numbers are dense
-and 1-based in file order, computed in two passes without a global window:
-per input split (file, block) row counts are prefix-summed in a table with one
-row per split and added to the row's index inside its split.
+and 1-based in file order without a global window: per input split (file,
+block) record counts are prefix-summed in a table with one row per split and
+added to the record's index inside its split.
 """
 
 from __future__ import annotations
@@ -13,19 +18,17 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.expr import js_trim, mask_email, mask_phone
-from ..session import materialize
+from ..session import materialize, ship_package
 from .contacts import CONTACT_COLUMNS, alias_plan
 
 EMPTY_ROW = "Empty row"
-NULL_MARKER = "\u0001"
-FURTHER_COLUMNS = 32  # columns that a file may have beyond those of the first one
-MAX_HEADERS = 1000  # different headers in one input
 CHECKPOINT_BUCKETS = 64
 
 
@@ -88,27 +91,6 @@ def spark_charset(encoding: str) -> str:
     return {"utf8": "utf-8", "latin1": "iso-8859-1", "ascii": "us-ascii", "utf16le": "utf-16le", "ucs2": "utf-16le"}.get(e, e)
 
 
-def read_header(spark: SparkSession, path: str, encoding: str = "utf8") -> list:
-    """First record of the first input file (path order), parsed as CSV; BOM removed.
-
-    Only that one line reaches the driver.
-    """
-    _fs, files = _hadoop_files(spark, path)
-    if not files:
-        raise FileNotFoundError(f"Cannot access file: {path}")
-    first = files[0].getPath().toString()
-    rows = (
-        spark.read.option("header", False).option("encoding", spark_charset(encoding)).option("escape", '"')
-        .option("multiLine", True).csv(first).limit(1).collect()
-    )
-    if not rows:
-        raise ValueError(f"No header in {first}")
-    cells = ["" if v is None else v for v in rows[0]]
-    if cells:
-        cells[0] = cells[0].lstrip("\ufeff")
-    return cells
-
-
 # --- S1/S2/S4/S5 reading ----------------------------------------------------------
 
 
@@ -152,39 +134,151 @@ def split_empty_rows(df: DataFrame, value_cols) -> tuple:
     return rows, quarantine
 
 
-def _header_of(cells) -> list:
-    """The column names in the first record of a file (BOM removed, unused cells at the end left out)."""
-    cells = list(cells)
-    while cells and cells[-1] is None:
-        cells.pop()
-    header = ["" if c is None else c for c in cells]
-    if header:
-        header[0] = header[0].lstrip("\ufeff")
-    return header
+_QUOTED = '"[^"]*+(?:""[^"]*+)*+"[^,]*+'
+_OPEN = '"[^"]*+(?:""[^"]*+)*+$'
+#: A line that begins outside a quoted cell and ends inside one.
+_OPENS = f'^(?:(?:{_QUOTED}|[^",][^,]*+|),)*+{_OPEN}'
+#: A line that begins inside a quoted cell and ends inside one.
+_STAYS = f'^[^"]*+(?:""[^"]*+)*+(?:$|"[^,]*+,(?:(?:{_QUOTED}|[^",][^,]*+|),)*+{_OPEN})'
+_CELL = f',({_QUOTED}|[^,]*+)'
 
 
-def _layouts(spark: SparkSession, splits: DataFrame, required, mode: str, width: int) -> tuple:
-    """``(layouts, check)``: for each distinct header the places of the contact columns; the first file's check.
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """(line, _file, _block): lines without their ends (LF or CRLF) and the input split that each is from."""
+    charset = spark_charset(encoding)
+    raw = spark.read.option("lineSep", "\n").option("encoding", charset).text(path)
+    value = F.col("value") if charset == "utf-8" else F.decode(F.col("value").cast("binary"), charset)
+    return raw.select(F.regexp_replace(value, "\r$", "").alias("line"), F.col("_metadata.file_path").alias("_file"),
+                      F.col("_metadata.file_block_start").alias("_block"))
 
-    Distinct headers are few whatever the number of files (``MAX_HEADERS``, else an error).
+
+def _cells(record: Column) -> Column:
+    """The cells of a record: a quoted one without its quotes, an empty one NULL, quoted empty ''."""
+    def plain(x):
+        quoted = x.startswith(F.lit('"')) & x.endswith(F.lit('"')) & (F.length(x) > 1)
+        return F.when(quoted, F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).when(x != "", x)
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CELL), F.lit(1)), plain)
+
+
+def _joined_records(lines: DataFrame) -> DataFrame:
+    """(_file, _no, record) of files with line breaks in quoted cells; ``_no`` counts records from 0.
+
+    ``opens`` and ``stays`` say where a line leads from outside and from inside
+    a quoted cell.  Where both are equal the line fixes the state; where they
+    are opposite it turns it round.  So the state before a line is what the last
+    fixing line left, turned round once for each turning line since; the same
+    holds for whole splits, whose functions go through a table of one row each.
+    """
+    has_quote = F.instr("line", '"') > 0
+    d = lines.withColumns({"opens": has_quote & F.col("line").rlike(_OPENS), "stays": ~has_quote | F.col("line").rlike(_STAYS),
+                           "_mono": F.monotonically_increasing_id()})
+    d = d.withColumns({"fixed": F.when(F.col("opens") == F.col("stays"), F.col("opens")), "turns": (F.col("opens") & ~F.col("stays")).cast("int")})
+
+    def state_before(frame, keys, order, start):
+        """Whether a quoted cell is open before each row, by the rows before it among ``keys``."""
+        w = Window.partitionBy(*keys).orderBy(order)
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        f = frame.withColumn("_t", F.sum("turns").over(upto))
+        last = F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "_t")), ignorenulls=True).over(before)
+        f = f.withColumns({"_last": last, "_tp": F.coalesce(F.sum("turns").over(before), F.lit(0))})
+        since = F.col("_tp") - F.coalesce(F.col("_last._t"), F.lit(0))
+        return f.withColumns({"_since": since, "_known": F.col("_last.fixed")}) if start is None else f.withColumn(
+            "_inside", F.coalesce(F.col("_last.fixed"), start) != (since % 2 == 1))
+
+    split = ["_file", "_block"]
+    d = state_before(d, split, "_mono", None)
+    known, odd = F.col("_known"), F.col("_since") % 2 == 1
+
+    def after(start):
+        inside = F.coalesce(known, F.lit(start)) != odd
+        return F.when(inside, F.col("stays")).otherwise(F.col("opens"))
+
+    whole = d.groupBy(*split).agg(F.max_by(after(False), "_mono").alias("opens"), F.max_by(after(True), "_mono").alias("stays"))
+    whole = whole.withColumns({"fixed": F.when(F.col("opens") == F.col("stays"), F.col("opens")),
+                               "turns": (F.col("opens") & ~F.col("stays")).cast("int")})
+    starts = state_before(whole, ["_file"], "_block", F.lit(False)).select(*split, F.col("_inside").alias("_start"))
+    d = d.join(starts, split).withColumn("_inside", F.coalesce(known, F.col("_start")) != odd)
+    d = d.withColumn("_begins", (~F.col("_inside") & (F.col("line") != "")).cast("long"))
+    counts = d.groupBy(*split).agg(F.sum("_begins").alias("_n"))
+    w = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*split, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    own = Window.partitionBy(*split).orderBy("_mono").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.join(counts, split).withColumn("_no", F.col("_off") + F.sum("_begins").over(own) - 1)
+    parts = d.filter(F.col("_inside") | (F.col("_begins") == 1)).groupBy("_file", "_no").agg(
+        F.sort_array(F.collect_list(F.struct("_block", "_mono", "line"))).alias("_parts"))
+    return parts.select("_file", "_no", F.array_join(F.transform("_parts", lambda x: x.line), "\n").alias("record"))
+
+
+def _records(spark: SparkSession, path: str, encoding: str, multiline: bool) -> tuple:
+    """``(records, units)``: all records, blank lines left out, and a small table of where each run of them is counted.
+
+    A unit is an input split, or a whole file that has line breaks in cells:
+    ``_file, _block, _first, _n, _head`` (the file's first record in block 0).
     """
-    heads = (splits.filter("_block = 0").groupBy("_sig").agg(F.min("_file").alias("file"), F.min_by("_head", "_file").alias("head"))
-             .orderBy("file").limit(MAX_HEADERS + 1).collect())
-    if len(heads) > MAX_HEADERS:
-        raise ValueError(f"More than {MAX_HEADERS} different CSV headers")
-    rows, first = [], None
-    for r in heads:
-        header = _header_of(r["head"])
-        if len(header) >= width:
-            raise ValueError(f"Too many CSV columns in {r['file']}")
-        check = check_headers(header, required)
-        if not check.is_valid:
-            raise ValueError(f"Invalid CSV headers: {', '.join(check.errors)} ({r['file']})")
-        first = first or check
-        plan = alias_plan(header, mode)
-        rows.append((r["_sig"], header, *(header.index(plan[c]) if c in plan else None for c in CONTACT_COLUMNS)))
-    schema = "_sig string, _names array<string>, " + ", ".join(f"_{c} int" for c in CONTACT_COLUMNS)
-    return spark.createDataFrame(rows, schema), first
+    lines = _lines(spark, path, encoding)
+    solid = lines.filter(F.col("line") != "").withColumn("_mono", F.monotonically_increasing_id())
+    opens = (F.instr("line", '"') > 0) & F.col("line").rlike(_OPENS)
+    units = materialize(solid.groupBy("_file", "_block").agg(
+        F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"), F.min_by("line", "_mono").alias("_head"),
+        F.max(opens if multiline else F.lit(False)).alias("_open")), "csv-splits")
+    records = solid.withColumnRenamed("line", "record")
+    broken = units.filter("_open").select("_file").distinct()
+    if not broken.isEmpty():
+        joined = materialize(_joined_records(lines.join(broken, "_file", "left_semi")), "csv-records")
+        ends = joined.groupBy("_file").agg(F.lit(0).cast("long").alias("_block"), F.lit(0).cast("long").alias("_first"),
+                                           F.count(F.lit(1)).alias("_n"), F.min_by("record", "_no").alias("_head"))
+        units = units.drop("_open").join(broken, "_file", "left_anti").unionByName(ends)
+        records = records.join(broken, "_file", "left_anti").unionByName(
+            joined.select("record", "_file", F.lit(0).cast("long").alias("_block"), F.col("_no").alias("_mono")))
+    return records, units.drop("_open")
+
+
+LAYOUT = ("_head string, _names array<string>, errors array<string>, warnings array<string>, mapping map<string,string>, "
+          + ", ".join(f"_{c} int" for c in CONTACT_COLUMNS))
+
+
+def _layouts(units: DataFrame, required, mode: str) -> DataFrame:
+    """``LAYOUT``: for each distinct first record its column names, their check and the places of the contact columns."""
+    ship_package(units.sparkSession)
+    heads = units.filter("_block = 0").select("_head").distinct().withColumn("_cells", _cells(F.col("_head")))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for head, cells in zip(pdf["_head"], pdf["_cells"]):
+                header = ["" if c is None else c for c in cells]
+                header[0] = header[0].lstrip("\ufeff").strip('"') if header[0].startswith("\ufeff") else header[0]
+                check, plan = check_headers(header, required), alias_plan(header, mode)
+                out.append([head, header, check.errors, check.warnings, check.mapping,
+                            *(header.index(plan[c]) if c in plan else None for c in CONTACT_COLUMNS)])
+            frame = pd.DataFrame(out, columns=["_head", "_names", "errors", "warnings", "mapping", *(f"_{c}" for c in CONTACT_COLUMNS)])
+            yield frame.astype({f"_{c}": "Int32" for c in CONTACT_COLUMNS})
+
+    return heads.mapInPandas(run, LAYOUT)
+
+
+def read_header(spark: SparkSession, path: str, encoding: str = "utf8") -> list:
+    """Column names of the first input file (path order); only they reach the driver."""
+    _records_, units = _records(spark, path, encoding, True)
+    layouts = _layouts(units, (), "exact")
+    first = units.filter("_block = 0").orderBy("_file").limit(1).join(layouts, "_head").select("_names").first()
+    if first is None:
+        raise FileNotFoundError(f"Cannot access file: {path}")
+    return list(first[0])
+
+
+def header_checks(spark: SparkSession, path: str, required=("email",), encoding: str = "utf8") -> DataFrame:
+    """S3: ``(file, kind, message)``, a row for each error and warning about the header of each input file."""
+    _records_, units = _records(spark, path, encoding, True)
+
+    def of_kind(column, kind):
+        return F.transform(column, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("message")))
+
+    messages = F.concat(of_kind("errors", "error"), of_kind("warnings", "warning"))
+    found = units.filter("_block = 0").join(_layouts(units, required, "exact"), "_head")
+    return found.select(F.col("_file").alias("file"), F.explode(messages).alias("m")).select("file", "m.kind", "m.message")
 
 
 def read_contacts(
@@ -199,54 +293,42 @@ def read_contacts(
 ):
     """Read headed CSV contacts.  Returns ``(contacts, quarantine, check)``.
 
-    Every file is read by its own header, so files may order or name their
-    columns differently; ``check`` is that of the first file in path order.
-    Raises ``ValueError`` when a required header is missing in any file.
+    Every file is read by its own header, so files may order, name and count
+    their columns differently; ``check`` is that of the first file in path
+    order.  Raises ``ValueError`` when a required header is missing in any file.
     ``max_rows`` (S2) keeps the first n data rows, empty rows included, as a
-    filter on the dense line number (None or 0: all).  Quoted line breaks are
-    read as such by default; ``multiline=False`` lets large files be split
-    where there are none.  Note: Spark's reader drops completely blank lines,
-    so line numbers count non-blank data lines.
+    filter on the dense line number (None or 0: all).  Line breaks in quoted
+    cells are read as such (CRLF as LF); ``multiline=False`` takes every line
+    for a record.  Blank lines are left out, so line numbers count data rows.
+    A quote that is never closed makes the rest of its file one record.
     """
-    width = len(read_header(spark, path, encoding)) + FURTHER_COLUMNS
-    positional = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    raw = (
-        spark.read.schema(positional)
-        .option("header", False)  # each file's header record is taken by the numbering pass
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("encoding", spark_charset(encoding))
-        # a sentinel null marker: unquoted empty -> NULL, quoted empty ("") -> ''
-        .option("nullValue", NULL_MARKER)
-        .option("emptyValue", "")
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
-    d = _placed(raw, [cells.alias("_cells")])
-    head = F.min_by(F.when(F.col("_block") == 0, F.col("_cells")), F.col("_mono"))
-    splits = d.groupBy("_file", "_block").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_all"), head.alias("_head"))
-    marked = F.transform("_head", lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-")))
-    splits = splits.select("_file", "_block", "_first", (F.col("_all") - (F.col("_block") == 0).cast("long")).alias("_n"), "_head",
-                           F.md5(F.array_join(marked, "\n").cast("binary")).alias("_sig"))
-    splits = materialize(splits, "csv-splits")  # one row per input split
-    layouts, check = _layouts(spark, splits, required, mode, width)
-    files = splits.filter("_block = 0").select("_file", "_sig").join(layouts, "_sig").drop("_sig")
-    offsets = _offsets(splits.drop("_head", "_sig")).join(files, "_file")
+    records, units = _records(spark, path, encoding, multiline)
+    layouts = materialize(_layouts(units, required, mode), "csv-headers")
+    heads = units.filter("_block = 0").select("_file", "_head").join(layouts, "_head")
+    worst_first = heads.orderBy((F.size("errors") == 0), "_file").limit(1).collect()
+    if not worst_first:
+        raise FileNotFoundError(f"Cannot access file: {path}")
+    r = worst_first[0]
+    if r["errors"]:
+        raise ValueError(f"Invalid CSV headers: {', '.join(r['errors'])} ({r['_file']})")
+    check = HeaderCheck(True, list(r["errors"]), list(r["warnings"]), dict(r["mapping"]))
     is_head = F.col("_block") == 0
+    counted = units.select("_file", "_block", "_first", (F.col("_n") - is_head.cast("long")).alias("_n"))
+    offsets = _offsets(counted).join(heads.drop("_head", "errors", "warnings", "mapping"), "_file")
     numbered = (
-        d.join(offsets, ["_file", "_block"], "inner")
+        records.join(offsets, ["_file", "_block"], "inner")
         .filter(~(is_head & (F.col("_mono") == F.col("_first"))))
         .withColumn("line_number", (F.col("_off") + F.col("_mono") - F.col("_first") + 1 - is_head.cast("long")).cast("bigint"))
     )
     if max_rows:
         numbered = numbered.filter(F.col("line_number") <= F.lit(int(max_rows)))
+    numbered = numbered.withColumn("_cells", _cells(F.col("record")))
     blank = F.forall("_cells", lambda x: x.isNull() | (js_trim(x) == F.lit("")))
     quarantine = numbered.filter(blank).select("line_number", F.lit(EMPTY_ROW).alias("error"))
     kept = numbered.filter(~blank)
     out = [F.col("line_number")]
     if keep_original:
-        out.append(F.map_from_arrays("_names", F.slice("_cells", F.lit(1), F.size("_names"))).alias("original"))
+        out.append(F.map_from_arrays("_names", F.transform("_names", lambda _, i: F.get("_cells", i))).alias("original"))
     contacts = kept.select(*out, *[F.get("_cells", F.col(f"_{c}")).alias(c) for c in CONTACT_COLUMNS])
     return contacts, quarantine, check
 
@@ -286,9 +368,10 @@ def write_contacts(df: DataFrame, path: str, columns=None, append: bool = False)
     )
 
 
-def count_rows(spark: SparkSession, path: str) -> int:
-    """Data rows in the file(s) (header excluded) without materialising them."""
-    return spark.read.option("header", True).csv(path).count()
+def count_rows(spark: SparkSession, path: str, encoding: str = "utf8", multiline: bool = True) -> int:
+    """Data rows in the file(s), headers excluded, read as ``read_contacts`` does."""
+    _records_, units = _records(spark, path, encoding, multiline)
+    return units.agg(F.coalesce(F.sum(F.col("_n") - (F.col("_block") == 0).cast("long")), F.lit(0))).first()[0]
 
 
 def human_size(size) -> "F.Column":

@@ -129,17 +129,18 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialized: bool = Tr
     """
     sql, sources = FIXTURE_VIEWS[name]
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
-    path = _WRITTEN.get(key) if materialized else None
-    if path is not None:
-        df = spark.read.parquet(path)  # derived once per application and input folder, then re-read
+    written = _WRITTEN.get(key) if materialized else None
+    if written is not None:
+        df = spark.read.schema(written[1]).parquet(written[0])  # derived once per application and input folder, then re-read
     else:
         register_tables(spark, sf_dir, sources)
         df = spark.sql(sql)
         if materialized:
             from ..session import write_scratch
 
-            path = _WRITTEN[key] = write_scratch(df, f"fixture-{name}")
-            df = spark.read.parquet(path)
+            path = write_scratch(df, f"fixture-{name}")
+            _WRITTEN[key] = path, df.schema
+            df = spark.read.schema(df.schema).parquet(path)
     df.createOrReplaceTempView(name)
     return df
 

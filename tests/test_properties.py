@@ -26,8 +26,8 @@ def test_dedup_hot_path_equals_plain(spark, keys):
     df = spark.createDataFrame(rows, "line_number long, email string, first_name string, last_name string, "
                                      "phone_number string")
     cols = ["line_number", "dup_key", "dup_number", "is_duplicate", "original_line"]
-    plain = sorted(tuple(r) for r in dedup.mark_duplicates(df, skew_guard=False).select(*cols).collect())
-    split = sorted(tuple(r) for r in dedup.mark_duplicates(df, hot_rows=3, max_hot_keys=2).select(*cols).collect())
+    plain = sorted(tuple(r) for r in dedup.mark_duplicates(df).select(*cols).collect())
+    split = sorted(tuple(r) for r in dedup.mark_duplicates(df, range_rows=3).select(*cols).collect())
     assert plain == split
     uniq, dups = dedup.split_duplicates(dedup.mark_duplicates(df))
     assert uniq.count() + dups.count() == len(keys)

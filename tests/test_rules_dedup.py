@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rosterspark.plans.catalog import QUERIES
 from rosterspark.operators import dedup, ordered, rules
 from rosterspark.sources import fixtures
 
@@ -79,10 +80,13 @@ def test_validate_plan_has_no_python(validated):
 @pytest.mark.parametrize("strategy", ["email", "email_phone", "strict"])
 def test_hot_key_path_equals_plain_window(validated, strategy):
     v = validated.filter("is_valid").select("line_number", "email", "first_name", "last_name", "phone_number")
-    plain = dedup.mark_duplicates(v, strategy, skew_guard=False)
-    split = dedup.mark_duplicates(v, strategy, hot_rows=2, max_hot_keys=50)  # forces the bucketed path
+    w = Window.partitionBy("dup_key").orderBy("line_number")
+    n = F.when(~dedup._blank(F.col("dup_key")), F.row_number().over(w))
+    plain = dedup.with_dup_key(v, strategy).select("line_number", "dup_key", n.alias("n"), F.coalesce(n > 1, F.lit(False)),
+                                                   F.when(n > 1, F.first("line_number").over(w)))
+    split = dedup.mark_duplicates(v, strategy, range_rows=2)  # nearly every key is cut
     cols = ["line_number", "dup_key", "dup_number", "is_duplicate", "original_line"]
-    a = sorted(tuple(r) for r in plain.select(*cols).collect())
+    a = sorted(tuple(r) for r in plain.collect())
     b = sorted(tuple(r) for r in split.select(*cols).collect())
     assert a == b
 
@@ -90,7 +94,7 @@ def test_hot_key_path_equals_plain_window(validated, strategy):
 def test_one_key_with_a_third_of_rows(spark):
     rows = [(i, "hot@x.com" if i % 3 == 0 else f"u{i}@x.com", "", "", "") for i in range(1, 3001)]
     df = spark.createDataFrame(rows, "line_number long, email string, first_name string, last_name string, phone_number string")
-    m = dedup.mark_duplicates(df, "email", hot_rows=64, max_hot_keys=4)
+    m = dedup.mark_duplicates(df, "email", range_rows=64)
     hot = m.filter(F.col("dup_key") == "hot@x.com").orderBy("line_number").select("dup_number", "original_line").collect()
     assert [r.dup_number for r in hot] == list(range(1, 1001))
     assert {r.original_line for r in hot[1:]} == {3}
@@ -105,41 +109,51 @@ def test_unique_plus_duplicates_is_total(validated):
     assert dedup.unique_contacts(validated, "email").count() == m.filter(F.col("dup_number") == 1).count()
 
 
-@pytest.mark.parametrize("hot_rows", [None, 60, 1 << 20])
-def test_chunked_running_equals_plain_window(spark, hot_rows):
-    ev = fixtures.progress_events(spark, SF01)
-    rp = (F.col("type") == "record_processed").cast("long")
-    got = ordered.running(ev, "session_id", ["ts", "seq"], F.date_trunc("minute", "ts"),
-                          sums={"n": rp}, lasts={"ph": F.when(F.col("type") == "phase_change", F.col("phase"))},
-                          hot_rows=hot_rows)
-    w = Window.partitionBy("session_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    ref = ev.select("seq", F.sum(rp).over(w).alias("n"),
-                    F.last(F.when(F.col("type") == "phase_change", F.col("phase")), True).over(w).alias("ph"))
-    assert sorted(tuple(r) for r in got.select("seq", "n", "ph").collect()) == sorted(tuple(r) for r in ref.collect())
-
-
-@pytest.mark.parametrize("hot_rows", [None, 12, 1 << 20])
-def test_chunked_neighbors_equals_lag_lead(spark, hot_rows):
-    ev = fixtures.progress_events(spark, SF01).filter("type = 'phase_change'")
-    got = ordered.neighbors(ev, "session_id", ["ts", "seq"], F.date_trunc("minute", "ts"), ["phase", "seq"],
-                            hot_rows=hot_rows)
-    w = Window.partitionBy("session_id").orderBy("ts", "seq")
-    ref = ev.select("seq", F.lag("phase").over(w).alias("p"), F.lead("seq").over(w).alias("n"))
-    a = sorted(tuple(r) for r in got.select("seq", "prev_phase", "next_seq").collect())
-    assert a == sorted(tuple(r) for r in ref.collect())
-
-
-@pytest.mark.parametrize("order", [["ts", "seq"], ["seq"]])
-def test_automatic_chunks_equal_plain_window(spark, order):
-    ev = fixtures.progress_events(spark, SF01)
-    rp = (F.col("type") == "record_processed").cast("long")
-    lasts = {"ph": F.when(F.col("type") == "phase_change", F.col("phase"))}
-    got = ordered.running(ev, "session_id", order, None, sums={"n": rp}, lasts=lasts, hot_rows=50, chunk_rows=7)
-    w = Window.partitionBy("session_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ref = ev.select("seq", F.sum(rp).over(w).alias("n"), F.last(lasts["ph"], True).over(w).alias("ph"))
-    assert sorted(tuple(r) for r in got.select("seq", "n", "ph").collect()) == sorted(tuple(r) for r in ref.collect())
-    nb = ordered.neighbors(ev, "session_id", order, None, ["seq"], hot_rows=50, chunk_rows=5)
-    w2 = Window.partitionBy("session_id").orderBy(*order)
-    ref2 = ev.select("seq", F.lag("seq").over(w2).alias("p"), F.lead("seq").over(w2).alias("n"))
-    assert sorted(tuple(r) for r in nb.select("seq", "prev_seq", "next_seq").collect()) == \
-        sorted(tuple(r) for r in ref2.collect())
+def check_scans(ev, order, chunk, **kw):
+    """Running counts, last values and neighbours against plain windows."""
+    rp, phase = (F.col("type") == "record_processed").cast("long"), F.when(F.col("type") == "phase_change", F.col("phase"))
+    got = ordered.running(ev, "session_id", order, chunk, sums={"n": rp}, lasts={"ph": phase}, mins={"m": F.col("seq") % 1000}, **kw)
+    w = Window.partitionBy("session_id").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    ref = ev.select("seq", F.sum(rp).over(upto).alias("n"), F.last(phase, True).over(upto).alias("ph"), F.min(F.col("seq") % 1000).over(upto))
+    assert sorted(map(str, got.select("seq", "n", "ph", "m").collect())) == sorted(map(str, ref.toDF("seq", "n", "ph", "m").collect()))
+    nb = ordered.neighbors(ev, "session_id", order, chunk, ["seq", "phase"], **kw)
+    ref = ev.select("seq", F.lag("seq").over(w), F.lead("seq").over(w), F.lag("phase").over(w)).toDF("seq", "prev_seq", "next_seq", "prev_phase")
+    assert sorted(map(str, nb.select(*ref.columns).collect())) == sorted(map(str, ref.collect()))
+
+
+@pytest.mark.parametrize("kw", [{"chunk": "minute"}, {"chunk": None}, {"chunk": None, "range_rows": 20},
+                                {"chunk": None, "range_rows": 1}, {"chunk": None, "range_rows": 3, "max_keys": 4}])
+def test_cut_scans_equal_plain_windows(spark, kw):
+    kw = dict(kw)
+    chunk = kw.pop("chunk") if "chunk" in kw else None
+    check_scans(fixtures.progress_events(spark, SF01), ["ts", "seq"], ordered.time_chunk("ts", chunk) if chunk else None, **kw)
+
+
+def test_a_burst_a_null_key_and_one_key_are_cut(spark):
+    """One key has most rows, half of them at one time; another key is null."""
+    ev = spark.range(6000).select(
+        F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 < 9, F.lit(1)).otherwise(F.col("id")).cast("long").alias("session_id"),
+        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")).alias("ts"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 3 == 0, "phase_change").otherwise("record_processed").alias("type"), F.col("id").cast("string").alias("phase"))
+    check_scans(ev, ["ts", "seq"], None, range_rows=50)
+    edges = ordered.range_edges(ev, "session_id", ["ts", "seq"], 50).collect()
+    ranges = ordered._ranged(ev, "session_id", ["ts", "seq"], ordered.range_edges(ev, "session_id", ["ts", "seq"], 50), "inner")
+    sizes = {tuple(r[:2]): r["count"] for r in ranges.groupBy("session_id", "_chunk").count().collect()}
+    assert {1, None} <= {r["_key"] for r in edges} and max(sizes.values()) < 600
+    most = ordered.range_edges(ev, "session_id", ["ts", "seq"], 1).filter("_key = 1").first()
+    assert len(most["_edges"]) == ordered.MAX_RANGES - 1 and len(most["_blocks"]) == ordered.BLOCK - 1
+    check_scans(ev, ["ts", "seq"], None, range_rows=1)
+
+
+def test_building_ordered_queries_starts_no_job(spark):
+    names = ["dup_email", "dup_email_phone", "dup_strict", "progress_timeline", "batch_time_mean", "batch_time_ema", "phase_intervals",
+             "attempt_triage", "retry_plan", "tracker_timeline"]
+    for n in names:
+        QUERIES[n](spark, SF01)  # derived fixture tables are written once per session
+    spark.sparkContext.setJobGroup("build-only", "plans of ordered queries")
+    try:
+        frames = [QUERIES[n](spark, SF01) for n in names]
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("build-only")) == [] and len(frames) == len(names)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -143,3 +143,46 @@ def test_checkpoint_append_read_delete(spark, tmpdir_path):
     doomed = spark.createDataFrame([("s1", 0)], "session_id string, checkpoint_id long")
     left = FS.delete_checkpoints(spark, p, doomed, p + "_v2")
     assert sorted(r.checkpoint_id for r in left.collect()) == [1, 2]
+
+
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmpdir_path):
+    """A file with line breaks, quotes and commas in cells is cut into many splits; rows and numbers stay."""
+    rows = [(f"u{i}@x.com", f'N{i}\n"q", {i}\n\n' if i % 3 else "plain", "" if i % 5 else f'"{i}"', "+1" + "2" * (i % 9)) for i in range(4000)]
+
+    def cell(x):
+        return '"' + x.replace('"', '""') + '"' if set(x) & set('",\n') else x
+
+    d = os.path.join(tmpdir_path, "big")
+    _write(d, "a.csv", "email,first_name,last_name,phone_number\r\n" + "".join(",".join(map(cell, r)) + "\r\n" for r in rows))
+    _write(d, "b.csv", "phone,EMAIL\n1,z@x.com\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert spark.read.text(d).rdd.getNumPartitions() > 20
+        contacts, quarantine, _check = FS.read_contacts(spark, d)
+        got = sorted(tuple(r) for r in contacts.collect())
+        assert FS.count_rows(spark, d) == 4001 and quarantine.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(k + 1, *(x or None for x in r)) for k, r in enumerate(rows)] + [(4001, "z@x.com", None, None, "1")]
+
+
+def test_states_of_lines(spark, tmpdir_path):
+    """Quotes inside a plain cell open nothing; a quoted cell may end and another begin on one line."""
+    text = 'email,first_name,last_name\na@x.com,5" nail,x\nb@x.com,"one\n,""two"",\n3","four\n5"\n\nc@x.com,"",""""\n'
+    d = os.path.join(tmpdir_path, "q")
+    _write(d, "c.csv", text)
+    got = [tuple(r) for r in FS.read_contacts(spark, d)[0].orderBy("line_number").select("email", "first_name", "last_name").collect()]
+    assert got == [("a@x.com", '5" nail', "x"), ("b@x.com", 'one\n,"two",\n3', "four\n5"), ("c@x.com", "", '"')]
+    assert FS.read_header(spark, d) == ["email", "first_name", "last_name"]
+
+
+def test_latin1_and_header_of_each_file(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "l1")
+    _write(d, "a.csv", "email,first_name\nä@x.com,Zoë\n", "latin-1")
+    assert FS.read_contacts(spark, d, encoding="latin1")[0].first().first_name == "Zoë"
+    _write(d, "b.csv", "ort,y\nx,z\n", "latin-1")
+    got = FS.header_checks(spark, d, ("email",), "latin1").collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.kind) for r in got) == [("b.csv", "error"), ("b.csv", "warning"), ("b.csv", "warning")]
+    with pytest.raises(ValueError, match="b.csv"):
+        FS.read_contacts(spark, d, encoding="latin1")
