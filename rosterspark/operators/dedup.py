@@ -67,7 +67,8 @@ def key_counts(keyed: DataFrame, order_col: str = "line_number") -> DataFrame:
     )
 
 
-def mark_duplicates(df: DataFrame, strategy="email", order_col: str = "line_number", range_rows: int = RANGE_ROWS) -> DataFrame:
+def mark_duplicates(df: DataFrame, strategy="email", order_col: str = "line_number", range_rows: int = RANGE_ROWS,
+                    carry: tuple = ()) -> DataFrame:
     """Add ``dup_key, dup_number, is_duplicate, original_line``.
 
     ``dup_number`` is the 1-based ordinal of the row among the holders of its
@@ -75,16 +76,21 @@ def mark_duplicates(df: DataFrame, strategy="email", order_col: str = "line_numb
     first holder's position, set on duplicates only.  Blank keys are never
     duplicates (``dup_number`` NULL).  ``order_col`` must be unique per row.
     Keys with many holders are numbered in ranges of about ``range_rows`` rows.
+    With ``carry`` a duplicate also gets ``original``, a struct of these columns
+    of the first holder (J2): the least (order, columns) so far, no join.
     """
     keyed = with_dup_key(df, strategy)
     blank = _blank(F.col("dup_key"))
-    none = F.lit(None).cast("bigint")
-    blanks = keyed.filter(blank).withColumns({"dup_number": none, "_first": none})
+    first = F.struct(F.col(order_col).alias("_line"), *[F.col(c) for c in carry])
+    kind = keyed.select(first.alias("f")).schema["f"].dataType
+    blanks = keyed.filter(blank).withColumns({"dup_number": F.lit(None).cast("bigint"), "_first": F.lit(None).cast(kind)})
     numbered = running(keyed.filter(~blank), "dup_key", [order_col], sums={"dup_number": F.lit(1).cast("bigint")},
-                       mins={"_first": F.col(order_col)}, range_rows=range_rows)
+                       mins={"_first": first}, range_rows=range_rows)
     again = F.coalesce(F.col("dup_number") > 1, F.lit(False))
-    return numbered.unionByName(blanks).withColumns({
-        "is_duplicate": again, "original_line": F.when(again, F.col("_first")).cast("bigint")}).drop("_first")
+    added = {"is_duplicate": again, "original_line": F.when(again, F.col("_first._line")).cast("bigint")}
+    if carry:
+        added["original"] = F.when(again, F.struct(*[F.col(f"_first.{c}").alias(c) for c in carry]))
+    return numbered.unionByName(blanks).withColumns(added).drop("_first")
 
 
 def split_duplicates(marked: DataFrame):
@@ -133,6 +139,31 @@ def duplicate_group(df: DataFrame, key: str, strategy="email", order_col="line_n
     return duplicate_groups(keyed.drop("dup_key"), strategy, order_col)
 
 
+KEY_BUCKETS = 64
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_key_index(marked: DataFrame, path: str, buckets: int = KEY_BUCKETS) -> None:
+    """Marked rows as a table for lookups by key: a folder per hash of the key, rows sorted by key and position.
+
+    Rows are dealt by ranges of (bucket, key, position), so a key with a third
+    of all rows fills many files of its bucket.  A lookup reads one bucket, and
+    of its files the row groups whose key range and bloom filter admit the key.
+    """
+    keyed = marked.filter(F.col("dup_number").isNotNull()).withColumn("bucket", _bucket(F.col("dup_key"), buckets))
+    order = ["bucket", "dup_key", "dup_number"]
+    (keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
+     .option("parquet.bloom.filter.enabled#dup_key", "true").partitionBy("bucket").parquet(path))
+
+
+def lookup_key(index: DataFrame, key: str, buckets: int = KEY_BUCKETS) -> DataFrame:
+    """The holders of one key from a table of ``write_key_index``; one bucket is read."""
+    return index.filter((F.col("bucket") == _bucket(F.lit(key), buckets)) & (F.col("dup_key") == F.lit(key))).drop("bucket")
+
+
 def has_duplicates(df: DataFrame, key: str, strategy="email") -> bool:
     return not duplicate_group(df, key, strategy).isEmpty()
 

@@ -2,27 +2,33 @@
 
 Planning (gate, batch numbers, release offsets, outcome triage, retry plan) is
 plain DataFrame code.  Sending runs on executors inside ``mapInPandas`` with a
-caller-supplied ``sender`` callable; its results are written to an append-only
-ledger *before* anything else reads them, so a task retry or a recomputation
-never re-sends a contact that the ledger already records, and a rerun sends
-only the remainder (left-anti join on the ledger).
+caller-supplied ``sender`` callable, slice by slice: intents first, then the
+sends, then their results in an append-only ledger *before* anything else reads
+them.  A recomputation never re-sends a contact that the ledger already
+records, a rerun sends only the remainder (left-anti join on the ledger), and
+what dies in between repeats at most one slice.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from typing import Callable
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.expr import contact_id, delivery_payload, rate_pct
+from ..session import materialize
 from .ordered import ordinal, running
 from .rules import ERROR
 
 CHUNK_ROWS = 1 << 20
+SLICE_BATCHES = 2000  # batches that are sent between two records in the ledger
 
 
 # --- X1 gate ------------------------------------------------------------------
@@ -291,6 +297,8 @@ RESULT_SCHEMA = T.StructType(
         T.StructField("duration_ms", T.LongType()),
         T.StructField("command_id", T.StringType()),
         T.StructField("sent_at", T.TimestampType()),
+        T.StructField("data", T.StringType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 
@@ -302,10 +310,13 @@ def _send_partition(sender: Callable, session_id: str, max_attempts: int, rate_p
     ``sender(payload: dict, idempotency_key: str) -> dict`` (a third parameter,
     if it takes one, is the number of the attempt, from 1) returns
     ``{"status": int, "network_code": str|None, "retry_after_s": int|None,
-    "graphql_codes": list|None, "data": ...}``; exceptions count as network errors.
+    "graphql_codes": list|None, "data": ..., "error": str|None}``; exceptions
+    count as network errors.  ``data`` is kept as JSON text, ``error`` as it is.
+    ``burst`` may be a share of one token where there are more senders than tokens.
     """
     import datetime as _dt
     import inspect
+    import json
 
     import pandas as pd
 
@@ -330,6 +341,7 @@ def _send_partition(sender: Callable, session_id: str, max_attempts: int, rate_p
         return None, False, None
 
     def run(batches):
+        capacity = max(1.0, float(burst))
         tokens, last = float(burst), time.monotonic()
         failed_batch = None
         prev_batch = None
@@ -345,12 +357,12 @@ def _send_partition(sender: Callable, session_id: str, max_attempts: int, rate_p
                 attempts, t0, code = 0, time.monotonic(), None
                 while True:
                     now = time.monotonic()
-                    tokens = min(float(burst), tokens + (now - last) * rate_per_s)
+                    tokens = min(capacity, tokens + (now - last) * rate_per_s)
                     last = now
                     if tokens < 1.0:
                         sleep((1.0 - tokens) / rate_per_s)
                         now = time.monotonic()
-                        tokens = min(float(burst), tokens + (now - last) * rate_per_s)
+                        tokens = min(capacity, tokens + (now - last) * rate_per_s)
                         last = now
                     tokens -= 1.0
                     attempts += 1
@@ -359,13 +371,14 @@ def _send_partition(sender: Callable, session_id: str, max_attempts: int, rate_p
                         payload = dict(rec["payload"]) if isinstance(rec["payload"], dict) else rec["payload"]
                         res = sender(payload, key, attempts) if counted else sender(payload, key)
                     except Exception as exc:  # noqa: BLE001 - a failed call is a network error
-                        res = {"status": None, "network_code": type(exc).__name__}
+                        res = {"status": None, "network_code": type(exc).__name__, "error": str(exc)}
                     code, retry, delay = classify(res)
                     if code is None or not retry or attempts >= max_attempts:
                         break
                     sleep((delay if delay is not None else min(K.BACKOFF_BASE_MS * 2 ** attempts, K.BACKOFF_CAP_MS))
                           / 1000.0)
                 ok = code is None
+                data, error = res.get("data"), None if ok else res.get("error") or f"Subscription failed: {code}"
                 if not ok and fail_fast:
                     failed_batch = b
                 out.append({
@@ -374,6 +387,7 @@ def _send_partition(sender: Callable, session_id: str, max_attempts: int, rate_p
                     "message": "Successfully subscribed" if ok else f"Subscription failed: {code}",
                     "attempts": attempts, "duration_ms": int((time.monotonic() - t0) * 1000),
                     "command_id": key, "sent_at": _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
+                    "data": None if data is None else json.dumps(data, sort_keys=True), "error": error,
                 })
             yield pd.DataFrame(out, columns=[f.name for f in RESULT_SCHEMA.fields])
 
@@ -392,37 +406,111 @@ def deliver(
     delay_ms: int = 0,
     fail_fast: bool = False,
     sleep: Callable[[float], None] = time.sleep,
+    slice_batches: int = SLICE_BATCHES,
+    before_results: Callable[[int], None] | None = None,
 ) -> DataFrame:
     """Send the remainder of ``to_send`` and append the results to the ledger.
 
     ``to_send`` needs ``contact_id`` (+ ``email``/``phone_number`` or a
     ``payload``) and ``seq``/``batch_no`` from ``plan_batches``.  Contacts the
     ledger already records as successful for ``session_id`` are skipped (J4).
-    Rows are spread over ``concurrency`` partitions by batch (a batch stays in
-    one partition, in order); the global rate is split evenly across them.
-    Results are written once and read back, never recomputed: the latest row
-    of each contact of the session.
+    Sending goes slice by slice (``slice_batches`` consecutive batches).  Before
+    a slice is sent its intents (who is about to be sent, by which run) are
+    written next to the ledger, after it its results; so whatever dies, at most
+    one slice is sent again, and ``in_doubt`` names the contacts.  The folder of
+    a slice's intents is its lease: a second run of the session that comes upon
+    a slice in hand fails instead of sending it too.  Rows of a slice are spread
+    over ``concurrency`` partitions by batch (a batch stays in one partition, in
+    order); rate and burst are split evenly across them.  Results are written
+    once and read back, never recomputed: the latest row of each contact of the
+    session.  ``before_results`` is called with each slice between sending and
+    recording it (for tests).
     """
     spark = to_send.sparkSession
-    from ..session import ship_package
+    from ..session import scratch_path, ship_package
 
     ship_package(spark)
     remainder = resume_remainder(to_send, spark, ledger_path, session_id)
     if "payload" not in remainder.columns:
         remainder = remainder.withColumn("payload", delivery_payload())
+    run_id = uuid.uuid4().hex
     rows = remainder.select(
-        F.col("contact_id").cast("string").alias("contact_id"), "batch_no", "seq",
-        F.from_json(F.col("payload"), "map<string,string>").alias("payload"),
+        F.col("contact_id").cast("string").alias("contact_id"), "batch_no", "seq", "payload",
+        F.floor((F.col("batch_no") - 1) / F.lit(slice_batches)).cast("bigint").alias("slice"),
     )
+    path = scratch_path(spark, f"to-send-{run_id}")
+    rows.write.partitionBy("slice").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     parts = max(1, int(concurrency))
-    parts = min(parts, max(1, int(burst)))  # every sender may start with one request: no more of them than the burst
-    fn = _send_partition(sender, session_id, max_attempts, rate_per_s / parts, max(1, burst // parts), fail_fast,
-                         sleep, delay_ms)
-    results = rows.repartition(parts, "batch_no").sortWithinPartitions("seq").mapInPandas(fn, RESULT_SCHEMA)
-    results.write.mode("append").parquet(ledger_path)
+    fn = _send_partition(sender, session_id, max_attempts, rate_per_s / parts, burst / parts, fail_fast, sleep, delay_ms)
+    slices = sorted(r["slice"] for r in rows.select("slice").distinct().collect())  # one number per slice_batches batches
+    for k in slices:
+        part = rows.filter(F.col("slice") == k)
+        _take_lease(spark, ledger_path, session_id, k, run_id, part)
+        sent = part.select("contact_id", "batch_no", "seq", F.from_json("payload", "map<string,string>").alias("payload"))
+        results = sent.repartition(parts, "batch_no").sortWithinPartitions("seq").mapInPandas(fn, RESULT_SCHEMA)
+        if before_results is not None:
+            results = materialize(results, "sent")
+            before_results(k)
+        results.write.mode("append").parquet(ledger_path)
+        _drop_lease(spark, ledger_path, session_id, k)
     return latest_results(read_ledger(spark, ledger_path).filter(F.col("session_id") == session_id))
 
 
+INTENTS = "contact_id string, batch_no bigint, seq bigint, run_id string, session_id string, slice bigint"
+
+
+def _intent_folder(ledger_path: str) -> str:
+    return f"{ledger_path.rstrip('/')}-intents"
+
+
+def _lease(spark, ledger_path: str, session_id: str, number: int):
+    """(file system, path) of the lease of a slice."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_intent_folder(ledger_path)}-leases/{quote(session_id, safe='')}/{number}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _take_lease(spark, ledger_path: str, session_id: str, number: int, run_id: str, part: DataFrame) -> None:
+    fs, path = _lease(spark, ledger_path, session_id, number)
+    fs.mkdirs(path.getParent())
+    try:
+        fs.create(path, False).close()  # fails if the file exists: one of two runs gets it
+    except Py4JJavaError as e:
+        raise RuntimeError(f"slice {number} of {session_id} is being sent by another run, or was when a run died: "
+                           "see in_doubt() and release()") from e
+    part.select("contact_id", "batch_no", "seq", F.lit(run_id).alias("run_id"), F.lit(session_id).alias("session_id"), F.col("slice")).write.mode(
+        "append").parquet(_intent_folder(ledger_path))
+
+
+def _drop_lease(spark, ledger_path: str, session_id: str, number: int) -> None:
+    fs, path = _lease(spark, ledger_path, session_id, number)
+    fs.delete(path, False)
+
+
+def read_intents(spark, ledger_path: str) -> DataFrame:
+    """Who was about to be sent, by slice and run: a row for each time."""
+    from ..session import path_exists
+
+    if not path_exists(spark, _intent_folder(ledger_path)):
+        return spark.createDataFrame([], INTENTS)
+    return spark.read.schema(INTENTS).parquet(_intent_folder(ledger_path))
+
+
+def in_doubt(spark, ledger_path: str, session_id: str) -> DataFrame:
+    """Contacts with more intents than results: sent, or not, when a run died."""
+    tried = read_intents(spark, ledger_path).filter(F.col("session_id") == session_id).groupBy("contact_id").agg(
+        F.count(F.lit(1)).alias("intents"), F.max("slice").alias("slice"))
+    known = read_ledger(spark, ledger_path).filter(F.col("session_id") == session_id).groupBy("contact_id").agg(F.count(F.lit(1)).alias("results"))
+    both = tried.join(known, "contact_id", "left").withColumn("results", F.coalesce("results", F.lit(0)))
+    return both.filter(F.col("intents") > F.col("results"))
+
+
+def release(spark, ledger_path: str, session_id: str) -> None:
+    """Give back the leases of a run that died, so that the next one sends its last slice again (same idempotency keys)."""
+    fs, path = _lease(spark, ledger_path, session_id, 0)
+    fs.delete(path.getParent(), True)
+
+
 def latest_results(ledger: DataFrame) -> DataFrame:
     """The last row of each contact (a success over a failure of the same time); contacts without an id keep all rows."""
     rank = F.struct("sent_at", "success", "attempts", "seq")
@@ -454,9 +542,11 @@ def remainder_after(contacts: DataFrame, done: DataFrame, key: str = "contact_id
 
 
 def with_processed_marks(contacts: DataFrame, results: DataFrame) -> DataFrame:
-    """Attach ``processed, success, message, was_successful`` from the results (equi left join)."""
+    """Attach ``processed, success, message, was_successful`` from the results (equi left join), and
+    ``processed_at`` where results have ``sent_at``."""
+    timed = ["sent_at"] if "sent_at" in results.columns else []
     r = results.groupBy("contact_id").agg(
-        F.max_by(F.struct("success", "message"), F.struct("seq")).alias("_r")
+        F.max_by(F.struct("success", "message", *timed), F.struct("seq")).alias("_r")
     )
     j = contacts.join(r, "contact_id", "left")
     return j.select(
@@ -465,6 +555,7 @@ def with_processed_marks(contacts: DataFrame, results: DataFrame) -> DataFrame:
         F.col("_r.success").alias("success"),
         F.col("_r.message").alias("message"),
         (F.col("_r").isNotNull() & F.coalesce(F.col("_r.success"), F.lit(False))).alias("was_successful"),
+        *[F.col("_r.sent_at").alias("processed_at") for _ in timed],
     )
 
 

@@ -174,10 +174,11 @@ def run_totals(runs: DataFrame) -> DataFrame:
     )
 
 
-def summary_as_run(summary: DataFrame, run_id, started_at) -> DataFrame:
+def summary_as_run(summary: DataFrame, run_id, started_at, kind: str = "validate") -> DataFrame:
     """Shape one A1 row as a ``runs`` row, ready to append."""
     return summary.select(
         F.lit(run_id).alias("run_id"),
+        F.lit(kind).alias("kind"),
         F.col("total_records").alias("total"),
         F.col("total_records").alias("processed"),
         F.col("valid_records").alias("successful"),
@@ -185,3 +186,12 @@ def summary_as_run(summary: DataFrame, run_id, started_at) -> DataFrame:
         F.col("duplicates_found").alias("duplicates"),
         F.lit(started_at).cast("timestamp").alias("start_time"),
     )
+
+
+def run_totals_by_kind(runs: DataFrame) -> DataFrame:
+    """Totals of validate and of import runs (``kind``), with duplicates and success rate."""
+    sums = {"records": "total", "processed": "processed", "successful": "successful", "failed": "failed", "duplicates": "duplicates"}
+    t = runs.groupBy("kind").agg(F.count(F.lit(1)).cast("bigint").alias("runs"),
+                                 *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for n, c in sums.items()],
+                                 F.max("start_time").alias("last_run_at"))
+    return t.withColumn("success_rate", rate_pct("successful", "processed"))

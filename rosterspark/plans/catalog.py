@@ -716,6 +716,35 @@ def delivery_stub(spark, sf_dir):
     return run.results.select("session_id", "contact_id", "batch_no", "seq", "success", "error_code", "attempts")
 
 
+@query("delivery_interrupted")
+def delivery_interrupted(spark, sf_dir):
+    """A run dies after sending its third slice and before recording it; the next one sends the rest.
+
+    ``sends`` counts a contact's intents: only the slice that was in hand, and what had failed before, goes out twice.
+    """
+    ledger = scratch_path(spark, f"ledger-{_uuid.uuid4().hex[:12]}")
+
+    class Died(Exception):
+        pass
+
+    def die(number):
+        if number == 2:
+            raise Died
+
+    def run(**kw):
+        return J.import_contacts(fixtures.contacts(spark, sf_dir), "died", sender=J.stub_sender, ledger_path=ledger, rate_per_s=1e6,
+                                 burst=1000, delay_ms=0, concurrency=4, sleep=_no_wait, **kw)
+
+    slices = max(1, -(-fixtures.contacts(spark, sf_dir).count() // 25))  # about five slices of batches of five
+    try:
+        run(slice_batches=slices, before_results=die)
+    except Died:
+        D.release(spark, ledger, "died")
+    results = run(slice_batches=slices).results
+    sends = D.read_intents(spark, ledger).groupBy("contact_id").agg(F.count(F.lit(1)).alias("sends"))
+    return results.join(sends, "contact_id").select("contact_id", "success", "error_code", "sends", "data", "error")
+
+
 # --- views and listings ------------------------------------------------------------
 
 
@@ -734,14 +763,28 @@ def with_warnings(spark, sf_dir):
 @query("duplicate_contacts")
 def duplicate_contacts(spark, sf_dir):
     """Every non-first holder with its original's masked e-mail and names."""
-    m = dedup.mark_duplicates(_valid(spark, sf_dir), "email")
-    dups = dedup.duplicate_contacts(m)
-    originals = m.filter(F.col("dup_number") == 1).select(
-        F.col("line_number").alias("original_line"), X.mask_email("email").alias("original_email"),
-        F.col("first_name").alias("original_first_name"), F.col("last_name").alias("original_last_name"))
-    return dups.join(originals, "original_line").select(
-        "line_number", X.mask_email("email").alias("email"), "dup_number", "original_line", "original_email",
-        "original_first_name", "original_last_name")
+    m = dedup.mark_duplicates(_valid(spark, sf_dir), "email", carry=("email", "first_name", "last_name"))
+    return dedup.duplicate_contacts(m).select(
+        "line_number", X.mask_email("email").alias("email"), "dup_number", "original_line",
+        X.mask_email("original.email").alias("original_email"), F.col("original.first_name").alias("original_first_name"),
+        F.col("original.last_name").alias("original_last_name"))
+
+
+@query("duplicate_lookup")
+def duplicate_lookup(spark, sf_dir):
+    """The holders of one key (the first that has duplicates), read from one bucket of a key table."""
+    path = scratch_path(spark, f"keys-{_uuid.uuid4().hex[:12]}")
+    dedup.write_key_index(dedup.mark_duplicates(_valid(spark, sf_dir), "email").select("line_number", "dup_key", "dup_number", "original_line"), path)
+    index = spark.read.parquet(path)
+    key = index.filter("dup_number = 2").agg(F.min("dup_key")).first()[0]
+    return dedup.lookup_key(index, key or "")
+
+
+@query("run_totals_by_kind")
+def run_totals_by_kind(spark, sf_dir):
+    """Totals of validate and import runs; the session table stands for the runs, odd sessions are imports."""
+    runs = fixtures.sessions(spark, sf_dir).withColumn("kind", F.when(F.col("session_id") % 2 == 1, "import").otherwise("validate"))
+    return report.run_totals_by_kind(runs.withColumn("duplicates", F.col("processed") % 7))
 
 
 @query("merged_findings")

@@ -98,12 +98,14 @@ def import_contacts(
     concurrency: int = 1,
     fail_fast: bool = False,
     sleep: Callable[[float], None] = time.sleep,
+    **send_options,
 ) -> ImportRun:
     """Validate → dedupe all kept rows → gate → plan → (deliver) → results.
 
     ``dry_run`` stops before sending.  ``skip_validation`` runs no rules (every
     row with a usable e-mail is kept).  Invalid rows are kept by default and
     rejected by the gate (Q2).  ``max_records`` keeps the first n rows.
+    Further options go to ``delivery.deliver``.
     """
     c = contacts
     if max_records:
@@ -128,7 +130,7 @@ def import_contacts(
         if sender is None or ledger_path is None:
             raise ValueError("a sender and a ledger path are needed unless dry_run")
         results = delivery.deliver(to_send, sender, ledger_path, session_id, concurrency, rate_per_s=rate_per_s,
-                                   burst=burst, delay_ms=delay_ms, fail_fast=fail_fast, sleep=sleep)
+                                   burst=burst, delay_ms=delay_ms, fail_fast=fail_fast, sleep=sleep, **send_options)
     all_res = delivery.all_results(
         rejects.select("contact_id", "batch_no", "seq", "success", "error_code"),
         results.select("contact_id", "batch_no", "seq", "success", "error_code") if results is not None
@@ -148,9 +150,8 @@ def stub_sender(payload, key, attempt):
     import hashlib
 
     email = (payload or {}).get("email") or ""
-    h = int(hashlib.md5(email.encode("utf8")).hexdigest()[:6], 16) % 20
-    if h == 0:
-        return {"status": 401}
-    if h == 1:
-        return {"status": 404}
-    return {"status": 503 if h == 2 and attempt == 1 else 200}
+    name = hashlib.md5(email.encode("utf8")).hexdigest()
+    h = int(name[:6], 16) % 20
+    if h < 2:
+        return {"status": (401, 404)[h], "error": ("HTTP 401", "HTTP 404")[h]}
+    return {"status": 503 if h == 2 and attempt == 1 else 200, "data": {"id": name[:8]}}

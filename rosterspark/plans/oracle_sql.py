@@ -848,6 +848,15 @@ st AS (SELECT {_CID} AS contact_id, is_valid, CAST(floor((seq - 1) / 5) + 1 AS B
          ({_HEX}) % 20 AS h FROM plan)
 """
 
+ORACLE["delivery_interrupted"] = _STUB + """,
+sl AS (SELECT *, CAST(floor((batch_no - 1) / CAST(ceil((SELECT count(*) FROM contacts) / 25.0) AS DOUBLE)) AS BIGINT) AS slice FROM st WHERE is_valid)
+SELECT contact_id, h >= 2 AS success, CASE h WHEN 0 THEN 'AUTH_ERROR' WHEN 1 THEN 'API_ERROR' END AS error_code,
+  CAST(1 + CASE WHEN slice = 2 THEN 1 ELSE 0 END + CASE WHEN slice < 2 AND h < 2 THEN 1 ELSE 0 END AS BIGINT) AS sends,
+  CASE WHEN h >= 2 THEN '{"id": "' || substr(md5(contact_id), 1, 8) || '"}' END AS data,
+  CASE h WHEN 0 THEN 'HTTP 401' WHEN 1 THEN 'HTTP 404' END AS error
+FROM sl
+"""
+
 ORACLE["delivery_stub"] = _STUB + """
 SELECT 'stub-run' AS session_id, contact_id, batch_no, seq, h >= 2 AS success,
   CASE h WHEN 0 THEN 'AUTH_ERROR' WHEN 1 THEN 'API_ERROR' END AS error_code,
@@ -907,6 +916,19 @@ FROM mk JOIN v d ON mk.line_number = d.line_number JOIN v o ON mk.first_line = o
 WHERE mk.dup_number > 1
 """
 
+ORACLE["duplicate_lookup"] = VALIDATED + _marked("email") + """
+SELECT line_number, dup_key, dup_number, CASE WHEN dup_number > 1 THEN first_line END AS original_line
+FROM mk WHERE dup_key = (SELECT min(dup_key) FROM mk WHERE dup_number = 2) AND dup_number IS NOT NULL
+"""
+
+ORACLE["run_totals_by_kind"] = cte("sessions") + f""",
+t AS (SELECT CASE WHEN session_id % 2 = 1 THEN 'import' ELSE 'validate' END AS kind, CAST(count(*) AS BIGINT) AS runs,
+  CAST(sum(total) AS BIGINT) AS records, CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(successful) AS BIGINT) AS successful,
+  CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(processed % 7) AS BIGINT) AS duplicates, max(start_time) AS last_run_at
+  FROM sessions GROUP BY 1)
+SELECT *, {rate('successful', 'processed')} AS success_rate FROM t
+"""
+
 ORACLE["duplicates_preview"] = VALIDATED + _marked("email") + f"""
 SELECT mk.line_number, {_mask_email_sql('v.email')} AS email, mk.dup_number, mk.first_line AS original_line
 FROM mk JOIN v ON mk.line_number = v.line_number WHERE mk.dup_number > 1 ORDER BY mk.line_number LIMIT 5
