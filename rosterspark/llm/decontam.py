@@ -216,14 +216,33 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (id, key) is not in ``found``; all columns of ``docs``."""
-    return docs.join(found.select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct(), same_row(docs), "left_anti")
+    names = free_names(docs, "_id", "_key")
+    return docs.join(found.select(F.col("id").alias(names[0]), F.col("key").alias(names[1])).distinct(), same_row(docs, *names), "left_anti")
+
+
+def row_id(docs: DataFrame):
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
+
+
+def row_key(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
-def same_row(docs: DataFrame):
-    return ((F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("_id"))
-            & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_key")))
+def same_row(docs: DataFrame, id_name: str, key_name: str):
+    """Whether columns of another table (names that ``docs`` has not) name the row."""
+    return (row_id(docs) == F.col(id_name)) & (row_key(docs) == F.col(key_name))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

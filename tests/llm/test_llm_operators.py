@@ -28,7 +28,7 @@ def rows(spark):
 def edge(spark):
     """Nulls, empty and long texts, repeated rows and ids, and further columns with names that the operators use."""
     d = spark.createDataFrame(EDGE, "doc_id long, text string")
-    for c in ("id", "key", "bucket", "block", "node", "length", "rank", "t", "words", "_salt", "g", "size", "label", "quality"):
+    for c in ("id", "key", "bucket", "block", "node", "length", "rank", "t", "words", "_salt", "g", "size", "label", "quality", "_id", "_key", "_pk_id", "_pk_key", "__id"):
         d = d.withColumn(c, F.lit("x"))
     return d.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -349,10 +349,21 @@ def test_defined_cases(spark, edge):
     assert same.columns == edge.columns and same.count() == n
     groups = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.components(edge).collect()}
     assert groups[1, 0] == 1 and groups[4, 116] == 4 and groups[None, 117] == 4 and groups[5, 116] == 4
+    items = spark.createDataFrame([(1, "no such words in any of the texts of this table at all")], "item_id long, text string")
+    for df in (quality_rules.keep(edge, labels), decontam.clean(edge, items)):
+        assert df.columns == edge.columns
+        df.collect()
     kept = jaccard.one_of_each(edge)
     assert kept.columns == edge.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 6, 7])
 
 
+def test_mail_addresses_of_any_length_are_replaced(spark):
+    mails = ["l" * 70 + "@example.com", "x@a.b.c.d.e.f.g.h.i.j.k.com", "a@" + "h" * 80 + ".org", "b@c." + "t" * 30, "plain@x.de"]
+    d = spark.createDataFrame([(k, f"write to {m}, please") for k, m in enumerate(mails)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace(d).collect()}
+    assert all(m not in got[k] and "@" in got[k] and got[k].startswith("write to ") and got[k].endswith(", please") for k, m in enumerate(mails))
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (substring.drop_repeats(none), suffix.strip_repeats(none), katz.score_documents(none), sharding.shard_documents(none), packing.pack_documents(none),
