@@ -48,10 +48,9 @@ def range_edges(df: DataFrame, key: str, order: list[str], range_rows: int, max_
     n = F.size("_all")
     thinned = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most))),
                           lambda i: F.element_at("_all", F.when(n <= most, i).otherwise(F.floor(i * n / (most + 1)).cast("int"))))
-    top = (samples.groupBy("_key").agg(F.sort_array(F.collect_list("_at")).alias("_all"))
-           .orderBy(n.desc(), F.col("_key")).limit(max_keys))
-    return top.select("_key", thinned.alias("_edges")).withColumn(
-        "_blocks", F.filter("_edges", lambda _, i: i % BLOCK == BLOCK - 1))
+    cut = samples.groupBy("_key").agg(F.sort_array(F.collect_list("_at")).alias("_all")).withColumn("_n", n).withColumn("_edges", thinned)
+    cut = cut.withColumn("_blocks", F.filter("_edges", lambda _, i: i % BLOCK == BLOCK - 1))
+    return cut.orderBy(F.desc("_n"), "_key").limit(max_keys).select("_key", "_edges", "_blocks")
 
 
 def _ranged(df: DataFrame, key: str, order: list[str], edges: DataFrame, how: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_import_without_rules_still_gates(spark, tmpdir_path):
 
 
 def test_results_are_the_latest_of_each_contact(spark):
-    row = lambda c, ok, at: ("s", c, 1, 1, ok, None, None, 1, 5, None, datetime(2024, 1, at))
+    row = lambda c, ok, at: ("s", c, 1, 1, ok, None, None, 1, 5, None, datetime(2024, 1, at), None, None)
     led = spark.createDataFrame([row("a", False, 1), row("a", True, 2), row("b", True, 1)], delivery.RESULT_SCHEMA)
     assert {(r.contact_id, r.success) for r in delivery.latest_results(led).collect()} == {("a", True), ("b", True)}
 
