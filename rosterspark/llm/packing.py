@@ -92,7 +92,7 @@ def _words_encoder(path):
         if len(known) > CACHED_WORDS:
             known.clear()
         other = []
-        for w in {w for ws in split for w in ws if w not in known}:
+        for w in set().union(*split).difference(known):
             text = w.decode("utf-8", "replace")
             if plain and PLAIN(text):
                 known[w] = np.array(plain(text), "<u4").tobytes()
