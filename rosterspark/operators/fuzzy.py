@@ -1,33 +1,47 @@
 """Near-duplicate e-mails without a cross join.
 
 ``sim(a, b) = (L - lev(a, b)) / L`` with ``L`` the longer length, so
-``sim >= t`` means ``lev <= tau(L) = floor((1 - t) * L)``.  Candidate pairs
-come from the segment (pigeonhole) scheme of Li, Deng, Wang and Feng,
+``sim >= t`` means ``lev <= tau(L) = floor((1 - t) * L)``.  Every string is cut
+before its last ``@`` (none: the whole string) into a local part and a domain;
+a pair has the same domain or two different ones, and either kind has its own keys.
+
+Same domain: ``lev`` of the strings is ``lev`` of the local parts.  ``tau``
+edits leave at least ``m - tau`` characters of the longer part (length ``m``)
+in common, in order, so both parts have a common subsequence of that length:
+the keys are all of them, hashed inside the task.  Where that would be more
+than ``MOST_KEYS`` for a string, the local parts are cut into segments as below.
+Domains with at most ``hot_rows`` index strings are paired as they are.
+
+Different domains: the segment (pigeonhole) scheme of Li, Deng, Wang and Feng,
 "Pass-Join" (PVLDB 5(3), 2011): the shorter string ``s`` (length ``n``) is cut
 into ``tau + 1`` even segments; if ``lev(s, r) <= tau`` one segment occurs
 unchanged in ``r`` at a shift ``d`` with ``|d| + |(m - n) - d| <= tau``.  Both
-sides are exploded into ``(n, m, segment, text)`` keys and equi-joined; every
-candidate is then checked with the exact, bounded ``levenshtein(a, b, tau)``.
-
-Skew: a popular domain makes some segment keys very common, and joining on
-such a key alone would pair every same-length address of that domain.  Keys
+sides are exploded into ``(n, m, segment, text)`` keys and equi-joined.  Keys
 with more than ``hot_rows`` index entries (at most ``max_hot_keys`` of them, so
-the broadcast list is bounded) get another level: the shared segment is cut
-out of both strings and the remainders are joined with the same segment
-scheme, keyed by the first-level key as well (exact, see ``_candidates``),
-repeated for a few levels.  Keys still hot at the last level are salted: their index rows are spread over
-``salt`` buckets and the matching probe rows replicated to each bucket.
-Nothing is dropped; ``segment_key_report`` lists the hot keys.
+the broadcast list is bounded) are joined domain pair by domain pair, only for
+domains that ``tau`` edits may turn into each other (``_domain_cost``), salted.
+
+Every candidate is checked with the exact, bounded ``levenshtein(a, b, tau)``
+as the join makes it, before anything is shuffled again.  Nothing is dropped;
+``segment_key_report`` lists the hot keys.
 """
 
 from __future__ import annotations
 
+from functools import partial
+from itertools import combinations
+from math import comb, floor
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 
 EPS = 1e-6  # tau is over-estimated by at most this; verification is exact
+MOST_KEYS = 1024  # subsequences of one local part; beyond, segments
+SLICE = 2000  # strings whose keys are held at a time
 
 
 def similarity(a, b) -> Column:
@@ -74,12 +88,10 @@ def _index_rows(strings: DataFrame, t: float) -> DataFrame:
     d = d.withColumn("m", F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / F.lit(t) + F.lit(EPS)).cast("int"))))
     d = d.withColumn("tau", _tau(F.col("m"), t))
     short = d.filter(F.col("n") < F.col("tau") + 1).select(
-        "s", "n", "m", "tau", F.lit(-1).alias("seg_no"), F.lit("").alias("seg"), F.lit(0).alias("cut"),
-        F.lit(0).alias("cut_len"))
+        "s", "n", "m", "tau", F.lit(-1).alias("seg_no"), F.lit("").alias("seg"))
     long_ = d.filter(F.col("n") >= F.col("tau") + 1).withColumn("seg_no", F.explode(F.sequence(F.lit(0), F.col("tau"))))
     start, length = _segments(F.col("n"), F.col("tau"))
-    long_ = long_.select("s", "n", "m", "tau", "seg_no", F.substring("s", start + 1, length).alias("seg"),
-                         start.alias("cut"), length.alias("cut_len"))
+    long_ = long_.select("s", "n", "m", "tau", "seg_no", F.substring("s", start + 1, length).alias("seg"))
     return long_.unionByName(short)
 
 
@@ -91,8 +103,7 @@ def _probe_rows(strings: DataFrame, t: float) -> DataFrame:
     # keep only n whose own bound admits m (the index side used the same rule)
     d = d.filter(F.col("m") <= F.floor(F.col("n") / F.lit(t) + F.lit(EPS)))
     short = d.filter(F.col("n") < F.col("tau") + 1).select(
-        "r", "n", "m", "tau", F.lit(-1).alias("seg_no"), F.lit("").alias("seg"), F.lit(0).alias("cut"),
-        F.lit(0).alias("cut_len"))
+        "r", "n", "m", "tau", F.lit(-1).alias("seg_no"), F.lit("").alias("seg"))
     long_ = d.filter(F.col("n") >= F.col("tau") + 1).withColumn("seg_no", F.explode(F.sequence(F.lit(0), F.col("tau"))))
     start, length = _segments(F.col("n"), F.col("tau"))
     delta = F.col("m") - F.col("n")
@@ -102,8 +113,7 @@ def _probe_rows(strings: DataFrame, t: float) -> DataFrame:
         "d", F.explode(F.sequence(lo, hi)))
     pos = F.col("_start") + F.col("d")
     long_ = long_.filter((pos >= 0) & (pos + F.col("_len") <= F.col("m"))).select(
-        "r", "n", "m", "tau", "seg_no", F.substring("r", pos + 1, F.col("_len")).alias("seg"),
-        pos.alias("cut"), F.col("_len").alias("cut_len"))
+        "r", "n", "m", "tau", "seg_no", F.substring("r", pos + 1, F.col("_len")).alias("seg"))
     return long_.unionByName(short)
 
 
@@ -111,123 +121,173 @@ KEY = ["n", "m", "seg_no", "seg"]
 
 
 def segment_key_report(index: DataFrame, hot_rows: int) -> DataFrame:
-    """Segment keys with more than ``hot_rows`` index entries (the salted ones)."""
+    """Segment keys with more than ``hot_rows`` index entries (those joined by domain pair)."""
     return index.groupBy(*KEY).agg(F.count(F.lit(1)).alias("entries")).filter(F.col("entries") > hot_rows)
 
 
-def _cut(col: str, start: str, length: str) -> Column:
-    """The string with ``length`` characters at 0-based ``start`` removed."""
-    c = F.col(col)
-    return F.concat(F.substring(c, 1, F.col(start)), F.substring(c, F.col(start) + F.col(length) + 1, 1 << 30))
-
-
-SEP = "\u0001"
-
-
-def _next_index(rows: DataFrame) -> DataFrame:
-    """Re-segment the remainder ``rest`` of index strings; the key grows by the new segment."""
-    d = rows.select("s", "tau", "k", "rest").withColumn("n2", F.length("rest"))
-    short = d.filter(F.col("n2") < F.col("tau") + 1).select(
-        "s", "tau", F.concat_ws(SEP, "k", F.lit("-")).alias("k"), F.lit("").alias("rest"))
-    d = d.filter(F.col("n2") >= F.col("tau") + 1).withColumn("seg_no", F.explode(F.sequence(F.lit(0), F.col("tau"))))
-    st, ln = _segments(F.col("n2"), F.col("tau"))
-    d = d.withColumn("_st", st).withColumn("_ln", ln)
-    d = d.select("s", "tau", F.concat_ws(SEP, "k", F.col("seg_no").cast("string"),
-                                         F.substring("rest", F.col("_st") + 1, F.col("_ln"))).alias("k"),
-                 _cut("rest", "_st", "_ln").alias("rest"))
-    return d.unionByName(short)
-
-
-def _next_probe(rows: DataFrame) -> DataFrame:
-    """Probe side of ``_next_index``: substrings of the remainder at the admissible shifts."""
-    d = rows.select("r", "tau", "delta", "k", "rest").withColumn("m2", F.length("rest")).withColumn(
-        "n2", F.col("m2") - F.col("delta"))
-    short = d.filter(F.col("n2") < F.col("tau") + 1).select(
-        "r", "tau", "delta", F.concat_ws(SEP, "k", F.lit("-")).alias("k"), F.lit("").alias("rest"))
-    d = d.filter(F.col("n2") >= F.col("tau") + 1).withColumn("seg_no", F.explode(F.sequence(F.lit(0), F.col("tau"))))
-    st, ln = _segments(F.col("n2"), F.col("tau"))
-    lo = F.ceil((F.col("delta") - F.col("tau")) / F.lit(2.0)).cast("int")
-    hi = F.floor((F.col("delta") + F.col("tau")) / F.lit(2.0)).cast("int")
-    d = d.withColumn("_st", st).withColumn("_ln", ln).withColumn("_d", F.explode(F.sequence(lo, hi)))
-    d = d.withColumn("_p", F.col("_st") + F.col("_d"))
-    d = d.filter((F.col("_p") >= 0) & (F.col("_p") + F.col("_ln") <= F.col("m2")))
-    d = d.select("r", "tau", "delta", F.concat_ws(SEP, "k", F.col("seg_no").cast("string"),
-                                                  F.substring("rest", F.col("_p") + 1, F.col("_ln"))).alias("k"),
-                 _cut("rest", "_p", "_ln").alias("rest"))
-    return d.unionByName(short)
+def _domain(s: str) -> Column:
+    """The string from its last ``@`` on ('' without one)."""
+    return F.when(F.instr(F.col(s), "@") > 0, F.concat(F.lit("@"), F.substring_index(F.col(s), "@", -1))).otherwise(F.lit(""))
+
+
+def _local(s: str, domain: str) -> Column:
+    return F.substring(F.col(s), F.lit(1), F.length(s) - F.length(domain))
+
+
+def _near(t: float) -> Column:
+    """Whether strings ``s`` and ``r`` (``len(s) <= len(r)``) are different and within the bound."""
+    tau = f"cast(floor({1.0 - t!r}D * length(r) + {EPS!r}D) as int)"
+    return (F.col("s") != F.col("r")) & (F.expr(f"levenshtein(s, r, {tau})") >= 0)
+
+
+# --- same domain -------------------------------------------------------------
+
+
+def _mix(h: np.ndarray, x) -> np.ndarray:
+    h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _even_segments(n: int, k: int) -> list[tuple[int, int]]:
+    """As ``_segments``: start and length of ``k`` even segments."""
+    base, longer = divmod(n, k)
+    lens = [base] * (k - longer) + [base + 1] * longer
+    return [(sum(lens[:i]), x) for i, x in enumerate(lens)]
+
+
+def _hash_at(codes: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes (row, choice) of the characters at each choice of places."""
+    h = np.full((len(codes), len(places)), seed + 1, np.uint64)
+    for j in range(places.shape[1]):
+        h = _mix(h, codes[:, places[:, j]])
+    return h
+
+
+def _keys_of(codes: np.ndarray, domain_length: int, t: float, strict: bool, probe: bool, most: int):
+    """Keys (row, key) of local parts of one length, one array for each length ``m`` of the longer part."""
+    n = codes.shape[1]
+    m = n + int(strict and not probe)
+    while True:
+        tau = floor((1.0 - t) * (m + domain_length) + EPS)
+        q = m - tau  # characters that stay
+        if q > n:
+            return
+        if q <= 0:
+            yield _hash_at(codes, np.zeros((1, 0), np.int64), m << 20)
+        elif comb(m, q) <= most:
+            yield _hash_at(codes, np.array(list(combinations(range(n), q)), np.int64), m << 20)
+        else:
+            for n1 in range(q, m + 1) if probe else (n,):  # the length of the shorter part
+                if n1 <= tau:
+                    yield _hash_at(codes, np.zeros((1, 0), np.int64), (m << 20) + (n1 << 8) + 255)
+                    continue
+                lo, hi = (-((tau - m + n1) // 2), (m - n1 + tau) // 2) if probe else (0, 0)
+                for i, (start, length) in enumerate(_even_segments(n1, tau + 1)):
+                    at = np.array([x for x in range(start + lo, start + hi + 1) if x >= 0 and x + length <= n], np.int64)
+                    if len(at):
+                        yield _hash_at(codes, at[:, None] + np.arange(length), (m << 20) + (n1 << 8) + i % 255)
+        if probe:
+            return
+        m += 1
+
+
+def _local_keys(t, strict, probe, most, batches):
+    """(k, s) for the strings (s, local part, length and hash of the domain) of each batch, every key of a string once."""
+    for batch in batches:
+        s, local = batch.column(0), batch.column(1).to_pylist()
+        width, domain = batch.column(2).to_numpy(), batch.column(3).to_numpy().view(np.uint64)
+        lens = np.array([len(x) for x in local], np.int64)
+        order = np.lexsort((width, lens))
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(lens[order]) != 0) | (np.diff(width[order]) != 0)])) if len(order) else order
+        for a, b in zip(cut, [*cut[1:], len(order)]):
+            for at in range(a, b, SLICE):
+                rows = order[at:min(b, at + SLICE)]
+                codes = np.frombuffer("".join([local[i] for i in rows]).encode("utf-32-le", "surrogatepass"), "<u4")
+                codes = codes.astype(np.uint64).reshape(len(rows), int(lens[rows[0]]))
+                for keys in _keys_of(codes, int(width[rows[0]]), t, strict, probe, most):
+                    keys = np.sort(_mix(keys, domain[rows][:, None]), axis=1)
+                    new = np.ones(keys.shape, bool)
+                    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                    row, _ = np.nonzero(new)
+                    yield pa.record_batch([pa.array(keys[new].view(np.int64)), s.take(pa.array(rows[row]))], names=["k", "s"])
+
+
+def _same_domain(index: DataFrame, probe: DataFrame, t: float, strict: bool, hot_rows: int, most: int) -> DataFrame:
+    """Near pairs ``(s, r)`` with one domain; inputs ``(s, u)`` and ``(r, u)``."""
+    big = index.groupBy("u").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > hot_rows).select(F.col("u").alias("_u"))
+    shorter = F.length("s") < F.length("r") if strict else F.length("s") <= F.length("r")
+
+    def few(d):
+        return d.join(big, d["u"] == F.col("_u"), "left_anti")
+
+    def keys(d, col, is_probe):
+        d = d.join(big, d["u"] == F.col("_u"), "left_semi")
+        d = d.select(col, _local(col, "u"), F.length("u"), F.xxhash64("u"))
+        return d.mapInArrow(partial(_local_keys, t, strict, is_probe, most), "k long, s string")
+
+    small = few(index).join(few(probe), "u").filter(shorter & _near(t)).select("s", "r")
+    large = keys(index, "s", False).join(keys(probe, "r", True).withColumnRenamed("s", "r"), "k")
+    return small.unionByName(large.filter(shorter & _near(t)).select("s", "r"))
+
+
+# --- different domains ---------------------------------------------------------
 
 
 def _hot_keys(idx: DataFrame, hot_rows: int, max_hot_keys: int) -> DataFrame:
     """Keys with more than ``hot_rows`` index rows, at most ``max_hot_keys`` of them (broadcast-safe)."""
     return (
         idx.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > hot_rows)
-        .orderBy(F.desc("_c"), "k").limit(max_hot_keys).select("k", F.lit(True).alias("_hot"))
+        .orderBy(F.desc("_c"), "k").limit(max_hot_keys).select("k")
     )
 
 
-def _salted_join(idx: DataFrame, prb: DataFrame, hot_rows: int, max_hot_keys: int, salt: int) -> DataFrame:
-    """Equi-join on ``k``; keys with many index rows are spread over ``salt`` buckets."""
-    hot = F.broadcast(_hot_keys(idx, hot_rows, max_hot_keys))
-    i = idx.join(hot, "k", "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("s"), F.lit(salt))).otherwise(F.lit(0)).cast("int"))
-    p = prb.join(hot, "k", "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))))
-    return i.select("k", "_salt", "s").join(p.select("k", "_salt", "r"), ["k", "_salt"], "inner").select(
-        F.col("s").alias("a"), F.col("r").alias("b"))
-
+def _domain_cost(u: str, v: str) -> Column:
+    """What any strings ``x u`` and ``y v`` differ by at least: an end of one domain against the other domain.
 
-def _candidates(index_strings: DataFrame, probe_strings: DataFrame, t: float, strict: bool,
-                hot_rows: int, max_hot_keys: int, salt: int, max_levels: int = 4) -> DataFrame:
-    """Candidate pairs (a from index side, b from probe side) with ``len(a) <= len(b)``.
-
-    Level 1 keys are ``(n, m, segment no, segment)``.  A key held by more than
-    ``hot_rows`` index strings is refined: the matched segment is cut out of
-    both strings and the remainders are segmented again (``lev`` of the
-    remainders is still ``<= tau``), the key growing by the new segment.  After
-    ``max_levels`` levels whatever is still hot is joined salted.  Exact.
+    An alignment of the strings cuts ``y v`` where ``u`` begins: the rest is an
+    end of ``v``, or all of ``v`` after some of ``y`` and so opposite an end of ``u``.
     """
-    idx = _index_rows(index_strings, t)
-    prb = _probe_rows(probe_strings, t)
+    def least(whole, other):
+        ends = F.transform(F.sequence(F.lit(1), F.length(whole) + 1), lambda i: F.levenshtein(
+            F.col(other), F.substring(F.col(whole), i, F.length(whole))))
+        return F.array_min(ends)
+
+    return F.least(least(v, u), least(u, v))
+
+
+def _other_domain(index: DataFrame, probe: DataFrame, t: float, strict: bool, hot_rows: int, max_hot_keys: int,
+                  salt: int) -> DataFrame:
+    """Near pairs ``(s, r)`` with different domains, ``len(s) <= len(r)``."""
+    key = F.xxhash64("n", "m", "seg_no", "seg").alias("k")
+    idx, prb = _index_rows(index, t), _probe_rows(probe.withColumnRenamed("r", "s"), t)
     if strict:  # pairs with len(index) == len(probe) are produced by the other call
         prb = prb.filter(F.col("n") < F.col("m"))
-    key = F.concat_ws(SEP, "n", "m", "seg_no", "seg")
-    idx = idx.select("s", "tau", key.alias("k"), _cut("s", "cut", "cut_len").alias("rest"))
-    prb = prb.select("r", "tau", (F.col("m") - F.col("n")).alias("delta"), key.alias("k"),
-                     _cut("r", "cut", "cut_len").alias("rest"))
-    from ..session import ensure_checkpoint_dir
-
-    spark = index_strings.sparkSession
-    ensure_checkpoint_dir(spark)
-    found = []
-    for level in range(max_levels):
-        # the hot list is small by construction (at most ``max_hot_keys`` keys): collect it once
-        # per level and broadcast it as a local relation
-        hot_keys = [r.k for r in _hot_keys(idx, hot_rows, max_hot_keys).collect()]
-        if not hot_keys:  # nothing left to refine: one plain equi-join
-            found.append(idx.select("k", "s").join(prb.select("k", "r"), "k", "inner").select(
-                F.col("s").alias("a"), F.col("r").alias("b")))
-            break
-        if level == max_levels - 1:
-            found.append(_salted_join(idx, prb, hot_rows, max_hot_keys, salt))
-            break
-        hot = F.broadcast(spark.createDataFrame([(k,) for k in hot_keys], "k string").withColumn("_hot", F.lit(True)))
-        it = idx.join(hot, "k", "left")
-        pt = prb.join(hot, "k", "left")
-        cold_i = it.filter(F.col("_hot").isNull()).select("k", "s")
-        cold_p = pt.filter(F.col("_hot").isNull()).select("k", "r")
-        found.append(cold_i.join(cold_p, "k", "inner").select(F.col("s").alias("a"), F.col("r").alias("b")))
-        # only the hot subset moves on; both sides are checkpointed once, as one table
-        ni = _next_index(it.filter(F.col("_hot"))).select(
-            F.lit("i").alias("side"), F.col("s").alias("str"), "tau", F.lit(None).cast("int").alias("delta"), "k", "rest")
-        np_ = _next_probe(pt.filter(F.col("_hot"))).select(
-            F.lit("p").alias("side"), F.col("r").alias("str"), "tau", "delta", "k", "rest")
-        nxt = ni.unionByName(np_).checkpoint(eager=True)  # reliable checkpoint below spark.checkpoint.dir
-        idx = nxt.filter(F.col("side") == "i").select(F.col("str").alias("s"), "tau", "k", "rest")
-        prb = nxt.filter(F.col("side") == "p").select(F.col("str").alias("r"), "tau", "delta", "k", "rest")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    idx = idx.select("s", "tau", key, _domain("s").alias("u"))
+    prb = prb.select("r", key, _domain("r").alias("v"))
+    hot = F.broadcast(_hot_keys(idx, hot_rows, max_hot_keys))
+    cold = idx.join(hot, "k", "left_anti").join(prb.join(hot, "k", "left_anti"), "k").filter(
+        (F.col("u") != F.col("v")) & _near(t)).select("s", "r")
+    idx, prb = idx.join(hot, "k", "left_semi"), prb.join(hot, "k", "left_semi")
+    domains = idx.select("k", "u", "tau").distinct().join(prb.select("k", "v").distinct(), "k").filter(F.col("u") != F.col("v"))
+    domains = domains.filter(_domain_cost("u", "v") <= F.col("tau")).select("k", "u", "v").distinct()
+    spread = idx.join(domains, ["k", "u"]).withColumn("_salt", F.pmod(F.xxhash64("s"), F.lit(salt)))
+    again = prb.join(domains.select("k", "v").distinct(), ["k", "v"], "left_semi").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    warm = spread.join(again, ["k", "v", "_salt"]).filter(_near(t)).select("s", "r")
+    return cold.unionByName(warm)
+
+
+def _candidates(index_strings: DataFrame, probe_strings: DataFrame, t: float, strict: bool,
+                hot_rows: int, max_hot_keys: int, salt: int, most_keys: int = MOST_KEYS) -> DataFrame:
+    """Near pairs (a from index side, b from probe side) with ``len(a) <= len(b)`` (``strict``: shorter), each once."""
+    from ..session import ship_package
+
+    ship_package(index_strings.sparkSession)
+    i = index_strings.select("s", _domain("s").alias("u"))
+    p = probe_strings.select(F.col("s").alias("r"), _domain("s").alias("u"))
+    same = _same_domain(i, p, t, strict, hot_rows, most_keys)
+    other = _other_domain(i.select("s"), p.select("r"), t, strict, hot_rows, max_hot_keys, salt)
+    return same.unionByName(other).distinct().select(F.col("s").alias("a"), F.col("r").alias("b"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.8, col: str = "s",
@@ -257,12 +317,13 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: fl
     R = L if same else strings(right)
     # len(a) <= len(b): index a, probe b; len(b) < len(a): index b, probe a
     c1 = _candidates(L, R, threshold, False, hot_rows, max_hot_keys, salt)
-    if same:
-        c2 = c1.filter(F.length("a") < F.length("b")).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    if same:  # both directions of a pair from one row
+        both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        cand = c1.select(F.inline(F.when(F.length("a") < F.length("b"), both).otherwise(F.slice(both, 1, 1))))
     else:
         c2 = _candidates(R, L, threshold, True, hot_rows, max_hot_keys, salt).select(
             F.col("b").alias("a"), F.col("a").alias("b"))
-    cand = c1.unionByName(c2)
+        cand = c1.unionByName(c2)
     Lmax = F.greatest(F.length("a"), F.length("b"))
     # bounded edit distance: -1 once it exceeds tau (the threshold may be a column in SQL form)
     scored = cand.withColumn("_tau", _tau(Lmax, threshold)).withColumn("_lev", F.expr("levenshtein(a, b, _tau)"))

@@ -58,3 +58,34 @@ def test_find_potential_duplicates_ranked(spark):
     plan = fuzzy.similar_pairs(df.select(F.col("email").alias("s")), df.select(F.col("email").alias("s")), 0.8)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_local_part_keys_and_domain_pairs_equal_brute_force(spark):
+    """Large domains by subsequences and by segments, hot keys by domain pair, strings without @ and beyond ASCII."""
+    import random
+
+    rnd = random.Random(3)
+    rows = set()
+    for domain in ("@mail.example.com", "@gmail.com", "@hmail.com", "@x@gmail.com", ""):
+        for base in ("abcdefgh", "müllerstraße17x", "aabbaabb", "jo"):
+            for _ in range(14):
+                w = list(base)
+                for _ in range(rnd.randrange(4)):
+                    w[rnd.randrange(len(w))] = rnd.choice(["", "z", "b", "ü", "a7"])
+                rows.add("".join(w) + domain)
+    df = spark.createDataFrame([(w,) for w in sorted(rows)], "s string")
+    for t, most in ((0.8, 1024), (0.8, 1), (0.6, 100)):
+        ref = sorted((r.a, r.b) for r in brute_force_pairs(df, df, t).collect())
+        c = fuzzy._candidates(df, df, t, False, 2, 1000, 3, most_keys=most)
+        got = {(r.a, r.b) for r in c.collect()}
+        assert got == {(a, b) for a, b in ref if len(a) <= len(b)}, (t, most)
+
+
+def test_random_locals_of_one_domain_make_few_candidates(spark):
+    """Rows per string stay bounded where every string shares its domain (each level of re-segmenting multiplied them)."""
+    df = spark.range(3000).select(F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 10), F.lit("@mail.example.com")).alias("s"))
+    big = df.select("s", fuzzy._domain("s").alias("u"))
+    keys = big.select("s", fuzzy._local("s", "u"), F.length("u"), F.xxhash64("u")).mapInArrow(
+        lambda b: fuzzy._local_keys(0.8, False, True, fuzzy.MOST_KEYS, b), "k long, s string")
+    assert keys.count() <= 252 * 3000
+    assert fuzzy.similar_pairs(df, None, 0.8).count() > 0
