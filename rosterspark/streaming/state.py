@@ -98,6 +98,8 @@ def dedup_stream(contacts: DataFrame, strategy="email", order_col: str = "line_n
 
 COUNTS = ("events", "processed", "successful", "failed", "warnings", "errors", "milestones", "batches")
 LATEST = (("phase", "string"), ("current_batch", "long"), ("status", "string"))
+CHUNK_ROWS = 1 << 17  # events that a task combines at a time
+SHARES = 4  # tasks that the events of one session are dealt to
 RECENT = 256  # batch times kept one by one; what a later one could still change in older ones is below 0.8^256
 
 _LATEST_FIELDS = ", ".join(f"{n} {t}, {n}_ts long, {n}_seq long" for n, t in LATEST)
@@ -113,11 +115,23 @@ def _micros(col: Column, kind: str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(kind), col)
 
 
+def _together(batches, rows: int = CHUNK_ROWS):
+    """The rows of consecutive batches as frames of ``rows`` or more (the last one may have fewer)."""
+    held, n = [], 0
+    for pdf in batches:
+        if len(pdf):
+            held.append(pdf)
+            n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _parts_by_session(batches):
     """One row per session of each chunk: counts, batch times in order, and the latest of what a later event replaces."""
-    for pdf in batches:
-        if not len(pdf):
-            continue
+    for pdf in _together(batches):
         pdf = pdf.sort_values(["session_id", "ts", "seq"], kind="stable").reset_index(drop=True)
         kind, ok = pdf["type"], pdf["success"].eq(True)
         record = kind == S.RECORD_PROCESSED
@@ -188,7 +202,9 @@ def progress_stream(events: DataFrame) -> DataFrame:
     kind = dict(events.dtypes)["ts"]
     rows = events.select("session_id", _micros(F.col("ts"), kind).alias("ts"), F.col("seq").cast("long").alias("seq"), "type", "success",
                          F.col("duration_ms").cast("double").alias("duration_ms"), "phase", F.col("batch_number").cast("long").alias("batch_number"))
-    parts = rows.mapInPandas(_parts_by_session, PARTS)
+    # few input files are few tasks: the events are dealt anew, those of a session to few tasks, which combine them
+    dealt = rows.repartition(F.col("session_id"), F.pmod(F.xxhash64("seq"), F.lit(SHARES)))
+    parts = dealt.mapInPandas(_parts_by_session, PARTS)
 
     def step(key, chunks, state):
         now = dict(zip(_FIELDS, state.get)) if state.exists else _EMPTY
