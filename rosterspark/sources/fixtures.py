@@ -119,6 +119,16 @@ def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over enough partitions for all cores.
+
+    A file with one row group is one task, however many rows it has, and so is
+    every later scan of what that task wrote.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str, materialized: bool = True) -> DataFrame:
     """Register the source table(s) of a fixture view and return the view.
 
@@ -133,7 +143,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialized: bool = Tr
     if written is not None:
         df = spark.read.schema(written[1]).parquet(written[0])  # derived once per application and input folder, then re-read
     else:
-        register_tables(spark, sf_dir, sources)
+        for source in sources:
+            rows = read_table(spark, sf_dir, source)
+            (spread(rows) if materialized else rows).createOrReplaceTempView(source)
         df = spark.sql(sql)
         if materialized:
             from ..session import write_scratch
