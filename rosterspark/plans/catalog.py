@@ -315,7 +315,9 @@ def final_outcomes(spark, sf_dir):
 
 
 def _import_results(spark, sf_dir):
-    planned = D.plan_batches(_kept(spark, sf_dir), BATCH)
+    # written once: numbering reads its rows twice, and each time would validate and mark duplicates again
+    kept = materialize(_kept(spark, sf_dir).select("line_number", "email", "is_valid"), "import-kept")
+    planned = D.plan_batches(kept, BATCH)
     fo = D.final_outcomes(fixtures.delivery_attempts(spark, sf_dir)).select(
         F.col("contact_id").alias("line_number"), F.col("success").alias("_ok"), F.col("error_code").alias("_err"))
     j = planned.join(fo, "line_number", "left")
@@ -401,7 +403,7 @@ def quality_issues(spark, sf_dir):
 
 import uuid as _uuid  # noqa: E402
 
-from ..session import scratch_path  # noqa: E402
+from ..session import materialize, scratch_path  # noqa: E402
 from ..sources import files as FS  # noqa: E402
 
 
