@@ -56,7 +56,7 @@ def held_out(ids, folds=10):
 
 def _tokens(bodies):
     """(token, context, document, tokens of each document): words and the end of each text, after the word before."""
-    h, lens, _ = word_hashes(bodies, lower=True)
+    h, lens = word_hashes(bodies, lower=True)
     starts = starts_of(lens)
     at = starts[:-1] + np.arange(len(lens))  # where each text begins with one more token a text
     token = np.full(len(h) + len(lens), END, np.uint64)
@@ -65,7 +65,7 @@ def _tokens(bodies):
     token[word] = h
     context = np.concatenate([[START], token[:-1]])
     context[at] = START
-    return token, context, np.repeat(np.arange(len(lens)), lens + 1), lens + 1
+    return token, context, np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1), lens + 1
 
 
 def _vocabulary_blocks(n, batches):
@@ -123,10 +123,12 @@ def _pair_blocks(n, hot, batches):
         train = ~held_out(ids)
         chunk = np.array([(part << 32) + serial], np.int64)
         serial += 1
-        bucket = bucket_of(token, n)
+        del bodies  # what is used up is let go here as well
+        bucket = bucket_of(token, n).astype(np.int32)
         if len(hot):
             frequent = hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token
             bucket[frequent] = bucket_of(mix(token[frequent], context[frequent]), n)
+            del frequent
         rows = [(int(chunk[0] % n), pack(chunk, np.zeros(0, np.uint8), ids, train.astype(np.uint8), small(lens)))]
         for b, at in split_by(bucket, n):
             at = at[np.argsort(token[at], kind="stable")]
@@ -139,7 +141,7 @@ def _pair_blocks(n, hot, batches):
 ROUND1 = "kind int, chunk long, bucket int, block binary"
 
 
-def _pair_bucket(n, hot, hot_count, tokens, nr, table: pa.Table) -> pa.Table:
+def _pair_bucket(m, hot, hot_count, tokens, nr, table: pa.Table) -> pa.Table:
     """Kinds: 0 documents of a chunk, 1 sums of a chunk's documents, 2 context shares and unseen pairs, 3 counts of counts."""
     out, parts = [], []
     for data in table.column("block").to_pylist():
@@ -208,13 +210,13 @@ def _pair_bucket(n, hot, hot_count, tokens, nr, table: pa.Table) -> pa.Table:
         hot_left = np.zeros(len(lefts), bool)
         special = np.concatenate([hot, [START]])
         hot_left[np.isin(lefts, special)] = True
-        home = bucket_of(lefts, n)
+        home = bucket_of(lefts, m)
         have = mass > 0
         chunks_ = np.array([int(p[0][0]) for p in parts], np.int64)
-        go = np.where(hot_left[left[u]], chunks_[chunk_of] % n, home[left[u]]) if len(u) else np.zeros(0, np.int64)
-        by_home, by_go = dict(split_by(np.where(have & ~hot_left, home, n), n)), dict(split_by(go, n))
+        go = np.where(hot_left[left[u]], chunks_[chunk_of] % m, home[left[u]]) if len(u) else np.zeros(0, np.int64)
+        by_home, by_go = dict(split_by(np.where(have & ~hot_left, home, m), m)), dict(split_by(go, m))
         all_hot = np.flatnonzero(have & hot_left)
-        for b in range(n):
+        for b in range(m):
             h = np.concatenate([by_home.get(b, all_hot[:0]), all_hot])
             x = u[by_go[b]] if b in by_go else u[:0]
             if len(h) == 0 and len(x) == 0:
@@ -239,7 +241,7 @@ def _context_bucket(d, table: pa.Table) -> pa.Table:
     free = sum(add(1 + r) * r * (1 - d[r]) for r in range(1, DEPTH + 1)) + KEEP * add(2 + DEPTH)
     with np.errstate(divide="ignore"):
         weight = np.log10(free) - np.log10(np.maximum(1 - mass, 1e-12))
-    sums: dict = {}
+    sums: dict = {}  # chunk: (documents, sums) from each pair bucket
     k = 3 + DEPTH
     for p in parts:
         if len(p[k + 1]) == 0:
@@ -254,7 +256,10 @@ def _context_bucket(d, table: pa.Table) -> pa.Table:
         for c in np.unique(p[k + 3]):
             m = p[k + 3] == c
             doc, where = np.unique(p[k + 4][m], return_inverse=True)
-            out.append((4, int(p[k + 2][c]), 0, pack(doc, np.bincount(where, weights=w[m]))))
+            sums.setdefault(int(p[k + 2][c]), []).append((doc, np.bincount(where, weights=w[m])))
+    for chunk, found in sums.items():  # one row per chunk, however many pair buckets sent unseen pairs
+        doc, where = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+        out.append((4, chunk, 0, pack(small(doc), np.bincount(where, weights=np.concatenate([y for _, y in found])))))
     cols = list(zip(*out)) or [[]] * 4
     return pa.table({"kind": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int64()),
                      "bucket": pa.array(cols[2], pa.int32()), "block": pa.array(cols[3], pa.binary())})
@@ -286,7 +291,8 @@ def _documents(d, tokens, words, starts, table: pa.Table) -> pa.Table:
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` scored by the model learnt from the training rows of ``docs`` (module docstring); columns ``RESULT``."""
-    n = (bucket_count(docs.sparkSession) + 1) // 2  # every chunk sends a row to every bucket: fewer, larger ones
+    n = bucket_count(docs.sparkSession)  # of pairs: a task holds one bucket
+    m = (n + 2) // 3  # of contexts, which are fewer: every pair bucket sends a row to each, and each a row to every chunk
     rows = doc_rows(docs)
     found = per_bucket(rows.mapInArrow(partial(_vocabulary_blocks, n), BLOCK), partial(_vocabulary, n),
                        "words long, tokens long, ends long, nr array<long>, block binary").collect()  # one row per bucket
@@ -300,7 +306,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     hot_words = np.array(sorted(hot), np.uint64)
     hot_count = np.array([hot[int(w)] for w in hot_words], np.int64)
     pairs = per_bucket(rows.mapInArrow(partial(_pair_blocks, n, hot_words), BLOCK),
-                       partial(_pair_bucket, n, hot_words, hot_count, tokens, nr), ROUND1)
+                       partial(_pair_bucket, m, hot_words, hot_count, tokens, nr), ROUND1)
     pairs = materialize(pairs, "pairs")
     counts = [unpack(r["block"])[0] for r in pairs.filter("kind = 3").select("block").collect()]  # one row per bucket
     d = discounts(np.sum(counts, axis=0).tolist() if counts else [0] * (DEPTH + 3))

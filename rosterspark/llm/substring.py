@@ -82,7 +82,7 @@ class WordParse:
 
     def __init__(self, window, rounds, bodies):
         self.window = window
-        h, lens, _ = word_hashes(bodies, lower=False)
+        h, lens = word_hashes(bodies, lower=False)
         self.starts = starts_of(lens)
         n = len(h)
         self.n = n - window + 1
