@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from functools import partial
 from itertools import combinations
 
 import brute
@@ -10,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterspark.llm import (
-    decontam, jaccard, katz, packing, pii, quality_classifier, quality_rules, sharding, substring, suffix,
+    decontam, jaccard, katz, packing, pii, quality_classifier, quality_rules, repeats, sharding, substring, suffix,
 )
+from rosterspark.llm.common import bucket_count, doc_rows
 from rosterspark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -394,3 +396,19 @@ def test_pipeline_stages(spark, rows):
     a, b = seen["pii"]
     assert a.columns == b.columns and a.count() == b.count()
     assert {r.doc_id for r in seen["packing"][1].collect()} == {r.doc_id for r in b.collect()}
+
+
+@pytest.mark.parametrize("parse, keep_first, dedup, expected", [
+    (partial(substring.WordParse, substring.WINDOW, substring.ROUNDS), True, substring.drop_repeats, brute.substring_dedup),
+    (partial(suffix.ByteParse, suffix.WINDOW), False, suffix.strip_repeats, brute.suffix_dedup)])
+def test_repeats_send_a_block_per_bucket_and_group(spark, parse, keep_first, dedup, expected):
+    rnd = random.Random(3)
+    passages = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(45)) for _ in range(60)]
+    texts = [(k, " ".join([f"own{k}", *rnd.sample(passages, 6), f"end{k}"])) for k in range(500)]
+    rows = doc_rows(spark.createDataFrame(texts, "doc_id long, text string").repartition(5))
+    n = bucket_count(spark)
+    for blocks in (repeats.shared_anchors(rows, parse), repeats.covered_runs(rows, parse, keep_first)):
+        assert 0 < blocks.count() <= n * n < len(texts)  # not a row per bucket and document
+    twice = spark.createDataFrame(texts + texts[::50], "doc_id long, text string")
+    got = Counter(tuple(r) for r in dedup(twice).drop("kept", "spans").collect())
+    assert got == {(i, *x): 2 if i % 50 == 0 else 1 for i, x in expected(texts).items()}
