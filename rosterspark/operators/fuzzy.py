@@ -2,15 +2,30 @@
 
 ``sim(a, b) = (L - lev(a, b)) / L`` with ``L`` the longer length, so
 ``sim >= t`` means ``lev <= tau(L) = floor((1 - t) * L)``.  Every string is cut
-before its last ``@`` (none: the whole string) into a local part and a domain;
-a pair has the same domain or two different ones, and either kind has its own keys.
-
-Same domain: ``lev`` of the strings is ``lev`` of the local parts.  ``tau``
-edits leave at least ``m - tau`` characters of the longer part (length ``m``)
-in common, in order, so both parts have a common subsequence of that length:
-the keys are all of them, hashed inside the task.  Where that would be more
-than ``MOST_KEYS`` for a string, the local parts are cut into segments as below.
-Domains with at most ``hot_rows`` index strings are paired as they are.
+before its last ``@`` (none: the whole string) into a local part and a domain.
+
+Cells (``_by_cell``): the ``largest`` domains are compared with one another.  If
+strings ``x u`` and ``y v`` are within ``tau``, their local parts are within
+``tau - e(u, v)`` (``_domain_gap``; ``e`` is 0 for one domain).  A cell is a pair of
+domains with a length of local part each that both occur; only these get keys.
+With ``edits`` left for a cell whose longer local parts have ``m`` characters, an
+alignment with ``k`` insertions against as many deletions keeps ``m - edits + k``
+characters: for equal lengths either the same characters stand at the same
+``m - edits`` places (a key for each choice of places) or ``m - edits + 1``
+characters are a common subsequence (a key for each subsequence); for different
+lengths ``m - edits`` are.  Where that would be more than ``MOST_KEYS`` for a
+string, the shorter parts are cut into segments as below; cells of few strings
+have one key.  A key row is a key, the hash of its string and a side; they are
+sent as blocks of bytes, bucket by bucket of keys, and paired within a bucket.
+Distinct pairs of hashes are joined with their strings (a collision adds a
+candidate, never hides one).
+
+Pairs with a domain beyond the ``largest``:
+
+Same domain: ``tau`` edits leave at least ``m - tau`` characters of the longer
+part (length ``m``) in common, in order: the keys are all such subsequences, or
+segments beyond ``MOST_KEYS``.  Domains with at most ``hot_rows`` index strings are
+paired as they are.
 
 Different domains: the segment (pigeonhole) scheme of Li, Deng, Wang and Feng,
 "Pass-Join" (PVLDB 5(3), 2011): the shorter string ``s`` (length ``n``) is cut
@@ -21,9 +36,8 @@ with more than ``hot_rows`` index entries (at most ``max_hot_keys`` of them, so
 the broadcast list is bounded) are joined domain pair by domain pair, only for
 domains that ``tau`` edits may turn into each other (``_domain_cost``), salted.
 
-Every candidate is checked with the exact, bounded ``levenshtein(a, b, tau)``
-as the join makes it, before anything is shuffled again.  Nothing is dropped;
-``segment_key_report`` lists the hot keys.
+Every candidate is checked with the exact, bounded ``levenshtein(a, b, tau)``.
+Nothing is dropped; ``segment_key_report`` lists the hot keys.
 """
 
 from __future__ import annotations
@@ -42,6 +56,12 @@ from ..functions import constants as K
 EPS = 1e-6  # tau is over-estimated by at most this; verification is exact
 MOST_KEYS = 1024  # subsequences of one local part; beyond, segments
 SLICE = 2000  # strings whose keys are held at a time
+LARGEST = 256  # domains compared with one another
+BROADCAST_CELLS = 100_000
+FEW = 16  # candidates per string for which a cell has one key
+PAIRS = 1 << 18  # pairs made at a time
+BLOCK_ROWS = 1 << 20  # key rows sorted into buckets at a time
+PARTITION_ROWS = 2_000_000  # key rows of a partition
 
 
 def similarity(a, b) -> Column:
@@ -230,6 +250,211 @@ def _same_domain(index: DataFrame, probe: DataFrame, t: float, strict: bool, hot
     return small.unionByName(large.filter(shorter & _near(t)).select("s", "r"))
 
 
+# --- cells: pairs of the largest domains -----------------------------------------
+
+
+def _domain_gap(u: str, v: str, n: str, p: str, tau: Column) -> Column:
+    """``e`` with ``lev(x, y) <= tau - e`` for any ``x u`` and ``y v`` within ``tau``, ``x`` of length ``n``, ``y`` of ``p``; null if none can be.
+
+    An alignment cuts ``y v`` into what faces ``x`` and what faces ``u``.  If the
+    latter is ``v`` without its first ``i`` characters, ``x`` faces ``i`` more than
+    ``y``; if it is ``v`` after an end of ``y``, that end faces the first ``a``
+    characters of ``u`` and ``x`` faces the rest of ``y``, at best ``a`` less.
+    """
+    def least(whole, other, more):
+        def gap(i):
+            lev = F.levenshtein(F.col(other), F.substring(F.col(whole), i + F.lit(1), F.length(whole)))
+            return F.when(lev + F.abs(more - i) <= tau, lev - i)
+
+        return F.array_min(F.transform(F.sequence(F.lit(0), F.length(whole)), gap))
+
+    return F.least(least(v, u, F.col(n) - F.col(p)), least(u, v, F.col(p) - F.col(n)))
+
+
+def _key_count(n: int, other: int, edits: int, most: int) -> int:
+    """How many keys a string of a cell has; 0 if its keys are segments."""
+    m = max(n, other)
+    q = m - edits
+    if q <= 0:
+        return 1
+    more = comb(m, q + 1) if n == other and edits > 1 else 0
+    return comb(n, q) + (comb(n, q + 1) if more else 0) if max(comb(m, q), more) <= most else 0
+
+
+def _cell_keys_of(codes: np.ndarray, other: int, edits: int, cut: bool, most: int):
+    """Keys (row, key) of local parts of one length, against parts of length ``other``; ``cut``: these are cut into segments."""
+    n = codes.shape[1]
+    q = max(n, other) - edits
+    if q <= 0:
+        yield _hash_at(codes, np.zeros((1, 0), np.int64), 0)
+    elif _key_count(n, other, edits, most):
+        places = np.array(list(combinations(range(n), q)), np.int64).reshape(-1, q)
+        if n != other:
+            yield _hash_at(codes, places, 1)
+            return
+        yield _mix(_hash_at(codes, places, 2), np.arange(len(places), dtype=np.uint64))  # the same places
+        if edits > 1:
+            yield _hash_at(codes, np.array(list(combinations(range(n), q + 1)), np.int64).reshape(-1, q + 1), 3)
+    else:
+        shorter, longer = min(n, other), max(n, other)
+        if shorter <= edits:
+            yield _hash_at(codes, np.zeros((1, 0), np.int64), 0)
+            return
+        lo, hi = (0, 0) if cut else (-((edits - longer + shorter) // 2), (longer - shorter + edits) // 2)
+        for i, (start, length) in enumerate(_even_segments(shorter, edits + 1)):
+            at = np.array([x for x in range(start + lo, start + hi + 1) if x >= 0 and x + length <= n], np.int64)
+            if len(at):
+                yield _hash_at(codes, at[:, None] + np.arange(length), 4 + i)
+
+
+def _cell_keys(most, buckets, batches):
+    """Blocks of key rows of (id, local part, other length, edits, cell, side), every key of a row once."""
+    held, count = [], 0
+    for batch in batches:
+        ids, cell = batch.column(0).to_numpy(), batch.column(4).to_numpy().view(np.uint64)
+        local, side = batch.column(1).to_pylist(), batch.column(5).to_numpy()
+        kind = np.array([[len(x) for x in local], batch.column(2).to_numpy(), batch.column(3).to_numpy(), side], np.int64)
+        order = np.lexsort(kind)
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(kind[:, order]) != 0).any(axis=0)])) if len(order) else order
+        for a, b in zip(cut, [*cut[1:], len(order)]):
+            n, other, edits, which = (int(x) for x in kind[:, order[a]])
+            for at in range(a, b, SLICE):
+                rows = order[at:min(b, at + SLICE)]
+                codes = np.frombuffer("".join([local[i] for i in rows]).encode("utf-32-le", "surrogatepass"), "<u4")
+                codes = codes.astype(np.uint64).reshape(len(rows), n)
+                for keys in _cell_keys_of(codes, other, edits, n < other or n == other and which == 1, most):
+                    keys = np.sort(_mix(keys, cell[rows][:, None]), axis=1)
+                    new = np.ones(keys.shape, bool)
+                    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                    row, _ = np.nonzero(new)
+                    held.append((keys[new], ids[rows[row]], side[rows[row]]))
+                    count += len(row)
+                    if count >= BLOCK_ROWS:
+                        yield _block(held, buckets)
+                        held, count = [], 0
+    if count:
+        yield _block(held, buckets)
+
+
+def _block(held, buckets: int):
+    """A row (bucket, k, id, side) for each bucket of keys: the bytes of its key rows' columns."""
+    cols = [np.concatenate(c) for c in zip(*held)]
+    bucket = (cols[0] % np.uint64(buckets)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    there, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first, len(order))
+
+    def packed(c):
+        data = c[order]
+        return pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+    return pa.record_batch([pa.array(there.astype(np.int32)), *(packed(c) for c in cols)], names=["bucket", "k", "id", "side"])
+
+
+def _runs(k: np.ndarray):
+    """Places ``(x, y)`` of all pairs of rows with one key, ``x`` before ``y``; the keys are sorted."""
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    sizes = np.diff(np.append(starts, len(k)))
+    for size in np.unique(sizes[sizes > 1]):
+        at = starts[sizes == size]
+        if size * size <= PAIRS:
+            a, b = np.triu_indices(size, 1)
+            for i in range(0, len(at), step := max(1, PAIRS // len(a))):
+                yield (at[i:i + step, None] + a).ravel(), (at[i:i + step, None] + b).ravel()
+            continue
+        for start in at:
+            for i in range(0, size, step := max(1, PAIRS // size)):
+                a, b = np.meshgrid(np.arange(i, min(size, i + step)), np.arange(i + 1, size), indexing="ij")
+                yield start + a[a < b], start + b[a < b]
+
+
+def _pair_up(batches):
+    """Pairs (i, j) of an index row's and a probe row's id with one key, for rows (bucket, k, id, side) sorted by bucket.
+
+    Side 1 is index, 2 probe, 3 both: two such rows are one pair.
+    """
+    def pairs(held):
+        k, ids, side = (np.concatenate([np.frombuffer(block[c].as_buffer(), of) for block in held])
+                        for c, of in enumerate((np.uint64, np.int64, np.int8)))
+        order = np.argsort(k)
+        k, ids, side = k[order], ids[order], side[order]
+        for x, y in _runs(k):
+            there = (side[x] & 1 > 0) & (side[y] & 2 > 0)
+            back = (side[y] & 1 > 0) & (side[x] & 2 > 0) & ~there
+            i, j = np.concatenate([ids[x[there]], ids[y[back]]]), np.concatenate([ids[y[there]], ids[x[back]]])
+            if len(i):
+                yield pa.record_batch([pa.array(i), pa.array(j)], names=["i", "j"])
+
+    held, at = [], None
+    for batch in batches:
+        for bucket, *block in zip(*batch.columns):
+            if bucket != at and held:
+                yield from pairs(held)
+                held = []
+            held.append(block)
+            at = bucket
+    if held:
+        yield from pairs(held)
+
+
+def _by_cell(index: DataFrame, probe: DataFrame, lengths: DataFrame, t: float, strict: bool, most: int, same: bool) -> DataFrame:
+    """Near pairs ``(s, r)`` of the domains in ``lengths``; inputs ``(s, u)`` and ``(r, u)``, ``same``: one table."""
+    from ..session import materialize
+
+    spark = index.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    longest = lengths.groupBy("u").agg((F.max("n") + F.length("u")).alias("w"))
+    lanes = F.sequence(F.lit(0), F.lit(15))
+    links = longest.withColumn("lane", F.explode(lanes)).repartition(16, "lane").join(
+        longest.select(F.col("u").alias("v"), F.col("w").alias("_w"), F.pmod(F.xxhash64("u"), F.lit(16)).cast("int").alias("lane")), "lane")
+    links = links.withColumn("_most", _tau(F.least(F.col("_w"), F.floor(F.col("w") / F.lit(t) + F.lit(EPS))), t))
+    links = links.filter(_domain_cost("u", "v") <= F.col("_most")).select("u", "v")
+
+    cells = links.join(lengths.filter("ni > 0").drop("np"), "u").join(
+        lengths.filter("np > 0").select(F.col("u").alias("v"), F.col("n").alias("p"), "np"), "v")
+    short, long_ = F.col("n") + F.length("u"), F.col("p") + F.length("v")
+    cells = cells.filter((short < long_ if strict else short <= long_) & (long_ - short <= _tau(long_, t)))
+    cells = cells.withColumn("edits", _tau(long_, t) - _domain_gap("u", "v", "n", "p", _tau(long_, t)))
+    cells = cells.filter(F.abs(F.col("n") - F.col("p")) <= F.col("edits"))
+    if same:  # one order of two domains; the other is mirrored
+        cells = cells.filter((short < long_) | (F.col("u") <= F.col("v")))
+    both = (F.col("u") == F.col("v")) & (F.col("n") == F.col("p")) & F.lit(same)
+    few = F.col("ni") * F.col("np") <= F.lit(FEW) * (F.col("ni") + F.col("np"))
+    cells = materialize(cells.select(
+        "u", "n", "v", "p", F.when(few, F.greatest("n", "p")).otherwise(F.col("edits")).cast("int").alias("edits"),
+        F.xxhash64("u", "v", "n", "p").alias("cell"), both.alias("both"), "ni", "np"), "similarity-cells")
+    rows = count = 0
+    for r in cells.groupBy("n", "p", "edits").agg(F.count(F.lit(1)).alias("cells"), F.sum("ni").alias("ni"), F.sum(
+            F.when(~F.col("both"), F.col("np")).otherwise(0)).alias("np")).collect():
+        count += r.cells
+        rows += r.ni * (_key_count(r.n, r.p, r.edits, most) or r.edits + 1)
+        rows += r.np * (_key_count(r.p, r.n, r.edits, most) or (r.edits + 1) ** 2)
+    parts = max(parts, -(-rows // PARTITION_ROWS))
+
+    def sides(d, col, u, n, other, side, wanted):
+        wanted = F.broadcast(wanted) if count <= BROADCAST_CELLS else wanted
+        d = d.select(F.xxhash64(col).alias("id"), _local(col, "u").alias("x"), F.col("u").alias(u)).withColumn(n, F.length("x").cast("int"))
+        return d.repartition(parts).join(wanted, [u, n]).select(
+            "id", "x", F.col(other).alias("other"), "edits", "cell", F.lit(side).cast("tinyint").alias("side"))
+
+    buckets = min(4 * parts, 65536)
+
+    def keys(d):
+        return d.mapInArrow(partial(_cell_keys, most, buckets), "bucket int, k binary, id binary, side binary")
+
+    made = keys(sides(index, "s", "u", "n", "p", 1, cells.filter(~F.col("both")))).unionByName(
+        keys(sides(probe, "r", "v", "p", "n", 2, cells.filter(~F.col("both")))))
+    if same:
+        made = made.unionByName(keys(sides(index, "s", "u", "n", "p", 3, cells.filter("both"))))
+    pairs = made.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up, "i long, j long").distinct()
+    pairs = pairs.join(index.select(F.xxhash64("s").alias("i"), "s"), "i").join(probe.select(F.xxhash64("r").alias("j"), "r"), "j")
+    pairs = pairs.filter(_near(t)).select("s", "r")
+    if same:
+        there = F.array(F.struct("s", "r"), F.struct(F.col("r").alias("s"), F.col("s").alias("r")))
+        pairs = pairs.select(F.inline(F.when(F.length("s") == F.length("r"), there).otherwise(F.slice(there, 1, 1))))
+    return pairs
+
+
 # --- different domains ---------------------------------------------------------
 
 
@@ -278,16 +503,32 @@ def _other_domain(index: DataFrame, probe: DataFrame, t: float, strict: bool, ho
 
 
 def _candidates(index_strings: DataFrame, probe_strings: DataFrame, t: float, strict: bool,
-                hot_rows: int, max_hot_keys: int, salt: int, most_keys: int = MOST_KEYS) -> DataFrame:
+                hot_rows: int, max_hot_keys: int, salt: int, most_keys: int = MOST_KEYS, largest: int = LARGEST) -> DataFrame:
     """Near pairs (a from index side, b from probe side) with ``len(a) <= len(b)`` (``strict``: shorter), each once."""
-    from ..session import ship_package
+    from ..session import materialize, ship_package
 
     ship_package(index_strings.sparkSession)
     i = index_strings.select("s", _domain("s").alias("u"))
     p = probe_strings.select(F.col("s").alias("r"), _domain("s").alias("u"))
-    same = _same_domain(i, p, t, strict, hot_rows, most_keys)
-    other = _other_domain(i.select("s"), p.select("r"), t, strict, hot_rows, max_hot_keys, salt)
-    return same.unionByName(other).distinct().select(F.col("s").alias("a"), F.col("r").alias("b"))
+
+    def lengths_of(d, col, ni, np):
+        return d.select("u", (F.length(col) - F.length("u")).alias("n"), F.lit(ni).alias("ni"), F.lit(np).alias("np"))
+
+    same = index_strings is probe_strings
+    lengths = lengths_of(i, "s", 1, 1) if same else lengths_of(i, "s", 1, 0).unionByName(lengths_of(p, "r", 0, 1))
+    lengths = materialize(lengths.groupBy("u", "n").agg(F.sum("ni").alias("ni"), F.sum("np").alias("np")), "similarity-lengths")
+    top = lengths.groupBy("u").agg(F.sum(F.col("ni") + F.col("np")).alias("_c")).orderBy(F.desc("_c"), "u").limit(largest)
+    more = lengths.select("u").distinct().count() > largest
+    if more:
+        top = F.broadcast(materialize(top.select("u"), "similarity-domains"))
+        lengths = lengths.join(top, "u", "left_semi")
+    found = _by_cell(i, p, lengths, t, strict, most_keys, same)
+    if more:
+        rest, others = i.join(top, "u", "left_anti"), p.join(top, "u", "left_anti")
+        found = found.unionByName(_same_domain(rest, others, t, strict, hot_rows, most_keys))
+        for one, two in ((rest, p), (i.join(top, "u", "left_semi"), others)):
+            found = found.unionByName(_other_domain(one.select("s"), two.select("r"), t, strict, hot_rows, max_hot_keys, salt))
+    return found.distinct().select(F.col("s").alias("a"), F.col("r").alias("b"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.8, col: str = "s",

@@ -89,3 +89,66 @@ def test_random_locals_of_one_domain_make_few_candidates(spark):
         lambda b: fuzzy._local_keys(0.8, False, True, fuzzy.MOST_KEYS, b), "k long, s string")
     assert keys.count() <= 252 * 3000
     assert fuzzy.similar_pairs(df, None, 0.8).count() > 0
+
+
+def _odd_strings():
+    import random
+
+    rnd = random.Random(5)
+    rows = set()
+    for domain in ("@gmail.com", "@gmail.con", "@mail.com", "@g@mail.com", "@x.co", ""):
+        for base in ("abcdefgh", "müller17", "abc@g", "abcq", "aabbaabb", "jo"):
+            for _ in range(7):
+                w = list(base)
+                for _ in range(rnd.randrange(4)):
+                    w[rnd.randrange(len(w))] = rnd.choice(["", "z", "b", "ü", "@"])
+                rows.add("".join(w) + domain)
+    return sorted(rows - {""})
+
+
+@pytest.mark.parametrize("t, most, largest, few", [(0.8, 1024, 256, 0), (0.8, 1, 256, 0), (0.8, 1024, 3, 16), (0.6, 1024, 256, 0), (0.6, 40, 2, 0)])
+def test_cells_of_domains_equal_brute_force(spark, monkeypatch, t, most, largest, few):
+    """Near domains, an @ in local parts, places, subsequences, segments and one key a cell; domains beyond the largest."""
+    monkeypatch.setattr(fuzzy, "FEW", few)
+    df = spark.createDataFrame([(w,) for w in _odd_strings()], "s string").cache()
+    ref = sorted((r.a, r.b) for r in brute_force_pairs(df, df, t).collect())
+    same = fuzzy._candidates(df, df, t, False, 2, 1000, 3, most_keys=most, largest=largest)
+    got = sorted((r.a, r.b) for r in same.collect())
+    assert got == [(a, b) for a, b in ref if len(a) <= len(b)]
+    two = fuzzy._candidates(df, df.select("s"), t, True, 2, 1000, 3, most_keys=most, largest=largest)
+    assert sorted((r.a, r.b) for r in two.collect()) == [(a, b) for a, b in ref if len(a) < len(b)]
+
+
+def _key_rows(local, other, edits, side, buckets=3):
+    import pyarrow as pa
+
+    n = len(local)
+    cols = [pa.array(range(n), pa.int64()), pa.array(local), pa.array([other] * n, pa.int32()), pa.array([edits] * n, pa.int32()),
+            pa.array([77] * n, pa.int64()), pa.array([side] * n, pa.int8())]
+    return list(fuzzy._cell_keys(fuzzy.MOST_KEYS, buckets, [pa.record_batch(cols, names=list("abcdef"))]))
+
+
+def test_near_domains_make_few_candidates():
+    """Strings of two near domains, and of one domain, are paired by their local parts (the former were all paired)."""
+    import hashlib
+
+    import pyarrow as pa
+
+    local = [hashlib.md5(str(i).encode()).hexdigest()[:10] for i in range(4000)]
+    for edits, side, keys, most in ((3, (1, 2), 165, 3000), (5, (3,), 462, 60000)):
+        blocks = pa.Table.from_batches([b for x in side for b in _key_rows(local, 10, edits, x)]).sort_by("bucket").combine_chunks()
+        rows = sum(len(x.as_py()) for x in blocks["k"]) // 8
+        assert rows <= keys * len(side) * 4000
+        pairs = {(min(i, j), max(i, j)) for b in fuzzy._pair_up(blocks.to_batches(max_chunksize=2))
+                 for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if i != j}
+        assert 0 < len(pairs) <= most, len(pairs)
+
+
+def test_rows_of_a_common_key_are_all_paired(monkeypatch):
+    """A key of more rows than pairs are made at a time for, beside small ones."""
+    import numpy as np
+
+    monkeypatch.setattr(fuzzy, "PAIRS", 50)
+    k = np.repeat([1, 2, 5, 9, 11], [3, 1, 40, 3, 9])
+    got = [(int(a), int(b)) for x, y in fuzzy._runs(k) for a, b in zip(x, y)]
+    assert sorted(got) == [(a, b) for a in range(len(k)) for b in range(a + 1, len(k)) if k[a] == k[b]]
