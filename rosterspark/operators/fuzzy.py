@@ -586,7 +586,7 @@ def find_potential_duplicates(probes: DataFrame, seen: DataFrame | None = None,
                     "similarity-probes")
     s = p.withColumnRenamed("probe_id", "match_id") if same else materialize(
         seen.select(F.col(id_col).alias("match_id"), F.lower(F.col(email_col)).alias("s")), "similarity-seen")
-    pairs = similar_pairs(p, None if same else s, threshold, materialize_inputs=False, **kw)
+    pairs = similar_pairs(p, None if same else s, threshold, **kw)
     out = (
         pairs.join(p.withColumnRenamed("s", "a"), "a")
         .join(s.withColumnRenamed("s", "b"), "b")

@@ -152,3 +152,20 @@ def test_rows_of_a_common_key_are_all_paired(monkeypatch):
     k = np.repeat([1, 2, 5, 9, 11], [3, 1, 40, 3, 9])
     got = [(int(a), int(b)) for x, y in fuzzy._runs(k) for a, b in zip(x, y)]
     assert sorted(got) == [(a, b) for a in range(len(k)) for b in range(a + 1, len(k)) if k[a] == k[b]]
+
+
+def test_local_parts_of_two_domains_differ_by_the_rest(spark):
+    """0.9, yahoo.co against yahoo.com: one edit is left for the local parts, and the bound holds for odd cuts."""
+    import random
+
+    rnd = random.Random(9)
+    domains = ["@yahoo.co", "@yahoo.com", "@mail.com", "@gmail.com", "@g@mail.com", "@a.b", ""]
+    rows = [(x, u, y, v) for _ in range(60) for u in domains for v in domains
+            for x, y in [tuple("".join(rnd.choice("ab@gm") for _ in range(rnd.randrange(6))) for _ in range(2))]]
+    df = spark.createDataFrame(rows, "x string, u string, y string, v string").withColumn("n", F.length("x")).withColumn("p", F.length("y"))
+    df = df.withColumn("whole", F.levenshtein(F.concat("x", "u"), F.concat("y", "v")))
+    df = df.withColumn("gap", fuzzy._domain_gap("u", "v", "n", "p", F.col("whole")))
+    assert df.filter(F.col("gap").isNull() | (F.levenshtein("x", "y") > F.col("whole") - F.col("gap"))).count() == 0
+    one = spark.createDataFrame([("@yahoo.co", "@yahoo.com", 10, 10), ("@yahoo.com", "@yahoo.com", 10, 10),
+                                 ("@yahoo.com", "@mail.example.com", 10, 10)], "u string, v string, n int, p int")
+    assert [r.gap for r in one.select("u", fuzzy._domain_gap("u", "v", "n", "p", F.lit(2)).alias("gap")).collect()] == [1, 0, None]
