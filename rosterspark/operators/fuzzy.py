@@ -62,6 +62,7 @@ FEW = 16  # candidates per string for which a cell has one key
 PAIRS = 1 << 18  # pairs made at a time
 BLOCK_ROWS = 1 << 20  # key rows sorted into buckets at a time
 PARTITION_ROWS = 2_000_000  # key rows of a partition
+BUCKET_ROWS = 50_000  # key rows of a bucket, at least
 
 
 def similarity(a, b) -> Column:
@@ -429,7 +430,7 @@ def _by_cell(index: DataFrame, probe: DataFrame, lengths: DataFrame, t: float, s
         count += r.cells
         rows += r.ni * (_key_count(r.n, r.p, r.edits, most) or r.edits + 1)
         rows += r.np * (_key_count(r.p, r.n, r.edits, most) or (r.edits + 1) ** 2)
-    parts = max(parts, -(-rows // PARTITION_ROWS))
+    parts = min(max(parts, -(-rows // PARTITION_ROWS)), rows // BUCKET_ROWS + 1)
 
     def sides(d, col, u, n, other, side, wanted):
         wanted = F.broadcast(wanted) if count <= BROADCAST_CELLS else wanted
@@ -437,7 +438,7 @@ def _by_cell(index: DataFrame, probe: DataFrame, lengths: DataFrame, t: float, s
         return d.repartition(parts).join(wanted, [u, n]).select(
             "id", "x", F.col(other).alias("other"), "edits", "cell", F.lit(side).cast("tinyint").alias("side"))
 
-    buckets = min(4 * parts, 65536)
+    buckets = min(4 * parts, rows // BUCKET_ROWS + 1, 65536)
 
     def keys(d):
         return d.mapInArrow(partial(_cell_keys, most, buckets), "bucket int, k binary, id binary, side binary")
